@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # heaviest keys needs no more entries and is always safe to broadcast.
 HOT_KEYS = 1024
 SALTS = 64
+# A key with fewer rows than this is no burden to one task and is not salted.
+HOT_MIN_ROWS = 100_000
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -22,9 +24,10 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 
-def heaviest(counts: DataFrame, keys: list[str], count_col: str) -> DataFrame:
+def heaviest(counts: DataFrame, keys: list[str], count_col: str, min_rows: int | None = None) -> DataFrame:
     """The keys with the most rows, at most ``HOT_KEYS`` of them."""
-    return counts.orderBy(F.desc(count_col), *keys).limit(HOT_KEYS).select(*keys)
+    large = counts.filter(F.col(count_col) >= (HOT_MIN_ROWS if min_rows is None else min_rows))
+    return large.orderBy(F.desc(count_col), *keys).limit(HOT_KEYS).select(*keys)
 
 
 def salted_join(

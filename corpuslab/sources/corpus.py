@@ -13,19 +13,18 @@ ARTICLES = T.StructType([
 ])
 
 
-def list_paths(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ()) -> list[str]:
-    """Children of a folder, on any file system Spark can reach, except excluded name prefixes."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(path)]
-    return sorted(p for name, p in found if not name.startswith(exclude) and not name.startswith(("_", ".")))
+def read_corpus(
+    spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None, exclude: tuple[str, ...] = ()
+) -> DataFrame:
+    """Parquet scan of one or many paths, leaving out files whose names start with ``exclude``.
 
-
-def read_corpus(spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None) -> DataFrame:
-    """Parquet scan of one or many paths."""
+    The name filter is on file metadata, so excluded files are never opened.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(*([paths] if isinstance(paths, str) else paths))
+    df = reader.parquet(*([paths] if isinstance(paths, str) else paths))
+    for prefix in exclude:
+        df = df.filter(~F.col("_metadata.file_name").startswith(prefix))
+    return df
 
 
 def spread(df: DataFrame) -> DataFrame:
