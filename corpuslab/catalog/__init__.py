@@ -2,6 +2,11 @@
 
 from corpuslab.catalog import (  # noqa: F401
     graph_queries,
+    grid_queries,
+    io_queries,
+    learning_queries,
+    profile_queries,
+    relational_queries,
     search_queries,
     text_queries,
 )

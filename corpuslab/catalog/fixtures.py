@@ -13,6 +13,7 @@ from corpuslab.catalog.registry import table
 from corpuslab.functions.text import TOKEN_PATTERN, all_stop_words
 from corpuslab.operators import graph, index as ix
 from corpuslab.plans.storage import written
+from corpuslab.sources.corpus import spread  # noqa: F401
 
 TITLE = "<title>([^<]*)</title>"
 LINK = '<a href="([^"]*)"[^>]*>([^<]*)</a>'
@@ -34,30 +35,20 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, path, text, dst) for each link of each page."""
+def anchored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, anchor_text): pages with their links as an array of (target id, text), NULL without links."""
     n_docs = table(spark, sf_dir, "documents").count()
-    found = table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("src"),
-        F.explode_outer(
-            F.arrays_zip(
-                F.regexp_extract_all("html", F.lit(LINK), F.lit(1)).alias("path"),
-                F.regexp_extract_all("html", F.lit(LINK), F.lit(2)).alias("text"),
-            )
-        ).alias("a"),
-    ).filter("a IS NOT NULL")
-    hashed = F.conv(F.substring(F.md5("path"), 1, 7), 16, 10).cast("long")
-    return found.select("src", "a.path", "a.text").withColumn("dst", hashed % n_docs)
 
+    def target(path):
+        return F.conv(F.substring(F.md5(path), 1, 7), 16, 10).cast("long") % n_docs
 
-def anchored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, anchor_text): pages with their links as an array of (target id, text)."""
-    rows = links(spark, sf_dir)
-    found = rows.groupBy(F.col("src").alias("id")).agg(
-        F.collect_list(F.struct(F.col("dst").alias("id"), "text")).alias("anchor_text")
+    pairs = F.arrays_zip(
+        F.regexp_extract_all("html", F.lit(LINK), F.lit(1)).alias("path"),
+        F.regexp_extract_all("html", F.lit(LINK), F.lit(2)).alias("text"),
     )
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"))
-    return pages.join(found, "id", "left")
+    found = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), pairs.alias("pairs"))
+    anchors = F.transform("pairs", lambda a: F.struct(target(a["path"]).alias("id"), a["text"].alias("text")))
+    return found.select("id", F.when(F.size("pairs") > 0, anchors).alias("anchor_text"))
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +123,10 @@ SQL_LINKS = f"""links AS (SELECT src, path, text,
   CAST('0x' || substr(md5(path), 1, 7) AS BIGINT) % (SELECT count(*) FROM documents) AS dst
   FROM (SELECT page_id AS src, unnest(regexp_extract_all(html, {sql_str(LINK)}, 1)) AS path,
                unnest(regexp_extract_all(html, {sql_str(LINK)}, 2)) AS text FROM pages))"""
+SQL_LINK_LISTS = f"""link_lists AS (SELECT src, pos,
+  CAST('0x' || substr(md5(path), 1, 7) AS BIGINT) % (SELECT count(*) FROM documents) AS dst
+  FROM (SELECT page_id AS src, unnest(l) AS path, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos
+    FROM (SELECT page_id, regexp_extract_all(html, {sql_str(LINK)}, 1) AS l FROM pages)))"""
 SQL_VIEWS = "views AS (SELECT user_id AS id, CAST(count(*) AS BIGINT) AS views FROM events GROUP BY user_id)"
 
 

@@ -50,11 +50,11 @@ def pagerank(spark, sf):
 
 @query("graph_gr3_pagerank_links", f"""WITH {SQL_LINKS}, edges AS (SELECT DISTINCT src, dst FROM links),
 verts AS (SELECT page_id AS id FROM pages UNION SELECT dst FROM links),
-{sql_pagerank("edges", "verts", rescale=False)} SELECT id, round(pagerank, 6) + 0 AS pagerank FROM pagerank""")
+{sql_pagerank("edges", "verts", rescale=False)} SELECT id, round(pagerank, 9) + 0 AS pagerank FROM pagerank""")
 def pagerank_links(spark, sf):
     edges = fx.link_edges(spark, sf)
     nodes = graph.vertices(edges, table(spark, sf, "pages").select(F.col("page_id").alias("id")))
-    return graph.pagerank(edges, nodes, rescale=False).select("id", rounded(F.col("pagerank")).alias("pagerank"))
+    return graph.pagerank(edges, nodes, rescale=False).select("id", rounded(F.col("pagerank"), 9).alias("pagerank"))
 
 
 @query("graph_gr4_partitioned_edges")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslab.catalog import fixtures as fx
-from corpuslab.catalog.fixtures import SQL_LINKS, SQL_QUERY_TERMS, SQL_TITLES, SQL_VIEWS, sql_postings
+from corpuslab.catalog.fixtures import SQL_LINK_LISTS, SQL_LINKS, SQL_QUERY_TERMS, SQL_TITLES, SQL_VIEWS, sql_postings
 from corpuslab.catalog.registry import query, table
 from corpuslab.functions.scalar import rounded
 from corpuslab.operators import index as ix, ireval, retrieve as rt
@@ -215,35 +215,27 @@ def search(spark, sf):
 
 # ---- lookups -----------------------------------------------------------------------
 
-def _id_list(spark, sf):
+def id_lists(spark, sf):
     """Link targets of each page, in order, as one request per page."""
     return fx.anchored_pages(spark, sf).select(
-        F.col("id").alias("page_id"), F.transform("anchor_text", lambda a: a["id"]).alias("ids"))
+        F.col("id").alias("src"), F.transform("anchor_text", lambda a: a["id"]).alias("ids"))
 
 
-def _lookup_sql(value: str, source: str, default: str, prefix: str) -> str:
-    return f"""WITH {SQL_LINKS}, {prefix},
-req AS (SELECT src AS page_id, dst AS id FROM links)
-SELECT page_id, id, {value.format(f"coalesce({source}, {default})")} AS {source}, CAST(count(*) AS BIGINT) AS n
-FROM req LEFT JOIN {"pagerank" if source == "pagerank" else "views"} USING (id) GROUP BY ALL"""
+def _lookup_sql(shown: str, source: str, prefix: str) -> str:
+    return f"""WITH {SQL_LINKS}, {SQL_LINK_LISTS}, {prefix}
+SELECT src, pos, dst AS id, {shown} FROM link_lists LEFT JOIN {source} s ON s.id = dst"""
 
 
-def _lookup(spark, sf, values, name, default):
-    # one request per page: the position restarts in each, so the page id stays with it
-    rows = _id_list(spark, sf).select("page_id", F.posexplode("ids").alias("pos", "id"))
-    joined = rows.join(values, "id", "left").select("page_id", "pos", "id", F.coalesce(name, F.lit(default)).alias(name))
-    return joined.withColumn(name, rounded(F.col(name)) if name == "pagerank" else F.col(name)).groupBy(
-        "page_id", "id", name).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("retrieve_rt10_pagerank_lookup", _lookup_sql("round({}, 6) + 0", "pagerank", "0.0", _pagerank_sql()))
+@query("retrieve_rt10_pagerank_lookup", _lookup_sql(
+    "round(coalesce(pagerank, 0.0), 6) + 0 AS pagerank", "(SELECT * FROM pagerank WHERE id % 4 <> 0)", _pagerank_sql()))
 def pagerank_lookup(spark, sf):
-    return _lookup(spark, sf, fx.link_ranks(spark, sf), "pagerank", 0.0)
+    ranks = fx.link_ranks(spark, sf).filter("id % 4 <> 0")
+    return rt.lookup(id_lists(spark, sf), ranks, "pagerank", 0.0).withColumn("pagerank", rounded(F.col("pagerank")))
 
 
-@query("retrieve_rt11_views_lookup", _lookup_sql("{}", "views", "0", SQL_VIEWS))
+@query("retrieve_rt11_views_lookup", _lookup_sql("coalesce(views, 0) AS views", "views", SQL_VIEWS))
 def views_lookup(spark, sf):
-    return _lookup(spark, sf, fx.views(spark, sf), "views", 0)
+    return rt.lookup(id_lists(spark, sf), fx.views(spark, sf), "views", 0)
 
 
 @query("retrieve_rt12_unknown_queries", f"""WITH {BODY0},

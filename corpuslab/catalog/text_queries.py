@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
-from corpuslab.catalog.fixtures import SQL_QUERY_TERMS, SQL_STOP, SQL_TOKEN, sql_str, sql_tokens
+from corpuslab.catalog.fixtures import SQL_QUERY_TERMS, sql_tokens
 from corpuslab.catalog.registry import query, table
 from corpuslab.functions import scalar, text
 from corpuslab.functions.scalar import rounded
@@ -139,13 +137,13 @@ def cyclic(spark, sf):
 
 
 @query("functions_sc5_ratios", """
-SELECT l_orderkey, l_linenumber, round(l_extendedprice / (l_quantity + 1), 6) + 0 AS ratio,
+SELECT l_orderkey, l_linenumber, round(l_extendedprice / (l_quantity + 1), 8) + 0 AS ratio,
   round(l_quantity + l_discount + l_tax, 6) + 0 AS total, round(l_quantity * l_discount, 6) + 0 AS product,
   round(l_quantity * l_quantity, 6) + 0 AS square, round(ln(1 + l_extendedprice), 6) + 0 AS log_price FROM lineitem""")
 def ratios(spark, sf):
     q, p, d = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")
     return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", rounded(scalar.safe_ratio(p, q)).alias("ratio"),
+        "l_orderkey", "l_linenumber", rounded(scalar.safe_ratio(p, q), 8).alias("ratio"),
         rounded(q + d + F.col("l_tax")).alias("total"), rounded(q * d).alias("product"),
         rounded(q * q).alias("square"), rounded(F.log1p(p)).alias("log_price"))
 

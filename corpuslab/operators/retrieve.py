@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpuslab.functions import text
 from corpuslab.operators.index import Index, doc_norms, doc_terms
 from corpuslab.plans.ranking import full_rank, top_k
-from corpuslab.plans.skew import fits_broadcast, heaviest, salted_join
+from corpuslab.plans.skew import fits_broadcast, heaviest, join_small_or_salted, salted_join
 from corpuslab.plans.storage import written
 
 # Scores are rounded to this many digits before ranking, so that the order in
@@ -222,8 +222,12 @@ def search(
 
 
 def lookup(ids: DataFrame, table: DataFrame, value: str, default) -> DataFrame:
-    """(pos, id, value) for an array column ``ids``, in input order, duplicates kept."""
-    rows = ids.select(F.posexplode("ids").alias("pos", "id"))
-    return rows.join(table.select("id", value), "id", "left").select(
-        "pos", "id", F.coalesce(F.col(value), F.lit(default)).alias(value)
+    """(..., pos, id, value) for an array column ``ids``; pos keeps the input order, duplicates stay.
+
+    An id that very many requests ask for is spread over tasks by position.
+    """
+    others = [c for c in ids.columns if c != "ids"]
+    rows = ids.select(*others, F.posexplode("ids").alias("pos", "id"))
+    return join_small_or_salted(rows, table.select("id", value), ["id"], [*others, "pos"], "left").select(
+        *others, "pos", "id", F.coalesce(F.col(value), F.lit(default)).alias(value)
     )

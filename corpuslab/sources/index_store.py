@@ -8,6 +8,7 @@ from corpuslab.functions.text import bucket_of
 from corpuslab.operators.index import Index
 
 BUCKETS = 124
+DOC_RANGE = 1 << 20
 
 POSTINGS = "term string, doc_id bigint, tf int, dl int, bucket int"
 
@@ -15,14 +16,13 @@ POSTINGS = "term string, doc_id bigint, tf int, dl int, bucket int"
 def write_index(index: Index, path: str, buckets: int = BUCKETS) -> None:
     """Write all parts of an index.
 
-    Postings are range-partitioned by (bucket, term, doc_id): files hold sorted
-    terms, so a lookup skips buckets and row groups, and a term with very many
-    postings is split over several tasks by doc_id.
+    Postings are shuffled by (bucket, range of doc ids) and sorted by term: a
+    lookup skips buckets and row groups, and a term with very many postings is
+    split over several tasks and files.
     """
     kept = index.kept_postings().select("term", "doc_id", "tf", "dl", bucket_of(F.col("term"), buckets).alias("bucket"))
-    parts = max(buckets, int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     (
-        kept.repartitionByRange(parts, "bucket", "term", "doc_id")
+        kept.repartition("bucket", F.floor(F.col("doc_id") / DOC_RANGE))
         .sortWithinPartitions("bucket", "term", "doc_id")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     )
