@@ -238,7 +238,7 @@ LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 def _lines(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    return fe.assemble(rows, LINE_FEATURES)
+    return fe.assemble(fx.spread(rows), LINE_FEATURES)
 
 
 @query("models_ml4_regression_tree")

@@ -18,6 +18,15 @@ ANCHOR_ROWS = SQL_LINKS + ",\nanchors AS (SELECT dst AS id, text FROM links WHER
 ANCHOR0 = ANCHOR_ROWS + ",\n" + sql_postings("anchor", "anchors", "id", "text", 0)
 
 
+# Scores carry 9 digits. Showing 6 would round exact halves, on which engines differ,
+# so both sides add a little first.
+SHOWN = "round(score + 1e-10, 6) + 0 AS score"
+
+
+def shown(score="score"):
+    return rounded(F.col(score) + F.lit(1e-10))
+
+
 # ---- index ------------------------------------------------------------------------
 
 @query("index_ix1_postings", f"""WITH {BODY50}
@@ -81,10 +90,10 @@ dots AS (SELECT query_id, doc_id, sum((1 + ln(tf)) * idf * qw) AS dot FROM known
 scored AS (SELECT query_id, doc_id, round(dot / (norm * q_norm), 9) AS score FROM dots JOIN qn USING (query_id)
   JOIN body_norm ON id = doc_id WHERE norm > 0 AND q_norm > 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored)
-SELECT query_id, doc_id, round(score, 6) + 0 AS score, rank FROM ranked WHERE rank <= 100""")
+SELECT query_id, doc_id, {SHOWN}, rank FROM ranked WHERE rank <= 100""")
 def tfidf(spark, sf):
     found = rt.search_tfidf(fx.queries(spark, sf), fx.body_index(spark, sf, 50))
-    return found.withColumn("score", rounded(F.col("score")))
+    return found.withColumn("score", shown())
 
 
 BM25 = f"""{BODY0}, {SQL_QUERY_TERMS},
@@ -96,10 +105,10 @@ body_hits AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY quer
   FROM bm) WHERE rank <= 1000)"""
 
 
-@query("retrieve_rt2_bm25", f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) + 0 AS score, rank FROM body_hits")
+@query("retrieve_rt2_bm25", f"WITH {BM25} SELECT query_id, doc_id, {SHOWN}, rank FROM body_hits")
 def bm25(spark, sf):
     found = rt.search_bm25(fx.queries(spark, sf), fx.body_index(spark, sf))
-    return found.withColumn("score", rounded(F.col("score")))
+    return found.withColumn("score", shown())
 
 
 COVER = """{b}_hits AS (SELECT query_id, doc_id, CAST(count(*) AS BIGINT) AS score FROM qterms JOIN {b}_post USING (term)
@@ -179,38 +188,38 @@ def normalize(spark, sf):
         "anchor": rt.coverage(terms, anchor_ix),
     }
     out = [
-        rt.max_normalize(s, terms.small).select(F.lit(n).alias("signal"), "query_id", "doc_id", rounded(F.col("score")).alias("score"))
+        rt.max_normalize(s, terms.small, ranked=n == "body").select(F.lit(n).alias("signal"), "query_id", "doc_id", rounded(F.col("score")).alias("score"))
         for n, s in parts.items()
     ]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("retrieve_rt6_fusion", f"WITH {FUSED} SELECT query_id, doc_id, round(score, 6) + 0 AS score FROM fused")
+@query("retrieve_rt6_fusion", f"WITH {FUSED} SELECT query_id, doc_id, {SHOWN} FROM fused")
 def fusion(spark, sf):
     fused = rt.fused_scores(fx.queries(spark, sf), *_three(spark, sf))
-    return fused.withColumn("score", rounded(F.col("score")))
+    return fused.withColumn("score", shown())
 
 
-@query("retrieve_rt7_candidates", f"WITH {POOL} SELECT query_id, doc_id, round(score, 6) + 0 AS score, rank FROM pool")
+@query("retrieve_rt7_candidates", f"WITH {POOL} SELECT query_id, doc_id, {SHOWN}, rank FROM pool")
 def candidates(spark, sf):
-    return _pool(spark, sf).withColumn("score", rounded(F.col("score")))
+    return _pool(spark, sf).withColumn("score", shown())
 
 
-@query("retrieve_rt8_boost", f"WITH {_boost_sql()} SELECT query_id, doc_id, round(score, 6) + 0 AS score FROM boosted")
+@query("retrieve_rt8_boost", f"WITH {_boost_sql()} SELECT query_id, doc_id, {SHOWN} FROM boosted")
 def boost(spark, sf):
     pool = _pool(spark, sf).select("query_id", "doc_id", "score")
     found = rt.boost(pool, fx.link_ranks(spark, sf), fx.views(spark, sf))
-    return found.withColumn("score", rounded(F.col("score")))
+    return found.withColumn("score", shown())
 
 
 @query("retrieve_rt9_search", f"""WITH {_boost_sql()},
 best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
   FROM boosted) WHERE rank <= 100)
-SELECT query_id, rank, doc_id, title, round(score, 6) + 0 AS score FROM best LEFT JOIN titles ON id = doc_id""")
+SELECT query_id, rank, doc_id, title, {SHOWN} FROM best LEFT JOIN titles ON id = doc_id""")
 def search(spark, sf):
     found = rt.search(
         fx.queries(spark, sf), *_three(spark, sf), fx.link_ranks(spark, sf), fx.views(spark, sf), fx.titles(spark, sf))
-    return found.withColumn("score", rounded(F.col("score")))
+    return found.withColumn("score", shown())
 
 
 # ---- lookups -----------------------------------------------------------------------

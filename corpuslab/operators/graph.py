@@ -32,18 +32,18 @@ def _by_source(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges partitioned by source for repeated joins, and the salts of the heaviest sources.
 
     A source with very many edges is spread over ``SALTS`` partitions. Returns
-    (edges with salt, (src, salt) rows for the heavy sources).
+    (edges with salt and out-degree, (src, salt) rows for the heavy sources).
     """
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    heavy = written(heaviest(degree, ["src"], "n"), "heavy-sources")
+    degree = written(edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    heavy = written(heaviest(degree, ["src"], "degree"), "heavy-sources")
+    salts = heavy.withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(SALTS - 1))))
     marked = F.broadcast(heavy.withColumn("heavy", F.lit(True)))
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    placed = (
-        edges.join(marked, "src", "left").withColumn("salt", salt).drop("heavy")
-        .repartition("src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    salts = heavy.withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(SALTS - 1))))
-    return placed, salts
+    spread = edges.join(marked, "src", "left").withColumn("salt", salt).drop("heavy")
+    # sorted once here, so that no round sorts the edges again
+    spread = spread.repartition("src", "salt").sortWithinPartitions("src", "salt")
+    placed = spread.join(_to_sources(degree, salts), ["src", "salt"])
+    return placed.persist(StorageLevel.MEMORY_AND_DISK), salts
 
 
 def _to_sources(values: DataFrame, salts: DataFrame) -> DataFrame:
@@ -66,18 +66,15 @@ def pagerank(
     result is scaled to sum to the number of vertices. Edges are shuffled once;
     a round moves only ranks and partial sums.
     """
-    nodes = vertices(edges) if nodes is None else nodes
-    nodes = written(nodes.select("id"), "vertices")
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    edges = written(edges.select("src", "dst"), "edges")
+    nodes = written((vertices(edges) if nodes is None else nodes).select("id"), "vertices")
     placed, salts = _by_source(edges)
-    degree = written(degree, "degrees")
     zero = nodes.select("id", F.lit(0.0).alias("part"))
     ranks = nodes.select("id", F.lit(1.0).alias("pagerank"))
     for i in range(1, max_iter + 1):
-        shares = ranks.join(degree.withColumnRenamed("src", "id"), "id").select(
-            F.col("id").alias("src"), (F.col("pagerank") / F.col("degree")).alias("part")
-        )
-        sent = _to_sources(shares, salts).join(placed, ["src", "salt"]).select(F.col("dst").alias("id"), "part")
+        sources = _to_sources(ranks.select(F.col("id").alias("src"), "pagerank"), salts)
+        sent = sources.join(placed, ["src", "salt"]).select(
+            F.col("dst").alias("id"), (F.col("pagerank") / F.col("degree")).alias("part"))
         # vertices without incoming edges take part with a zero, which saves an outer join
         ranks = zero.unionByName(sent).groupBy("id").agg(
             (F.lit(reset) + F.lit(1 - reset) * F.sum("part")).alias("pagerank")
@@ -98,7 +95,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 100) ->
     stops when none did. ``pred`` is the smallest id among equally short
     predecessors and NULL for a source. Weights must be positive.
     """
-    placed, salts = _by_source(edges.select("src", "dst", "weight"))
+    placed, salts = _by_source(written(edges.select("src", "dst", "weight"), "edges"))
     state = written(
         sources.select("id", F.lit(0).cast(edges.schema["weight"].dataType).alias("dist"),
                        F.lit(None).cast("bigint").alias("pred"), F.lit(0).alias("turn")).distinct(),
@@ -137,7 +134,7 @@ def routes(paths: DataFrame, targets: DataFrame, max_hops: int = 100) -> DataFra
 
 def bfs(edges: DataFrame, sources: DataFrame, max_iter: int = 100) -> DataFrame:
     """(id, hops): vertices that the sources reach, with the least number of edges."""
-    placed, salts = _by_source(edges.select("src", "dst"))
+    placed, salts = _by_source(written(edges.select("src", "dst"), "edges"))
     seen = written(sources.select("id", F.lit(0).alias("hops")).distinct(), "reached")
     for hop in range(1, max_iter + 1):
         front = seen.filter(F.col("hops") == hop - 1).select(F.col("id").alias("src"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslab.functions import text
 from corpuslab.operators.index import Index, doc_norms, doc_terms
@@ -136,10 +136,19 @@ def search_anchor(queries: DataFrame, index: Index, mode: str = "occurrence") ->
     return full_rank(coverage(query_terms(queries), index, mode), "query_id", "score", "doc_id")
 
 
-def max_normalize(scores: DataFrame, small_queries: bool) -> DataFrame:
-    """Divide by the largest score of the query; a zero maximum counts as 1."""
-    top = scores.groupBy("query_id").agg(F.max("score").alias("top"))
-    return _join_queries(scores, top, small_queries).select(
+def max_normalize(scores: DataFrame, small_queries: bool, ranked: bool = False) -> DataFrame:
+    """Divide by the largest score of the query; a zero maximum counts as 1.
+
+    ``ranked`` says that the list is a top-k result: few rows per query, already
+    placed by query, so a window finds the maximum. A list of any length gets it
+    by aggregation and a join.
+    """
+    if ranked:
+        rows = scores.withColumn("top", F.max("score").over(Window.partitionBy("query_id")))
+    else:
+        top = scores.groupBy("query_id").agg(F.max("score").alias("top"))
+        rows = _join_queries(scores, top, small_queries)
+    return rows.select(
         "query_id", "doc_id", (F.col("score") / F.coalesce(F.nullif(F.col("top"), F.lit(0)), F.lit(1))).alias("score")
     )
 
@@ -163,11 +172,11 @@ def fused_scores(
     """
     query = query_terms(queries)
     signals = [
-        search_bm25(queries, body).select("query_id", "doc_id", "score"),
-        coverage(query, title),
-        coverage(query, anchor),
+        max_normalize(search_bm25(queries, body), query.small, ranked=True),
+        max_normalize(coverage(query, title), query.small),
+        max_normalize(coverage(query, anchor), query.small),
     ]
-    return fuse([(max_normalize(s, query.small), w) for s, w in zip(signals, weights)])
+    return fuse(list(zip(signals, weights)))
 
 
 def attach_values(rows: DataFrame, table: DataFrame, key: str = "doc_id") -> DataFrame:

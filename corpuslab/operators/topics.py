@@ -105,8 +105,12 @@ class NmfModel(Model):
     def rows(self, df: DataFrame) -> DataFrame:
         """(id, at, weight, square): one row per document, terms as positions."""
         places = df.sparkSession.createDataFrame(list(enumerate(self.terms)), "pos int, term string")
+        spark = df.sparkSession
+        # tasks solve small systems in numpy: keep at least one partition per core
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         return (
             df.join(F.broadcast(places), "term")
+            .repartition(parts, "id")
             .groupBy("id")
             # a document has at most one entry per vocabulary term
             .agg(F.sort_array(F.collect_list(F.struct("pos", "weight"))).alias("e"))

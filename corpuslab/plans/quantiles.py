@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 INTERVAL_ROWS = 1_000_000
@@ -110,12 +111,27 @@ def _pick(data: DataFrame, ranks: list[_Rank]) -> dict[tuple[str, int], float]:
         .groupBy(F.col("e.s").alias("s"), F.col("e.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("v")))
-    row = upto.agg(
-        *[
-            F.min(F.when((F.col("s") == number[r.column, r.low, r.high]) & (F.col("upto") > r.k - r.below), F.col("v")))
-            .alias(f"r{i}")
-            for i, r in enumerate(ranks)
-        ]
-    ).first()
-    return {(r.column, r.k): row[f"r{i}"] for i, r in enumerate(ranks)}
+    w = Window.partitionBy("s").orderBy("v")
+    upto = counted.withColumn("upto", F.sum("n").over(w))
+    # A row covers a wanted rank when more ranks lie below its last place than below
+    # its first; Bucketizer counts them by binary search. At most one row per rank.
+    wanted: dict[int, list[_Rank]] = {}
+    for r in ranks:
+        wanted.setdefault(number[r.column, r.low, r.high], []).append(r)
+    covers = F.lit(False)
+    for span, group in wanted.items():
+        places = sorted({r.k - r.below for r in group})
+        splits = [float("-inf"), *map(float, places), float("inf")]
+        for name, place in (("last", F.col("upto") - 1), ("before", F.col("upto") - F.col("n") - 1)):
+            upto = upto.withColumn(f"{name}{span}", F.when(F.col("s") == span, place.cast("double")).otherwise(-1.0))
+        upto = Bucketizer(
+            splitsArray=[splits, splits], inputCols=[f"last{span}", f"before{span}"], outputCols=[f"l{span}", f"b{span}"]
+        ).transform(upto)
+        covers |= F.col(f"l{span}") > F.col(f"b{span}")
+    found = upto.filter(covers).select("s", "v", "n", "upto").collect()
+    out = {}
+    for row in found:
+        for r in wanted[row["s"]]:
+            if row["upto"] - row["n"] <= r.k - r.below < row["upto"]:
+                out[r.column, r.k] = row["v"]
+    return out
