@@ -24,7 +24,7 @@ def full_rank(df: DataFrame, group: str, score: str, doc: str, rank: str = "rank
     over the small block table, and each row adds its place inside its block.
     Suits scores with few distinct values, such as term coverage.
     """
-    blocks = df.withColumn("__block", F.floor(F.col(doc) / BLOCK))
+    blocks = df.withColumn("__block", F.floor(F.col(doc) / F.lit(BLOCK)))
     sizes = blocks.groupBy(group, score, "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy(F.desc(score), "__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, score, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

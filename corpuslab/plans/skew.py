@@ -14,8 +14,9 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure rows and bytes of ``df``; reading stops just past ``max_rows``."""
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     size = (
         df.limit(max_rows + 1)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("b"))
@@ -62,7 +63,7 @@ def join_small_or_salted(
     keys: list[str],
     salt_by: list[str],
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Broadcast ``right`` when it is measured to be small, else a salted shuffle join."""
     if fits_broadcast(right, max_rows):
