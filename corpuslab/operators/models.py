@@ -287,7 +287,10 @@ def kmeans(df: DataFrame, features: str, k: int, seed: int = 42):
 def elbow(df: DataFrame, features: str, ks: list[int], seed: int = 42) -> DataFrame:
     """(k, inertia) for each number of clusters."""
     data = df.select(features).persist()
-    rows = [(k, float(kmeans(data, features, k, seed).summary.trainingCost)) for k in ks]
+    rows = [(k, float(kmeans(data, features, k, seed).summary.trainingCost)) for k in ks if k > 1]
+    if 1 in ks:  # one cluster: squared distances to the mean
+        n, spread = data.agg(F.count(F.lit(1)), Summarizer.variance(F.col(features))).first()
+        rows.append((1, float(spread.toArray().sum() * (n - 1))))
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
