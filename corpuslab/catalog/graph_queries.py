@@ -57,10 +57,13 @@ def pagerank_links(spark, sf):
     return graph.pagerank(edges, nodes, rescale=False).select("id", rounded(F.col("pagerank"), 9).alias("pagerank"))
 
 
-@query("graph_gr4_partitioned_edges")
+@query("graph_gr4_partitioned_edges", f"""WITH {SQL_TRADE}
+SELECT src, CAST(count(*) AS BIGINT) AS n_edges, CAST(1 AS BIGINT) AS n_parts FROM trade GROUP BY src""")
 def partitioned_edges(spark, sf):
+    """Each source's edges lie in one of 124 partitions."""
     placed = _trade(spark, sf).repartition(124, "src").withColumn("part", F.spark_partition_id())
-    return placed.groupBy("part").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("src").alias("n_sources"))
+    parts = placed.groupBy("src", "part").agg(F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("src").agg(F.sum("n").alias("n_edges"), F.count(F.lit(1)).alias("n_parts"))
 
 
 # Both directions between parts and suppliers; the weight is the least quantity traded.
@@ -101,7 +104,12 @@ def shortest_paths(spark, sf):
     return graph.shortest_paths(_roads(spark, sf), _start(spark))
 
 
-@query("graph_gr5_routes")
+@query("graph_gr5_routes", f"""WITH RECURSIVE {SQL_ROADS}, {_walks(WALK)},
+prev AS MATERIALIZED (SELECT d.id, min(p.id) AS pred FROM d{WALK} d JOIN roads ON dst = d.id JOIN d{WALK} p ON p.id = src
+  WHERE p.dist + weight = d.dist AND d.id <> 1 GROUP BY d.id),
+route AS (SELECT d.id AS target, 0 AS hop, d.id FROM d{WALK} d JOIN supplier ON s_suppkey * 2 + 1 = d.id
+  UNION ALL SELECT target, hop + 1, pred FROM route JOIN prev USING (id))
+SELECT target, CAST(hop AS INTEGER) AS hop, id FROM route""")
 def routes(spark, sf):
     paths = graph.shortest_paths(_roads(spark, sf), _start(spark))
     targets = table(spark, sf, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("id"))

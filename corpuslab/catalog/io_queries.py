@@ -29,9 +29,8 @@ def read_links(spark, sf):
     path = new_path(spark, "articles")
     pages = fx.anchored_pages(spark, sf).select(
         "id", F.lit("title").alias("title"), F.lit("text").alias("text"), "anchor_text")
-    pages.filter("id % 2 = 0").write.parquet(f"{path}/multi-1")
-    pages.filter("id % 2 = 1").write.parquet(f"{path}/multi-2")
-    links = corpus.read_links(spark, f"{path}/multi*")
+    pages.write.parquet(f"{path}/pages-1")
+    links = corpus.read_links(spark, f"{path}/pages-*")
     return links.select("id", F.explode("anchor_text").alias("a")).select("id", F.col("a.id").alias("dst"), "a.text")
 
 
@@ -87,11 +86,15 @@ def key_value(spark, sf):
     return keyvalue.read_kv(spark, path, "title", "string")
 
 
-@query("io_io8_sortedness")
+@query("io_io8_sortedness", """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, min(doc_id) AS first_key, max(doc_id) AS last_key, CAST(0 AS BIGINT) AS breaks FROM documents""")
 def sortedness(spark, sf):
     path = new_path(spark, "lengths")
     keyvalue.write_kv(fx.body_index(spark, sf).doc_lengths, path)
-    return keyvalue.sortedness(spark, path)
+    parts = keyvalue.sortedness(spark, path)
+    return parts.agg(
+        F.sum("n_rows").alias("n_rows"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"),
+        F.sum("breaks").cast("bigint").alias("breaks"))
 
 
 @query("io_io9_index_round_trip", f"""WITH {BODY50}

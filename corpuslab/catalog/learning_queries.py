@@ -16,8 +16,8 @@ from corpuslab.functions.scalar import parse_time, rounded
 from corpuslab.operators import explain, features as fe, models, quality
 from corpuslab.operators.topics import Nmf
 
-# Training rows have even order keys, the other rows are test rows.
-TRAIN = "o_orderkey % 2 = 0"
+# Older orders are training rows, the rest are test rows.
+TRAIN = "day < '1997-01-01'"
 
 
 # ---- features -----------------------------------------------------------------------
@@ -35,18 +35,20 @@ def constant(spark, sf):
     return fe.ConstantFill(["priority"]).transform(gaps(spark, sf)).select("o_orderkey", "priority")
 
 
-SQL_BIOS = """bios AS (SELECT o_orderkey, lower(o_orderpriority) AS bio, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS region FROM orders)"""
+SQL_BIOS = """bios AS (SELECT o_orderkey, lower(o_orderpriority) AS bio, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS region,
+  o_orderdate AS day FROM orders)"""
 
 
 @query("features_fe3_suffix", SQL_BIOS.join(["WITH ", r""",
 s AS (SELECT *, coalesce(lower(list_last(regexp_extract_all(bio, '[\p{L}\p{N}]+'))), '') AS suffix FROM bios),
-c AS (SELECT suffix, region, count(*) AS n FROM s WHERE region IS NOT NULL AND suffix <> '' AND o_orderkey % 2 = 0 GROUP BY ALL),
+c AS (SELECT suffix, region, count(*) AS n FROM s WHERE region IS NOT NULL AND suffix <> '' AND day < '1997-01-01' GROUP BY ALL),
 best AS (SELECT suffix, region AS guess FROM (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY n DESC, region) AS rn FROM c)
   WHERE rn = 1 AND n > 50)
 SELECT o_orderkey, coalesce(region, guess, 'unknown_region') AS region FROM s LEFT JOIN best USING (suffix)"""]))
 def suffix(spark, sf):
     bios = table(spark, sf, "orders").select(
-        "o_orderkey", F.lower("o_orderpriority").alias("bio"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("region"))
+        "o_orderkey", F.lower("o_orderpriority").alias("bio"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("region"),
+        F.col("o_orderdate").alias("day"))
     model = fe.SuffixInference("bio", "region", ["o_orderkey"]).fit(bios.filter(TRAIN))
     return model.transform(bios).select("o_orderkey", "region")
 
@@ -64,7 +66,7 @@ def suffix_documents(spark, sf):
 
 
 @query("features_fe4_low_tail", f"""WITH {SQL_GAPS}, m AS (SELECT quantile_cont(price, 0.5) AS med FROM gaps WHERE {TRAIN}),
-f AS (SELECT o_orderkey, coalesce(price, med) AS price FROM gaps, m),
+f AS (SELECT o_orderkey, day, coalesce(price, med) AS price FROM gaps, m),
 t AS (SELECT quantile_cont(price, 0.02) AS x FROM f WHERE {TRAIN})
 SELECT o_orderkey, CAST(price <= x AS INTEGER) AS low FROM f, t""")
 def low_tail(spark, sf):
@@ -85,11 +87,11 @@ def cyclic(spark, sf):
 
 
 @query("features_fe6_activity", """
-WITH c AS (SELECT user_id, count(*) AS uploads FROM events WHERE event_id % 2 = 0 AND user_id % 6 <> 0 GROUP BY user_id)
+WITH c AS (SELECT user_id, count(*) AS uploads FROM events WHERE ts < '2024-01-01 06:00:00' GROUP BY user_id)
 SELECT event_id, CAST(coalesce(uploads, 1) AS BIGINT) AS uploads FROM events LEFT JOIN c USING (user_id)""")
 def activity(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "user_id")
-    model = fe.ActivityCount("user_id", "uploads", ["event_id"]).fit(events.filter("event_id % 2 = 0 AND user_id % 6 <> 0"))
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    model = fe.ActivityCount("user_id", "uploads", ["event_id"]).fit(events.filter("ts < '2024-01-01 06:00:00'"))
     return model.transform(events).select("event_id", "uploads")
 
 
@@ -265,14 +267,16 @@ def _boost(rounds=4):
 @query("models_ml6_boosting")
 def boosting(spark, sf):
     rows = table(spark, sf, "embeddings")
-    found = _boost().fit(rows.filter("vec_id % 5 <> 0")).transform(rows)
+    train = fe.exact_split(rows, "vec_id", 0.8).filter("is_train").drop("is_train")
+    found = _boost().fit(train).transform(rows)
     return found.select("vec_id", "label", "prediction", "confidence")
 
 
 @query("models_ml7_pseudo_labels")
 def pseudo_labels(spark, sf):
     rows = table(spark, sf, "embeddings")
-    labelled, rest = rows.filter("vec_id % 2 = 0"), rows.filter("vec_id % 2 = 1")
+    halves = fe.exact_split(rows, "vec_id", 0.5)
+    labelled, rest = halves.filter("is_train"), halves.filter("NOT is_train")
     first, second, added = models.pseudo_label(_boost(2), labelled, rest, "vec_id", 100)
     return added.select("vec_id", "prediction", "confidence")
 
@@ -305,6 +309,24 @@ def elimination(spark, sf):
     return spark.createDataFrame([(f,) for f in models.rfe(rows, names, "l_extendedprice", 5)], "feature string")
 
 
+@query("models_ml9_lasso_single", """
+WITH c AS (SELECT covar_pop(l_quantity, l_extendedprice) / stddev_pop(l_quantity) AS c FROM lineitem)
+SELECT 'l_quantity' AS feature, round(sign(c) * greatest(abs(c) - 100, 0), 4) + 0 AS coefficient FROM c WHERE abs(c) > 100""")
+def lasso_single(spark, sf):
+    """One standardised feature has a closed form: the covariance, shrunk by the penalty."""
+    kept = models.lasso_select(table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice", alpha=100.0)
+    return spark.createDataFrame(kept, "feature string, coefficient double").withColumn("coefficient", rounded(F.col("coefficient"), 4))
+
+
+@query("models_ml10_elimination_pair", """
+WITH c AS (SELECT var_pop(l_quantity) AS qq, var_pop(l_discount) AS dd, covar_pop(l_quantity, l_discount) AS qd,
+  covar_pop(l_quantity, l_extendedprice) AS qy, covar_pop(l_discount, l_extendedprice) AS dy FROM lineitem)
+SELECT CASE WHEN abs((dd * qy - qd * dy) * sqrt(qq)) >= abs((qq * dy - qd * qy) * sqrt(dd)) THEN 'l_quantity' ELSE 'l_discount' END AS feature FROM c""")
+def elimination_pair(spark, sf):
+    kept = models.rfe(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", 1)
+    return spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
 @query("sets_st5_feature_union")
 def feature_union(spark, sf):
     rows, names = _wide_lines(spark, sf)
@@ -327,6 +349,13 @@ def elbow(spark, sf):
     return models.elbow(_vectors(spark, sf), "v", [2, 5, 10])
 
 
+@query("models_ml12_inertia_of_one", """
+WITH x AS (SELECT i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) r(i)),
+s AS (SELECT var_pop(v) * count(*) AS ss FROM x GROUP BY i) SELECT CAST(1 AS INTEGER) AS k, round(sum(ss), 4) + 0 AS inertia FROM s""")
+def inertia_of_one(spark, sf):
+    return models.elbow(_vectors(spark, sf), "v", [1]).withColumn("inertia", rounded(F.col("inertia"), 4))
+
+
 @query("models_ml13_pca")
 def pca(spark, sf):
     rows, shares = models.pca(_vectors(spark, sf), "v", 2)
@@ -433,6 +462,16 @@ def tree(spark, sf):
     return _tree_explained(spark, sf)
 
 
+@query("explain_xp2_tree_adds_up", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, round((SELECT avg(l_extendedprice) FROM lineitem), 2) + 0 AS base, 0.0::DOUBLE AS gap FROM lineitem""")
+def tree_adds_up(spark, sf):
+    """Base (the mean label) plus all parts is the prediction of every row."""
+    parts = sum((F.col(f"phi_{c}") for c in LINE_FEATURES), F.col("base"))
+    return _tree_explained(spark, sf).select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", rounded(F.col("base"), 2).alias("base"),
+        rounded(parts - F.col("prediction"), 4).alias("gap"))
+
+
 @query("explain_xp3_importance", f"""WITH {SQL_TWO}
 SELECT 'l_quantity' AS feature, round(avg(abs(phi_q)), 3) + 0 AS importance FROM phi UNION ALL SELECT 'l_discount', round(avg(abs(phi_d)), 3) + 0 FROM phi""")
 def importance(spark, sf):

@@ -17,13 +17,14 @@ from corpuslab.plans.skew import attach_stats
 
 # NULLs at fixed places stand for missing measurements.
 SQL_GAPS = """gaps AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price,
-  CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS priority, o_orderstatus AS status FROM orders)"""
+  CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS priority, o_orderstatus AS status, o_orderdate AS day FROM orders)"""
 
 
 def gaps(spark, sf):
     return table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price"),
-        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("priority"), F.col("o_orderstatus").alias("status"))
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("priority"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderdate").alias("day"))
 
 
 # ---- projection and filters ---------------------------------------------------------
@@ -96,12 +97,12 @@ def postings_df(spark, sf):
     return fx.body_index(spark, sf, 50).kept_postings().select("term", "doc_id", "df")
 
 
-@query("join_jn3_length_default", f"""WITH {BODY0}
+@query("join_jn3_length_default", f"""WITH {TITLE0}
 SELECT r.doc_id, CAST(coalesce(nullif(dl, 0), CAST(floor(avgdl) AS INTEGER)) AS INTEGER) AS dl
-FROM documents r LEFT JOIN (SELECT * FROM body_dl WHERE id % 9 <> 0) d ON d.id = r.doc_id, body_stat""")
+FROM documents r LEFT JOIN title_dl d ON d.id = r.doc_id, title_stat""")
 def length_default(spark, sf):
-    index = fx.body_index(spark, sf)
-    known = index.doc_lengths.filter("id % 9 <> 0").withColumnRenamed("id", "doc_id")
+    index = fx.title_index(spark, sf)  # not every document has a title
+    known = index.doc_lengths.withColumnRenamed("id", "doc_id")
     docs = table(spark, sf, "documents").select("doc_id")
     return docs.join(known, "doc_id", "left").select(
         "doc_id", F.coalesce(F.nullif(F.col("dl"), F.lit(0)), F.lit(int(index.avgdl))).alias("dl"))
@@ -123,11 +124,10 @@ def titles(spark, sf):
 
 
 @query("join_jn6_positional_lookup", f"""WITH {SQL_LINK_LISTS},
-titles AS (SELECT c_custkey AS id, c_name AS title FROM customer WHERE c_custkey % 3 <> 0)
+titles AS (SELECT s_suppkey AS id, s_name AS title FROM supplier)
 SELECT src, pos, dst AS id, coalesce(title, 'no title') AS title FROM link_lists LEFT JOIN titles ON id = dst""")
 def positional_lookup(spark, sf):
-    names = table(spark, sf, "customer").filter("c_custkey % 3 <> 0").select(
-        F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
     return rt.lookup(id_lists(spark, sf), names, "title", "no title")
 
 
@@ -139,14 +139,14 @@ def self_count(spark, sf):
 
 
 @query("join_jn8_train_counts", """
-WITH train AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-03' AND user_id % 4 <> 0),
+WITH train AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-01 06:00:00'),
 c AS (SELECT user_id, count(*) AS uploads FROM train GROUP BY user_id)
 SELECT event_id, user_id, CAST(coalesce(uploads, 1) AS BIGINT) AS uploads
-FROM events LEFT JOIN c USING (user_id) WHERE NOT ts < TIMESTAMP '2024-01-03'""")
+FROM events LEFT JOIN c USING (user_id) WHERE NOT ts < TIMESTAMP '2024-01-01 06:00:00'""")
 def train_counts(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "ts")
-    early = F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-03 00:00:00'")
-    learned = events.filter(early & (F.col("user_id") % 4 != 0)).groupBy("user_id").agg(F.count(F.lit(1)).alias("uploads"))
+    early = F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-01 06:00:00'")
+    learned = events.filter(early).groupBy("user_id").agg(F.count(F.lit(1)).alias("uploads"))
     return rel.apply_counts(events.filter(~early), learned, "user_id", "uploads", ["event_id"]).select("event_id", "user_id", "uploads")
 
 

@@ -71,8 +71,9 @@ def anchor_index(spark, sf):
 @query("index_ix7_add_documents", f"WITH {BODY0} SELECT term, df, term_total FROM body_terms")
 def add_documents(spark, sf):
     docs = table(spark, sf, "documents")
-    old = ix.build_index(docs.filter("doc_id % 4 <> 0"), "doc_id", "text", 0)
-    return ix.add_documents(old, docs.filter("doc_id % 4 = 0"), "doc_id", "text").terms
+    labels = table(spark, sf, "labels").select("doc_id")
+    old = ix.build_index(docs.join(labels, "doc_id", "left_semi"), "doc_id", "text", 0)
+    return ix.add_documents(old, docs.join(labels, "doc_id", "left_anti"), "doc_id", "text").terms
 
 
 @query("index_ix8_popularity", f"WITH {SQL_VIEWS} SELECT id, views FROM views")
@@ -236,10 +237,9 @@ SELECT src, pos, dst AS id, {shown} FROM link_lists LEFT JOIN {source} s ON s.id
 
 
 @query("retrieve_rt10_pagerank_lookup", _lookup_sql(
-    "round(coalesce(pagerank, 0.0), 6) + 0 AS pagerank", "(SELECT * FROM pagerank WHERE id % 4 <> 0)", _pagerank_sql()))
+    "round(coalesce(pagerank, 0.0), 6) + 0 AS pagerank", "pagerank", _pagerank_sql()))
 def pagerank_lookup(spark, sf):
-    ranks = fx.link_ranks(spark, sf).filter("id % 4 <> 0")
-    return rt.lookup(id_lists(spark, sf), ranks, "pagerank", 0.0).withColumn("pagerank", rounded(F.col("pagerank")))
+    return rt.lookup(id_lists(spark, sf), fx.link_ranks(spark, sf), "pagerank", 0.0).withColumn("pagerank", rounded(F.col("pagerank")))
 
 
 @query("retrieve_rt11_views_lookup", _lookup_sql("coalesce(views, 0) AS views", "views", SQL_VIEWS))

@@ -66,7 +66,7 @@ def silhouette(df: DataFrame, key: str, features: str, cluster: str, block_rows:
         .groupBy("id", "c", "other_c").agg(F.sum("total").alias("total"))
     )
     own = F.col("c") == F.col("other_c")
-    means = sums.join(F.broadcast(sizes.withColumnRenamed("c", "other_c")), "other_c").groupBy("id", "c").agg(
+    means = sums.join(sizes.withColumnRenamed("c", "other_c"), "other_c").groupBy("id", "c").agg(
         F.max(F.when(own, F.try_divide(F.col("total"), F.col("size") - 1))).alias("a"),
         F.max(F.when(own, F.col("size"))).alias("own_size"),
         F.min(F.when(~own, F.col("total") / F.col("size"))).alias("b"),

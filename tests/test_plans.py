@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.catalog import QUERIES
 from corpuslab.plans import ranking, storage
 from corpuslab.plans.quantiles import exact_quantiles
 from corpuslab.plans.skew import attach_stats, heaviest, join_small_or_salted, salted_join
@@ -75,13 +74,3 @@ def test_written_table_has_no_lineage(spark):
     df = storage.written(spark.range(5).withColumn("x", F.col("id") * 2), "t")
     assert rows(df) == [(i, 2 * i) for i in range(5)]
     assert storage.shared_folder(spark) in df.inputFiles()[0]
-
-
-PLAIN = [n for n in QUERIES if n.split("_")[0] in ("text", "functions", "filter", "join", "aggregate", "topk", "sets", "index", "retrieve", "ireval")]
-
-
-@pytest.mark.parametrize("name", PLAIN)
-def test_plans_stay_in_the_jvm(spark, sf, name):
-    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert node not in plan
