@@ -28,28 +28,35 @@ def vertices(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     return starts.union(edges.select(F.col("dst"))).distinct()
 
 
-def _by_source(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _by_source(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Edges partitioned by source for repeated joins, and the salts of the heaviest sources.
 
     A source with very many edges is spread over ``SALTS`` partitions. Returns
-    (edges with salt and out-degree, (src, salt) rows for the heavy sources).
+    (edges with salt and out-degree, (src, salt) rows for the heavy sources, or
+    None when there is no heavy source).
     """
     degree = written(edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     heavy = written(heaviest(degree, ["src"], "degree"), "heavy-sources")
-    salts = heavy.withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(SALTS - 1))))
-    marked = F.broadcast(heavy.withColumn("heavy", F.lit(True)))
-    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    spread = edges.join(marked, "src", "left").withColumn("salt", salt).drop("heavy")
+    if heavy.isEmpty():
+        salts, salted = None, edges.withColumn("salt", F.lit(0))
+    else:
+        salts = heavy.withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(SALTS - 1))))
+        marked = F.broadcast(heavy.withColumn("heavy", F.lit(True)))
+        salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        salted = edges.join(marked, "src", "left").withColumn("salt", salt).drop("heavy")
     # sorted once here, so that no round sorts the edges again
-    spread = spread.repartition("src", "salt").sortWithinPartitions("src", "salt")
+    spread = salted.repartition("src", "salt").sortWithinPartitions("src", "salt")
     placed = spread.join(_to_sources(degree, salts), ["src", "salt"])
     return placed.persist(StorageLevel.MEMORY_AND_DISK), salts
 
 
-def _to_sources(values: DataFrame, salts: DataFrame) -> DataFrame:
+def _to_sources(values: DataFrame, salts: DataFrame | None) -> DataFrame:
     """Rows (src, ...) with salt 0, and once more per further salt of a heavy source."""
-    copies = values.join(F.broadcast(salts), "src")
-    return values.withColumn("salt", F.lit(0)).unionByName(copies)
+    first = values.withColumn("salt", F.lit(0))
+    if salts is None:
+        return first
+    # at most HOT_KEYS * SALTS rows
+    return first.unionByName(values.join(F.broadcast(salts), "src"))
 
 
 def pagerank(

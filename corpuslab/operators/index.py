@@ -32,8 +32,14 @@ class Index:
 
     def kept_postings(self) -> DataFrame:
         """Postings of terms that passed the frequency threshold, with their df."""
+        return self.join_terms(self.terms.select("term", "df"))
+
+    def join_terms(self, table: DataFrame) -> DataFrame:
+        """Postings joined with a table by term; terms with very many postings are spread over tasks."""
         hot = heaviest(self.terms, ["term"], "df")
-        return salted_join(self.postings, self.terms.select("term", "df"), ["term"], hot, ["doc_id"])
+        if hot.isEmpty():
+            return self.postings.join(table, "term")
+        return salted_join(self.postings, table, ["term"], hot, ["doc_id"])
 
 
 def doc_terms(

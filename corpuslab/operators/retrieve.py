@@ -55,8 +55,7 @@ def matches(query: QueryTerms, index: Index) -> DataFrame:
     if query.small:
         # terms are unique in the index, so this is no larger than the measured table
         return index.postings.join(F.broadcast(known), "term")
-    hot = heaviest(index.terms, ["term"], "df")
-    return salted_join(index.postings, known, ["term"], hot, ["doc_id"])
+    return index.join_terms(known)
 
 
 def _score(value: Column) -> Column:
