@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslab.catalog import fixtures as fx
-from corpuslab.catalog.fixtures import SQL_LINKS, sql_postings
+from corpuslab.catalog.fixtures import SQL_LINKS, SQL_QUERY_TERMS, sql_postings
 from corpuslab.catalog.registry import query, table
 from corpuslab.functions import text
 from corpuslab.functions.scalar import rounded
+from corpuslab.operators import retrieve as rt
 from corpuslab.plans.storage import new_path
 from corpuslab.sources import corpus, gridfiles, index_store, keyvalue
 
@@ -102,7 +103,7 @@ SELECT p.term, p.doc_id, p.tf, d.dl FROM body_post p JOIN body_terms USING (term
 def index_round_trip(spark, sf):
     path = new_path(spark, "index")
     index_store.write_index(fx.body_index(spark, sf, 50), path)
-    return index_store.read_index(spark, path).postings
+    return index_store.read_index(spark, path).postings.drop("bucket")
 
 
 def _stored(spark, sf):
@@ -117,7 +118,15 @@ def _stored(spark, sf):
 SELECT p.term, p.doc_id, p.tf, d.dl FROM body_post p JOIN body_terms USING (term) JOIN body_dl d USING (row_no)
 WHERE p.term IN ('tion', 'ention', 'eau')""")
 def index_terms(spark, sf):
-    return index_store.read_postings(spark, _stored(spark, sf), ["tion", "ention", "eau"])
+    return index_store.read_postings(spark, _stored(spark, sf), ["tion", "ention", "eau"]).drop("bucket")
+
+
+@query("io_io10_search_index_files", f"""WITH {BODY50}, {SQL_QUERY_TERMS}
+SELECT query_id, doc_id, term, p.tf FROM qterms JOIN body_terms USING (term) JOIN body_post p USING (term)""")
+def search_index_files(spark, sf):
+    """Postings of all query terms from index files; folders without a query term are skipped."""
+    index = index_store.read_index(spark, _stored(spark, sf))
+    return rt.matches(rt.query_terms(fx.queries(spark, sf)), index).select("query_id", "doc_id", "term", "tf")
 
 
 @query("io_io11_index_stats", f"WITH {BODY50} SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl FROM body_stat")

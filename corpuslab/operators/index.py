@@ -20,7 +20,8 @@ class Index:
     """Frames of one index.
 
     postings: term, doc_id, tf, dl (document length kept beside each posting so
-    that BM25 needs no join). terms: term, df, term_total, for kept terms only.
+    that BM25 needs no join), and bucket when read from index files, where it
+    names the folder. terms: term, df, term_total, for kept terms only.
     doc_lengths: id, dl, including documents without tokens.
     """
 
@@ -32,11 +33,8 @@ class Index:
 
     def kept_postings(self) -> DataFrame:
         """Postings of terms that passed the frequency threshold, with their df."""
-        return self.join_terms(self.terms.select("term", "df"))
-
-    def join_terms(self, table: DataFrame) -> DataFrame:
-        """Postings joined with a table by term; terms with very many postings are spread over tasks."""
         hot = heaviest(self.terms, ["term"], "df")
+        table = self.terms.select("term", "df")
         if hot.isEmpty():
             return self.postings.join(table, "term")
         return salted_join(self.postings, table, ["term"], hot, ["doc_id"])

@@ -50,12 +50,23 @@ def known_terms(query: QueryTerms, index: Index) -> DataFrame:
 
 
 def matches(query: QueryTerms, index: Index) -> DataFrame:
-    """Postings of all query terms: query_id, term, qtf, df, doc_id, tf, dl."""
+    """Postings of all query terms: query_id, term, qtf, df, doc_id, tf, dl.
+
+    Index files lie in one folder per term bucket; folders that no term of a
+    small query table falls into are not read.
+    """
     known = known_terms(query, index)
+    postings = index.postings
+    if query.small and "bucket" in postings.columns:
+        used = known.select(text.bucket_of(F.col("term")).alias("b")).distinct().collect()  # at most one row per folder
+        postings = postings.filter(F.col("bucket").isin([r["b"] for r in used]))
+    postings = postings.select("term", "doc_id", "tf", "dl")
     if query.small:
         # terms are unique in the index, so this is no larger than the measured table
-        return index.postings.join(F.broadcast(known), "term")
-    return index.join_terms(known)
+        return postings.join(F.broadcast(known), "term")
+    # a term weighs as much as the rows it gives: its postings times its queries
+    pairs = known.groupBy("term").agg((F.count(F.lit(1)) * F.max("df")).alias("n"))
+    return salted_join(postings, known, ["term"], heaviest(pairs, ["term"], "n"), ["doc_id"])
 
 
 def _score(value: Column) -> Column:

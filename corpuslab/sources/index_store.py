@@ -46,7 +46,7 @@ def read_postings(spark: SparkSession, path: str, terms: list[str] | None = None
     if terms is not None:
         wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"), buckets))
         df = df.filter(F.col("bucket").isin([r[0] for r in wanted.collect()]) & F.col("term").isin(terms))
-    return df.select("term", "doc_id", "tf", "dl")
+    return df.select("term", "doc_id", "tf", "dl", "bucket")
 
 
 def read_index(spark: SparkSession, path: str, terms: list[str] | None = None) -> Index:
