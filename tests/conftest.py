@@ -13,7 +13,17 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("corpuslab-tests", memory="8g")
+    session = local_session("corpuslab-tests", memory="8g")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    return session
+
+
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(request, spark):
+    """Tables of a few rows: compiling plans would take most of the time. The oracle tests compile."""
+    tiny = "test_oracle" not in request.module.__name__
+    spark.conf.set("spark.sql.codegen.wholeStage", str(not tiny).lower())
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN" if tiny else "FALLBACK")
 
 
 @pytest.fixture(scope="session")
