@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslab.plans.skew import join_small_or_salted
+from corpuslab.plans.skew import heaviest, join_small_or_salted, salted_join
 
 KEY = ["sheet_id", "row_idx", "col_idx"]
 
@@ -31,7 +31,9 @@ def get(cells: DataFrame, sheets: DataFrame, requests: DataFrame, strict: bool =
     """
     rows = _bounded(requests, sheets)
     others = [c for c in requests.columns if c not in KEY] or KEY
-    found = join_small_or_salted(rows, cells.select(*KEY, "value"), KEY, others, "left")
+    # cells are the large side; a cell that very many requests ask for is spread over tasks
+    asked = requests.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n"))
+    found = salted_join(rows, cells.select(*KEY, "value"), KEY, heaviest(asked, KEY, "__n"), others, "left")
     value = F.when(F.col("in_bounds"), F.coalesce("value", F.lit("")))
     if strict:
         value = value.otherwise(F.raise_error(F.lit("cell is out of bounds")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # At most this many keys can each hold 1/1024 of the rows, so a list of the
 # heaviest keys needs no more entries and is always safe to broadcast.
@@ -15,13 +17,18 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure rows and bytes of ``df``; reading stops just past ``max_rows``."""
+    """Measure rows and bytes of ``df`` by one aggregation.
+
+    A limit would send that many rows of every partition to one task; counts are
+    combined where the rows are.
+    """
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
-    size = (
-        df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("b"))
-        .first()
-    )
+    widths = [
+        F.lit(8) if isinstance(f.dataType, T.NumericType)
+        else F.coalesce(F.length(F.col(f.name) if isinstance(f.dataType, T.StringType) else F.to_json(F.struct(f.name))), F.lit(0)) + 16
+        for f in df.schema.fields
+    ]
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(reduce(lambda a, b: a + b, widths)).alias("b")).first()
     return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 
