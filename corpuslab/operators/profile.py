@@ -108,7 +108,7 @@ def pair_deviation(df: DataFrame, pairs: list[tuple[str, str]], y: str, top: int
     """(left_name, right_name, left_value, right_value, mean, n, delta): combinations farthest from the mean.
 
     All pairs are grouped in one pass. Values are shown as text. The mean of all
-    rows is the reference; rows with a missing value are left out of a pair.
+    rows is what they are compared with; rows with a missing value are left out of a pair.
     """
     overall = df.agg(F.avg(y)).scalar()
     both = [
