@@ -26,6 +26,8 @@ BLOCK_BITS = 16
 DISTANCE = 2
 # Keys with more fingerprints than this take the linear way.
 PAIRED = 32
+# A fingerprint is frequent when it holds at least 1/HOT of all rows.
+HOT = 256
 # The stage: seeds of the word fingerprints, and the most bits that differ at a similarity of 0.8.
 STAGE_SEEDS = tuple(range(SEED, SEED + 8))
 STAGE_SHINGLE = 5
@@ -109,13 +111,19 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: i
     """
     given = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text"))
     rows = written(fingerprints(given, "text", size, ["id"]), "fingerprints")
-    prints = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    prints = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
     links = close_pairs(prints.select(F.lit(0).alias("tag"), "fp")).select("a", "b")
     member = components(links).withColumnRenamed("node", "fp")
     member = member.join(prints, "fp")
     joined = member.join(member.groupBy("root").agg(F.min("least").alias("linked")), "root").select("fp", "linked")
-    ids = prints.join(joined, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
-    return rows.join(ids, "fp").select("id", "fp", "component_id")
+    ids = written(prints.join(joined, "fp", "left").select("fp", "n", F.coalesce("linked", "least").alias("component_id")), "classes")
+    # fingerprints with at least 1/HOT of the rows, at most HOT of them, are looked up where the rows are
+    cut = rows.count() / HOT
+    frequent = F.broadcast(ids.filter(F.col("n") >= cut).drop("n"))
+    marked = rows.join(frequent.withColumn("frequent", F.lit(True)), "fp", "left")
+    rest = marked.filter("frequent IS NULL").select("id", "fp").join(ids.filter(F.col("n") < cut), "fp")
+    out = ["id", "fp", "component_id"]
+    return marked.filter("frequent").select(*out).union(rest.select(*out))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
