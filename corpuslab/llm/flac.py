@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from corpuslab.llm.common import map_text, quoted
 
 BLOCK = 1024
+# frames that are worked on at once; bounds memory for texts of any length
+TOGETHER = 1536
 RATE = 8000
 PAD = 64
 # bits of a coefficient, and the shift of a prediction, as the writer chooses them
@@ -102,22 +104,14 @@ def pack(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
     return words.astype(">u8").view(np.uint8)[: int(ends[-1] + 7) >> 3]
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """One FLAC stream for each payload of unsigned 8-bit samples."""
-    if not payloads:
-        return []
-    counts = np.array([-(-len(p) // BLOCK) for p in payloads])
-    lengths = np.concatenate([np.minimum(BLOCK, len(p) - BLOCK * np.arange(n)) for p, n in zip(payloads, counts)]).astype(np.int64)
-    frames = len(lengths)
+def encode_frames(blocks: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of frames one after another, and their sizes, from (frame number, unsigned samples)."""
+    frames = len(blocks)
+    lengths = np.array([len(b) for _, b in blocks], np.int64)
     samples = np.zeros((frames, BLOCK), np.int64)
-    row = 0
-    for p, n in zip(payloads, counts):
-        flat = np.frombuffer(p, np.uint8)
-        whole = len(p) // BLOCK
-        samples[row : row + whole] = flat[: whole * BLOCK].reshape(whole, BLOCK).astype(np.int64) - 128
-        if whole < n:
-            samples[row + whole, : len(p) - whole * BLOCK] = flat[whole * BLOCK :].astype(np.int64) - 128
-        row += n
+    for f, (_, block) in enumerate(blocks):
+        samples[f, : len(block)] = np.frombuffer(block, np.uint8)
+        samples[f, : len(block)] -= 128
     column = np.arange(BLOCK)
     present = column < lengths[:, None]
     # candidates: fixed order 0 to 2, and a linear predictor from the autocorrelation
@@ -158,14 +152,13 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     code_bits = (values >> k) + 1 + k
     # fields of a frame: header bytes, type, warm-up, predictor, partitions with their codes, padding, CRC-16
     heads: dict[tuple[int, int], bytes] = {}
-    numbers = np.concatenate([np.arange(n) for n in counts])
     fields_v: list[np.ndarray] = []
     fields_w: list[np.ndarray] = []
     cell_bits = np.bincount(cell, code_bits, frames * parts).astype(np.int64).reshape(frames, parts)
     cell_end = np.cumsum(n_cell).reshape(frames, parts)
     sizes = np.zeros(frames, np.int64)
     for f in range(frames):
-        key = int(numbers[f]), int(lengths[f])
+        key = blocks[f][0], int(lengths[f])
         head = heads.get(key)
         if head is None:
             head = heads[key] = frame_header(*key)
@@ -196,22 +189,38 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     starts = ends - sizes
     crc = crc16(body, starts, sizes - 2)
     body[ends - 2], body[ends - 1] = crc >> 8, crc & 0xFF
+    return body, sizes
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """One FLAC stream for each payload of unsigned 8-bit samples."""
+    blocks = [(i, p[i * BLOCK : (i + 1) * BLOCK]) for p in payloads for i in range(-(-len(p) // BLOCK))]
+    bodies, sizes = [], [np.empty(0, np.int64)]
+    for first in range(0, len(blocks), TOGETHER):
+        body, each = encode_frames(blocks[first : first + TOGETHER])
+        bodies.append(body.tobytes())
+        sizes.append(each)
+    body = b"".join(bodies)
+    size = np.concatenate(sizes)
+    end = np.cumsum(size)
     out = []
     first = 0
-    for p, n in zip(payloads, counts):
-        at = slice(first, first + n)
+    for p in payloads:
+        n = -(-len(p) // BLOCK)
+        own = slice(first, first + n)
+        start = int(end[first] - size[first]) if n else 0
         info = (
-            min(BLOCK, max(16, int(lengths[at].max()))).to_bytes(2, "big") * 2 + int(sizes[at].min()).to_bytes(3, "big")
-            + int(sizes[at].max()).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | len(p)).to_bytes(8, "big")
+            min(BLOCK, max(16, len(p))).to_bytes(2, "big") * 2 + int(size[own].min(initial=0)).to_bytes(3, "big")
+            + int(size[own].max(initial=0)).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | len(p)).to_bytes(8, "big")
             + hashlib.md5(p.translate(FLIP)).digest()
         )
         points = np.zeros(n, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
         points["sample"] = np.arange(n) * BLOCK
-        points["offset"] = starts[at] - starts[first]
-        points["size"] = lengths[at]
+        points["offset"] = end[own] - size[own] - start
+        points["size"] = np.minimum(BLOCK, len(p) - BLOCK * np.arange(n))
         seek = points.tobytes()
         out.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(seek).to_bytes(3, "big") + seek
-                   + body[starts[first] : ends[first + n - 1]].tobytes())
+                   + (body[start : int(end[first + n - 1])] if n else b""))
         first += n
     return out
 
@@ -280,16 +289,16 @@ def signed(v: int, n: int) -> int:
     return v - (1 << n) if v >> (n - 1) else v
 
 
-def decode_frames(data: bytes, starts: list[int], seen: dict) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Samples, header numbers and ends of the frames that begin at ``starts``."""
+def decode_frames(data: bytes, starts: list[int], seen: dict) -> tuple[list[np.ndarray], np.ndarray]:
+    """Samples and ends of the frames that begin at ``starts``."""
     buffer = np.frombuffer(data + bytes(16), np.uint8)
     window = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,))
     n_frames = len(starts)
     out: list[np.ndarray | None] = [None] * n_frames
-    numbers, ends = np.zeros(n_frames, np.int64), np.zeros(n_frames, np.int64)
+    ends = np.zeros(n_frames, np.int64)
     rice: list[tuple] = []
     for f, at in enumerate(starts):
-        numbers[f], n, size = parse_header(data, at, seen)
+        _, n, size = parse_header(data, at, seen)
         at += size
         kind = data[at] >> 1
         if data[at] & 1 or data[at] >> 7:
@@ -323,7 +332,7 @@ def decode_frames(data: bytes, starts: list[int], seen: dict) -> tuple[list[np.n
     stored = buffer[ends].astype(np.int64) << 8 | buffer[ends + 1]
     if (crc16(buffer, np.array(starts), wide) != stored).any():
         raise ValueError("a frame fails its checksum")
-    return out, numbers, ends + 2
+    return out, ends + 2
 
 
 def decode_rice(window: np.ndarray, frames: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -429,13 +438,15 @@ def decode(media: list[bytes]) -> list[tuple[bytes, list[tuple[int, int, int]]]]
     for s, stream in enumerate(streams):
         offsets = stream.seek[:, 1].tolist() if len(stream.seek) and stream.seek[0].tolist() == [0, 0] else [0]
         todo.append([int(bases[s]) + stream.start + o for o in offsets] if stream.total else [])
-    found: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in media]
+    found: list[list[tuple[int, int, bytes]]] = [[] for _ in media]
     while any(todo):
         owner = [s for s, starts in enumerate(todo) for _ in starts]
         starts = [a for each in todo for a in each]
-        blocks, _, ends = decode_frames(data, starts, seen)
-        for s, at, end, block in zip(owner, starts, ends.tolist(), blocks):
-            found[s].append((at, end, block))
+        for first in range(0, len(starts), TOGETHER):
+            part = slice(first, first + TOGETHER)
+            blocks, ends = decode_frames(data, starts[part], seen)
+            for s, at, end, block in zip(owner[part], starts[part], ends.tolist(), blocks):
+                found[s].append((at, end, (block + 128).astype(np.uint8).tobytes()))
         todo = [[] for _ in media]
         for s, frames in enumerate(found):
             known = {at for at, _, _ in frames}
@@ -450,7 +461,7 @@ def decode(media: list[bytes]) -> list[tuple[bytes, list[tuple[int, int, int]]]]
             table.append((offset, len(block), at - int(bases[s])))
             offset, place = offset + len(block), end
             parts.append(block)
-        payload = (np.concatenate(parts) + 128).astype(np.uint8).tobytes() if parts else b""
+        payload = b"".join(parts)
         if offset != stream.total or place != bases[s + 1] or hashlib.md5(payload.translate(FLIP)).digest() != stream.md5:
             raise ValueError("samples differ from what the stream states")
         out.append((payload, table))
