@@ -66,8 +66,11 @@ def map_text(
     """
     new = {f.name.lower() for f in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    given = free_name(df, "text_given_")
-    columns = [F.col(quoted(c)) for c in keep] + [F.col(quoted(text)).cast("string").alias(given)]
+    columns = [F.col(quoted(c)) for c in keep]
+    given = text
+    if text not in keep or not isinstance(df.schema[text].dataType, T.StringType):
+        given = free_name(df, "text_given_")
+        columns.append(F.col(quoted(text)).cast("string").alias(given))
     schema = T.StructType([df.schema[c] for c in keep] + fields)
     types = [to_arrow_type(f.dataType) for f in fields]
 
