@@ -129,6 +129,33 @@ def search_index_files(spark, sf):
     return rt.matches(rt.query_terms(fx.queries(spark, sf)), index).select("query_id", "doc_id", "term", "tf")
 
 
+def _stored_16(spark, sf):
+    def make():
+        path = new_path(spark, "index")
+        index_store.write_index(fx.body_index(spark, sf, 50), path, buckets=16)
+        return path
+    return fx.once(spark, sf, "stored-index-16", make)
+
+
+SQL_SEARCHED = f"""WITH {BODY50}, {SQL_QUERY_TERMS}
+SELECT query_id, doc_id, term, p.tf FROM qterms JOIN body_terms USING (term) JOIN body_post p USING (term)"""
+
+
+@query("io_io10_search_16_buckets", SQL_SEARCHED)
+def search_16_buckets(spark, sf):
+    """The same from an index of another bucket count, with a query table measured to be small."""
+    index = index_store.read_index(spark, _stored_16(spark, sf))
+    return rt.matches(rt.query_terms(fx.queries(spark, sf)), index).select("query_id", "doc_id", "term", "tf")
+
+
+@query("io_io10_search_16_buckets_large", SQL_SEARCHED)
+def search_16_buckets_large(spark, sf):
+    """The same with the joins that a large query table takes."""
+    index = index_store.read_index(spark, _stored_16(spark, sf))
+    query_terms = rt.QueryTerms(rt.query_terms(fx.queries(spark, sf)).terms, False)
+    return rt.matches(query_terms, index).select("query_id", "doc_id", "term", "tf")
+
+
 @query("io_io11_index_stats", f"WITH {BODY50} SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl FROM body_stat")
 def index_stats(spark, sf):
     stats = spark.read.parquet(_stored(spark, sf) + "/stats")

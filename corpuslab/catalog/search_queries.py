@@ -10,6 +10,8 @@ from corpuslab.catalog.registry import query, table
 from corpuslab.functions.scalar import rounded
 from corpuslab.operators import index as ix, ireval, retrieve as rt
 from corpuslab.plans.ranking import top_k
+from corpuslab.plans.storage import new_path
+from corpuslab.sources import index_store
 
 BODY0 = sql_postings("body", "documents", "doc_id", "text", 0)
 BODY50 = sql_postings("body", "documents", "doc_id", "text", 50)
@@ -76,6 +78,17 @@ def add_documents(spark, sf):
     return ix.add_documents(old, docs.join(labels, "doc_id", "left_anti"), "doc_id", "text").terms
 
 
+@query("index_ix7_add_to_stored", f"WITH {BODY0} SELECT term, df, term_total FROM body_terms")
+def add_to_stored(spark, sf):
+    """An index written with 16 buckets, read again and extended."""
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").select("doc_id")
+    path = new_path(spark, "index")
+    index_store.write_index(ix.build_index(docs.join(labels, "doc_id", "left_semi"), "doc_id", "text", 0), path, buckets=16)
+    grown = ix.add_documents(index_store.read_index(spark, path), docs.join(labels, "doc_id", "left_anti"), "doc_id", "text")
+    return ix.term_stats(grown.postings, 0)
+
+
 @query("index_ix8_popularity", f"WITH {SQL_VIEWS} SELECT id, views FROM views")
 def popularity(spark, sf):
     return fx.views(spark, sf)

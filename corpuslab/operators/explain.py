@@ -53,9 +53,10 @@ def global_importance(explained: DataFrame, features: list[str], top: int | None
 def local(explained: DataFrame, features: list[str], key: str, prediction: str) -> DataFrame:
     """(which, key, feature, x, phi, position) of the rows with the highest and lowest prediction.
 
-    Both rows are found by aggregation (ties: smallest key), then their parts are
-    ordered by absolute size.
+    Both rows are found by aggregation (ties: smallest key, NULL predictions left
+    out), then their parts are ordered by absolute size.
     """
+    explained = explained.filter(F.col(prediction).isNotNull())
     payload = F.struct(F.col(key), *[F.struct(F.col(c).cast("double").alias("x"), F.col(f"phi_{c}").alias("phi")).alias(c) for c in features])
     picked = explained.agg(
         F.min(F.struct((-F.col(prediction)).alias("v"), F.col(key).alias("k"), payload.alias("row"))).alias("high"),

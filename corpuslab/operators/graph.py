@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslab.plans.skew import SALTS, heaviest, join_small_or_salted
@@ -95,12 +97,22 @@ def pagerank(
     return ranks.select("id", (F.col("pagerank") * F.lit((n / total) if total else 1.0)).alias("pagerank"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 100) -> DataFrame:
+# Tables of single rounds that are read together before they are written as one.
+COMPACT = 16
+
+
+def _allow(rounds: int, most: int | None) -> None:
+    if most is not None and rounds >= most:
+        raise RuntimeError(f"not finished after {most} rounds")
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int | None = None) -> DataFrame:
     """(id, dist, pred) of every vertex that the sources reach over edges (src, dst, weight).
 
     Each round relaxes only edges of vertices whose distance just changed, and
     stops when none did. ``pred`` is the smallest id among equally short
-    predecessors and NULL for a source. Weights must be positive.
+    predecessors and NULL for a source. Weights must be positive. More rounds than a
+    given ``max_iter`` are an error, not a partial result.
     """
     placed, salts = _by_source(written(edges.select("src", "dst", "weight"), "edges"))
     state = written(
@@ -108,7 +120,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 100) ->
                        F.lit(None).cast("bigint").alias("pred"), F.lit(0).alias("turn")).distinct(),
         "paths",
     )
-    for turn in range(1, max_iter + 1):
+    for turn in count(1):
         front = state.filter(F.col("turn") == turn - 1).select(F.col("id").alias("src"), "dist")
         steps = _to_sources(front, salts).join(placed, ["src", "salt"]).select(
             F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"),
@@ -120,40 +132,54 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int = 100) ->
         )
         if state.filter(F.col("turn") == turn).isEmpty():
             break
+        _allow(turn, max_iter)
     placed.unpersist()
     return state.select("id", "dist", "pred")
 
 
-def routes(paths: DataFrame, targets: DataFrame, max_hops: int = 100) -> DataFrame:
-    """(target, hop, id): the vertices of the path to each target, hop 0 = the target."""
+def routes(paths: DataFrame, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(target, hop, id): the vertices of the path to each target, hop 0 = the target.
+
+    Routes longer than a given ``max_hops`` are an error.
+    """
     step = targets.select(F.col("id").alias("target"), F.lit(0).alias("hop"), "id")
     step = written(step.join(paths.select("id"), "id", "left_semi"), "route")
     found = step
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         step = written(
             step.join(paths.select("id", "pred"), "id").filter("pred IS NOT NULL")
             .select("target", F.lit(hop).alias("hop"), F.col("pred").alias("id")), "route")
         if step.isEmpty():
             break
+        _allow(hop, max_hops)
         found = found.unionByName(step)
+        if hop % COMPACT == 0:
+            found = written(found, "routes")
     return found
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_iter: int = 100) -> DataFrame:
-    """(id, hops): vertices that the sources reach, with the least number of edges."""
+def bfs(edges: DataFrame, sources: DataFrame, max_iter: int | None = None) -> DataFrame:
+    """(id, hops): vertices that the sources reach, with the least number of edges.
+
+    Each hop writes its new vertices only; they are compacted every few hops. More hops
+    than a given ``max_iter`` are an error.
+    """
     placed, salts = _by_source(written(edges.select("src", "dst"), "edges"))
-    seen = written(sources.select("id", F.lit(0).alias("hops")).distinct(), "reached")
-    for hop in range(1, max_iter + 1):
-        front = seen.filter(F.col("hops") == hop - 1).select(F.col("id").alias("src"))
-        fresh = (
-            _to_sources(front, salts).join(placed, ["src", "salt"])
+    front = seen = written(sources.select("id", F.lit(0).alias("hops")).distinct(), "reached")
+    for hop in count(1):
+        front = written(
+            _to_sources(front.select(F.col("id").alias("src")), salts).join(placed, ["src", "salt"])
             .select(F.col("dst").alias("id")).distinct()
             .join(seen.select("id"), "id", "left_anti")
-            .withColumn("hops", F.lit(hop))
+            .withColumn("hops", F.lit(hop)),
+            "reached",
         )
-        seen = written(seen.unionByName(fresh), "reached")
-        if seen.filter(F.col("hops") == hop).isEmpty():
+        if front.isEmpty():
             break
+        _allow(hop, max_iter)
+        seen = seen.unionByName(front)
+        if hop % COMPACT == 0:
+            seen = written(seen, "reached")
     placed.unpersist()
     return seen
 
@@ -185,10 +211,10 @@ def assign(
     spot is not of the wanted kind. The score depends on a request only through
     (zone, kind). So the best spot per zone and kind is found first, then the best
     per kind of request, and requests join that small table; request-spot pairs
-    are never formed.
+    are never formed. A spot without distance or load has no score and is not chosen.
     """
     base = F.col("distance") * F.lit(distance_weight) + F.col("load") * F.lit(load_weight)
-    best = spots.groupBy("zone", F.col("kind").alias("spot_kind")).agg(
+    best = spots.filter(base.isNotNull()).groupBy("zone", F.col("kind").alias("spot_kind")).agg(
         F.min(F.struct(base.alias("base"), "spot")).alias("b")
     )
     wants = requests.select("zone", "kind").distinct()

@@ -30,6 +30,9 @@ class Index:
     doc_lengths: DataFrame
     n_docs: int
     avgdl: float
+    # folders of the index files the postings come from, and the threshold the terms passed
+    buckets: int | None = None
+    min_postings: int = 0
 
     def kept_postings(self) -> DataFrame:
         """Postings of terms that passed the frequency threshold, with their df."""
@@ -88,7 +91,7 @@ def _index_of(counted: DataFrame, min_postings: int) -> Index:
     n_docs, avgdl = lengths.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
     postings = postings_of(counted)
     terms = written(term_stats(postings, min_postings), "terms")
-    return Index(postings, terms, lengths, n_docs, avgdl)
+    return Index(postings, terms, lengths, n_docs, avgdl, min_postings=min_postings)
 
 
 def anchor_rows(df: DataFrame, anchors_col: str) -> DataFrame:
@@ -112,8 +115,10 @@ def add_documents(
 
     Old totals are added to new ones; the old postings are not read again. The old
     index must have been built with ``min_postings=0``, or dropped terms would miss
-    their earlier postings.
+    their earlier postings; another one is refused.
     """
+    if index.min_postings:
+        raise ValueError(f"the index lacks the postings of terms with up to {index.min_postings} of them")
     counted = written(doc_terms(spread(df), id_col, text_col, stop_words), "doc-terms")
     fresh = _index_of(counted, 0)
     terms = (
@@ -125,8 +130,8 @@ def add_documents(
     n = index.n_docs + fresh.n_docs
     avgdl = (index.avgdl * index.n_docs + fresh.avgdl * fresh.n_docs) / n if n else 0.0
     return Index(
-        index.postings.unionByName(fresh.postings), terms,
-        index.doc_lengths.unionByName(fresh.doc_lengths), n, avgdl,
+        index.postings.select("term", "doc_id", "tf", "dl").unionByName(fresh.postings), terms,
+        index.doc_lengths.unionByName(fresh.doc_lengths), n, avgdl, min_postings=min_postings,
     )
 
 

@@ -47,6 +47,8 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) for all ordered pairs, in one pass over the data."""
     pairs = list(combinations(columns, 2))
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for a, b in pairs]
+    if not pairs:
+        return df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "a string, b string, corr double")
     half = df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("r")).select("r.*")
     turned = half.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
     same = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "a string, b string, corr double")

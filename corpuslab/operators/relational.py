@@ -57,6 +57,12 @@ def value_counts(df: DataFrame, col: str, by_value: bool = False) -> DataFrame:
     return counts.orderBy("value") if by_value else counts.orderBy(F.desc("n"), "value")
 
 
+def _plain_zero(df: DataFrame, name: str) -> Column:
+    """0.0 for -0.0, which equal each other but differ as text."""
+    c = F.col(name)
+    return F.when(c == 0, F.lit(0).cast(df.schema[name].dataType)).otherwise(c) if dict(df.dtypes)[name] in ("double", "float") else c
+
+
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """(column, n_unique) by falling count, NULLs left out.
 
@@ -67,7 +73,7 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
         row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
         return row.unpivot([], columns, "column", "n_unique").orderBy(F.desc("n_unique"), "column")
     pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("p"))
+        F.struct(F.lit(c).alias("column"), _plain_zero(df, c).cast("string").alias("v")) for c in columns])).alias("p"))
     found = pairs.select("p.column", "p.v").distinct().groupBy("column").agg(F.count("v").alias("n_unique"))
     return found.orderBy(F.desc("n_unique"), "column")
 
@@ -79,7 +85,8 @@ def first_per_class(df: DataFrame, label: str, key: str, payload: list[str]) ->
 
 
 def extremes(df: DataFrame, value: str, key: str) -> DataFrame:
-    """One row: key of the largest and of the smallest value (ties: smallest key)."""
+    """One row: key of the largest and of the smallest value (ties: smallest key). NULL is no value."""
+    df = df.filter(F.col(value).isNotNull())
     low = F.min(F.struct(F.col(value).alias("v"), F.col(key).alias("k"))).alias("low")
     high = F.min(F.struct((-F.col(value)).alias("v"), F.col(key).alias("k"))).alias("high")
     return df.agg(low, high).select(F.col("high.k").alias("argmax"), F.col("low.k").alias("argmin"))

@@ -57,8 +57,8 @@ def matches(query: QueryTerms, index: Index) -> DataFrame:
     """
     known = known_terms(query, index)
     postings = index.postings
-    if query.small and "bucket" in postings.columns:
-        used = known.select(text.bucket_of(F.col("term")).alias("b")).distinct().collect()  # at most one row per folder
+    if query.small and index.buckets and "bucket" in postings.columns:
+        used = known.select(text.bucket_of(F.col("term"), index.buckets).alias("b")).distinct().collect()  # at most one row per folder
         postings = postings.filter(F.col("bucket").isin([r["b"] for r in used]))
     postings = postings.select("term", "doc_id", "tf", "dl")
     if query.small:

@@ -34,9 +34,9 @@ class _Rank:
 def exact_quantiles(
     df: DataFrame, wanted: dict[str, list[float]], interval_rows: int = INTERVAL_ROWS
 ) -> dict[str, list[float | None]]:
-    """Quantiles per column, NULLs ignored; None for a column without values."""
+    """Quantiles per column, NULLs and NaNs ignored; None for a column without values."""
     columns = list(wanted)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     row = data.agg(
         *[f(c).alias(f"{p}{i}") for i, c in enumerate(columns) for p, f in (("n", F.count), ("a", F.min), ("z", F.max))]
     ).first()

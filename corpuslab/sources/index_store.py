@@ -10,6 +10,7 @@ from corpuslab.operators.index import Index
 BUCKETS = 124
 DOC_RANGE = 1 << 20
 
+STATS = "n_docs bigint, avgdl double, buckets int, min_postings int"
 POSTINGS = "term string, doc_id bigint, tf int, dl int, bucket int"
 
 
@@ -28,22 +29,24 @@ def write_index(index: Index, path: str, buckets: int = BUCKETS) -> None:
     )
     index.terms.sort("term").write.mode("overwrite").parquet(f"{path}/terms")
     index.doc_lengths.sort("id").write.mode("overwrite").parquet(f"{path}/doc_lengths")
-    write_stats(index, f"{path}/stats")
+    write_stats(index, f"{path}/stats", buckets)
 
 
-def write_stats(index: Index, path: str) -> None:
+def write_stats(index: Index, path: str, buckets: int = BUCKETS) -> None:
     spark = index.terms.sparkSession
-    spark.createDataFrame([(index.n_docs, index.avgdl)], "n_docs bigint, avgdl double").write.mode("overwrite").parquet(path)
+    row = index.n_docs, index.avgdl, buckets, index.min_postings
+    spark.createDataFrame([row], STATS).write.mode("overwrite").parquet(path)
 
 
 def read_stats(spark: SparkSession, path: str) -> T.Row:
-    return spark.read.schema("n_docs bigint, avgdl double").parquet(path).first()
+    return spark.read.schema(STATS).parquet(path).first()
 
 
-def read_postings(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def read_postings(spark: SparkSession, path: str, terms: list[str] | None = None) -> DataFrame:
     """Postings of some terms, or of all. Few terms touch only their bucket folders and row groups."""
     df = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     if terms is not None:
+        buckets = read_stats(spark, f"{path}/stats")["buckets"]
         wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"), buckets))
         df = df.filter(F.col("bucket").isin([r[0] for r in wanted.collect()]) & F.col("term").isin(terms))
     return df.select("term", "doc_id", "tf", "dl", "bucket")
@@ -56,5 +59,5 @@ def read_index(spark: SparkSession, path: str, terms: list[str] | None = None) -
         read_postings(spark, path, terms),
         table if terms is None else table.filter(F.col("term").isin(terms)),
         spark.read.schema("id bigint, dl int").parquet(f"{path}/doc_lengths"),
-        stats["n_docs"], stats["avgdl"],
+        stats["n_docs"], stats["avgdl"], stats["buckets"], stats["min_postings"],
     )
