@@ -114,7 +114,8 @@ def replace_all(spark, sf):
 SELECT sheet_id, CAST(CASE row_idx WHEN 3 THEN 9 WHEN 9 THEN 3 ELSE row_idx END AS BIGINT) AS row_idx,
   CAST(CASE col_idx WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE col_idx END AS BIGINT) AS col_idx, value FROM cells""")
 def swap(spark, sf):
-    return grid.swap_cols(grid.swap_rows(cells(spark, sf), 3, 9), 0, 2)
+    all_sheets = sheets(spark, sf)
+    return grid.swap_cols(grid.swap_rows(cells(spark, sf), 3, 9, all_sheets), 0, 2, all_sheets)
 
 
 @query("grid_gd7_insert", f"""WITH {SQL_CELLS}

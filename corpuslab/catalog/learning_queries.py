@@ -15,6 +15,7 @@ from corpuslab.functions import text
 from corpuslab.functions.scalar import parse_time, rounded
 from corpuslab.operators import explain, features as fe, models, quality
 from corpuslab.operators.topics import Nmf
+from corpuslab.plans.storage import written
 
 # Older orders are training rows, the rest are test rows.
 TRAIN = "day < '1997-01-01'"
@@ -125,8 +126,8 @@ def topics(spark, sf):
     """Topic weights per document, long form."""
     docs = fx.spread(table(spark, sf, "documents").select("doc_id", "text"))
     weights = fe.TfIdf("doc_id", "text").fit(docs)
-    rows = weights.transform(docs)
-    model = Nmf(weights.vocabulary, k=10, max_iter=5).fit(rows)
+    rows = written(weights.transform(docs), "tfidf")
+    model = Nmf(weights.vocabulary, k=10).fit(rows)
     return model.transform(rows).select("id", F.posexplode("topics").alias("topic", "weight"))
 
 
@@ -246,7 +247,7 @@ def _lines(spark, sf):
 @query("models_ml4_regression_tree")
 def regression_tree(spark, sf):
     rows = _lines(spark, sf)
-    model = models.regression_tree(label="l_extendedprice", max_depth=8).fit(rows)
+    model = models.regression_tree(label="l_extendedprice", max_depth=20).fit(rows)
     return quality.regression(model.transform(rows), "l_extendedprice", "prediction")
 
 
@@ -260,7 +261,7 @@ def random_search(spark, sf):
     return spark.createDataFrame([(i, str(s), float(m)) for i, (s, m) in enumerate(tried)], "draw int, setting string, mse double")
 
 
-def _boost(rounds=4):
+def _boost(rounds=60):
     return models.Samme("embedding", "label", rounds=rounds)
 
 
@@ -413,6 +414,18 @@ def silhouette(spark, sf):
     return quality.silhouette(table(spark, sf, "embeddings"), "vec_id", "embedding", "label").withColumn("silhouette", rounded(F.col("silhouette")))
 
 
+@query("quality_mq4_squared_silhouette", """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+n AS (SELECT label, count(*) AS size FROM e GROUP BY label),
+d AS (SELECT a.vec_id, a.label, b.label AS other, sum(pow(list_distance(a.x, b.x), 2)) AS total FROM e a, e b GROUP BY ALL),
+m AS (SELECT vec_id, d.label, max(CASE WHEN d.label = other THEN total / nullif(size - 1, 0) END) AS a,
+  min(CASE WHEN d.label <> other THEN total / size END) AS b, max(CASE WHEN d.label = other THEN size END) AS own FROM d JOIN n ON n.label = other GROUP BY ALL)
+SELECT label, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN own = 1 OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) + 0 AS silhouette FROM m GROUP BY label""")
+def squared_silhouettes(spark, sf):
+    found = quality.squared_silhouettes(table(spark, sf, "embeddings"), "embedding", "label")
+    return found.withColumn("silhouette", rounded(F.col("silhouette")))
+
+
 @query("quality_mq5_comparison", f"""WITH {SQL_LINE_FIT},
 a AS (SELECT avg(pow(y - (SELECT avg(l_extendedprice) FROM lineitem), 2)) AS mse, avg(abs(y - (SELECT avg(l_extendedprice) FROM lineitem))) AS mae FROM pred),
 b AS (SELECT avg(pow(y - p, 2)) AS mse, avg(abs(y - p)) AS mae FROM pred)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from itertools import count
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from corpuslab.plans.skew import SALTS, heaviest, join_small_or_salted
+from corpuslab.plans.skew import hot_keys, join_small_or_salted
 from corpuslab.plans.storage import written
 
 # Damping and number of rounds of the page ranking.
@@ -31,34 +31,33 @@ def vertices(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
 
 
 def _by_source(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Edges partitioned by source for repeated joins, and the salts of the heaviest sources.
+    """Edges partitioned by source for repeated joins, and the salts of the hot_keys sources.
 
-    A source with very many edges is spread over ``SALTS`` partitions. Returns
-    (edges with salt and out-degree, (src, salt) rows for the heavy sources, or
-    None when there is no heavy source).
+    A source with very many edges is spread over partitions by its out-degree. Returns
+    (edges with salt and out-degree, (src, __salts) of the heavy sources, or None when
+    there is no heavy source).
     """
     degree = written(edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "degrees")
-    heavy = written(heaviest(degree, ["src"], "degree"), "heavy-sources")
+    heavy = written(hot_keys(degree, ["src"], "degree"), "heavy-sources")
     if heavy.isEmpty():
-        salts, salted = None, edges.withColumn("salt", F.lit(0))
+        heavy, salted = None, edges.withColumn("salt", F.lit(0))
     else:
-        salts = heavy.withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(SALTS - 1))))
-        marked = F.broadcast(heavy.withColumn("heavy", F.lit(True)))
-        salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-        salted = edges.join(marked, "src", "left").withColumn("salt", salt).drop("heavy")
+        salt = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("__salts")).cast("int"), F.lit(0))
+        salted = edges.join(F.broadcast(heavy), "src", "left").withColumn("salt", salt).drop("__salts")
     # sorted once here, so that no round sorts the edges again
     spread = salted.repartition("src", "salt").sortWithinPartitions("src", "salt")
-    placed = spread.join(_to_sources(degree, salts), ["src", "salt"])
-    return placed.persist(StorageLevel.MEMORY_AND_DISK), salts
+    placed = spread.join(_to_sources(degree, heavy), ["src", "salt"])
+    return placed.persist(StorageLevel.MEMORY_AND_DISK), heavy
 
 
-def _to_sources(values: DataFrame, salts: DataFrame | None) -> DataFrame:
+def _to_sources(values: DataFrame, heavy: DataFrame | None) -> DataFrame:
     """Rows (src, ...) with salt 0, and once more per further salt of a heavy source."""
     first = values.withColumn("salt", F.lit(0))
-    if salts is None:
+    if heavy is None:
         return first
-    # at most HOT_KEYS * SALTS rows
-    return first.unionByName(values.join(F.broadcast(salts), "src"))
+    # at most HOT_KEYS rows are broadcast; their copies are made after the join
+    copies = values.join(F.broadcast(heavy), "src").withColumn("salt", F.explode(F.sequence(F.lit(1), F.col("__salts") - 1)))
+    return first.unionByName(copies.drop("__salts"))
 
 
 def pagerank(
@@ -109,32 +108,37 @@ def _allow(rounds: int, most: int | None) -> None:
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int | None = None) -> DataFrame:
     """(id, dist, pred) of every vertex that the sources reach over edges (src, dst, weight).
 
-    Each round relaxes only edges of vertices whose distance just changed, and
-    stops when none did. ``pred`` is the smallest id among equally short
-    predecessors and NULL for a source. Weights must be positive. More rounds than a
-    given ``max_iter`` are an error, not a partial result.
+    Each round relaxes only edges of vertices whose distance just changed, writes
+    only what it improved, and the last is the one after which no distance changed.
+    ``pred`` is the smallest id among equally short predecessors and NULL for a source.
+    Weights must be positive. More rounds than a given ``max_iter`` are an error, not
+    a partial result.
     """
     placed, salts = _by_source(written(edges.select("src", "dst", "weight"), "edges"))
-    state = written(
+    kind = edges.schema["src"].dataType
+    pred = "bigint" if isinstance(kind, T.IntegralType) else kind
+    front = known = written(
         sources.select("id", F.lit(0).cast(edges.schema["weight"].dataType).alias("dist"),
-                       F.lit(None).cast("bigint").alias("pred"), F.lit(0).alias("turn")).distinct(),
+                       F.lit(None).cast(pred).alias("pred")).distinct(),
         "paths",
     )
+    best = F.min(F.struct("dist", "pred"))
     for turn in count(1):
-        front = state.filter(F.col("turn") == turn - 1).select(F.col("id").alias("src"), "dist")
-        steps = _to_sources(front, salts).join(placed, ["src", "salt"]).select(
-            F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"),
-            F.col("src").alias("pred"), F.lit(turn).alias("turn"),
-        )
-        best = F.min(F.struct("dist", "pred", "turn")).alias("b")
-        state = written(
-            state.unionByName(steps).groupBy("id").agg(best).select("id", "b.dist", "b.pred", "b.turn"), "paths"
-        )
-        if state.filter(F.col("turn") == turn).isEmpty():
+        steps = _to_sources(front.select(F.col("id").alias("src"), "dist"), salts).join(placed, ["src", "salt"]).select(
+            F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").cast(pred).alias("pred"))
+        tried = steps.groupBy("id").agg(best.alias("new")).join(known.groupBy("id").agg(best.alias("old")), "id", "left")
+        found = written(
+            tried.filter("old IS NULL OR new.dist < old.dist OR new.dist = old.dist AND new.pred < old.pred")
+            .select("id", "new.dist", "new.pred", F.expr("old IS NULL OR new.dist < old.dist").alias("nearer")), "paths")
+        known = known.unionByName(found.drop("nearer"))
+        front = found.filter("nearer")
+        if front.isEmpty():
             break
         _allow(turn, max_iter)
+        if turn % COMPACT == 0:
+            known = written(known.groupBy("id").agg(best.alias("b")).select("id", "b.*"), "paths")
     placed.unpersist()
-    return state.select("id", "dist", "pred")
+    return known.groupBy("id").agg(best.alias("b")).select("id", "b.dist", "b.pred")
 
 
 def routes(paths: DataFrame, targets: DataFrame, max_hops: int | None = None) -> DataFrame:

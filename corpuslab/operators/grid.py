@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslab.plans.skew import heaviest, join_small_or_salted, salted_join
+from corpuslab.plans.skew import hot_keys, join_small_or_salted, salted_join
 
 KEY = ["sheet_id", "row_idx", "col_idx"]
+BLOCK_ROWS = 4096
 
 
 def _inside(row: Column, col: Column) -> Column:
@@ -33,7 +34,7 @@ def get(cells: DataFrame, sheets: DataFrame, requests: DataFrame, strict: bool =
     others = [c for c in requests.columns if c not in KEY] or KEY
     # cells are the large side; a cell that very many requests ask for is spread over tasks
     asked = requests.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n"))
-    found = salted_join(rows, cells.select(*KEY, "value"), KEY, heaviest(asked, KEY, "__n"), others, "left")
+    found = salted_join(rows, cells.select(*KEY, "value"), KEY, hot_keys(asked, KEY, "__n"), others, "left")
     value = F.when(F.col("in_bounds"), F.coalesce("value", F.lit("")))
     if strict:
         value = value.otherwise(F.raise_error(F.lit("cell is out of bounds")))
@@ -56,10 +57,19 @@ def put(cells: DataFrame, edits: DataFrame, sheets: DataFrame | None = None) ->
     return both.groupBy(*KEY).agg(latest).select(*KEY, "last.value")
 
 
+def _require(sheets: DataFrame, size: str, *indexes: int | None) -> None:
+    """An index outside of any sheet is an error."""
+    given = [i for i in indexes if i is not None]
+    if given and (min(given) < 0 or not sheets.filter(F.col(size) <= max(given)).isEmpty()):
+        raise IndexError("index is out of bounds")
+
+
 def dense(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """All cells of all sheets, absent ones as empty strings."""
-    rows = sheets.filter("n_rows > 0 AND n_cols > 0").select(
-        "sheet_id", F.explode(F.expr("sequence(0L, n_rows - 1L)")).alias("row_idx"), "n_cols")
+    """All cells of all sheets, absent ones as empty strings. Blocks of rows are opened by different tasks."""
+    blocks = sheets.filter("n_rows > 0 AND n_cols > 0").select(
+        "sheet_id", "n_rows", "n_cols", F.explode(F.expr(f"sequence(0L, n_rows - 1L, {BLOCK_ROWS}L)")).alias("start"))
+    rows = blocks.repartition("sheet_id", "start").select(
+        "sheet_id", F.explode(F.expr(f"sequence(start, least(n_rows, start + {BLOCK_ROWS}L) - 1L)")).alias("row_idx"), "n_cols")
     places = rows.select("sheet_id", "row_idx", F.explode(F.expr("sequence(0L, n_cols - 1L)")).alias("col_idx"))
     return places.join(cells, KEY, "left").withColumn("value", F.coalesce("value", F.lit("")))
 
@@ -83,8 +93,12 @@ def find_first(
 ) -> DataFrame:
     """(sheet_id, row_idx, col_idx) of the first match in row-major order per sheet.
 
-    The scope is the sheet, one row, one column, or an inclusive range.
+    The scope is the sheet, one row, one column, or an inclusive range. With ``sheets``,
+    a scope that leaves one of them is an error.
     """
+    if sheets is not None:
+        _require(sheets, "n_rows", row, row1, row2)
+        _require(sheets, "n_cols", col, col1, col2)
     scope = matches(needle)
     for name, low, high in (("row_idx", row, row), ("col_idx", col, col), ("row_idx", row1, row2), ("col_idx", col1, col2)):
         if low is not None:
@@ -111,20 +125,25 @@ def _swap(cells: DataFrame, axis: str, a: int, b: int) -> DataFrame:
     return cells.withColumn(axis, F.when(at == a, F.lit(b)).when(at == b, F.lit(a)).otherwise(at).cast(cells.schema[axis].dataType))
 
 
-def swap_rows(cells: DataFrame, a: int, b: int) -> DataFrame:
+def swap_rows(cells: DataFrame, a: int, b: int, sheets: DataFrame | None = None) -> DataFrame:
+    """Rows ``a`` and ``b`` exchanged in every sheet. With ``sheets``, a row outside of one is an error."""
+    if sheets is not None:
+        _require(sheets, "n_rows", a, b)
     return _swap(cells, "row_idx", a, b)
 
 
-def swap_cols(cells: DataFrame, a: int, b: int) -> DataFrame:
+def swap_cols(cells: DataFrame, a: int, b: int, sheets: DataFrame | None = None) -> DataFrame:
+    """Columns ``a`` and ``b`` exchanged in every sheet. With ``sheets``, a column outside of one is an error."""
+    if sheets is not None:
+        _require(sheets, "n_cols", a, b)
     return _swap(cells, "col_idx", a, b)
 
 
 def _insert(cells: DataFrame, sheets: DataFrame, axis: str, size: str, after: int) -> tuple[DataFrame, DataFrame]:
+    _require(sheets, size, after)
     at = F.col(axis)
     moved = cells.withColumn(axis, F.when(at > after, at + 1).otherwise(at).cast(cells.schema[axis].dataType))
-    grown = F.when(F.col(size) > after, F.col(size) + 1).otherwise(
-        F.raise_error(F.lit("index is out of bounds")).cast(sheets.schema[size].dataType))
-    return moved, sheets.withColumn(size, grown)
+    return moved, sheets.withColumn(size, F.col(size) + 1)
 
 
 def insert_row(cells: DataFrame, sheets: DataFrame, after: int) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslab.functions import text
-from corpuslab.plans.skew import heaviest, salted_join
+from corpuslab.plans.skew import hot_keys, salted_join
 from corpuslab.plans.storage import written
 from corpuslab.sources.corpus import spread
 
@@ -36,7 +36,7 @@ class Index:
 
     def kept_postings(self) -> DataFrame:
         """Postings of terms that passed the frequency threshold, with their df."""
-        hot = heaviest(self.terms, ["term"], "df")
+        hot = hot_keys(self.terms, ["term"], "df")
         table = self.terms.select("term", "df")
         if hot.isEmpty():
             return self.postings.join(table, "term")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslab.operators import trees
 from corpuslab.operators.features import assemble
+from corpuslab.plans.storage import written
 
 # ---- Bernoulli naive Bayes ----------------------------------------------------------
 
@@ -127,12 +128,16 @@ def random_search(estimator, space: dict, df: DataFrame, n: int = 30, folds: int
 # ---- boosting -----------------------------------------------------------------------
 
 
+# Rounds after which the row weights are written.
+WRITE_EVERY = 8
+
+
 class Samme(Estimator):
     """Multi-class boosting of small trees over an array column.
 
-    Row weights are not stored between rounds: a row's weight is an expression
-    over the trees so far, evaluated while the next tree reads the data. Small
-    trees cost a few comparisons per row, so a round is one tree fit and one sum.
+    A row's weight is an expression over the latest trees, evaluated while the next
+    tree reads the data; small trees cost a few comparisons per row. Every
+    ``WRITE_EVERY`` rounds the weights are written, so that a round's cost stays the same.
     """
 
     def __init__(self, features: str, label: str, rounds: int = 60, depth: int = 2, rate: float = 0.5, bins: int = 64,
@@ -148,12 +153,19 @@ class Samme(Estimator):
         data = df.select(
             F.col(self.features).cast("array<double>").alias("x"), place[F.col(self.label)].alias("y")
         ).withColumn("features", array_to_vector("x"))
-        data = data.persist()
+        data = written(data.withColumn("w0", F.lit(0.0)), "boosting")
         x, y = F.col("x"), F.col("y")
         members: list[tuple[float, trees.Node]] = []
         errors: list[float] = []
-        for _ in range(self.rounds):
-            weight = F.exp(_total([F.when(trees.predict(t, x) != y, F.lit(a)).otherwise(0.0) for a, t in members]))
+
+        def log_weight(of):
+            return _total([F.col("w0"), *[F.when(trees.predict(t, x) != y, F.lit(a)).otherwise(0.0) for a, t in of]])
+
+        for i in range(self.rounds):
+            latest = members[i - i % WRITE_EVERY :]
+            if i and not latest:
+                data = written(data.withColumn("w0", log_weight(members[-WRITE_EVERY:])), "boosting")
+            weight = F.exp(log_weight(latest))
             weighted = data.withColumn("w", weight)
             learner = DecisionTreeClassifier(
                 featuresCol="features", labelCol="y", weightCol="w", maxDepth=self.depth, maxBins=self.bins, seed=self.seed)
@@ -169,7 +181,6 @@ class Samme(Estimator):
                 break
             members.append((self.rate * (math.log((1 - error) / error) + math.log(k - 1)), tree))
             errors.append(error)
-        data.unpersist()
         if not members:
             raise ValueError("the first tree is no better than chance")
         return SammeModel(self.features, labels, members, errors)
@@ -192,19 +203,19 @@ class SammeModel(Model):
         whole = sum(a for a, _ in self.members)
         x = F.col("__x")
         rows = df.withColumn("__x", F.col(self.features).cast("array<double>"))
-        rows = rows.withColumns({f"__t{i}": trees.predict(t, x) for i, (_, t) in enumerate(self.members)})
-        votes = [
-            _total([F.when(F.col(f"__t{i}") == c, a).otherwise(-a / (k - 1)) for i, (a, _) in enumerate(self.members)]) / whole
-            for c in range(k)
-        ]
-        rows = rows.withColumn("__v", F.array(*votes))
+        told = F.array(*[
+            F.struct(trees.predict(t, x).cast("double").alias("c"), F.lit(float(a)).alias("a")) for a, t in self.members])
+        # one pass over the trees adds each one's vote to all classes
+        votes = F.aggregate(told, F.array_repeat(F.lit(0.0), k), lambda sums, e: F.transform(
+            sums, lambda v, c: v + F.when(e["c"] == c, e["a"]).otherwise(-e["a"] / (k - 1))))
+        rows = rows.withColumn("__v", F.transform(votes, lambda v: v / whole))
         best = F.array_max("__v")
         place = F.array_position("__v", best).cast("int")
         spread = F.aggregate("__v", F.lit(0.0), lambda s, v: s + F.exp(v / (k - 1)))
         return rows.withColumns({
             "prediction": F.element_at(F.array(*[F.lit(v) for v in self.labels]), place),
             "confidence": F.exp(best / (k - 1)) / spread,
-        }).drop("__x", "__v", *[f"__t{i}" for i in range(len(self.members))])
+        }).drop("__x", "__v")
 
 
 def pseudo_label(estimator: Samme, labelled: DataFrame, unlabelled: DataFrame, key: str, n: int = 1000):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from corpuslab.plans.skew import fits_broadcast
+from corpuslab.plans.storage import written
 
 BLOCK_ROWS = 2000
 
@@ -51,11 +56,11 @@ def silhouette(df: DataFrame, key: str, features: str, cluster: str, block_rows:
         xa, xz = np.vstack(a["x"].to_numpy()), np.vstack(z["x"].to_numpy())
         found = {}
         for c, at in z.groupby("c").indices.items():
-            d = xa[:, None, :] - xz[None, at, :] if len(xa) * len(at) * xa.shape[1] <= 2_000_000 else None
-            if d is not None:
-                found[c] = np.sqrt((d * d).sum(axis=2)).sum(axis=1)
-            else:
-                found[c] = np.array([np.sqrt(((row - xz[at]) ** 2).sum(axis=1)).sum() for row in xa])
+            # as many rows at once as keep the differences in about 16 MB
+            step = max(1, 2_000_000 // (len(at) * xa.shape[1] or 1))
+            found[c] = np.concatenate([
+                np.sqrt(((xa[i : i + step, None, :] - xz[None, at, :]) ** 2).sum(axis=2)).sum(axis=1)
+                for i in range(0, len(xa), step)])
         wide = pd.DataFrame(found)
         wide["id"], wide["c"] = a["id"].to_numpy(), a["c"].to_numpy()
         return wide.melt(["id", "c"], var_name="other_c", value_name="total")[["id", "c", "other_c", "total"]]
@@ -82,6 +87,45 @@ def squared_silhouette(df: DataFrame, features: str, cluster: str) -> float:
     return ClusteringEvaluator(featuresCol=features, predictionCol=cluster).evaluate(df)
 
 
+def squared_silhouettes(df: DataFrame, features: str, cluster: str) -> DataFrame:
+    """(cluster, n, silhouette): mean silhouette of squared Euclidean distances per cluster, in linear time.
+
+    A row's squared distances to a whole cluster follow from the cluster's size, vector sum
+    and sum of squares. That table, one vector per cluster, must fit a broadcast. Rows without
+    a cluster or features are left out.
+    """
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+    rows = df.select(F.col(cluster).alias("c"), F.col(features).cast("array<double>").alias("x")).dropna()
+    rows = rows.withColumn("q", dot(F.col("x"), F.col("x")))
+    sums = rows.select("c", F.posexplode("x").alias("at", "v")).groupBy("c", "at").agg(F.sum("v").alias("v"))
+    vectors = sums.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda e: e["v"]).alias("s"))
+    clusters = written(rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q")).join(vectors, "c"), "clusters")
+    if not fits_broadcast(clusters):
+        raise ValueError("the vectors of all clusters do not fit a broadcast")
+    known = clusters.toPandas()
+    place = {c: i for i, c in enumerate(known["c"])}
+    n, q, s = known["n"].to_numpy(dtype=float), known["q"].to_numpy(), np.array(known["s"].tolist())
+
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            at, each = batch["c"].map(place).to_numpy(), np.arange(len(batch))
+            total = np.maximum(0.0, n * batch["q"].to_numpy()[:, None] - 2 * np.vstack(batch["x"]) @ s.T + q)
+            a = total[each, at] / np.maximum(1, n[at] - 1)
+            mean = total / n
+            mean[each, at] = np.inf
+            b = mean.min(axis=1)
+            most = np.maximum(a, b)
+            single = (n[at] == 1) | np.isinf(b) | (most == 0)
+            yield pd.DataFrame({"c": batch["c"], "v": np.where(single, 0.0, (b - a) / np.where(single, 1.0, most))})
+
+    told = rows.mapInPandas(values, T.StructType([rows.schema["c"], T.StructField("v", T.DoubleType())]))
+    return told.groupBy(F.col("c").alias(cluster)).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("silhouette"))
+
+
 def compare(baseline: DataFrame, improved: DataFrame) -> DataFrame:
     """(metric, baseline, improved, delta) of two one-row metric tables with the same columns."""
     def long(df: DataFrame, name: str) -> DataFrame:

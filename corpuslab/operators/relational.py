@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslab.plans.quantiles import exact_quantiles
-from corpuslab.plans.skew import attach_stats, heaviest, join_small_or_salted, salted_join
+from corpuslab.plans.skew import attach_stats, hot_keys, join_small_or_salted, salted_join
 
 
 def frequent_groups(df: DataFrame, keys: list[str], more_than: int, salt_by: list[str]) -> DataFrame:
     """Rows whose key occurs more than ``more_than`` times."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     kept = counts.filter(F.col("__n") > more_than).select(*keys)
-    return salted_join(df, kept, keys, heaviest(counts, keys, "__n"), salt_by, "left_semi")
+    return salted_join(df, kept, keys, hot_keys(counts, keys, "__n"), salt_by, "left_semi")
 
 
 def split_at_quantile(df: DataFrame, x: str, y: str, q: float) -> DataFrame:

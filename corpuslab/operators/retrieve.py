@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslab.functions import text
 from corpuslab.operators.index import Index, doc_norms, doc_terms
 from corpuslab.plans.ranking import full_rank, top_k
-from corpuslab.plans.skew import fits_broadcast, heaviest, join_small_or_salted, salted_join
+from corpuslab.plans.skew import fits_broadcast, hot_keys, join_small_or_salted, salted_join
 from corpuslab.plans.storage import written
 
 # Scores are rounded to this many digits before ranking, so that the order in
@@ -46,7 +46,7 @@ def known_terms(query: QueryTerms, index: Index) -> DataFrame:
     if query.small:
         return table.join(F.broadcast(query.terms), "term")
     counts = query.terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return salted_join(query.terms, table, ["term"], heaviest(counts, ["term"], "n"), ["query_id"])
+    return salted_join(query.terms, table, ["term"], hot_keys(counts, ["term"], "n"), ["query_id"])
 
 
 def matches(query: QueryTerms, index: Index) -> DataFrame:
@@ -66,7 +66,7 @@ def matches(query: QueryTerms, index: Index) -> DataFrame:
         return postings.join(F.broadcast(known), "term")
     # a term weighs as much as the rows it gives: its postings times its queries
     pairs = known.groupBy("term").agg((F.count(F.lit(1)) * F.max("df")).alias("n"))
-    return salted_join(postings, known, ["term"], heaviest(pairs, ["term"], "n"), ["doc_id"])
+    return salted_join(postings, known, ["term"], hot_keys(pairs, ["term"], "n"), ["doc_id"])
 
 
 def _score(value: Column) -> Column:
@@ -102,7 +102,7 @@ def _join_queries(rows: DataFrame, per_query: DataFrame, small: bool) -> DataFra
     if small:
         return rows.join(F.broadcast(per_query), "query_id")
     counts = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    return salted_join(rows, per_query, ["query_id"], heaviest(counts, ["query_id"], "n"), ["doc_id"])
+    return salted_join(rows, per_query, ["query_id"], hot_keys(counts, ["query_id"], "n"), ["doc_id"])
 
 
 def bm25_weight(index: Index, k1: float = 1.2, b: float = 0.75) -> Column:

@@ -29,12 +29,19 @@ def _row_factors(x_topics: np.ndarray, gram: np.ndarray) -> np.ndarray:
 
 def _solve_batch(batch: pd.DataFrame, factor: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """Row factors of documents given as arrays of term positions and weights."""
-    x_topics = np.zeros((len(batch), factor.shape[0]))
-    for i, (at, weight) in enumerate(zip(batch["at"], batch["weight"])):
-        x_topics[i] = factor[:, at] @ weight
+    doc, at, weight = _entries(batch)
+    x_topics = np.column_stack([np.bincount(doc, row[at] * weight, len(batch)) for row in factor])
     return _row_factors(x_topics, gram)
 
 
+def _entries(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, term position and weight of all entries of a batch."""
+    doc = np.repeat(np.arange(len(batch)), batch["at"].map(len).to_numpy(dtype=np.int64))
+    if not len(doc):
+        return doc, np.zeros(0, np.int64), np.zeros(0)
+    return doc, np.concatenate(batch["at"].to_numpy()), np.concatenate(batch["weight"].to_numpy())
+
+
 class Nmf(Estimator):
     """Fit ``k`` topics on (id, term, weight) with a bounded vocabulary.
 
@@ -73,8 +80,9 @@ class Nmf(Estimator):
             for batch in batches:
                 w = _solve_batch(batch, factor, gram)
                 ww += w.T @ w
-                for i, (at, weight) in enumerate(zip(batch["at"], batch["weight"])):
-                    wx[:, at] += np.outer(w[i], weight)
+                doc, at, weight = _entries(batch)
+                for t in range(k):
+                    wx[t] += np.bincount(at, w[doc, t] * weight, width)
             both = np.hstack([wx, ww])
             topic, pos = np.nonzero(both)
             yield pd.DataFrame({"topic": topic.astype("int32"), "pos": pos.astype("int32"), "x": both[topic, pos]})

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 # At most this many keys can each hold 1/1024 of the rows, so a list of the
 # heaviest keys needs no more entries and is always safe to broadcast.
 HOT_KEYS = 1024
+# A hot key is spread over this many tasks, or over more when it has more rows than they should hold.
 SALTS = 64
+ROWS_PER_SALT = 1_000_000
 # A key with fewer rows than this is no burden to one task and is not salted.
 HOT_MIN_ROWS = 100_000
 BROADCAST_ROWS = 200_000
@@ -32,10 +34,16 @@ def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int =
     return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 
+def hot_keys(counts: DataFrame, keys: list[str], count_col: str, min_rows: int | None = None) -> DataFrame:
+    """The keys with the most rows, at most ``HOT_KEYS`` of them, and the number of salts of each, ``__salts``."""
+    large = counts.filter(F.col(count_col) >= (HOT_MIN_ROWS if min_rows is None else min_rows))
+    salts = F.greatest(F.lit(SALTS), F.ceil(F.col(count_col) / F.lit(ROWS_PER_SALT))).cast("int")
+    return large.orderBy(F.desc(count_col), *keys).limit(HOT_KEYS).select(*keys, salts.alias("__salts"))
+
+
 def heaviest(counts: DataFrame, keys: list[str], count_col: str, min_rows: int | None = None) -> DataFrame:
     """The keys with the most rows, at most ``HOT_KEYS`` of them."""
-    large = counts.filter(F.col(count_col) >= (HOT_MIN_ROWS if min_rows is None else min_rows))
-    return large.orderBy(F.desc(count_col), *keys).limit(HOT_KEYS).select(*keys)
+    return hot_keys(counts, keys, count_col, min_rows).select(*keys)
 
 
 def salted_join(
@@ -45,23 +53,24 @@ def salted_join(
     hot: DataFrame,
     salt_by: list[str],
     how: str = "inner",
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Join with the hot keys of ``left`` spread over ``salts`` tasks.
+    """Join with the hot keys of ``left``, spread over as many tasks as :func:`hot_keys` says, or ``SALTS``.
 
     Only rows of ``right`` with a hot key are copied, once per salt; every other
     key joins on salt 0. ``salt_by`` names left columns that vary within a key.
     """
-    marked = F.broadcast(hot.select(*keys).withColumn("__hot", F.lit(True)))
+    salts = F.col("__salts") if "__salts" in hot.columns else F.lit(SALTS)
+    marked = F.broadcast(hot.select(*keys, salts.alias("__salts")))
+    is_hot = F.col("__salts").isNotNull()
     spread = left.join(marked, keys, "left").withColumn(
         "__salt",
-        F.when(F.col("__hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
+        F.when(is_hot, F.pmod(F.xxhash64(*salt_by), F.col("__salts")).cast("int")).otherwise(F.lit(0)),
     )
     copied = right.join(marked, keys, "left").withColumn(
         "__salt",
-        F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
+        F.explode(F.when(is_hot, F.sequence(F.lit(0), F.col("__salts") - 1)).otherwise(F.array(F.lit(0)))),
     )
-    return spread.drop("__hot").join(copied.drop("__hot"), [*keys, "__salt"], how).drop("__salt")
+    return spread.drop("__salts").join(copied.drop("__salts"), [*keys, "__salt"], how).drop("__salt")
 
 
 def join_small_or_salted(
@@ -76,7 +85,7 @@ def join_small_or_salted(
     if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), keys, how)
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return salted_join(left, right, keys, heaviest(counts, keys, "__n"), salt_by, how)
+    return salted_join(left, right, keys, hot_keys(counts, keys, "__n"), salt_by, how)
 
 
 def attach_stats(
@@ -88,5 +97,5 @@ def attach_stats(
     computed with map-side combining and joined back with hot keys spread out.
     """
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in aggregates.items()])
-    hot = heaviest(stats, keys, "__n")
+    hot = hot_keys(stats, keys, "__n")
     return salted_join(rows, stats.drop("__n"), keys, hot, salt_by)

@@ -56,9 +56,9 @@ def read_pageviews(spark: SparkSession, path: str, prefix: str = "en.wikipedia")
     return picked.select(F.col("id").cast("long"), F.col("views").cast("long"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
-    """CSV with a header. Quoted values may span lines, which keeps a file in one task;
-    ``multi_line=False`` lets large files without such values be split."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """CSV with a header. ``multi_line=True`` lets quoted values span lines, which keeps a
+    file in one task; without it large files are split."""
     reader = spark.read.schema(schema).option("header", True).option("escape", '"')
     return reader.option("multiLine", multi_line).csv(path)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
@@ -30,21 +33,33 @@ def sortedness(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
     """One row per parquet part: rows, first and last key, and how many steps go down.
 
     ``breaks`` counts descents inside the part, plus one when its first key is
-    below the last key of the part before it.
+    below the last key of the part before it. Rows are compared where they are read;
+    only a summary of each batch is shuffled.
     """
     placed = spark.read.parquet(path).select(
-        F.col(key), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos")
-    )
+        F.col(key).alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("pos"))
+    kind = placed.schema["key"].dataType.simpleString()
+
+    def runs(batches):
+        for batch in batches:
+            keys, files, pos = batch.columns
+            names = files.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for a, z in zip(cuts, cuts[1:]):
+                if z > a:
+                    k = keys.slice(a, z - a)
+                    falls = pc.sum(pc.greater(k.slice(0, len(k) - 1), k.slice(1))).as_py() or 0
+                    yield pa.RecordBatch.from_arrays(
+                        [files.slice(a, 1), pos.slice(a, 1), pa.array([z - a], pa.int64()), k.slice(0, 1), k.slice(len(k) - 1, 1),
+                         pa.array([falls], pa.int64())], names=["file", "pos", "n", "first", "last", "falls"])
+
+    found = placed.mapInArrow(runs, f"file string, pos bigint, n bigint, first {kind}, last {kind}, falls bigint")
     step = Window.partitionBy("file").orderBy("pos")
     parts = (
-        placed.withColumn("prev", F.lag(key).over(step))
+        found.withColumn("falls", F.col("falls") + F.when(F.lag("last").over(step) > F.col("first"), 1).otherwise(0))
         .groupBy("file")
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.min_by(key, "pos").alias("first_key"),
-            F.max_by(key, "pos").alias("last_key"),
-            F.count(F.when(F.col("prev") > F.col(key), 1)).alias("inner_breaks"),
-        )
+        .agg(F.sum("n").alias("n_rows"), F.min_by("first", "pos").alias("first_key"),
+             F.max_by("last", "pos").alias("last_key"), F.sum("falls").alias("inner_breaks"))
     )
     chain = Window.orderBy("file")  # one row per part file
     between = F.when(F.lag("last_key").over(chain) > F.col("first_key"), 1).otherwise(0)

@@ -2,7 +2,8 @@
 
 import pytest
 
-from corpuslab.operators import explain, graph, index as ix, profile, relational as rel, retrieve as rt
+from corpuslab.operators import explain, graph, grid, index as ix, profile, relational as rel, retrieve as rt
+from corpuslab.plans import skew
 from corpuslab.plans.quantiles import exact_quantiles
 from corpuslab.plans.storage import new_path
 from corpuslab.sources import index_store
@@ -87,3 +88,43 @@ def test_correlation_of_one_column(spark):
 def test_nan_is_no_value(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),)], "v double")
     assert exact_quantiles(df, {"v": [0.5]}) == {"v": [1.5]}
+
+
+def test_salts_grow_with_the_rows_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 5)
+    counts = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 1)], "k string, n long")
+    hot = skew.hot_keys(counts, ["k"], "n", min_rows=50)
+    assert rows(hot) == [("a", 200), ("b", 64)]
+    left = spark.range(1000).selectExpr("'a' AS k", "id")
+    right = spark.createDataFrame([("a", 1), ("c", 2)], "k string, v int")
+    got = skew.salted_join(left, right, ["k"], hot, ["id"])
+    assert got.columns == ["k", "id", "v"] and got.count() == 1000
+
+
+def test_paths_with_a_heavy_source_and_equal_ways(spark, large):
+    edges = spark.createDataFrame(
+        [(0, i, 1) for i in range(1, 80)] + [(i, 100, 2) for i in range(1, 80)] + [(0, 100, 3), (0, 200, 9), (100, 200, 1)],
+        "src long, dst long, weight long")
+    got = {r["id"]: (r["dist"], r["pred"]) for r in graph.shortest_paths(edges, spark.createDataFrame([(0,)], "id long")).collect()}
+    assert len(got) == 82 and got[0] == (0, None) and got[100] == (3, 0) and got[200] == (4, 100)
+    assert all(got[i] == (1, 0) for i in range(1, 80))
+
+
+def test_grid_indexes_outside_a_sheet_are_errors(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "x")], "sheet_id long, row_idx long, col_idx long, value string")
+    sheets = spark.createDataFrame([(1, 2, 3), (2, 5, 5)], "sheet_id long, n_rows long, n_cols long")
+    for run in (
+        lambda: grid.swap_rows(cells, 0, 2, sheets), lambda: grid.swap_cols(cells, -1, 0, sheets),
+        lambda: grid.insert_row(cells, sheets, 2), lambda: grid.find_first(cells, "x", col=3, sheets=sheets),
+    ):
+        with pytest.raises(IndexError):
+            run()
+    assert rows(grid.swap_rows(cells, 0, 1, sheets)) == [(1, 1, 0, "x")]
+
+
+def test_dense_opens_sheets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(grid, "BLOCK_ROWS", 3)
+    cells = spark.createDataFrame([(1, 6, 1, "x")], "sheet_id long, row_idx long, col_idx long, value string")
+    sheets = spark.createDataFrame([(1, 7, 2), (2, 3, 1), (3, 0, 4)], "sheet_id long, n_rows long, n_cols long")
+    want = [(1, r, c, "x" if (r, c) == (6, 1) else "") for r in range(7) for c in range(2)] + [(2, r, 0, "") for r in range(3)]
+    assert rows(grid.dense(cells, sheets)) == want
