@@ -10,6 +10,7 @@ are linked exactly when they share such a value, which takes linear work.
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpuslab.llm.common import map_text, numbered, quoted
 from corpuslab.llm.components import components
+from corpuslab.plans.skew import hot_keys, salted_join
 from corpuslab.plans.storage import written
 
 SEED = 42
@@ -28,10 +30,15 @@ DISTANCE = 2
 PAIRED = 32
 # A fingerprint is frequent when it holds at least 1/HOT of all rows.
 HOT = 256
-# The stage: seeds of the word fingerprints, and the most bits that differ at a similarity of 0.8.
-STAGE_SEEDS = tuple(range(SEED, SEED + 8))
+# The stage: word fingerprints of a document, of which a pair must share a key of one and differ
+# in at most STAGE_NEAR of its bits.
+STAGE_TABLES = 12
+STAGE_NEAR = 8
+# Its shingle fingerprint has 64 * STAGE_WIDTH bits. Texts that share 0.8 of their shingles differ
+# in 78 bits of 512 in the mean, the angle of cosine 2 * 0.8 / 1.8, with a deviation of 8.
 STAGE_SHINGLE = 5
-STAGE_BITS = 12
+STAGE_WIDTH = 8
+STAGE_BITS = 92
 
 
 def words(text: str | None) -> list[bytes]:
@@ -49,14 +56,36 @@ def shingles(tokens: list[bytes], size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist())]
 
 
+def hashes(features: list[bytes], seed: int = SEED) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(f, seed) for f in features), np.uint64, len(features))
+
+
+def over_half(hashed: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit number."""
+    bits = np.unpackbits(hashed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    most = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashed)
+    return int.from_bytes(np.packbits(most).tobytes(), "big", signed=True)
+
+
 def majority(features: list[bytes], seed: int = SEED) -> int:
     """The fingerprint as a signed 64-bit number; zero without features."""
+    return over_half(hashes(features, seed)) if features else 0
+
+
+def mixed(hashed: np.ndarray, n: int) -> np.ndarray:
+    """The ``n``-th new hash of each hash: an offset and the finishing steps of SplitMix64."""
+    x = hashed + np.uint64((n + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def majorities(features: list[bytes], n: int) -> list[int]:
+    """``n`` fingerprints of the same features under different hashes."""
     if not features:
-        return 0
-    hashed = np.fromiter((xxhash.xxh64_intdigest(f, seed) for f in features), np.uint64, len(features))
-    bits = np.unpackbits(hashed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    over_half = bits.sum(axis=0, dtype=np.int64) * 2 > len(features)
-    return int.from_bytes(np.packbits(over_half).tobytes(), "big", signed=True)
+        return [0] * n
+    hashed = hashes(features)
+    return [over_half(mixed(hashed, i)) for i in range(n)]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, keep: list[str] | None = None) -> DataFrame:
@@ -72,27 +101,35 @@ def distance(a: str | Column, b: str | Column) -> Column:
     return F.bit_count((F.col(a) if isinstance(a, str) else a).bitwiseXOR(F.col(b) if isinstance(b, str) else b))
 
 
-def close_pairs(prints: DataFrame) -> DataFrame:
+def close_pairs(prints: DataFrame, near: int = DISTANCE) -> DataFrame:
     """(tag, a, b): links between fingerprints of one tag at two or fewer differing bits.
 
     ``prints`` holds distinct (tag, fp). Every close pair is either listed itself or joined
-    through one fingerprint that lies close to both, so no connection is lost.
+    through one fingerprint that lies close to both, so no connection is lost. With a larger
+    ``near``, pairs of up to that many differing bits that agree in two blocks are listed
+    too; where a key is shared by many, those with its smallest fingerprint.
     """
     masks = []
     for agree in combinations(range(BLOCKS), BLOCKS - DISTANCE):
         mask = sum(0xFFFF << (BLOCK_BITS * block) for block in agree)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keys = prints.select("tag", "fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("blocks"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)
+        F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)
     ])).alias("key"))
+    # keys that collide only make more pairs to verify
     key = ["tag", "key"]
     shared = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = written(keys.join(shared, key), "blocks")
     few = met.filter(F.col("n") <= PAIRED)
     pairs = (
         few.select(*key, F.col("fp").alias("a")).join(few.select(*key, F.col("fp").alias("b")), key)
-        .filter((F.col("a") < F.col("b")) & (distance("a", "b") <= DISTANCE)).select("tag", "a", "b")
+        .filter((F.col("a") < F.col("b")) & (distance("a", "b") <= near)).select("tag", "a", "b")
     )
+    if near > DISTANCE:
+        many = met.filter(F.col("n") > PAIRED)
+        least = written(many.groupBy(*key).agg(F.min("fp").alias("a")), "least")
+        centred = many.join(least, key).select("tag", "a", F.col("fp").alias("b"))
+        pairs = pairs.union(centred.filter((F.col("a") < F.col("b")) & (distance("a", "b") <= near)))
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
     around = met.filter(F.col("n") > PAIRED).select("tag", "fp").distinct().select("tag", "fp", F.explode(flips).alias("value"))
     least = around.groupBy("tag", "value").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -126,51 +163,63 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: i
     return marked.filter("frequent").select(*out).union(rest.select(*out))
 
 
+def look_up(pairs: DataFrame, table: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
+    """``pairs`` with the columns of ``table``; keys with at least 1/HOT of the pairs are spread over tasks."""
+    counts = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counts, keys, "n", max(2, pairs.count() // HOT))
+    return salted_join(pairs, table, keys, hot, [salt_by])
+
+
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay when one of each group of near copies does.
 
-    Near copies share at least 0.8 of the bits of their five-word-shingle fingerprints.
-    At that similarity up to 12 of 64 bits differ, too many for selective blocks. So
-    candidates come from fingerprints of a document's distinct words, which few edits
-    hardly move: eight of them with different seeds, each linked at two or fewer bits.
-    Links are then verified on the shingle fingerprint. Of a group, the smallest id
-    stays (null ids last, equal ids by row).
+    Near copies share at least 0.8 of their five-word shingles, as told by the bits that
+    differ in 512-bit fingerprints of them. At that similarity too many bits differ for
+    selective blocks. So candidates come from fingerprints of a document's distinct words,
+    which few edits hardly move: twelve of them under different hashes, and a pair is
+    verified when one of them agrees in two blocks. Of a group, the smallest id stays
+    (null ids last, equal ids by row).
     """
     rows, row = numbered(docs)
-    fields = [T.StructField("shingles", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("same", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType())),
+              T.StructField("words", T.ArrayType(T.LongType()))]
 
     def make():
         def work(texts):
-            runs, sets = [], []
+            same, runs, sets = [], [], []
             for t in texts:
                 tokens = words(t)
-                runs.append(majority(shingles(tokens, STAGE_SHINGLE)))
-                distinct = list(set(tokens))
-                sets.append([majority(distinct, seed) for seed in STAGE_SEEDS])
-            return [runs, sets]
+                runs.append(majorities(shingles(tokens, STAGE_SHINGLE), STAGE_WIDTH))
+                sets.append(majorities(list(set(tokens)), STAGE_TABLES))
+                same.append(blake2b(np.array([*runs[-1], *sets[-1]], "<i8").tobytes(), digest_size=16).digest())
+            return [same, runs, sets]
         return work
 
     given = rows.select(F.col(row).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text"))
     each = written(map_text(given, "text", fields, make, ["row", "id"]), "fingerprints")
     # rows with all fingerprints equal are one node
     node = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("node")
-    nodes = written(each.groupBy("shingles", "words").agg(node), "nodes")
-    prints = nodes.select(F.posexplode("words").alias("tag", "fp"), "node", "shingles")
-    centre = written(prints.groupBy("tag", "fp").agg(F.min(F.struct("node", "shingles")).alias("centre")), "centres")
-    same = prints.join(centre, ["tag", "fp"]).select(
-        F.col("node").alias("a"), "shingles", F.col("centre.node").alias("b"), F.col("centre.shingles").alias("other"))
-    near = (
-        close_pairs(centre.select("tag", "fp"))
-        .join(centre.select("tag", F.col("fp").alias("a"), F.col("centre").alias("one")), ["tag", "a"])
-        .join(centre.select("tag", F.col("fp").alias("b"), F.col("centre").alias("two")), ["tag", "b"])
-        .select(F.col("one.node").alias("a"), F.col("one.shingles").alias("shingles"),
-                F.col("two.node").alias("b"), F.col("two.shingles").alias("other"))
-    )
-    edges = same.union(near).filter((F.col("a") != F.col("b")) & (distance("shingles", "other") <= STAGE_BITS))
-    hung = components(edges.select("a", "b")).filter("node <> root").select(F.col("node.row").alias("at"))
+    nodes = written(each.groupBy("same").agg(node, F.first("shingles").alias("shingles"), F.first("words").alias("words")), "nodes")
+    # one row stands for all that have a word fingerprint in common
+    prints = nodes.select(F.posexplode("words").alias("tag", "fp"), F.col("node.row").alias("at"))
+    centre = written(prints.groupBy("tag", "fp").agg(F.min("at").alias("centre"), F.count(F.lit(1)).alias("n")), "centres")
+    shared = written(centre.filter("n > 1").drop("n"), "shared")
+    same = prints.join(shared, ["tag", "fp"]).filter("at <> centre").select(F.col("at").alias("a"), F.col("centre").alias("b"))
+    near = written(close_pairs(centre.select("tag", "fp"), STAGE_NEAR), "close")
+    for side, other in (("a", "b"), ("b", "a")):
+        ends = centre.select("tag", F.col("fp").alias(side), F.col("centre").alias(f"{side}_at"))
+        near = look_up(near, ends, ["tag", side], other)
+    near = near.select(F.greatest("a_at", "b_at").alias("a"), F.least("a_at", "b_at").alias("b")).filter("a <> b")
+    edges = written(same.union(near).distinct(), "candidates")
+    for side, other in (("a", "b"), ("b", "a")):
+        ends = nodes.select(F.col("node.row").alias(side), F.col("node").alias(f"{side}_node"), F.col("shingles").alias(f"{side}_bits"))
+        edges = look_up(edges, ends, [side], other)
+    differ = sum(distance(F.col("a_bits")[i], F.col("b_bits")[i]) for i in range(STAGE_WIDTH))
+    edges = edges.filter(differ <= STAGE_BITS).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    hung = components(edges).filter("node <> root").select(F.col("node.row").alias("at"))
     # of rows with equal fingerprints all but the first go; of nodes in one component all but the root
-    first = nodes.select("shingles", "words", F.col("node.row").alias("first"))
-    repeats = each.join(first, ["shingles", "words"]).filter("row <> first").select(F.col("row").alias("at"))
+    repeats = each.select("same", "row").join(nodes.select("same", F.col("node.row").alias("first")), "same")
+    repeats = repeats.filter("row <> first").select(F.col("row").alias("at"))
     dropped = repeats.union(hung).distinct().select(F.col("at").alias(row))
     return rows.join(dropped, row, "left_anti").drop(row)
 

@@ -134,6 +134,33 @@ def test_near_dedup_takes_one_of_each_group(spark, docs, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("paired", [32, 1])
+def test_near_dedup_at_the_threshold(spark, paired, monkeypatch):
+    """Copies with 0.82 or more of their shingles in common go, all others stay, whichever way keys are paired."""
+    import random
+
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    draw = random.Random(5)
+    rows, first = [], set()
+    for group in range(40):
+        base = [f"w{draw.randrange(3000)}" for _ in range(draw.randrange(150, 600))]
+        rows.append((len(rows), " ".join(base)))
+        first.add(rows[-1][0])
+        size = len(set(simhash.shingles([w.encode() for w in base], 5)))
+        for _ in range(draw.choice([0, 1, 2])):
+            near = list(base)
+            while True:
+                tried = list(near)
+                tried[draw.randrange(len(near))] = f"x{draw.randrange(10**6)}"
+                same = len(set(simhash.shingles([w.encode() for w in base], 5)) & set(simhash.shingles([w.encode() for w in tried], 5)))
+                if same / (2 * size - same) < 0.82:
+                    break
+                near = tried
+            rows.append((len(rows), " ".join(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.near_dedup(df).collect()} == first
+
+
 # ---- mixing
 
 
