@@ -34,6 +34,7 @@ HOT = 256
 # in at most STAGE_NEAR of its bits.
 STAGE_TABLES = 12
 STAGE_NEAR = 8
+STAGE_PAIRED = 8
 # Its shingle fingerprint has 64 * STAGE_WIDTH bits. Texts that share 0.8 of their shingles differ
 # in 78 bits of 512 in the mean, the angle of cosine 2 * 0.8 / 1.8, with a deviation of 8.
 STAGE_SHINGLE = 5
@@ -101,7 +102,7 @@ def distance(a: str | Column, b: str | Column) -> Column:
     return F.bit_count((F.col(a) if isinstance(a, str) else a).bitwiseXOR(F.col(b) if isinstance(b, str) else b))
 
 
-def close_pairs(prints: DataFrame, near: int = DISTANCE) -> DataFrame:
+def close_pairs(prints: DataFrame, near: int = DISTANCE, paired: int | None = None) -> DataFrame:
     """(tag, a, b): links between fingerprints of one tag at two or fewer differing bits.
 
     ``prints`` holds distinct (tag, fp). Every close pair is either listed itself or joined
@@ -109,6 +110,7 @@ def close_pairs(prints: DataFrame, near: int = DISTANCE) -> DataFrame:
     ``near``, pairs of up to that many differing bits that agree in two blocks are listed
     too; where a key is shared by many, those with its smallest fingerprint.
     """
+    paired = PAIRED if paired is None else paired
     masks = []
     for agree in combinations(range(BLOCKS), BLOCKS - DISTANCE):
         mask = sum(0xFFFF << (BLOCK_BITS * block) for block in agree)
@@ -120,18 +122,18 @@ def close_pairs(prints: DataFrame, near: int = DISTANCE) -> DataFrame:
     key = ["tag", "key"]
     shared = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = written(keys.join(shared, key), "blocks")
-    few = met.filter(F.col("n") <= PAIRED)
+    few = met.filter(F.col("n") <= paired)
     pairs = (
         few.select(*key, F.col("fp").alias("a")).join(few.select(*key, F.col("fp").alias("b")), key)
         .filter((F.col("a") < F.col("b")) & (distance("a", "b") <= near)).select("tag", "a", "b")
     )
     if near > DISTANCE:
-        many = met.filter(F.col("n") > PAIRED)
+        many = met.filter(F.col("n") > paired)
         least = written(many.groupBy(*key).agg(F.min("fp").alias("a")), "least")
         centred = many.join(least, key).select("tag", "a", F.col("fp").alias("b"))
         pairs = pairs.union(centred.filter((F.col("a") < F.col("b")) & (distance("a", "b") <= near)))
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
-    around = met.filter(F.col("n") > PAIRED).select("tag", "fp").distinct().select("tag", "fp", F.explode(flips).alias("value"))
+    around = met.filter(F.col("n") > paired).select("tag", "fp").distinct().select("tag", "fp", F.explode(flips).alias("value"))
     least = around.groupBy("tag", "value").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = (
         around.join(least, ["tag", "value"]).filter(F.col("a") < F.col("fp"))
@@ -163,11 +165,20 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: i
     return marked.filter("frequent").select(*out).union(rest.select(*out))
 
 
-def look_up(pairs: DataFrame, table: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
-    """``pairs`` with the columns of ``table``; keys with at least 1/HOT of the pairs are spread over tasks."""
-    counts = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts, keys, "n", max(2, pairs.count() // HOT))
-    return salted_join(pairs, table, keys, hot, [salt_by])
+def look_up(pairs: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Written ``pairs`` (a, b) with the columns of ``table`` for both ends, as a_... and b_....
+
+    ``table`` holds one row for each value of ``keys`` and ``end``. Ends with at least 1/HOT of
+    the pairs, at most HOT of them, are spread over tasks. They are counted before any join.
+    """
+    least = max(2, pairs.count() // HOT)
+    found = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        counts = pairs.groupBy(*keys, side).agg(F.count(F.lit(1)).alias("n"))
+        ends = table.select(*keys, F.col("end").alias(side), *[
+            F.col(c).alias(f"{side}_{c}") for c in table.columns if c not in (*keys, "end")])
+        found = salted_join(found, ends, [*keys, side], hot_keys(counts, [*keys, side], "n", least), [other])
+    return found
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -205,15 +216,11 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     centre = written(prints.groupBy("tag", "fp").agg(F.min("at").alias("centre"), F.count(F.lit(1)).alias("n")), "centres")
     shared = written(centre.filter("n > 1").drop("n"), "shared")
     same = prints.join(shared, ["tag", "fp"]).filter("at <> centre").select(F.col("at").alias("a"), F.col("centre").alias("b"))
-    near = written(close_pairs(centre.select("tag", "fp"), STAGE_NEAR), "close")
-    for side, other in (("a", "b"), ("b", "a")):
-        ends = centre.select("tag", F.col("fp").alias(side), F.col("centre").alias(f"{side}_at"))
-        near = look_up(near, ends, ["tag", side], other)
+    near = written(close_pairs(centre.select("tag", "fp"), STAGE_NEAR, STAGE_PAIRED), "close")
+    near = look_up(near, centre.select("tag", F.col("fp").alias("end"), F.col("centre").alias("at")), ["tag"])
     near = near.select(F.greatest("a_at", "b_at").alias("a"), F.least("a_at", "b_at").alias("b")).filter("a <> b")
     edges = written(same.union(near).distinct(), "candidates")
-    for side, other in (("a", "b"), ("b", "a")):
-        ends = nodes.select(F.col("node.row").alias(side), F.col("node").alias(f"{side}_node"), F.col("shingles").alias(f"{side}_bits"))
-        edges = look_up(edges, ends, [side], other)
+    edges = look_up(edges, nodes.select(F.col("node.row").alias("end"), "node", F.col("shingles").alias("bits")), [])
     differ = sum(distance(F.col("a_bits")[i], F.col("b_bits")[i]) for i in range(STAGE_WIDTH))
     edges = edges.filter(differ <= STAGE_BITS).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     hung = components(edges).filter("node <> root").select(F.col("node.row").alias("at"))
