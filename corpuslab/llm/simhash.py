@@ -34,7 +34,7 @@ HOT = 256
 # in at most STAGE_NEAR of its bits.
 STAGE_TABLES = 12
 STAGE_NEAR = 8
-STAGE_PAIRED = 8
+STAGE_PAIRED = PAIRED
 # Its shingle fingerprint has 64 * STAGE_WIDTH bits. Texts that share 0.8 of their shingles differ
 # in 78 bits of 512 in the mean, the angle of cosine 2 * 0.8 / 1.8, with a deviation of 8.
 STAGE_SHINGLE = 5
