@@ -38,6 +38,8 @@ STAGE_PAIRED = PAIRED
 # Its shingle fingerprint has 64 * STAGE_WIDTH bits. Texts that share 0.8 of their shingles differ
 # in 78 bits of 512 in the mean, the angle of cosine 2 * 0.8 / 1.8, with a deviation of 8.
 STAGE_SHINGLE = 5
+# The share of distinct shingles, as a fraction.
+STAGE_SHARE = 4, 5
 STAGE_WIDTH = 8
 STAGE_BITS = 92
 
@@ -181,11 +183,42 @@ def look_up(pairs: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return found
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's runs of ``STAGE_SHINGLE`` words; a shorter text is one run."""
+    tokens = words(text)
+    if not tokens:
+        return np.empty(0, np.uint64)
+    each = hashes(tokens)
+    size = min(STAGE_SHINGLE, len(each))
+    total = np.full(len(each) - size + 1, size, np.uint64)
+    for i in range(size):
+        total = mixed(total, i) + each[i : len(each) - size + 1 + i]
+    return np.unique(mixed(total, size))
+
+
+def verified(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the written ``edges`` (a, b) whose texts share ``STAGE_SHARE`` of their distinct shingles.
+
+    ``rows`` holds ``row``, which is unique, and ``text``. The sets themselves are compared.
+    """
+    ends = edges.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+
+    def make():
+        return lambda texts: [[shingle_set(t).view(np.int64) for t in texts]]
+
+    field = T.StructField("set", T.ArrayType(T.LongType()))
+    sets = written(map_text(rows.join(ends, "row", "left_semi"), "text", [field], make, ["row"]), "sets")
+    both = look_up(edges, sets.withColumnRenamed("row", "end"), [])
+    same, sizes = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+    over, under = STAGE_SHARE
+    return both.filter(same * (over + under) >= sizes * over).select("a", "b")
+
+
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay when one of each group of near copies does.
 
-    Near copies share at least 0.8 of their five-word shingles, as told by the bits that
-    differ in 512-bit fingerprints of them. At that similarity too many bits differ for
+    Near copies share at least 0.8 of their distinct five-word shingles. Candidates are told by
+    the bits that differ in 512-bit fingerprints, and then their sets are compared. At that similarity too many bits differ for
     selective blocks. So candidates come from fingerprints of a document's distinct words,
     which few edits hardly move: twelve of them under different hashes, and a pair is
     verified when one of them agrees in two blocks. Of a group, the smallest id stays
@@ -202,13 +235,13 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
                 tokens = words(t)
                 runs.append(majorities(shingles(tokens, STAGE_SHINGLE), STAGE_WIDTH))
                 sets.append(majorities(list(set(tokens)), STAGE_TABLES))
-                same.append(blake2b(np.array([*runs[-1], *sets[-1]], "<i8").tobytes(), digest_size=16).digest())
+                same.append(blake2b(shingle_set(t).astype("<u8").tobytes(), digest_size=16).digest())
             return [same, runs, sets]
         return work
 
     given = rows.select(F.col(row).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text"))
     each = written(map_text(given, "text", fields, make, ["row", "id"]), "fingerprints")
-    # rows with all fingerprints equal are one node
+    # rows with equal sets of shingles are one node
     node = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("node")
     nodes = written(each.groupBy("same").agg(node, F.first("shingles").alias("shingles"), F.first("words").alias("words")), "nodes")
     # one row stands for all that have a word fingerprint in common
@@ -222,9 +255,11 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     edges = written(same.union(near).distinct(), "candidates")
     edges = look_up(edges, nodes.select(F.col("node.row").alias("end"), "node", F.col("shingles").alias("bits")), [])
     differ = sum(distance(F.col("a_bits")[i], F.col("b_bits")[i]) for i in range(STAGE_WIDTH))
-    edges = edges.filter(differ <= STAGE_BITS).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    edges = verified(written(edges.filter(differ <= STAGE_BITS).select("a", "b"), "estimated"), given)
+    edges = look_up(written(edges, "verified"), nodes.select(F.col("node.row").alias("end"), "node"), [])
+    edges = edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     hung = components(edges).filter("node <> root").select(F.col("node.row").alias("at"))
-    # of rows with equal fingerprints all but the first go; of nodes in one component all but the root
+    # of rows with equal sets all but the first go; of nodes in one component all but the root
     repeats = each.select("same", "row").join(nodes.select("same", F.col("node.row").alias("first")), "same")
     repeats = repeats.filter("row <> first").select(F.col("row").alias("at"))
     dropped = repeats.union(hung).distinct().select(F.col("at").alias(row))

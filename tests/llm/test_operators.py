@@ -161,6 +161,19 @@ def test_near_dedup_at_the_threshold(spark, paired, monkeypatch):
     assert {r["doc_id"] for r in simhash.near_dedup(df).collect()} == first
 
 
+def test_near_dedup_compares_the_shingles(spark):
+    """Texts filled up by one repeated passage, or just below the threshold, stay."""
+    line = [f"r{i}" for i in range(10)] * 60
+    rows = [(i, " ".join(line + [f"u{i}_{j}" for j in range(40)])) for i in range(4)]
+    base = [f"w{i}" for i in range(404)]
+    for i in range(4):
+        # 400 shingles, of which 0.785 of the union are shared
+        rows.append((10 + 2 * i, " ".join(f"{w}_{i}" for w in base)))
+        rows.append((11 + 2 * i, " ".join([f"{w}_{i}" for w in base[:356]] + [f"z{j}_{i}" for j in range(48)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.near_dedup(df).count() == len(rows)
+
+
 # ---- mixing
 
 
