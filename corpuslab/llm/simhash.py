@@ -14,12 +14,13 @@ from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from corpuslab.llm.common import map_text, numbered, quoted
+from corpuslab.llm.common import map_text, numbered, quoted, slices
 from corpuslab.llm.components import components
-from corpuslab.plans.skew import hot_keys, salted_join
+from corpuslab.plans.skew import fits_broadcast, hot_keys, salted_join
 from corpuslab.plans.storage import written
 
 SEED = 42
@@ -30,14 +31,11 @@ DISTANCE = 2
 PAIRED = 32
 # A fingerprint is frequent when it holds at least 1/HOT of all rows.
 HOT = 256
-# The stage: word fingerprints of a document, of which a pair must share a key of one and differ
-# in at most STAGE_NEAR of its bits.
-STAGE_TABLES = 12
-STAGE_NEAR = 8
+# The stage: keys shared by up to this many texts pair all of them.
 STAGE_PAIRED = PAIRED
-# Its shingle fingerprint has 64 * STAGE_WIDTH bits. Texts that share 0.8 of their shingles differ
-# in 78 bits of 512 in the mean, the angle of cosine 2 * 0.8 / 1.8, with a deviation of 8.
 STAGE_SHINGLE = 5
+# Shingles are counted in so many buckets to put the frequent ones last.
+RANK_BUCKETS = 1 << 16
 # The share of distinct shingles, as a fraction.
 STAGE_SHARE = 4, 5
 STAGE_WIDTH = 8
@@ -83,14 +81,6 @@ def mixed(hashed: np.ndarray, n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def majorities(features: list[bytes], n: int) -> list[int]:
-    """``n`` fingerprints of the same features under different hashes."""
-    if not features:
-        return [0] * n
-    hashed = hashes(features)
-    return [over_half(mixed(hashed, i)) for i in range(n)]
-
-
 def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Add ``fp``: the fingerprint of the ``size``-word shingles; null and empty texts get zero."""
 
@@ -104,15 +94,12 @@ def distance(a: str | Column, b: str | Column) -> Column:
     return F.bit_count((F.col(a) if isinstance(a, str) else a).bitwiseXOR(F.col(b) if isinstance(b, str) else b))
 
 
-def close_pairs(prints: DataFrame, near: int = DISTANCE, paired: int | None = None) -> DataFrame:
+def close_pairs(prints: DataFrame) -> DataFrame:
     """(tag, a, b): links between fingerprints of one tag at two or fewer differing bits.
 
     ``prints`` holds distinct (tag, fp). Every close pair is either listed itself or joined
-    through one fingerprint that lies close to both, so no connection is lost. With a larger
-    ``near``, pairs of up to that many differing bits that agree in two blocks are listed
-    too; where a key is shared by many, those with its smallest fingerprint.
+    through one fingerprint that lies close to both, so no connection is lost.
     """
-    paired = PAIRED if paired is None else paired
     masks = []
     for agree in combinations(range(BLOCKS), BLOCKS - DISTANCE):
         mask = sum(0xFFFF << (BLOCK_BITS * block) for block in agree)
@@ -124,18 +111,13 @@ def close_pairs(prints: DataFrame, near: int = DISTANCE, paired: int | None = No
     key = ["tag", "key"]
     shared = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = written(keys.join(shared, key), "blocks")
-    few = met.filter(F.col("n") <= paired)
+    few = met.filter(F.col("n") <= PAIRED)
     pairs = (
         few.select(*key, F.col("fp").alias("a")).join(few.select(*key, F.col("fp").alias("b")), key)
-        .filter((F.col("a") < F.col("b")) & (distance("a", "b") <= near)).select("tag", "a", "b")
+        .filter((F.col("a") < F.col("b")) & (distance("a", "b") <= DISTANCE)).select("tag", "a", "b")
     )
-    if near > DISTANCE:
-        many = met.filter(F.col("n") > paired)
-        least = written(many.groupBy(*key).agg(F.min("fp").alias("a")), "least")
-        centred = many.join(least, key).select("tag", "a", F.col("fp").alias("b"))
-        pairs = pairs.union(centred.filter((F.col("a") < F.col("b")) & (distance("a", "b") <= near)))
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
-    around = met.filter(F.col("n") > paired).select("tag", "fp").distinct().select("tag", "fp", F.explode(flips).alias("value"))
+    around = met.filter(F.col("n") > PAIRED).select("tag", "fp").distinct().select("tag", "fp", F.explode(flips).alias("value"))
     least = around.groupBy("tag", "value").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = (
         around.join(least, ["tag", "value"]).filter(F.col("a") < F.col("fp"))
@@ -214,49 +196,86 @@ def verified(edges: DataFrame, rows: DataFrame) -> DataFrame:
     return both.filter(same * (over + under) >= sizes * over).select("a", "b")
 
 
+def crowded(docs: DataFrame, text: str) -> dict[int, int]:
+    """Of ``RANK_BUCKETS`` buckets of shingles, the counts of those with over four times the mean.
+
+    They are less than a quarter of the buckets, whatever the table.
+    """
+
+    def run(batches):
+        counts = np.zeros(RANK_BUCKETS, np.int64)
+        for batch in batches:
+            for part in slices(batch, text):
+                for t in part.column(text).to_pylist():
+                    counts += np.bincount((shingle_set(t) % np.uint64(RANK_BUCKETS)).astype(np.int64), minlength=RANK_BUCKETS)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["bucket", "n"])
+
+    counts = docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = written(counts, "buckets")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return {r["bucket"]: r["n"] for r in counts.filter(F.col("n") * RANK_BUCKETS > 4 * total).collect()}
+
+
+def close_sets(met: DataFrame) -> DataFrame:
+    """(a, b): the pairs to compare of the written ``met`` (key, row, at, size, n).
+
+    ``at`` is a key's place in the row's prefix. Where the key is the first that two rows have
+    in common, they share no more than what is left from there, so pairs that cannot reach the
+    share by then are left out. All rows of a key shared by many are paired with its smallest.
+    """
+    left = met.select("key", "n", F.col("row").alias("a"), F.col("size").alias("a_size"), (F.col("size") - F.col("at")).alias("a_left"))
+    right = left.select("key", F.col("a").alias("b"), F.col("a_size").alias("b_size"), F.col("a_left").alias("b_left"))
+    over, under = STAGE_SHARE
+    reach = F.least("a_left", "b_left") * (over + under) >= (F.col("a_size") + F.col("b_size")) * over
+    few = left.filter(F.col("n") <= STAGE_PAIRED).join(right, "key").filter((F.col("a") < F.col("b")) & reach).select("a", "b")
+    many = left.filter(F.col("n") > STAGE_PAIRED).select("key", F.col("a").alias("b"))
+    least = many.groupBy("key").agg(F.min("b").alias("a"))
+    centred = many.join(F.broadcast(least) if fits_broadcast(least) else least, "key").filter("a < b").select("a", "b")
+    return few.union(centred).distinct()
+
+
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay when one of each group of near copies does.
 
-    Near copies share at least 0.8 of their distinct five-word shingles. Candidates are told by
-    the bits that differ in 512-bit fingerprints, and then their sets are compared. At that similarity too many bits differ for
-    selective blocks. So candidates come from fingerprints of a document's distinct words,
-    which few edits hardly move: twelve of them under different hashes, and a pair is
-    verified when one of them agrees in two blocks. Of a group, the smallest id stays
-    (null ids last, equal ids by row).
+    Near copies share at least 0.8 of their distinct five-word shingles. In any one order of
+    all shingles, two such sets have one in common among the first fifth of each, rounded
+    down, and one more; those are the keys by which candidates meet. Shingles of crowded
+    buckets come last, so that what many texts share is seldom a key. Of a group, the
+    smallest id stays (null ids last, equal ids by row).
     """
     rows, row = numbered(docs)
-    fields = [T.StructField("same", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType())),
-              T.StructField("words", T.ArrayType(T.LongType()))]
+    given = rows.select(F.col(row).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).cast("string").alias("text"))
+    heavy = crowded(given, "text")
+    fields = [T.StructField("same", T.BinaryType()), T.StructField("size", T.IntegerType()),
+              T.StructField("keys", T.ArrayType(T.LongType()))]
+    over, under = STAGE_SHARE
 
     def make():
+        rank = np.zeros(RANK_BUCKETS, np.int64)
+        rank[list(heavy)] = list(heavy.values())
+
         def work(texts):
-            same, runs, sets = [], [], []
+            same, sizes, keys = [], [], []
             for t in texts:
-                tokens = words(t)
-                runs.append(majorities(shingles(tokens, STAGE_SHINGLE), STAGE_WIDTH))
-                sets.append(majorities(list(set(tokens)), STAGE_TABLES))
-                same.append(blake2b(shingle_set(t).astype("<u8").tobytes(), digest_size=16).digest())
-            return [same, runs, sets]
+                found = shingle_set(t)
+                same.append(blake2b(found.astype("<u8").tobytes(), digest_size=16).digest())
+                sizes.append(len(found))
+                order = np.lexsort((found, rank[(found % np.uint64(RANK_BUCKETS)).astype(np.int64)]))
+                # as many of them can be missing in the other text, and one more
+                keys.append(found[order[: len(found) * (under - over) // under + 1]].view(np.int64))
+            return [same, sizes, keys]
         return work
 
-    given = rows.select(F.col(row).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).alias("text"))
-    each = written(map_text(given, "text", fields, make, ["row", "id"]), "fingerprints")
+    each = written(map_text(given, "text", fields, make, ["row", "id"]), "prefixes")
     # rows with equal sets of shingles are one node
     node = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("node")
-    nodes = written(each.groupBy("same").agg(node, F.first("shingles").alias("shingles"), F.first("words").alias("words")), "nodes")
-    # one row stands for all that have a word fingerprint in common
-    prints = nodes.select(F.posexplode("words").alias("tag", "fp"), F.col("node.row").alias("at"))
-    centre = written(prints.groupBy("tag", "fp").agg(F.min("at").alias("centre"), F.count(F.lit(1)).alias("n")), "centres")
-    shared = written(centre.filter("n > 1").drop("n"), "shared")
-    same = prints.join(shared, ["tag", "fp"]).filter("at <> centre").select(F.col("at").alias("a"), F.col("centre").alias("b"))
-    near = written(close_pairs(centre.select("tag", "fp"), STAGE_NEAR, STAGE_PAIRED), "close")
-    near = look_up(near, centre.select("tag", F.col("fp").alias("end"), F.col("centre").alias("at")), ["tag"])
-    near = near.select(F.greatest("a_at", "b_at").alias("a"), F.least("a_at", "b_at").alias("b")).filter("a <> b")
-    edges = written(same.union(near).distinct(), "candidates")
-    edges = look_up(edges, nodes.select(F.col("node.row").alias("end"), "node", F.col("shingles").alias("bits")), [])
-    differ = sum(distance(F.col("a_bits")[i], F.col("b_bits")[i]) for i in range(STAGE_WIDTH))
-    edges = verified(written(edges.filter(differ <= STAGE_BITS).select("a", "b"), "estimated"), given)
-    edges = look_up(written(edges, "verified"), nodes.select(F.col("node.row").alias("end"), "node"), [])
+    nodes = written(each.groupBy("same").agg(node, F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    prefix = nodes.select(F.col("node.row").alias("row"), "size", F.posexplode("keys").alias("at", "key"))
+    shared = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = written(prefix.join(shared, "key"), "met")
+    edges = written(verified(written(close_sets(met), "candidates"), given), "verified")
+    edges = look_up(edges, nodes.select(F.col("node.row").alias("end"), "node"), [])
     edges = edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     hung = components(edges).filter("node <> root").select(F.col("node.row").alias("at"))
     # of rows with equal sets all but the first go; of nodes in one component all but the root

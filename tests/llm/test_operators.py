@@ -174,6 +174,24 @@ def test_near_dedup_compares_the_shingles(spark):
     assert simhash.near_dedup(df).count() == len(rows)
 
 
+def test_near_dedup_finds_added_and_replaced_passages(spark):
+    """Copies at 0.8 or little more go, by an appended or one replaced passage."""
+    import random
+
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(40):
+        base = draw.choices(vocabulary, k=404)
+        rows.append((10 * i, " ".join(base)))
+        # 400 shingles of 500, and 356 of 444
+        rows.append((10 * i + 1, " ".join(base + draw.choices(vocabulary, k=100))))
+        at = draw.randrange(4, 360)
+        rows.append((10 * i + 2, " ".join(base[:at] + draw.choices(vocabulary, k=40) + base[at + 40:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.near_dedup(df).collect()} == {10 * i for i in range(40)}
+
+
 # ---- mixing
 
 
