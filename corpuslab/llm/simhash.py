@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpuslab.llm.common import map_text, numbered, quoted, slices
 from corpuslab.llm.components import components
-from corpuslab.plans.skew import fits_broadcast, hot_keys, salted_join
+from corpuslab.plans.skew import hot_keys, join_small_or_salted, salted_join
 from corpuslab.plans.storage import written
 
 SEED = 42
@@ -33,9 +33,11 @@ PAIRED = 32
 HOT = 256
 # The stage: keys shared by up to this many texts pair all of them.
 STAGE_PAIRED = PAIRED
+# Others are paired with so many of their texts at a time.
+STAGE_CENTRES = 4
 STAGE_SHINGLE = 5
-# Shingles are counted in so many buckets to put the frequent ones last.
-RANK_BUCKETS = 1 << 16
+# Shingles are counted in twice so many buckets to put the frequent ones last.
+RANK_BUCKETS = 1 << 17
 # The share of distinct shingles, as a fraction.
 STAGE_SHARE = 4, 5
 STAGE_WIDTH = 8
@@ -196,43 +198,103 @@ def verified(edges: DataFrame, rows: DataFrame) -> DataFrame:
     return both.filter(same * (over + under) >= sizes * over).select("a", "b")
 
 
-def crowded(docs: DataFrame, text: str) -> dict[int, int]:
-    """Of ``RANK_BUCKETS`` buckets of shingles, the counts of those with over four times the mean.
+def places(found: np.ndarray) -> np.ndarray:
+    """Two buckets for each hash, one in each half of ``2 * RANK_BUCKETS``."""
+    n = np.uint64(RANK_BUCKETS)
+    return np.stack([found % n, mixed(found, 0) % n + n]).astype(np.int64)
 
-    They are less than a quarter of the buckets, whatever the table.
-    """
+
+def bucket_counts(docs: DataFrame, text: str) -> np.ndarray:
+    """How many shingles of texts each bucket holds; the lesser count of a shingle's two tells the frequent ones."""
 
     def run(batches):
-        counts = np.zeros(RANK_BUCKETS, np.int64)
+        counts = np.zeros(2 * RANK_BUCKETS, np.int64)
         for batch in batches:
             for part in slices(batch, text):
-                for t in part.column(text).to_pylist():
-                    counts += np.bincount((shingle_set(t) % np.uint64(RANK_BUCKETS)).astype(np.int64), minlength=RANK_BUCKETS)
+                sets = [shingle_set(t) for t in part.column(text).to_pylist()]
+                counts += np.bincount(places(np.concatenate(sets)).ravel(), minlength=2 * RANK_BUCKETS)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["bucket", "n"])
 
-    counts = docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = written(counts, "buckets")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r["bucket"]: r["n"] for r in counts.filter(F.col("n") * RANK_BUCKETS > 4 * total).collect()}
+    found = docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(2 * RANK_BUCKETS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def reach() -> Column:
+    """Whether (a_size, a_left) and (b_size, b_left) can still reach the share, where a key is the first in common."""
+    over, under = STAGE_SHARE
+    return F.least("a_left", "b_left") * (over + under) >= (F.col("a_size") + F.col("b_size")) * over
+
 
+def ends(met: DataFrame, end: str, more: list[str] = []) -> DataFrame:
+    left = F.col("size") - F.col("at")
+    return met.select("key", F.col("row").alias(end), F.col("size").alias(f"{end}_size"), left.alias(f"{end}_left"),
+                      *[F.col(c).alias(f"{end}_{c}") for c in more])
 
-def close_sets(met: DataFrame) -> DataFrame:
-    """(a, b): the pairs to compare of the written ``met`` (key, row, at, size, n).
 
-    ``at`` is a key's place in the row's prefix. Where the key is the first that two rows have
-    in common, they share no more than what is left from there, so pairs that cannot reach the
-    share by then are left out. All rows of a key shared by many are paired with its smallest.
+def few_pairs(met: DataFrame) -> DataFrame:
+    """(a, b): the pairs to compare of those keys of the written ``met`` (key, row, at, size, n) that few rows share.
+
+    ``at`` is a key's place in the row's prefix.
     """
-    left = met.select("key", "n", F.col("row").alias("a"), F.col("size").alias("a_size"), (F.col("size") - F.col("at")).alias("a_left"))
-    right = left.select("key", F.col("a").alias("b"), F.col("a_size").alias("b_size"), F.col("a_left").alias("b_left"))
-    over, under = STAGE_SHARE
-    reach = F.least("a_left", "b_left") * (over + under) >= (F.col("a_size") + F.col("b_size")) * over
-    few = left.filter(F.col("n") <= STAGE_PAIRED).join(right, "key").filter((F.col("a") < F.col("b")) & reach).select("a", "b")
-    many = left.filter(F.col("n") > STAGE_PAIRED).select("key", F.col("a").alias("b"))
-    least = many.groupBy("key").agg(F.min("b").alias("a"))
-    centred = many.join(F.broadcast(least) if fits_broadcast(least) else least, "key").filter("a < b").select("a", "b")
-    return few.union(centred).distinct()
+    few = met.filter(F.col("n") <= STAGE_PAIRED)
+    return ends(few, "a").join(ends(few, "b"), "key").filter((F.col("a") < F.col("b")) & reach()).select("a", "b").distinct()
+
+
+def unconnected(many: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """The rows of ``many`` in keys that ``edges`` leave in several components, with ``root``.
+
+    Also these keys with their counts of rows, ``n``, the number of rows and that of pairs
+    of a key in different components.
+    """
+    group = components(edges).select(F.col("node").alias("row"), "root").distinct()
+    rooted = written(many.drop("n").join(group, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"))
+    keys = parts.groupBy("key").agg(F.sum("part").alias("n"), F.sum(F.col("part") * F.col("part")).alias("inside"), F.count(F.lit(1)).alias("parts"))
+    keys = written(keys.filter("parts > 1").select("key", "n", "inside"), "open")
+    n, pairs = keys.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()
+    return rooted.join(keys.select("key"), "key", "left_semi"), keys.select("key", "n"), n or 0, int(pairs or 0)
+
+
+def centred_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): the ``rows`` of a key with ``STAGE_CENTRES`` of them, others at each ``turn``, in other components."""
+    centres = rows.groupBy("key").agg(F.array(*[
+        F.min_by(F.struct("row", "size", "at", "root"), F.xxhash64("row", F.lit(turn * STAGE_CENTRES + i))) for i in range(STAGE_CENTRES)
+    ]).alias("c")).select("key", F.explode(F.array_distinct("c")).alias("c")).select("key", "c.*")
+    pairs = join_small_or_salted(ends(rows, "a", ["root"]), ends(written(centres, "centres"), "b", ["root"]), ["key"], ["a"])
+    pairs = pairs.filter((F.col("a_root") != F.col("b_root")) & reach())
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def all_pairs(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a key in different components, spread over tasks."""
+    pairs = salted_join(ends(rows, "a", ["root"]), ends(rows, "b", ["root"]), ["key"], hot_keys(keys, ["key"], "n", STAGE_PAIRED), ["a"])
+    return pairs.filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & reach()).select("a", "b").distinct()
+
+
+def near_edges(met: DataFrame, given: DataFrame) -> DataFrame:
+    """(a, b): pairs of rows at the share that connect all such pairs of ``met``.
+
+    Keys shared by many first pair their rows with a few, which connects most of a large
+    group of copies, as long as that halves what is unconnected. Then all pairs that are
+    still unconnected are compared.
+    """
+    edges = written(verified(written(few_pairs(met), "candidates"), given), "verified")
+    many = met.filter(F.col("n") > STAGE_PAIRED)
+    before, turn = None, 0
+    while True:
+        rows, keys, n, left = unconnected(many, edges)
+        if not left:
+            return edges
+        last = left <= STAGE_CENTRES * n or before is not None and 2 * left > before
+        pairs = all_pairs(rows, keys) if last else centred_pairs(rows, turn)
+        more = written(verified(written(pairs, "candidates"), given), "verified")
+        edges = edges.union(more)
+        if last:
+            return written(edges.distinct(), "verified")
+        before, turn = left, turn + 1
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -240,28 +302,25 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
 
     Near copies share at least 0.8 of their distinct five-word shingles. In any one order of
     all shingles, two such sets have one in common among the first fifth of each, rounded
-    down, and one more; those are the keys by which candidates meet. Shingles of crowded
-    buckets come last, so that what many texts share is seldom a key. Of a group, the
+    down, and one more; those are the keys by which candidates meet. The order goes by counts
+    of buckets, so that what many texts share is seldom a key. Of a group, the
     smallest id stays (null ids last, equal ids by row).
     """
     rows, row = numbered(docs)
     given = rows.select(F.col(row).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).cast("string").alias("text"))
-    heavy = crowded(given, "text")
+    counts = bucket_counts(given, "text")
     fields = [T.StructField("same", T.BinaryType()), T.StructField("size", T.IntegerType()),
               T.StructField("keys", T.ArrayType(T.LongType()))]
     over, under = STAGE_SHARE
 
     def make():
-        rank = np.zeros(RANK_BUCKETS, np.int64)
-        rank[list(heavy)] = list(heavy.values())
-
         def work(texts):
             same, sizes, keys = [], [], []
             for t in texts:
                 found = shingle_set(t)
                 same.append(blake2b(found.astype("<u8").tobytes(), digest_size=16).digest())
                 sizes.append(len(found))
-                order = np.lexsort((found, rank[(found % np.uint64(RANK_BUCKETS)).astype(np.int64)]))
+                order = np.lexsort((found, counts[places(found)].min(axis=0)))
                 # as many of them can be missing in the other text, and one more
                 keys.append(found[order[: len(found) * (under - over) // under + 1]].view(np.int64))
             return [same, sizes, keys]
@@ -274,7 +333,7 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     prefix = nodes.select(F.col("node.row").alias("row"), "size", F.posexplode("keys").alias("at", "key"))
     shared = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = written(prefix.join(shared, "key"), "met")
-    edges = written(verified(written(close_sets(met), "candidates"), given), "verified")
+    edges = near_edges(met, given)
     edges = look_up(edges, nodes.select(F.col("node.row").alias("end"), "node"), [])
     edges = edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     hung = components(edges).filter("node <> root").select(F.col("node.row").alias("at"))

@@ -192,6 +192,44 @@ def test_near_dedup_finds_added_and_replaced_passages(spark):
     assert {r["doc_id"] for r in simhash.near_dedup(df).collect()} == {10 * i for i in range(40)}
 
 
+def test_near_dedup_among_unrelated_texts_of_equal_words(spark):
+    """Near copies are found among more texts of one vocabulary than are paired at once, all with one passage."""
+    import random
+
+    draw = random.Random(9)
+    vocabulary, passage = [f"w{i}" for i in range(120)], [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        text = draw.sample(vocabulary, 120)
+        # the passage has 56 of 61 shingles, so that it is in every prefix; the first ones are unrelated
+        rows.append((i, " ".join(passage + text[:5] if i % 2 else text)))
+    for i in (60, 70):
+        rows.append((100 + i, rows[i][1] + " v1"))
+    short = [draw.sample(vocabulary, 14) for _ in range(40)]
+    for i, text in enumerate(short):
+        # 16 shingles in common of 30: below 0.8 to each other, and to the two copies that end in one more word
+        rows.append((1000 + i, " ".join([f"q{j}" for j in range(20)] + text)))
+    rows += [(2000 + i, rows[-40 + i][1] + " v2") for i in (20, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    sets = {i: set(simhash.shingles(simhash.words(t), 5)) for i, t in rows}
+    first = {i: i for i in sets}
+
+    def top(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((top(a), top(b)))
+                first[high] = low
+    kept = {i for i in sets if top(i) == i}
+    assert len(kept) < len(sets) - 4
+    assert {r["doc_id"] for r in simhash.near_dedup(df).collect()} == kept
+
+
 # ---- mixing
 
 
