@@ -28,7 +28,8 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+# "=" belongs to a token only as padding at its end, so that NAME=value is two tokens
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,2}(?![A-Za-z0-9+/_=-]))?", re.ASCII)
 TOKEN_LEAST = 16
 LENGTHS = (16, 20, 24, 32, 48, 1 << 62)
 SCORES = 50
@@ -91,18 +92,26 @@ def randomness(token: str) -> float:
 
 
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, int, int, bool]]:
-    """(start, end, length class, score class, holds a digit) of long tokens outside base spans."""
+    """(start, end, length class, score class, holds a digit) of long tokens, or their long parts, outside base spans."""
     out = []
     if max(map(len, text.split()), default=0) < TOKEN_LEAST:
         return out
     for m in TOKEN.finditer(text):
-        start, end = m.span()
-        if any(a < end and start < b for a, _, b in base):
+        if m.end() - m.start() < TOKEN_LEAST:
             continue
-        length = next(i for i in range(len(LENGTHS) - 1) if end - start < LENGTHS[i + 1])
-        score = min(SCORES - 1, int(randomness(m[0]) * SCORES))
-        has_digit = any(c.isdigit() for c in m[0])
-        out.append((start, end, length, score, has_digit and any(c.isalpha() for c in m[0])))
+        at, parts = m.start(), []
+        for a, _, b in base:
+            if at < b and a < m.end():
+                parts.append((at, a))
+                at = max(at, b)
+        for start, end in [*parts, (at, m.end())]:
+            if end - start < TOKEN_LEAST:
+                continue
+            token = text[start:end]
+            length = next(i for i in range(len(LENGTHS) - 1) if end - start < LENGTHS[i + 1])
+            score = min(SCORES - 1, int(randomness(token) * SCORES))
+            has_digit = any(c.isdigit() for c in token)
+            out.append((start, end, length, score, has_digit and any(c.isalpha() for c in token)))
     return out
 
 
@@ -148,8 +157,8 @@ def joined(spans: Column) -> Column:
 def secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: (id, base, spans), arrays of (start, kind, end) in code points.
 
-    ``spans`` holds the base spans and the random tokens that do not touch one, by start and
-    kind. A null text is an empty text; without long tokens, or with too few ordinary ones to
+    ``spans`` holds the base spans and the random tokens, or their parts, outside of them, by
+    start and kind. A null text is an empty text; without long tokens, or with too few ordinary ones to
     bound the false-discovery rate, nothing is added.
     """
     given = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))

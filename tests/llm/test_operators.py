@@ -373,6 +373,25 @@ def test_random_tokens_are_added(spark, odd, empty):
     assert secret_scan.secrets(odd).count() == len(ODD) and secret_scan.secrets(empty).count() == 0
 
 
+def test_random_values_after_a_name_are_added(spark):
+    rng = random.Random(3)
+    secret = lambda: "".join(rng.choice(secret_scan.ALPHABETS[3][1][:62]) for _ in range(40))
+    plain = lambda: "".join(rng.choice(["the", "tion", "er", "an", "in"]) for _ in range(8))
+    forms = ("AWS_ACCESS_KEY={}", "DB_CRED={}", "http://a.b/c?sig={}&x=1", "key={}==")
+    rows = [(i, f"{plain()} {forms[i % 4].format(secret())} {plain()}" if i < 40 else " ".join(plain() for _ in range(8))) for i in range(80)]
+    got = {r["id"]: r for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for form in range(4):
+        assert sum(any(s["kind"] == "random" for s in got[i]["spans"]) for i in range(form, 40, 4)) >= 7
+    assert not any(got[i]["spans"] for i in range(40, 80))
+
+
+def test_parts_outside_base_spans_are_scored():
+    text = "Zk3Xq9Lw7Rt2Vb8Nm4Hc_" + "0f" * 12 + "_Zk3Xq9Lw7Rt2Vb8Nm4Hc"
+    parts = [text[t[0]:t[1]] for t in secret_scan.candidates(text, secret_scan.base_spans(text))]
+    assert parts == ["Zk3Xq9Lw7Rt2Vb8Nm4Hc_", "_Zk3Xq9Lw7Rt2Vb8Nm4Hc"]
+    assert [t[:2] for t in secret_scan.candidates("NAME=" + "aB3" * 6, [])] == [(5, 23)]
+
+
 def test_random_scores_are_uniform():
     rng = random.Random(4)
     p = [secret_scan.randomness("".join(rng.choice("0123456789abcdef") for _ in range(64))) for _ in range(300)]
