@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import exact_dedup, flac, language_id, license_scan, mixing, secret_scan, sentencepiece_bpe, sharding, simhash, toxicity
+from corpuslab.llm import exact_dedup, filter_audit, flac, language_id, license_scan, mixing, secret_scan, sentencepiece_bpe, sharding, simhash, source_divergence, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,5 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_flac": flac.op9_flac,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_source_divergence": source_divergence.op12_source_divergence,
+}
+ORACLES = {
+    "op3_mixing": mixing.OP3_SQL,
+    "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_source_divergence": source_divergence.OP12_SQL,
 }
-ORACLES = {"op3_mixing": mixing.OP3_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
