@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslab.llm import exact_dedup, filter_audit, flac, language_id, license_scan, mixing, secret_scan, sentencepiece_bpe, sharding, simhash, source_divergence, toxicity
+from corpuslab.llm import exact_dedup, filter_audit, flac, jaccard_join, language_id, license_scan, mixing, secret_scan, sentencepiece_bpe, sharding, simhash, source_divergence, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_source_divergence": source_divergence.op12_source_divergence,
+    "op13_jaccard_join": jaccard_join.op13_jaccard_join,
 }
 ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
