@@ -530,7 +530,11 @@ def test_license_scan(spark, odd, empty):
 def test_query(spark, sf, name):
     got = queries.QUERIES[name](spark, sf)
     rows = got.collect()
-    assert len(rows) == 200 and "doc_id" in got.columns
+    # the audits report on sources, not on documents
+    if name in ("op11_filter_audit", "op12_source_divergence"):
+        assert rows
+    else:
+        assert len(rows) == 200 and "doc_id" in got.columns
     if name in queries.ORACLES:
         con = duckdb.connect()
         con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
