@@ -17,6 +17,8 @@ the edge of a range counts its terms on each side.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -30,7 +32,9 @@ MIN_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
 # A task hands on its counts when it holds so many terms, and its corrections when it holds so many pairs.
-HELD = 250_000
+HELD = 600_000
+# Ranges of paths are cut by so many first entries.
+RANGE_ENTRIES = 3
 # A-Z in lower case; whatever is neither a letter A-Z nor beyond ASCII parts terms.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -84,52 +88,51 @@ def gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // (p + q)
 
 
+@lru_cache(maxsize=4096)
+def ends(n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ancestors and nodes of a path of ``n``, for the nodes at ``depth`` or deeper."""
+    node, above = np.tril_indices(n, -1)
+    use = node >= depth
+    return above[use], node[use]
+
+
 class Walk:
     """The tree of the rows of one language, walked in the order of their paths.
 
-    Held are the nodes from the root to the last row inserted. A node whose last row has
-    been inserted adds its corrections with all ancestors and is left.
+    Held are the nodes from the root to the last row inserted, by source, count, p and the p of
+    count 0. A node whose last row has been inserted adds its corrections with all ancestors and
+    is left.
     """
 
     def __init__(self) -> None:
-        self.path: list[tuple[int, int]] = []  # (source, count)
-        self.p = np.empty((2, 0), np.int64)  # p and that of count 0
+        self.path = np.empty((4, 0), np.int64)
         self.times = np.empty(0, np.int64)
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def insert(self, path: list[tuple[int, int]], p: np.ndarray, times: int) -> None:
-        same = 0
-        for a, b in zip(self.path, path):
-            if a != b:
-                break
-            same += 1
+    def insert(self, path: np.ndarray, times: int) -> None:
+        n = min(self.path.shape[1], path.shape[1])
+        other = (self.path[:2, :n] != path[:2, :n]).any(axis=0)
+        same = int(other.argmax()) if other.any() else n
         self.leave(same)
         self.path = path
-        self.p = p
-        self.times = np.concatenate([self.times[:same], np.zeros(len(path) - same, np.int64)]) + times
+        self.times = np.concatenate([self.times[:same], np.zeros(path.shape[1] - same, np.int64)]) + times
 
     def leave(self, depth: int) -> None:
         """Leave the nodes at ``depth`` or deeper."""
-        n = len(self.path)
+        n = self.path.shape[1]
         if n > max(depth, 1):
-            p, o = self.p
-            node, above = slice(depth, n), slice(0, n)
-            each = (
-                gaps(p[node, None], p[None, above]) - gaps(p[node, None], o[None, above])
-                - gaps(o[node, None], p[None, above]) + gaps(o[node, None], o[None, above])
-            ) * self.times[node, None]
-            source = np.fromiter((s for s, _ in self.path), np.int64, n)
-            low, high = np.tril_indices(n, -1)[::-1]
-            use = high >= depth
-            low, high = low[use], high[use]
-            a, b = source[low], source[high]
-            self.found.append((np.minimum(a, b) << 32 | np.maximum(a, b), each[high - depth, low]))
-            self.size += len(low)
-            if self.size > 4 * HELD:
+            above, node = ends(n, depth)
+            source, _, p, o = self.path
+            p_node, o_node, p_above, o_above = p[node], o[node], p[above], o[above]
+            each = gaps(p_node, p_above) - gaps(p_node, o_above) - gaps(o_node, p_above) + gaps(o_node, o_above)
+            a, b = source[above], source[node]
+            self.found.append((np.minimum(a, b) << 32 | np.maximum(a, b), each * self.times[node]))
+            self.size += len(node)
+            if self.size > HELD:
                 self.add_up()
         self.times = self.times[:depth]
-        self.path = self.path[:depth]
+        self.path = self.path[:, :depth]
 
     def add_up(self) -> int:
         """Add up what is known of each pair; the number of pairs."""
@@ -157,7 +160,9 @@ def tree_corrections(paths: DataFrame) -> DataFrame:
 
     ``paths``: (lang, path, times) with ``path`` an array of (total, source, n, p, o) in their order.
     """
-    ordered = paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # ranges are cut by the first entries, of which a sample goes to the driver
+    start = F.transform(F.slice("path", 1, RANGE_ENTRIES), lambda x: F.struct(x["total"], x["source"], x["n"]))
+    ordered = paths.repartitionByRange("lang", start).sortWithinPartitions("lang", "path")
 
     def run(batches):
         ids: dict[str, int] = {}
@@ -173,22 +178,20 @@ def tree_corrections(paths: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column("path")
             flat = lists.flatten()
-            ends = np.cumsum([0, *[len(x) for x in lists]])
+            edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             sources = []
             for name in flat.field("source").to_pylist():
                 if name not in ids:
                     ids[name] = len(names)
                     names.append(name)
                 sources.append(ids[name])
-            counts = flat.field("n").to_pylist()
-            p = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("p", "o")])
+            nodes = np.stack([np.array(sources, np.int64), *[flat.field(c).to_numpy(zero_copy_only=False) for c in ("n", "p", "o")]])
             for i, (lang, times) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("times").to_pylist())):
                 if lang != at:
                     walk.leave(0)
                     yield from out()
                     walk, at = Walk(), lang
-                start, end = ends[i], ends[i + 1]
-                walk.insert(list(zip(sources[start:end], counts[start:end])), p[:, start:end], times)
+                walk.insert(nodes[:, edge[i] : edge[i + 1]], times)
                 if walk.size > HELD and walk.add_up() > HELD:
                     yield from out()
         walk.leave(0)
