@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslab.catalog.registry import table
 from corpuslab.functions.text import TOKEN_PATTERN, all_stop_words
-from corpuslab.operators import graph, index as ix
+from corpuslab.operators import blockmax, graph, index as ix
+from corpuslab.plans.skew import hot_keys, salted_join
 from corpuslab.plans.storage import written
 from corpuslab.sources.corpus import spread  # noqa: F401
 
@@ -66,6 +67,10 @@ def body_index(spark: SparkSession, sf_dir: str, min_postings: int = 0) -> ix.In
         table(spark, sf_dir, "documents"), "doc_id", "text", min_postings))
 
 
+def body_blocks(spark: SparkSession, sf_dir: str) -> blockmax.BlockIndex:
+    return once(spark, sf_dir, "body-blocks", lambda: blockmax.build_blocks(body_index(spark, sf_dir)))
+
+
 def title_index(spark: SparkSession, sf_dir: str, min_postings: int = 0) -> ix.Index:
     return once(spark, sf_dir, f"title{min_postings}", lambda: ix.build_index(
         titles(spark, sf_dir), "id", "title", min_postings))
@@ -96,8 +101,13 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = query_terms(queries(spark, sf_dir)).terms.groupBy("query_id").agg(
         F.max(F.struct(F.char_length("term").alias("n"), "term")).alias("best")
     ).select("query_id", F.col("best.term").alias("term"))
-    postings = body_index(spark, sf_dir).postings.select("term", "doc_id")
-    return postings.join(key, "term").select("query_id", "doc_id")
+    def make():
+        # a query has one such term; a term weighs as much as the rows it gives
+        index = body_index(spark, sf_dir)
+        weights = index.terms.join(key, "term").groupBy("term").agg((F.count(F.lit(1)) * F.max("df")).alias("n"))
+        found = salted_join(index.postings.select("term", "doc_id"), key, ["term"], hot_keys(weights, ["term"], "n"), ["doc_id"])
+        return written(found.select("query_id", "doc_id"), "relevant")
+    return once(spark, sf_dir, "relevant", make)
 
 
 # ---- the same inputs as SQL common table expressions -------------------------------

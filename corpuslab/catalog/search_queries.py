@@ -8,9 +8,9 @@ from corpuslab.catalog import fixtures as fx
 from corpuslab.catalog.fixtures import SQL_LINK_LISTS, SQL_LINKS, SQL_QUERY_TERMS, SQL_TITLES, SQL_VIEWS, sql_postings
 from corpuslab.catalog.registry import query, table
 from corpuslab.functions.scalar import rounded
-from corpuslab.operators import index as ix, ireval, retrieve as rt
+from corpuslab.operators import blockmax, index as ix, ireval, retrieve as rt
 from corpuslab.plans.ranking import top_k
-from corpuslab.plans.storage import new_path
+from corpuslab.plans.storage import new_path, written
 from corpuslab.sources import index_store
 
 BODY0 = sql_postings("body", "documents", "doc_id", "text", 0)
@@ -125,6 +125,23 @@ def bm25(spark, sf):
     return found.withColumn("score", shown())
 
 
+@query("retrieve_rt2_bm25_pruned", f"WITH {BM25} SELECT query_id, doc_id, {SHOWN}, rank FROM body_hits")
+def bm25_pruned(spark, sf):
+    """The same rows from the block-maximum index."""
+    return blockmax.search_bm25(fx.queries(spark, sf), fx.body_blocks(spark, sf)).hits.withColumn("score", shown())
+
+
+@query("retrieve_rt2_bm25_top10_pruned", f"WITH {BM25} SELECT query_id, doc_id, {SHOWN}, rank FROM body_hits WHERE rank <= 10")
+def bm25_top10_pruned(spark, sf):
+    return blockmax.search_bm25(fx.queries(spark, sf), fx.body_blocks(spark, sf), k=10).hits.withColumn("score", shown())
+
+
+@query("retrieve_rt2_pruning")
+def pruning(spark, sf):
+    """Postings of each query's terms, and those that a search for ten documents reads."""
+    return blockmax.search_bm25(fx.queries(spark, sf), fx.body_blocks(spark, sf), k=10).report
+
+
 COVER = """{b}_hits AS (SELECT query_id, doc_id, CAST(count(*) AS BIGINT) AS score FROM qterms JOIN {b}_post USING (term)
   GROUP BY query_id, doc_id)"""
 RANKED = """SELECT query_id, doc_id, score,
@@ -221,21 +238,41 @@ def candidates(spark, sf):
 
 @query("retrieve_rt8_boost", f"WITH {_boost_sql()} SELECT query_id, doc_id, {SHOWN} FROM boosted")
 def boost(spark, sf):
-    pool = _pool(spark, sf).select("query_id", "doc_id", "score")
+    pool = written(_pool(spark, sf).select("query_id", "doc_id", "score"), "candidates")
     found = rt.boost(pool, fx.link_ranks(spark, sf), fx.views(spark, sf))
     return found.withColumn("score", shown())
 
 
-@query("retrieve_rt9_search", f"""WITH {_boost_sql()},
+@query("retrieve_rt8_boost_large", f"WITH {_boost_sql()} SELECT query_id, doc_id, {SHOWN} FROM boosted")
+def boost_large(spark, sf):
+    """The popularity lookup of result tables too large to broadcast."""
+    pool = written(_pool(spark, sf).select("query_id", "doc_id", "score"), "candidates")
+    found = rt.boost(pool, fx.link_ranks(spark, sf), fx.views(spark, sf), max_rows=0)
+    return found.withColumn("score", shown())
+
+
+RT9 = f"""WITH {_boost_sql()},
 best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
   FROM boosted) WHERE rank <= 100)
-SELECT query_id, rank, doc_id, title, {SHOWN} FROM best LEFT JOIN titles ON id = doc_id""")
+SELECT query_id, rank, doc_id, title, {SHOWN} FROM best LEFT JOIN titles ON id = doc_id"""
+
+
+@query("retrieve_rt9_search", RT9)
 def search(spark, sf):
     found = rt.search(
         fx.queries(spark, sf), *_three(spark, sf), fx.link_ranks(spark, sf), fx.views(spark, sf), fx.titles(spark, sf))
     return found.withColumn("score", shown())
 
 
+@query("retrieve_rt9_search_pruned", RT9)
+def search_pruned(spark, sf):
+    """The same rows with the body part from the block-maximum index."""
+    hits = blockmax.search_bm25(fx.queries(spark, sf), fx.body_blocks(spark, sf)).hits
+    found = rt.search(
+        fx.queries(spark, sf), *_three(spark, sf), fx.link_ranks(spark, sf), fx.views(spark, sf), fx.titles(spark, sf), body_hits=hits)
+    return found.withColumn("score", shown())
+
+
 # ---- lookups -----------------------------------------------------------------------
 
 def id_lists(spark, sf):

@@ -75,15 +75,21 @@ def results_quality(results: DataFrame, qrels: DataFrame, queries: DataFrame) ->
 
 
 def evaluate(results: DataFrame, qrels: DataFrame, queries: DataFrame) -> DataFrame:
-    """All metrics of a query set in one table."""
-    five = at_k(results, qrels, queries, 5).select("query_id", F.col("precision").alias("p_at_5"))
-    thirty = at_k(results, qrels, queries, 30).select(
-        "query_id", F.col("recall").alias("r_at_30"), F.col("f1").alias("f1_at_30")
-    )
-    return (
-        average_precision(results, qrels, queries)
-        .withColumnRenamed("ap", "ap_at_40")
-        .join(five, "query_id")
-        .join(thirty, "query_id")
-        .withColumn("quality", _harmonic(F.col("p_at_5"), F.col("f1_at_30")))
-    )
+    """All metrics of a query set in one table, from one table of flagged results."""
+    flagged = running_precision(results, qrels, AP_DEPTH)
+    upto = {k: F.col("rank") <= k for k in (5, 30)}
+    per_query = flagged.groupBy("query_id").agg(
+        _r3(F.avg(F.when(F.col("hit") == 1, F.col("precision")))).alias("ap"),
+        *[F.count(F.when(u, 1)).alias(f"n{k}") for k, u in upto.items()], *[F.sum(F.when(u, F.col("hit"))).alias(f"h{k}") for k, u in upto.items()])
+    relevant = qrels.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
+    row = queries.select("query_id").join(per_query, "query_id", "left").join(relevant, "query_id", "left")
+    row = row.fillna(0, ["n5", "h5", "n30", "h30", "m"])
+
+    def precision(k: int) -> Column:
+        return F.when(F.col(f"n{k}") == 0, F.lit(0.0)).otherwise(_r3(F.try_divide(f"h{k}", f"n{k}")))
+
+    recall = F.when(F.col("m") == 0, F.lit(1.0)).otherwise(_r3(F.try_divide("h30", "m")))
+    row = row.select("query_id", F.coalesce("ap", F.lit(0.0)).alias("ap_at_40"), precision(5).alias("p_at_5"),
+                     precision(30).alias("p_at_30"), recall.alias("r_at_30"))
+    row = row.withColumn("f1_at_30", _harmonic(F.col("p_at_30"), F.col("r_at_30"))).drop("p_at_30")
+    return row.withColumn("quality", _harmonic(F.col("p_at_5"), F.col("f1_at_30")))

@@ -49,13 +49,13 @@ def known_terms(query: QueryTerms, index: Index) -> DataFrame:
     return salted_join(query.terms, table, ["term"], hot_keys(counts, ["term"], "n"), ["query_id"])
 
 
-def matches(query: QueryTerms, index: Index) -> DataFrame:
+def matches(query: QueryTerms, index: Index, known: DataFrame | None = None) -> DataFrame:
     """Postings of all query terms: query_id, term, qtf, df, doc_id, tf, dl.
 
     Index files lie in one folder per term bucket; folders that no term of a
     small query table falls into are not read.
     """
-    known = known_terms(query, index)
+    known = known_terms(query, index) if known is None else known
     postings = index.postings
     if query.small and index.buckets and "bucket" in postings.columns:
         used = known.select(text.bucket_of(F.col("term"), index.buckets).alias("b")).distinct().collect()  # at most one row per folder
@@ -84,9 +84,10 @@ def search_tfidf(
     query = query_terms(queries)
     idf = F.log(F.lit(float(index.n_docs)) / F.col("df"))
     q_weight = (1 + F.log("qtf")) * idf
-    q_norm = known_terms(query, index).groupBy("query_id").agg(F.sqrt(F.sum(q_weight * q_weight)).alias("q_norm"))
+    known = written(known_terms(query, index), "known-terms")
+    q_norm = known.groupBy("query_id").agg(F.sqrt(F.sum(q_weight * q_weight)).alias("q_norm"))
     dots = (
-        matches(query, index)
+        matches(query, index, known)
         .groupBy("query_id", "doc_id")
         .agg(F.sum((1 + F.log("tf")) * idf * q_weight).alias("dot"))
     )
@@ -97,12 +98,14 @@ def search_tfidf(
     return _best(scored, min(k, pool))
 
 
-def _join_queries(rows: DataFrame, per_query: DataFrame, small: bool) -> DataFrame:
-    """Join one value per query onto result rows; a query may own a large share of the rows."""
+def _join_queries(
+    rows: DataFrame, per_query: DataFrame, small: bool, salt_by: list[str] = ["doc_id"], keys: list[str] = ["query_id"]
+) -> DataFrame:
+    """Join one row per query, or per query and term, onto result rows; a key may own a large share of the rows."""
     if small:
-        return rows.join(F.broadcast(per_query), "query_id")
-    counts = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    return salted_join(rows, per_query, ["query_id"], hot_keys(counts, ["query_id"], "n"), ["doc_id"])
+        return rows.join(F.broadcast(per_query), keys)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return salted_join(rows, per_query, keys, hot_keys(counts, keys, "n"), salt_by)
 
 
 def bm25_weight(index: Index, k1: float = 1.2, b: float = 0.75) -> Column:
@@ -173,35 +176,43 @@ def fuse(signals: list[tuple[DataFrame, float]]) -> DataFrame:
 
 
 def fused_scores(
-    queries: DataFrame, body: Index, title: Index, anchor: Index, weights: tuple[float, float, float] = WEIGHTS
+    queries: DataFrame, body: Index, title: Index, anchor: Index, weights: tuple[float, float, float] = WEIGHTS,
+    body_hits: DataFrame | None = None,
 ) -> DataFrame:
     """Body BM25, title coverage and anchor coverage, normalised per query and added up.
 
-    Dividing title and anchor scores by the query length has no effect on the
+    ``body_hits`` are the rows of :func:`search_bm25` where another search has found them. Dividing title and anchor scores by the query length has no effect on the
     result, since the division by the maximum follows.
     """
     query = query_terms(queries)
     signals = [
-        max_normalize(search_bm25(queries, body), query.small, ranked=True),
+        max_normalize(search_bm25(queries, body) if body_hits is None else body_hits, query.small, ranked=True),
         max_normalize(coverage(query, title), query.small),
         max_normalize(coverage(query, anchor), query.small),
     ]
     return fuse(list(zip(signals, weights)))
 
 
-def attach_values(rows: DataFrame, table: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Left join of a value table (id, ...) onto few rows: the table is cut to the wanted ids first."""
-    ids = rows.select(F.col(key).alias("id")).distinct()
-    if fits_broadcast(ids):
-        table = table.join(F.broadcast(ids), "id", "left_semi")
-    return rows.join(table.withColumnRenamed("id", key), key, "left")
+def attach_values(rows: DataFrame, table: DataFrame, key: str = "doc_id", max_rows: int | None = None) -> DataFrame:
+    """Left join of a value table (id, ...) with one row per id onto result rows.
+
+    A table of few wanted ids is cut to them and broadcast; beyond that limit an id that many
+    queries found is spread over tasks.
+    """
+    wanted = rows.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("__n"))
+    if fits_broadcast(wanted, max_rows):
+        few = table.join(F.broadcast(wanted.select("id")), "id", "left_semi")
+        return rows.join(F.broadcast(few.withColumnRenamed("id", key)), key, "left")
+    hot = hot_keys(wanted.withColumnRenamed("id", key), [key], "__n")
+    return salted_join(rows, table.withColumnRenamed("id", key), [key], hot, [c for c in rows.columns if c != key], "left")
 
 
 def boost(
-    candidates: DataFrame, pagerank: DataFrame, views: DataFrame, boosts: tuple[float, float] = BOOSTS
+    candidates: DataFrame, pagerank: DataFrame, views: DataFrame, boosts: tuple[float, float] = BOOSTS,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Add popularity: log1p of each signal over its maximum among the query's candidates."""
-    rows = attach_values(attach_values(candidates, pagerank), views)
+    rows = attach_values(attach_values(candidates, pagerank, max_rows=max_rows), views, max_rows=max_rows)
     pr = F.log1p(F.coalesce("pagerank", F.lit(0.0)))
     pv = F.log1p(F.coalesce(F.col("views").cast("double"), F.lit(0.0)))
     rows = rows.select("query_id", "doc_id", "score", pr.alias("pr"), pv.alias("pv"))
@@ -229,12 +240,13 @@ def search(
     boosts: tuple[float, float] = BOOSTS,
     candidates: int = CANDIDATES,
     k: int = RESULTS,
+    body_hits: DataFrame | None = None,
 ) -> DataFrame:
     """Fused search: query_id, rank, doc_id, title, score.
 
-    Popularity and titles are looked up only for documents that survive the cut.
+    ``body_hits`` may come from :func:`corpuslab.operators.blockmax.search_bm25`. Popularity and titles are looked up only for documents that survive the cut.
     """
-    pool = _best(fused_scores(queries, body, title, anchor, weights), candidates)
+    pool = _best(fused_scores(queries, body, title, anchor, weights, body_hits), candidates)
     pool = written(pool.select("query_id", "doc_id", "score"), "candidates")
     results = written(_best(boost(pool, pagerank, views, boosts), k), "results")
     return attach_values(results, titles.select("id", "title")).select("query_id", "rank", "doc_id", "title", "score")
