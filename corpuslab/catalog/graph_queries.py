@@ -8,7 +8,7 @@ from corpuslab.catalog import fixtures as fx
 from corpuslab.catalog.fixtures import SQL_LINKS
 from corpuslab.catalog.registry import query, table
 from corpuslab.functions.scalar import rounded
-from corpuslab.operators import graph
+from corpuslab.operators import assignment as assignment_, graph
 
 
 def sql_pagerank(edges: str, verts: str, rounds: int = 6, rescale: bool = True) -> str:
@@ -163,3 +163,51 @@ def assignment(spark, sf):
         F.col("o_orderkey").alias("request_id"), F.col("c_nationkey").alias("zone"), F.substring("o_orderpriority", 1, 1).alias("kind"))
     found = graph.assign(requests, spots, distance_weight=0.01, load_weight=0.5, kind_weight=20.0)
     return found.withColumn("score", rounded(F.col("score")))
+
+
+# Targets of a nation: the mean balance of its customers in each market segment. A spot's distance is that of its own.
+SQL_HOLD = """load AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey),
+spots AS (SELECT s_suppkey AS spot, s_nationkey AS zone, s_acctbal, coalesce(n, 0) AS load,
+  CAST(s_suppkey % 5 + 1 AS VARCHAR) AS kind FROM supplier LEFT JOIN load ON l_suppkey = s_suppkey),
+targets AS (SELECT c_nationkey AS zone, c_mktsegment AS target, round(avg(c_acctbal), 2) AS middle FROM customer GROUP BY ALL),
+req AS (SELECT o_orderkey AS request_id, o_orderdate, c_nationkey AS zone, c_mktsegment AS target, substr(o_orderpriority, 1, 1) AS kind
+  FROM orders JOIN customer ON c_custkey = o_custkey),
+class AS (SELECT *, row_number() OVER (ORDER BY zone, target, kind) AS class_no FROM (SELECT zone, target, kind, count(*) AS n FROM req GROUP BY ALL)),
+pairs AS (SELECT zone, class_no, n, spot, round(abs(s_acctbal - middle) * 0.01 + load * 0.5 + CASE WHEN c.kind = s.kind THEN 0.0 ELSE 20.0 END, 6) AS score
+  FROM class c JOIN targets USING (zone, target) JOIN spots s USING (zone)),
+turns AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY score, class_no, spot) AS i FROM pairs),
+walk AS (
+  SELECT DISTINCT zone, 0::BIGINT AS i, []::BIGINT[] AS spots, []::BIGINT[] AS classes, []::DOUBLE[] AS scores FROM pairs
+  UNION ALL
+  SELECT zone, i, CASE WHEN ok THEN list_append(spots, spot) ELSE spots END, CASE WHEN ok THEN list_append(classes, class_no) ELSE classes END,
+    CASE WHEN ok THEN list_append(scores, score) ELSE scores END
+  FROM (SELECT w.zone, t.i, w.spots, w.classes, w.scores, t.spot, t.class_no, t.score,
+          NOT list_contains(w.spots, t.spot) AND len(list_filter(w.classes, lambda x: x = t.class_no)) < t.n AS ok
+        FROM walk w JOIN turns t ON t.zone = w.zone AND t.i = w.i + 1)),
+last AS (SELECT zone, max(i) AS i FROM walk GROUP BY zone),
+held AS (SELECT unnest(spots) AS spot, unnest(classes) AS class_no, unnest(scores) AS score FROM walk JOIN last USING (zone, i)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY class_no ORDER BY score, spot) AS place FROM held),
+queue AS (SELECT request_id, class_no, row_number() OVER (PARTITION BY class_no ORDER BY o_orderdate, request_id) AS place
+  FROM req JOIN class USING (zone, target, kind))"""
+
+
+@query("graph_gr8_held_spots", f"""WITH RECURSIVE {SQL_HOLD}
+SELECT request_id, spot, score FROM queue LEFT JOIN placed USING (class_no, place)""")
+def held_spots(spark, sf):
+    """Each spot held once, by the request that it and the request can agree on.
+
+    Both sides go by the same score, so taking the best pair left, again and again, must give the same.
+    """
+    load = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("load"))
+    spots = table(spark, sf, "supplier").join(load, "s_suppkey", "left").select(
+        F.col("s_nationkey").alias("zone"), F.col("s_suppkey").alias("spot"), (F.col("s_suppkey") % 5 + 1).cast("string").alias("kind"),
+        F.coalesce("load", F.lit(0)).alias("load"), "s_acctbal")
+    targets = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("zone"), F.col("c_mktsegment").alias("target")).agg(
+        F.round(F.avg("c_acctbal"), 2).alias("middle"))
+    distances = spots.join(targets, "zone").select("zone", "target", "spot", F.abs(F.col("s_acctbal") - F.col("middle")).alias("distance"))
+    requests = table(spark, sf, "orders").join(
+        table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("request_id"), "o_orderdate", F.col("c_nationkey").alias("zone"), F.col("c_mktsegment").alias("target"),
+        F.substring("o_orderpriority", 1, 1).alias("kind"))
+    return assignment_.assign_spots(
+        requests, spots.drop("s_acctbal"), distances, [F.asc("o_orderdate")], distance_weight=0.01, load_weight=0.5, kind_weight=20.0)

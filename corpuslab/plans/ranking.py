@@ -63,3 +63,23 @@ def mark_first(df: DataFrame, n: Column, order_hash: Column, tie: list[str], fla
     )
     settled = placed.filter(~on_cut).withColumn(flag, F.col("__take") == F.col("__size"))
     return settled.unionByName(ranked).drop("__h", "__b", "__take", "__size")
+
+
+def group_places(df: DataFrame, group: list[str], order: list[Column], place: str = "place") -> DataFrame:
+    """Add ``place``: 1, 2, ... in the order of each group, for groups of any size.
+
+    Rows are dealt by ranges of (group, order). A range numbers its own rows of a group, and the
+    counts of earlier ranges, a small table, are added. The ranged rows are written, so that a
+    lost task is not dealt anew.
+    """
+    from corpuslab.plans.storage import written
+
+    ranged = df.repartitionByRange(*[F.col(c) for c in group], *order).withColumn("__range", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    counts = ranged.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*group, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*group, "__range").orderBy(*order)
+    numbered = ranged.withColumn("__place", F.row_number().over(inside))
+    # one row per group and range; a group of many ranges has as many keys
+    return numbered.join(starts, [*group, "__range"]).withColumn(place, F.col("__start") + F.col("__place")).drop("__range", "__start", "__place")
