@@ -34,6 +34,8 @@ from corpuslab.plans.storage import written
 SHARE = 4, 5
 # Counters of a task for frequent shingles, and the length of the list.
 COUNTERS = 1 << 18
+# Shingles that a task has seen less often are not sent by it.
+LEAST = 4
 # Sets that a task compares with each other.
 BLOCK = 2048
 # Rows and bytes of whole groups handled at once.
@@ -53,10 +55,12 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def frequent_shingles(docs: DataFrame, text: str, counters: int = COUNTERS) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles with at least 3 / ``counters`` of all occurrences, at most ``counters`` of them, and their order.
+    """Shingles with the most occurrences, at most ``counters`` of them, and their order.
 
     Misra-Gries summaries, one per task. A task leaves out what has at most 1 / ``counters`` of
-    its occurrences, which adds as much to the error, so that little is sent.
+    its occurrences or fewer than ``LEAST``, so that little is sent. Whatever has at least
+    3 / ``counters`` of all occurrences and ``LEAST`` a task is listed. The list decides the order of
+    shingles only, not which links are found.
     """
 
     def run(batches):
@@ -70,7 +74,7 @@ def frequent_shingles(docs: DataFrame, text: str, counters: int = COUNTERS) -> t
                 if len(keys) > counters:
                     counts = counts - np.partition(counts, -counters - 1)[-counters - 1]
                     keys, counts = keys[counts > 0], counts[counts > 0]
-        keep = counts * counters > total
+        keep = (counts * counters > total) & (counts >= LEAST)
         yield pa.RecordBatch.from_pydict({
             "shingle": pa.array([None, *keys[keep].view(np.int64).tolist()], pa.int64()),
             "n": pa.array([total, *counts[keep].tolist()], pa.int64())})
