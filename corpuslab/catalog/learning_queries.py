@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from corpuslab.catalog import fixtures as fx
@@ -251,14 +250,63 @@ def regression_tree(spark, sf):
     return quality.regression(model.transform(rows), "l_extendedprice", "prediction")
 
 
+FOLD_SQL = "CAST('0x' || substr(md5(l_orderkey || '-' || l_partkey || '-' || l_linenumber), 1, 7) AS BIGINT) % 5"
+
+
+def _folded(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", *LINE_FEATURES, "l_extendedprice")
+    fold = F.conv(F.substring(F.md5(F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber")), 1, 7), 16, 10).cast("long") % 5
+    return rows.withColumn("x", F.array(*[F.col(c).cast("double") for c in LINE_FEATURES])), fold
+
+
 @query("models_ml5_random_search")
 def random_search(spark, sf):
-    tree = DecisionTreeRegressor(featuresCol="features", labelCol="l_extendedprice", seed=42)
-    space = {tree.maxDepth: [3, 5, 8], tree.minInstancesPerNode: [1, 10, 50], tree.minInfoGain: [0.0, 0.01]}
-    rows = _lines(spark, sf).select("features", "l_extendedprice").persist()
-    _, tried = models.random_search(tree, space, rows, n=3, folds=3)
-    rows.unpersist()
-    return spark.createDataFrame([(i, str(s), float(m)) for i, (s, m) in enumerate(tried)], "draw int, setting string, mse double")
+    """30 settings of the whole space in five folds."""
+    rows, fold = _folded(spark, sf)
+    _, tried = models.random_search(rows, "x", "l_extendedprice", fold)
+    return spark.createDataFrame([(i, str(s), m) for i, (s, m) in enumerate(tried)], "draw int, setting string, mse double")
+
+
+# The best split of one node: every feature and value, by least squares.
+SQL_SPLITS = """cells AS (SELECT {key}f.f, f.v, count(*) AS n, sum(y) AS s FROM {rows},
+  LATERAL (SELECT unnest([0, 1, 2, 3]) AS f, unnest([x0, x1, x2, x3]) AS v) f GROUP BY ALL),
+below AS (SELECT *, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER a AS nn, sum(s) OVER a AS ss FROM cells
+  WINDOW w AS (PARTITION BY {key}f ORDER BY v), a AS (PARTITION BY {key}f)),
+cut AS (SELECT * FROM below WHERE nl < nn
+  QUALIFY row_number() OVER ({part} ORDER BY round((sl * sl / nl + (ss - sl) * (ss - sl) / (nn - nl) - ss * ss / nn) / (ss * ss / nn), 9) DESC, f, v) = 1)"""
+SQL_LINES = f"""lines AS (SELECT l_quantity AS x0, l_discount AS x1, l_tax AS x2, CAST(l_linenumber AS DOUBLE) AS x3, l_extendedprice AS y,
+  {FOLD_SQL} AS fold FROM lineitem)"""
+SQL_TOLD = "CASE WHEN [x0, x1, x2, x3][f + 1] <= v THEN sl / nl ELSE (ss - sl) / (nn - nl) END"
+
+
+@query("models_ml5_one_split", f"""WITH {SQL_LINES},
+train AS (SELECT held, l.* FROM lines l, (SELECT unnest([0, 1, 2, 3, 4]) AS held) WHERE fold <> held),
+{SQL_SPLITS.format(key="held, ", rows="train", part="PARTITION BY held")},
+errors AS (SELECT fold, avg(pow(y - {SQL_TOLD}, 2)) AS mse FROM lines JOIN cut ON held = fold GROUP BY fold)
+SELECT round(avg(mse), 1) + 0 AS mse FROM errors""")
+def one_split_search(spark, sf):
+    rows, fold = _folded(spark, sf)
+    _, tried = models.random_search(rows, "x", "l_extendedprice", fold, {"max_depth": [1]}, n=1)
+    return spark.createDataFrame([(m,) for _, m in tried], "mse double").select(rounded(F.col("mse"), 1).alias("mse"))
+
+
+@query("models_ml4_one_split", f"""WITH {SQL_LINES}, {SQL_SPLITS.format(key="", rows="lines", part="")},
+told AS (SELECT y, {SQL_TOLD} AS p FROM lines, cut) SELECT {{METRICS}} FROM told""".replace(
+    "{METRICS}", "round(avg(pow(y - p, 2)), 1) + 0 AS mse, round(avg(abs(y - p)), 4) + 0 AS mae, round(1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)), 6) + 0 AS r2"))
+def one_split(spark, sf):
+    """A tree of one split has a closed form."""
+    rows, _ = _folded(spark, sf)
+    model = models.fit_regression_tree(rows, "x", "l_extendedprice", models.binned.Setting(max_depth=1))
+    found = quality.regression(model.transform(rows), "l_extendedprice", "prediction")
+    return found.select(rounded(F.col("mse"), 1).alias("mse"), rounded(F.col("mae"), 4).alias("mae"), rounded(F.col("r2")).alias("r2"))
+
+
+@query("models_ml4_deep_tree")
+def deep_tree(spark, sf):
+    """The binned tree at depth 20 with ten rows a leaf."""
+    rows, _ = _folded(spark, sf)
+    model = models.fit_regression_tree(rows, "x", "l_extendedprice", models.binned.Setting(max_depth=20, min_leaf=10))
+    return quality.regression(model.transform(rows), "l_extendedprice", "prediction")
 
 
 def _boost(rounds=60):
@@ -273,12 +321,29 @@ def boosting(spark, sf):
     return found.select("vec_id", "label", "prediction", "confidence")
 
 
+@query("models_ml6_one_round", """WITH
+lines AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity AS x0, l_discount AS x1, l_tax AS x2, l_returnflag AS y FROM lineitem),
+cells AS (SELECT f.f, f.v, y, count(*) AS n FROM lines, LATERAL (SELECT unnest([0, 1, 2]) AS f, unnest([x0, x1, x2]) AS v) f GROUP BY ALL),
+vals AS (SELECT DISTINCT f, v FROM cells), flags AS (SELECT DISTINCT y FROM cells),
+below AS (SELECT f, v, y, sum(coalesce(n, 0)) OVER (PARTITION BY f, y ORDER BY v) AS nl, sum(coalesce(n, 0)) OVER (PARTITION BY f, y) AS na
+  FROM vals CROSS JOIN flags LEFT JOIN cells USING (f, v, y)),
+splits AS (SELECT f, v, sum(nl * nl) / nullif(sum(nl), 0) + sum((na - nl) * (na - nl)) / nullif(sum(na - nl), 0) AS pure FROM below GROUP BY f, v),
+cut AS (SELECT f, v FROM splits WHERE pure IS NOT NULL ORDER BY round(pure, 6) DESC, f, v LIMIT 1),
+told AS (SELECT nl > -1 AS l, max({'n': nl, 'o': -ascii(y), 'y': y}).y AS yl, max({'n': na - nl, 'o': -ascii(y), 'y': y}).y AS yr FROM below JOIN cut USING (f, v) GROUP BY 1)
+SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN [x0, x1, x2][f + 1] <= v THEN yl ELSE yr END AS prediction FROM lines, cut, told""")
+def one_round(spark, sf):
+    """One round of depth one is the best single split by Gini impurity."""
+    rows = table(spark, sf, "lineitem").withColumn("x", F.array(*[F.col(c).cast("double") for c in LINE_FEATURES[:3]]))
+    found = models.Samme("x", "l_returnflag", rounds=1, depth=1).fit(rows).transform(rows)
+    return found.select("l_orderkey", "l_partkey", "l_linenumber", "prediction")
+
+
 @query("models_ml7_pseudo_labels")
 def pseudo_labels(spark, sf):
     rows = table(spark, sf, "embeddings")
     halves = fe.exact_split(rows, "vec_id", 0.5)
     labelled, rest = halves.filter("is_train"), halves.filter("NOT is_train")
-    first, second, added = models.pseudo_label(_boost(2), labelled, rest, "vec_id", 100)
+    first, second, added = models.pseudo_label(_boost(), labelled, rest, "vec_id", 1000)
     return added.select("vec_id", "prediction", "confidence")
 
 
@@ -512,5 +577,5 @@ SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS pos, name FROM (SELECT unnes
   || ['topic1', 'topic2']) AS name FROM orders)""")
 def names(spark, sf):
     rows = table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "priority")
-    found = fe.OneHot(["priority"]).fit(rows).categories
-    return spark.createDataFrame(list(enumerate(explain.feature_names(["price"], found, 2))), "pos int, name string")
+    model = fe.OneHot(["priority"]).fit(rows)
+    return explain.feature_name_table(model.names(), model.sizes, ["price"], 2)

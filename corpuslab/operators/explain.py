@@ -84,3 +84,16 @@ def feature_names(numeric: list[str], categories: dict[str, list[str]], topics:
     """Names of assembled columns: numeric, one per category value, one per topic."""
     named = [f"{c}_{v}" for c, values in categories.items() for v in values]
     return [*numeric, *named, *[f"topic{i + 1}" for i in range(topics)]]
+
+
+def feature_name_table(names: DataFrame, sizes: dict[str, int], numeric: list[str], topics: int) -> DataFrame:
+    """(pos, name) of assembled columns, with the categories' ``names`` (column, id, name) left in their table."""
+    spark = names.sparkSession
+    starts, at = [], len(numeric)
+    for column, size in sizes.items():
+        starts.append((column, at))
+        at += size
+    ends = [*enumerate(numeric), *[(at + i, f"topic{i + 1}") for i in range(topics)]]
+    first = F.create_map(*[x for c, n in starts for x in (F.lit(c), F.lit(n))])
+    middle = names.select((F.col("id") + first[F.col("column")]).cast("int").alias("pos"), "name")
+    return middle.unionByName(spark.createDataFrame(ends, "pos int, name string"))

@@ -6,14 +6,17 @@ only. What a step learns is either a few numbers or a DataFrame that is joined.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Estimator, Model, Transformer
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslab.functions import scalar, text
 from corpuslab.operators.relational import apply_counts, distinct_counts, fill_from_map, mode_by_group
 from corpuslab.plans.quantiles import exact_quantiles
-from corpuslab.plans.ranking import mark_first
+from corpuslab.plans.ranking import group_places, mark_first
+from corpuslab.plans.skew import join_small_or_salted
 from corpuslab.plans.storage import written
 
 
@@ -132,31 +135,56 @@ class _ActivityModel(Model):
 
 
 class OneHot(Estimator):
-    """One-hot vectors per column, categories in alphabetical order; an unseen one is all zeros."""
+    """One-hot vectors per column, categories in alphabetical order; an unseen one or NULL is all zeros.
+
+    Categories are numbered where they are: the dictionary of a column is a table (value, id) with ids
+    from 0 without gaps, joined onto rows. Only the number of categories comes to the driver.
+    """
 
     def __init__(self, columns: list[str]):
         super().__init__()
         self.columns = columns
 
     def _fit(self, df: DataFrame) -> Model:
-        index = [f"{c}__ix" for c in self.columns]
-        indexer = StringIndexer(inputCols=self.columns, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc").fit(df)
-        encoder = OneHotEncoder(inputCols=index, outputCols=[f"{c}_onehot" for c in self.columns], dropLast=True,
-                                handleInvalid="error").fit(indexer.transform(df))
-        return _OneHotModel(self.columns, indexer, encoder)
+        tables = {}
+        for c in self.columns:
+            values = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("value")).distinct()
+            placed = group_places(values.withColumn("one", F.lit(1)), ["one"], [F.asc("value")])
+            tables[c] = written(placed.select("value", (F.col("place") - 1).alias("id")), "dictionary")
+        return _OneHotModel(tables, {c: t.count() for c, t in tables.items()})
 
 
 class _OneHotModel(Model):
-    def __init__(self, columns, indexer, encoder):
+    """``tables``: (value, id) per column; ``sizes``: the number of categories."""
+
+    def __init__(self, tables: dict[str, DataFrame], sizes: dict[str, int]):
         super().__init__()
-        self.columns, self.indexer, self.encoder = columns, indexer, encoder
+        self.tables, self.sizes = tables, sizes
 
-    @property
-    def categories(self) -> dict[str, list[str]]:
-        return dict(zip(self.columns, self.indexer.labelsArray))
+    def numbered(self, df: DataFrame) -> DataFrame:
+        """Add ``<column>_id``, NULL where the category was not seen."""
+        for c, table in self.tables.items():
+            known = table.select(F.col("value").alias("__value"), F.col("id").alias(f"{c}_id"))
+            rows = df.withColumn("__value", F.col(c).cast("string"))
+            df = join_small_or_salted(rows, known, ["__value"], [x for x in df.columns if x != c] or [c], "left").drop("__value")
+        return df
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return self.encoder.transform(self.indexer.transform(df)).drop(*[f"{c}__ix" for c in self.columns])
+        rows = self.numbered(df)
+        for c, size in self.sizes.items():
+            if not size:
+                raise ValueError(f"{c} had no category to learn")
+            # unseen ones get the number after the last, which the encoder leaves out
+            rows = rows.withColumn("__ix", F.coalesce(F.col(f"{c}_id"), F.lit(size)).cast("double"))
+            encoder = OneHotEncoder(inputCol="__ix", outputCol=f"{c}_onehot", dropLast=True, handleInvalid="keep")
+            ids = df.sparkSession.range(size).select(F.col("id").cast("double").alias("__ix"))
+            rows = encoder.fit(ids).transform(rows).drop("__ix", f"{c}_id")
+        return rows
+
+    def names(self) -> DataFrame:
+        """(column, id, name) of all vector entries."""
+        parts = [t.select(F.lit(c).alias("column"), "id", F.concat(F.lit(f"{c}_"), "value").alias("name")) for c, t in self.tables.items()]
+        return reduce(DataFrame.unionByName, parts)
 
 
 class PopStandardScaler(Estimator):

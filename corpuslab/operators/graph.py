@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import math
 from itertools import count
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from corpuslab.plans.buckets import Buckets
 from corpuslab.plans.skew import hot_keys, join_small_or_salted
 from corpuslab.plans.storage import written
 
@@ -105,40 +107,50 @@ def _allow(rounds: int, most: int | None) -> None:
         raise RuntimeError(f"not finished after {most} rounds")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_iter: int | None = None) -> DataFrame:
+def shortest_paths(
+    edges: DataFrame, sources: DataFrame, max_iter: int | None = None, delta: float | None = None
+) -> DataFrame:
     """(id, dist, pred) of every vertex that the sources reach over edges (src, dst, weight).
 
-    Each round relaxes only edges of vertices whose distance just changed, writes
-    only what it improved, and the last is the one after which no distance changed.
-    ``pred`` is the smallest id among equally short predecessors and NULL for a source.
-    Weights must be positive. More rounds than a given ``max_iter`` are an error, not
-    a partial result.
+    Each round relaxes edges of vertices whose distance just changed and adds what it improved to
+    the known distances, which stay dealt out by vertex: a round shuffles its own steps only. With
+    ``delta``, a round takes only changed vertices whose distance falls into the nearest interval of that
+    width, so that few are relaxed before their distance is final. The last round is the one after which no
+    distance changed. ``pred`` is the smallest id among equally short predecessors and NULL for a
+    source. Weights must be positive. More rounds than a given ``max_iter`` are an error, not a
+    partial result.
     """
     placed, salts = _by_source(written(edges.select("src", "dst", "weight"), "edges"))
     kind = edges.schema["src"].dataType
     pred = "bigint" if isinstance(kind, T.IntegralType) else kind
-    front = known = written(
-        sources.select("id", F.lit(0).cast(edges.schema["weight"].dataType).alias("dist"),
-                       F.lit(None).cast(pred).alias("pred")).distinct(),
-        "paths",
-    )
+    start = sources.select("id", F.lit(0).cast(edges.schema["weight"].dataType).alias("dist"), F.lit(None).cast(pred).alias("pred")).distinct()
+    known = Buckets(start, "id", "paths")
+    waiting = written(start.select("id", "dist"), "waiting")
     best = F.min(F.struct("dist", "pred"))
     for turn in count(1):
+        front, later = waiting, None
+        if delta is not None:
+            nearest = waiting.agg(F.min("dist")).first()[0]
+            if nearest is None:
+                break
+            within = F.floor(F.col("dist") / F.lit(delta)) <= math.floor(nearest / delta)
+            front, later = waiting.filter(within), waiting.filter(~within)
         steps = _to_sources(front.select(F.col("id").alias("src"), "dist"), salts).join(placed, ["src", "salt"]).select(
             F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").cast(pred).alias("pred"))
-        tried = steps.groupBy("id").agg(best.alias("new")).join(known.groupBy("id").agg(best.alias("old")), "id", "left")
+        tried = steps.groupBy("id").agg(best.alias("new")).join(known.read().groupBy("id").agg(best.alias("old")), "id", "left")
         found = written(
             tried.filter("old IS NULL OR new.dist < old.dist OR new.dist = old.dist AND new.pred < old.pred")
             .select("id", "new.dist", "new.pred", F.expr("old IS NULL OR new.dist < old.dist").alias("nearer")), "paths")
-        known = known.unionByName(found.drop("nearer"))
-        front = found.filter("nearer")
-        if front.isEmpty():
+        known.add(found.drop("nearer"))
+        waiting = found.filter("nearer").select("id", "dist")
+        if later is not None:
+            # of a vertex that waits and was improved, the shorter distance
+            waiting = written(later.unionByName(waiting).groupBy("id").agg(F.min("dist").alias("dist")), "waiting")
+        if waiting.isEmpty():
             break
         _allow(turn, max_iter)
-        if turn % COMPACT == 0:
-            known = written(known.groupBy("id").agg(best.alias("b")).select("id", "b.*"), "paths")
     placed.unpersist()
-    return known.groupBy("id").agg(best.alias("b")).select("id", "b.dist", "b.pred")
+    return known.close().groupBy("id").agg(best.alias("b")).select("id", "b.dist", "b.pred")
 
 
 def routes(paths: DataFrame, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -165,27 +177,26 @@ def routes(paths: DataFrame, targets: DataFrame, max_hops: int | None = None) ->
 def bfs(edges: DataFrame, sources: DataFrame, max_iter: int | None = None) -> DataFrame:
     """(id, hops): vertices that the sources reach, with the least number of edges.
 
-    Each hop writes its new vertices only; they are compacted every few hops. More hops
-    than a given ``max_iter`` are an error.
+    Reached vertices stay dealt out by vertex, so that a hop shuffles only the targets of its
+    edges. More hops than a given ``max_iter`` are an error.
     """
     placed, salts = _by_source(written(edges.select("src", "dst"), "edges"))
-    front = seen = written(sources.select("id", F.lit(0).alias("hops")).distinct(), "reached")
+    front = written(sources.select("id", F.lit(0).alias("hops")).distinct(), "reached")
+    seen = Buckets(front, "id", "reached")
     for hop in count(1):
         front = written(
             _to_sources(front.select(F.col("id").alias("src")), salts).join(placed, ["src", "salt"])
             .select(F.col("dst").alias("id")).distinct()
-            .join(seen.select("id"), "id", "left_anti")
+            .join(seen.read().select("id"), "id", "left_anti")
             .withColumn("hops", F.lit(hop)),
             "reached",
         )
         if front.isEmpty():
             break
         _allow(hop, max_iter)
-        seen = seen.unionByName(front)
-        if hop % COMPACT == 0:
-            seen = written(seen, "reached")
+        seen.add(front)
     placed.unpersist()
-    return seen
+    return seen.close()
 
 
 # The eight moves on a grid; the first four are not diagonal.

@@ -4,22 +4,19 @@ from __future__ import annotations
 
 import math
 import random
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslab.operators import trees
+from corpuslab.operators import binned, trees
 from corpuslab.operators.features import assemble
 from corpuslab.plans.storage import written
 
@@ -110,19 +107,67 @@ def regression_tree(
         maxDepth=max_depth, minInstancesPerNode=min_leaf, minInfoGain=min_gain, seed=seed)
 
 
-def random_search(estimator, space: dict, df: DataFrame, n: int = 30, folds: int = 5, parallelism: int = 4, seed: int = 42):
+class GrownTree(Model):
+    """A regression tree grown from a binned table, over an array column."""
+
+    def __init__(self, features: str, tree: binned.Grown, edges: list[np.ndarray]):
+        super().__init__()
+        self.features, self.tree, self.edges = features, tree, edges
+
+    def node(self) -> trees.Node:
+        return self.tree.node(self.edges)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        tree, edges = self.tree, self.edges
+
+        @F.pandas_udf("double")
+        def told(batch: pd.Series) -> pd.Series:
+            x = np.array([[np.nan if v is None else v for v in row] for row in batch], float).reshape(len(batch), len(edges))
+            bins = np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)], axis=1)
+            return pd.Series(np.array(tree.value)[tree.place(bins)])
+
+        return df.withColumn("prediction", told(F.col(self.features)))
+
+
+def _binned_labels(df: DataFrame, features: str, label: str, fold: Column, bins: int) -> tuple[DataFrame, list[np.ndarray]]:
+    known = df.filter(F.col(label).isNotNull())
+    edges = binned.bin_edges(known, features, bins)
+    return binned.binned(known, features, edges, {"y": F.col(label).cast("double"), "fold": fold.cast("int")}), edges
+
+
+def fit_regression_tree(df: DataFrame, features: str, label: str, setting: binned.Setting, bins: int = 256) -> GrownTree:
+    """A tree by least squares over an array column; rows without a label are left out."""
+    table, edges = _binned_labels(df, features, label, F.lit(0), bins)
+    return GrownTree(features, binned.fit_tree(table, setting, [len(e) + 1 for e in edges]), edges)
+
+
+# The settings that the search draws from.
+SEARCH_SPACE = {
+    "max_depth": [2, 4, 8, 10, 20],
+    "min_split": [2, 4, 8, 10, 20],
+    "min_leaf": [1, 2, 4, 8, 10, 20],
+    "features": [0.5, "sqrt", "log2"],
+    "alpha": [0.0, 1e-6, 1e-5, 1e-4, 1e-3],
+}
+
+
+def random_search(
+    df: DataFrame, features: str, label: str, fold: Column, space: dict = SEARCH_SPACE, n: int = 30, folds: int = 5,
+    bins: int = 256, seed: int = 42,
+) -> tuple[GrownTree, list[tuple[binned.Setting, float]]]:
     """Cross-validated search over ``n`` random settings by mean squared error.
 
-    ``space`` maps params to lists. Returns (best model, [(setting, mse)]).
+    ``fold`` numbers the rows' folds from 0. All settings and folds grow together over one binned
+    table. Returns the tree of the best setting, the first of equal ones, fitted on all rows, and all
+    settings with their errors.
     """
     rng = random.Random(seed)
-    maps = [{p: rng.choice(values) for p, values in space.items()} for _ in range(n)]
-    metric = RegressionEvaluator(labelCol=estimator.getLabelCol(), metricName="mse")
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps, evaluator=metric, numFolds=folds, parallelism=parallelism, seed=seed)
-    fitted = search.fit(df)
-    shown = [({p.name: v for p, v in m.items()}, mse) for m, mse in zip(maps, fitted.avgMetrics)]
-    return fitted.bestModel, shown
+    settings = [binned.Setting(**{k: rng.choice(v) for k, v in space.items()}, seed=seed) for _ in range(n)]
+    table, edges = _binned_labels(df, features, label, fold, bins)
+    n_bins = [len(e) + 1 for e in edges]
+    errors = binned.cross_validate(table, settings, folds, n_bins)
+    best = settings[int(np.nanargmin(errors))]
+    return GrownTree(features, binned.fit_tree(table, best, n_bins), edges), list(zip(settings, errors))
 
 
 # ---- boosting -----------------------------------------------------------------------
@@ -135,59 +180,69 @@ WRITE_EVERY = 8
 class Samme(Estimator):
     """Multi-class boosting of small trees over an array column.
 
-    A row's weight is an expression over the latest trees, evaluated while the next
-    tree reads the data; small trees cost a few comparisons per row. Every
-    ``WRITE_EVERY`` rounds the weights are written, so that a round's cost stays the same.
+    Features are binned once. A level of a tree is one pass that adds up weights by node, feature,
+    bin and class where the rows are; the last level's sums also tell the tree's error. A row's weight follows
+    from the latest trees during the pass, and every ``WRITE_EVERY`` rounds the weights are
+    written, so that a round's cost stays the same.
     """
 
-    def __init__(self, features: str, label: str, rounds: int = 60, depth: int = 2, rate: float = 0.5, bins: int = 64,
-                 seed: int = 42):
+    def __init__(self, features: str, label: str, rounds: int = 60, depth: int = 2, rate: float = 0.5, bins: int = 64):
         super().__init__()
         self.features, self.label, self.rounds, self.depth = features, label, rounds, depth
-        self.rate, self.bins, self.seed = rate, bins, seed
+        self.rate, self.bins = rate, bins
 
     def _fit(self, df: DataFrame) -> Model:
-        labels = [r[0] for r in df.select(self.label).distinct().orderBy(self.label).collect()]  # one per class
-        k = len(labels)
-        place = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(float(i)))])
-        data = df.select(
-            F.col(self.features).cast("array<double>").alias("x"), place[F.col(self.label)].alias("y")
-        ).withColumn("features", array_to_vector("x"))
-        data = written(data.withColumn("w0", F.lit(0.0)), "boosting")
-        x, y = F.col("x"), F.col("y")
-        members: list[tuple[float, trees.Node]] = []
+        labels = class_labels(df, self.label)
+        place = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
+        known = df.filter(F.col(self.label).isNotNull())
+        edges = binned.bin_edges(known, self.features, self.bins)
+        n_bins, width = [len(e) + 1 for e in edges], len(edges)
+        table = binned.binned(known, self.features, edges, {"y": place[F.col(self.label)], "w": F.lit(0.0)}).persist()
+        members: list[tuple[float, binned.Grown]] = []
         errors: list[float] = []
 
-        def log_weight(of):
-            return _total([F.col("w0"), *[F.when(trees.predict(t, x) != y, F.lit(a)).otherwise(0.0) for a, t in of]])
+        def log_weight(batch, bins, of):
+            w, y = batch.column("w").to_numpy().copy(), batch.column("y").to_numpy()
+            for a, tree in of:
+                w += a * (np.array(tree.value)[tree.place(bins)] != y)
+            return w
+
+        def weighted(batches, of):
+            for batch in batches:
+                w = log_weight(batch, binned.matrix(batch.column("bins"), width), of)
+                yield pa.RecordBatch.from_arrays([batch.column("bins"), batch.column("y"), pa.array(w)], names=["bins", "y", "w"])
 
         for i in range(self.rounds):
             latest = members[i - i % WRITE_EVERY :]
             if i and not latest:
-                data = written(data.withColumn("w0", log_weight(members[-WRITE_EVERY:])), "boosting")
-            weight = F.exp(log_weight(latest))
-            weighted = data.withColumn("w", weight)
-            learner = DecisionTreeClassifier(
-                featuresCol="features", labelCol="y", weightCol="w", maxDepth=self.depth, maxBins=self.bins, seed=self.seed)
-            tree = trees.export(learner.fit(weighted))
-            missed, total = weighted.agg(
-                F.sum(F.when(trees.predict(tree, x) != y, F.col("w")).otherwise(0.0)), F.sum("w")).first()
-            error = missed / total
-            if error <= 0:
+                before, of = table, members[-WRITE_EVERY:]
+                table = written(before.mapInArrow(lambda b, of=of: weighted(b, of), before.schema), "boosting").persist()
+                before.unpersist()
+            weigh = lambda batch, bins, of=latest: np.exp(log_weight(batch, bins, of))
+            tree, error = binned.grow_classes(table, weigh, n_bins, len(labels), self.depth)
+            if error <= 1e-12:
                 members.append((1.0, tree))
-                errors.append(error)
+                errors.append(0.0)
                 break
-            if error >= 1 - 1 / k:
+            if error >= 1 - 1 / len(labels):
                 break
-            members.append((self.rate * (math.log((1 - error) / error) + math.log(k - 1)), tree))
+            members.append((self.rate * (math.log((1 - error) / error) + math.log(len(labels) - 1)), tree))
             errors.append(error)
+        table.unpersist()
         if not members:
             raise ValueError("the first tree is no better than chance")
-        return SammeModel(self.features, labels, members, errors)
+        return SammeModel(self.features, labels, [(a, t.node(edges)) for a, t in members], errors)
+
+
+MAX_CLASSES = 1000
 
 
-def _total(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0)
+def class_labels(df: DataFrame, label: str) -> list:
+    """The distinct labels in order. More than ``MAX_CLASSES`` are an error, found before they are listed."""
+    n = df.agg(F.approx_count_distinct(label, 0.02)).first()[0]
+    if n > MAX_CLASSES:
+        raise ValueError(f"{label} has about {n} values; a label may have {MAX_CLASSES}")
+    return [r[0] for r in df.select(label).filter(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
 
 
 class SammeModel(Model):

@@ -6,12 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# At most this many keys can each hold 1/1024 of the rows, so a list of the
-# heaviest keys needs no more entries and is always safe to broadcast.
+# Keys with more rows than one task should hold are all hot; there are at most rows / ROWS_PER_SALT
+# of them. Of the others, the heaviest are.
+ROWS_PER_SALT = 1_000_000
 HOT_KEYS = 1024
-# A hot key is spread over this many tasks, or over more when it has more rows than they should hold.
+# A hot key is spread over up to this many tasks, or over more when it has more rows than they should hold.
 SALTS = 64
-ROWS_PER_SALT = 1_000_000
 # A key with fewer rows than this is no burden to one task and is not salted.
 HOT_MIN_ROWS = 100_000
 BROADCAST_ROWS = 200_000
@@ -34,15 +34,26 @@ def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int =
     return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
 
 
-def hot_keys(counts: DataFrame, keys: list[str], count_col: str, min_rows: int | None = None) -> DataFrame:
-    """The keys with the most rows, at most ``HOT_KEYS`` of them, and the number of salts of each, ``__salts``."""
-    large = counts.filter(F.col(count_col) >= (HOT_MIN_ROWS if min_rows is None else min_rows))
-    salts = F.greatest(F.lit(SALTS), F.ceil(F.col(count_col) / F.lit(ROWS_PER_SALT))).cast("int")
-    return large.orderBy(F.desc(count_col), *keys).limit(HOT_KEYS).select(*keys, salts.alias("__salts"))
+def hot_keys(
+    counts: DataFrame, keys: list[str], count_col: str, min_rows: int | None = None, rows_per_salt: int | None = None
+) -> DataFrame:
+    """The keys to spread, and the number of salts of each, ``__salts``.
+
+    All keys with at least ``rows_per_salt`` rows, and the ``HOT_KEYS`` heaviest of those with at least
+    ``min_rows``. A key gets a salt for every ``min_rows`` rows, up to ``SALTS``, or as many as keep
+    ``rows_per_salt`` rows in a task.
+    """
+    least = HOT_MIN_ROWS if min_rows is None else min_rows
+    most = max(ROWS_PER_SALT if rows_per_salt is None else rows_per_salt, least)
+    n = F.col(count_col)
+    salts = F.least(F.ceil(n / F.lit(least)), F.greatest(F.lit(SALTS), F.ceil(n / F.lit(most))))
+    chosen = counts.filter(n >= least).select(*keys, n.alias("__n"), F.greatest(F.lit(2), salts).cast("int").alias("__salts"))
+    lighter = chosen.filter(F.col("__n") < most).orderBy(F.desc("__n"), *keys).limit(HOT_KEYS)
+    return chosen.filter(F.col("__n") >= most).unionByName(lighter).select(*keys, "__salts")
 
 
 def heaviest(counts: DataFrame, keys: list[str], count_col: str, min_rows: int | None = None) -> DataFrame:
-    """The keys with the most rows, at most ``HOT_KEYS`` of them."""
+    """The keys that :func:`hot_keys` chooses."""
     return hot_keys(counts, keys, count_col, min_rows).select(*keys)
 
 
