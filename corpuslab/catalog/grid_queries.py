@@ -99,6 +99,15 @@ def find_empty(spark, sf):
     return grid.find_first(cells(spark, sf), "", sheets=sheets(spark, sf))
 
 
+@query("grid_gd3_find_empty_in_range", f"""WITH {SQL_CELLS},
+rows_ AS (SELECT sheet_id, unnest(range(n_rows)) AS row_idx, n_cols FROM sheets),
+places AS (SELECT sheet_id, row_idx, unnest(range(n_cols)) AS col_idx FROM rows_)
+SELECT sheet_id, best.r AS row_idx, best.c AS col_idx FROM (SELECT sheet_id, min({{'r': row_idx, 'c': col_idx}}) AS best
+  FROM places LEFT JOIN cells USING (sheet_id, row_idx, col_idx) WHERE coalesce(value, '') = '' AND row_idx BETWEEN 3 AND 60 AND col_idx BETWEEN 1 AND 2 GROUP BY sheet_id)""")
+def find_empty_in_range(spark, sf):
+    return grid.find_first(cells(spark, sf), "", row1=3, row2=60, col1=1, col2=2, sheets=sheets(spark, sf))
+
+
 @query("grid_gd4_find_all", f"WITH {SQL_CELLS} SELECT sheet_id, row_idx, col_idx FROM cells WHERE lower(value) = '2-high'")
 def find_all(spark, sf):
     return grid.find_all(cells(spark, sf), "2-High", case_sensitive=False)

@@ -117,15 +117,16 @@ raw AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 +
 SELECT id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)), 6) + 0 AS weight FROM raw""")
 def tfidf(spark, sf):
     docs = fx.spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return fe.TfIdf("doc_id", "text").fit(docs).transform(docs).withColumn("weight", rounded(F.col("weight")))
+    _, rows = fe.TfIdf("doc_id", "text").fit_transform(docs)
+    return rows.withColumn("weight", rounded(F.col("weight")))
 
 
 @query("features_fe9_topics")
 def topics(spark, sf):
     """Topic weights per document, long form."""
     docs = fx.spread(table(spark, sf, "documents").select("doc_id", "text"))
-    weights = fe.TfIdf("doc_id", "text").fit(docs)
-    rows = written(weights.transform(docs), "tfidf")
+    weights, rows = fe.TfIdf("doc_id", "text").fit_transform(docs)
+    rows = written(rows, "tfidf")
     model = Nmf(weights.vocabulary, k=10).fit(rows)
     return model.transform(rows).select("id", F.posexplode("topics").alias("topic", "weight"))
 
@@ -185,6 +186,21 @@ def split(spark, sf):
         F.countDistinct("o_orderkey").alias("n_ids"))
 
 
+@query("features_fe16_split_ids", """
+WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY CAST('0x' || substr(md5(o_orderkey || '-42'), 1, 15) AS BIGINT), o_orderkey) AS i FROM orders)
+SELECT o_orderkey, i <= (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM orders) AS is_train FROM r""")
+def split_ids(spark, sf):
+    return fe.exact_split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.8)
+
+
+@query("features_fe17_stratified_ids", """
+WITH l AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS i, count(*) OVER () AS k FROM embeddings GROUP BY label),
+r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5(vec_id || '-42'), 1, 15) AS BIGINT), vec_id) AS n FROM embeddings)
+SELECT vec_id, label FROM r JOIN l USING (label) WHERE n <= 203 // k + CASE WHEN i < 203 % k THEN 1 ELSE 0 END""")
+def stratified_ids(spark, sf):
+    return fe.stratified_sample(table(spark, sf, "embeddings").select("vec_id", "label"), "label", "vec_id", 203)
+
+
 @query("features_fe17_stratified", """
 WITH l AS (SELECT label, count(*) AS c, row_number() OVER (ORDER BY label) - 1 AS i, count(*) OVER () AS k FROM embeddings GROUP BY label)
 SELECT label, CAST(least(c, 203 // k + CASE WHEN i < 203 % k THEN 1 ELSE 0 END) AS BIGINT) AS n FROM l""")
@@ -226,13 +242,18 @@ def class_probability(spark, sf):
     return model.probabilities(spark).withColumn("p", rounded(F.col("p")))
 
 
-@query("models_ml3_draw_rows")
+@query("models_ml3_draw_rows", f"""WITH {SQL_THETA},
+draws AS (SELECT label, unnest(range((SELECT max(c) FROM n))) AS draw FROM n)
+SELECT label, CAST(draw AS INTEGER) AS draw,
+  string_agg(CAST(CAST(CAST('0x' || substr(md5(label || '-' || draw || '-' || i || '-42'), 1, 7) AS BIGINT) / 268435456.0::DOUBLE < p AS INTEGER) AS VARCHAR), '' ORDER BY i) AS bits
+FROM draws JOIN theta USING (label) GROUP BY label, draw""")
 def draw_rows(spark, sf):
     """As many drawn rows per class as the largest class has."""
     rows = table(spark, sf, "embeddings")
     model = models.BernoulliNB("embedding", "label").fit(rows)
     per_class = int(max(model.counts))
-    return models.draw_rows(model.probabilities(spark), per_class)
+    drawn = models.draw_rows(model.probabilities(spark), per_class)
+    return drawn.withColumn("bits", F.array_join(F.transform("bits", lambda b: b.cast("string")), ""))
 
 
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -400,6 +421,18 @@ def feature_union(spark, sf):
     return spark.createDataFrame([(f,) for f in sorted(both)], "feature string")
 
 
+@query("sets_st5_feature_union_pair", """
+WITH c AS (SELECT var_pop(l_quantity) AS qq, var_pop(l_discount) AS dd, covar_pop(l_quantity, l_discount) AS qd,
+  covar_pop(l_quantity, l_extendedprice) AS qy, covar_pop(l_discount, l_extendedprice) AS dy, stddev_pop(l_quantity) AS sq FROM lineitem)
+SELECT CASE WHEN abs((dd * qy - qd * dy) * sqrt(qq)) >= abs((qq * dy - qd * qy) * sqrt(dd)) THEN 'l_quantity' ELSE 'l_discount' END AS feature FROM c
+UNION SELECT 'l_quantity' FROM c WHERE abs(qy / sq) > 100""")
+def feature_union_pair(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    both = {*models.rfe(rows, ["l_quantity", "l_discount"], "l_extendedprice", 1),
+            *[f for f, _ in models.lasso_select(rows, ["l_quantity"], "l_extendedprice", alpha=100.0)]}
+    return spark.createDataFrame([(f,) for f in sorted(both)], "feature string")
+
+
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings").withColumn("v", array_to_vector("embedding"))
 
@@ -410,9 +443,49 @@ def kmeans(spark, sf):
     return models.kmeans(rows, "v", 10).transform(rows).select("vec_id", "prediction")
 
 
+# Rounds of k-means from the first four vectors.
+def _lloyd_sql(rounds: int) -> str:
+    parts = ["e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)",
+             "c0 AS (SELECT CAST(vec_id AS INTEGER) AS cluster, x FROM e WHERE vec_id < 4)"]
+    for r in range(rounds + 1):
+        parts.append(f"""n{r} AS MATERIALIZED (SELECT vec_id, e.x, cluster, round(pow(list_distance(e.x, c.x), 2), 9) AS far FROM e, c{r} c
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, cluster) = 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT cluster, list(m ORDER BY i) AS x FROM (
+  SELECT cluster, i, avg(x[i]) AS m FROM n{r}, range(1, 65) t(i) GROUP BY cluster, i) GROUP BY cluster)""")
+    return ",\n".join(parts)
+
+
+def _lloyd(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    start = [r["embedding"] for r in rows.filter("vec_id < 4").orderBy("vec_id").collect()]  # four rows
+    return models.lloyd(rows, "vec_id", "embedding", models.np.array(start, float), 3)
+
+
+@query("models_ml11_lloyd", f"WITH {_lloyd_sql(3)} SELECT vec_id, cluster FROM n3")
+def lloyd(spark, sf):
+    return _lloyd(spark, sf)[0].select(F.col("key").alias("vec_id"), "cluster")
+
+
+@query("models_ml12_lloyd_inertia", f"WITH {_lloyd_sql(3)} SELECT round(sum(far), 4) + 0 AS inertia FROM n3")
+def lloyd_inertia(spark, sf):
+    return spark.createDataFrame([(_lloyd(spark, sf)[2],)], "inertia double").select(rounded(F.col("inertia"), 4).alias("inertia"))
+
+
+@query("models_ml11_before_after")
+def before_after(spark, sf):
+    """Each number of clusters by inertia and silhouette, on all features and on their two principal components."""
+    rows = _vectors(spark, sf)
+    projected, _ = models.pca(rows, "v", 2)
+    projected = projected.withColumn("two", vector_to_array("pca"))
+    ks = list(range(2, 7))
+    before = models.choose_k(rows, "embedding", ks).withColumn("space", F.lit("all"))
+    return before.unionByName(models.choose_k(projected, "two", ks).withColumn("space", F.lit("pca")))
+
+
 @query("models_ml12_elbow")
 def elbow(spark, sf):
-    return models.elbow(_vectors(spark, sf), "v", [2, 5, 10])
+    return models.elbow(_vectors(spark, sf), "v", list(range(2, 11)))
 
 
 @query("models_ml12_inertia_of_one", """
@@ -429,6 +502,21 @@ def pca(spark, sf):
     return rows.select("vec_id", F.get(v, F.lit(0)).alias("c1"), F.get(v, F.lit(1)).alias("c2")).withColumn("explained", F.lit(sum(shares)))
 
 
+@query("models_ml13_pca_pair", """
+WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice / 1000) AS my, var_samp(l_quantity) AS a, var_samp(l_extendedprice / 1000) AS b,
+  covar_samp(l_quantity, l_extendedprice / 1000) AS c FROM lineitem),
+e AS (SELECT *, (a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c) AS l FROM m)
+SELECT l_orderkey, l_partkey, l_linenumber, round(abs((l_quantity - mx) * c + (l_extendedprice / 1000 - my) * (l - a)) / sqrt(c * c + (l - a) * (l - a)) + 1e-9, 4) + 0 AS size,
+  round(l / (a + b), 6) + 0 AS explained FROM lineitem, e""")
+def pca_pair(spark, sf):
+    """Two features have a closed form; the sign of a component is free."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", array_to_vector(
+        F.array("l_quantity", F.col("l_extendedprice") / 1000)).alias("v"))
+    found, shares = models.pca(rows, "v", 1)
+    size = F.abs(F.get(vector_to_array("pca"), F.lit(0)))
+    return found.select("l_orderkey", "l_partkey", "l_linenumber", rounded(size + 1e-9, 4).alias("size"), rounded(F.lit(shares[0])).alias("explained"))
+
+
 @query("models_ml14_majority", """
 SELECT user_id, CAST(sum(CAST(event_type IN ('click', 'view') AS INTEGER)) AS BIGINT) AS yes, CAST(count(*) AS BIGINT) AS n,
   sum(CAST(event_type IN ('click', 'view') AS INTEGER)) > count(*) // 2 AS correct FROM events GROUP BY user_id""")
@@ -550,6 +638,35 @@ def tree_adds_up(spark, sf):
         rounded(parts - F.col("prediction"), 4).alias("gap"))
 
 
+@query("explain_xp2_one_split", f"""WITH {SQL_LINES.replace("lines AS (SELECT", "lines AS (SELECT l_orderkey, l_partkey, l_linenumber,", 1)}, {SQL_SPLITS.format(key="", rows="lines", part="")},
+parts AS (SELECT l_orderkey, l_partkey, l_linenumber, f, ss / nn AS base, {SQL_TOLD} - ss / nn AS phi FROM lines, cut)
+SELECT l_orderkey, l_partkey, l_linenumber, round(base, 3) + 0 AS base, {", ".join(f"round(CASE WHEN f = {i} THEN phi ELSE 0.0 END, 3) + 0 AS phi_{i}" for i in range(4))} FROM parts""")
+def one_split_parts(spark, sf):
+    """The parts of a tree of one split: all of the step belongs to the feature split on."""
+    rows, _ = _folded(spark, sf)
+    model = models.fit_regression_tree(rows, "x", "l_extendedprice", models.binned.Setting(max_depth=1))
+    found = explain.tree_shap(rows.drop("x"), LINE_FEATURES, model.node())
+    return found.select("l_orderkey", "l_partkey", "l_linenumber", rounded(F.col("base"), 3).alias("base"),
+                        *[rounded(F.col(f"phi_{c}"), 3).alias(f"phi_{i}") for i, c in enumerate(LINE_FEATURES)])
+
+
+def _deep_explained(spark, sf):
+    rows, _ = _folded(spark, sf)
+    model = models.fit_regression_tree(rows, "x", "l_extendedprice", models.binned.Setting(max_depth=20, min_leaf=10))
+    return explain.tree_shap(model.transform(rows).drop("x"), LINE_FEATURES, model.node())
+
+
+@query("explain_xp2_deep_tree")
+def deep_tree_parts(spark, sf):
+    """Parts of the tree at full depth."""
+    return _deep_explained(spark, sf)
+
+
+@query("explain_xp5_deep_dependence")
+def deep_dependence(spark, sf):
+    return explain.dependence(_deep_explained(spark, sf), "l_quantity", "l_orderkey")
+
+
 @query("explain_xp3_importance", f"""WITH {SQL_TWO}
 SELECT 'l_quantity' AS feature, round(avg(abs(phi_q)), 3) + 0 AS importance FROM phi UNION ALL SELECT 'l_discount', round(avg(abs(phi_d)), 3) + 0 FROM phi""")
 def importance(spark, sf):

@@ -70,6 +70,12 @@ def binned_mean(spark, sf):
     return profile.binned_mean(gaps(spark, sf), "price", "o_custkey", 100).withColumn("mean", off_ties(F.col("mean"), 5))
 
 
+@query("profile_pr6_binned_mean_narrowed", _binned_sql("gaps", "price", "o_custkey", 100, 5, SQL_GAPS + ", "))
+def binned_mean_narrowed(spark, sf):
+    """The same bins where no more than 100 rows may be sorted together."""
+    return profile.binned_mean(gaps(spark, sf), "price", "o_custkey", 100, interval_rows=100).withColumn("mean", off_ties(F.col("mean"), 5))
+
+
 @query("profile_pr6_binned_mean_ties", _binned_sql("lineitem", "l_quantity", "l_extendedprice", 10, 3))
 def binned_mean_ties(spark, sf):
     found = profile.binned_mean(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 10)
@@ -155,6 +161,12 @@ def shape(spark, sf):
     return profile.shape(table(spark, sf, "embeddings"), "embedding", "label")
 
 
+@query("profile_pr15_subset", """
+SELECT o_orderkey FROM orders ORDER BY CAST('0x' || substr(md5(o_orderkey || '-42'), 1, 15) AS BIGINT), o_orderkey LIMIT 5000""")
+def subset(spark, sf):
+    return profile.random_subset(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 5000)
+
+
 @query("profile_pr15_subset_size", "SELECT CAST(least(5000, count(*)) AS BIGINT) AS n, CAST(least(5000, count(*)) AS BIGINT) AS n_ids FROM orders")
 def subset_size(spark, sf):
     picked = profile.random_subset(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 5000)

@@ -214,6 +214,16 @@ def posting_lists(spark, sf):
     return blocks.select("term", "block", F.array_join(shown, " ").alias("postings"))
 
 
+@query("aggregate_ag3_posting_lists_by_rows", f"""WITH {ANCHOR0},
+placed AS (SELECT term, doc_id, tf, (row_number() OVER (PARTITION BY term ORDER BY doc_id, tf) - 1) // 20 AS block FROM anchor_post)
+SELECT term, CAST(block AS BIGINT) AS block, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id, tf) AS postings FROM placed GROUP BY term, block""")
+def posting_lists_by_rows(spark, sf):
+    """Anchor postings repeat a document, so lists are cut by rows."""
+    lists = ix.posting_lists(fx.anchor_index(spark, sf).postings, rows=20)
+    shown = F.transform("postings", lambda p: F.concat(p["doc_id"].cast("string"), F.lit(":"), p["tf"].cast("string")))
+    return lists.select("term", "block", F.array_join(shown, " ").alias("postings"))
+
+
 @query("aggregate_ag4_document_frequency", f"WITH {BODY0} SELECT term, df FROM body_terms")
 def document_frequency(spark, sf):
     return fx.body_index(spark, sf).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -272,6 +282,17 @@ def quantiles(spark, sf):
     return spark.createDataFrame(list(zip(probs, found)), "p double, value double").select("p", rounded(F.col("value")).alias("value"))
 
 
+@query("aggregate_ag12_quantiles_narrowed", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, {p}::DOUBLE AS p, round(quantile_cont({c}, {p}), 6) + 0 AS value FROM lineitem"
+    for c in ("l_quantity", "l_extendedprice") for p in (0.0, 0.02, 0.5, 0.99, 1.0)))
+def quantiles_narrowed(spark, sf):
+    """A column of few values and one of many, where no more than 30 rows may be sorted together."""
+    probs = [0.0, 0.02, 0.5, 0.99, 1.0]
+    found = exact_quantiles(table(spark, sf, "lineitem"), {"l_quantity": probs, "l_extendedprice": probs}, interval_rows=30)
+    rows = [(c, p, v) for c, values in found.items() for p, v in zip(probs, values)]
+    return spark.createDataFrame(rows, "name string, p double, value double").withColumn("value", rounded(F.col("value")))
+
+
 @query("aggregate_ag13_mode", f"WITH {SQL_HOLES}, {SQL_MODE} SELECT source, mode AS lang FROM learned")
 def mode(spark, sf):
     return rel.mode_by_group(_holes(spark, sf), "source", "lang", 20)
@@ -338,9 +359,9 @@ def largest_deviation(spark, sf):
 
 
 @query("topk_tk5_most_confident", """
-SELECT vec_id, label FROM embeddings ORDER BY list_max(embedding) DESC, vec_id LIMIT 100""")
+SELECT vec_id, label FROM embeddings ORDER BY list_max(embedding) DESC, vec_id LIMIT 1000""")
 def most_confident(spark, sf):
-    return table(spark, sf, "embeddings").orderBy(F.desc(F.array_max("embedding")), "vec_id").limit(100).select("vec_id", "label")
+    return table(spark, sf, "embeddings").orderBy(F.desc(F.array_max("embedding")), "vec_id").limit(1000).select("vec_id", "label")
 
 
 @query("topk_tk6_largest_magnitude", """

@@ -40,3 +40,8 @@ def rescale(values: Column, top: float = 255.0) -> Column:
 def rounded(col: Column, digits: int = 6) -> Column:
     """Round for output; adding zero turns -0.0 into 0.0."""
     return F.round(col.cast("double"), digits) + F.lit(0.0)
+
+
+def draw_order(key: str, seed: int) -> Column:
+    """A random number per key, the same in every run: 60 bits of an MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")

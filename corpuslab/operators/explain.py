@@ -24,20 +24,21 @@ def linear_shap(df: DataFrame, features: list[str], weights: list[float], interc
 
 
 def tree_shap(df: DataFrame, features: list[str], model) -> DataFrame:
-    """Add ``phi_<feature>`` and ``base`` for a fitted regression tree.
+    """Add ``phi_<feature>`` and ``base`` for a fitted regression tree, or its root as a :class:`trees.Node`.
 
-    The tree travels to the tasks as a list of leaf paths; a task explains a whole
-    Arrow batch of rows at once.
+    The tree travels to the tasks by broadcast, as arrays of leaf paths by the features they
+    split on; a task explains a whole Arrow batch of rows at once.
     """
-    root = trees.export(model)
-    paths, base = trees.leaves(root), trees.expected_value(root)
+    root = model if isinstance(model, trees.Node) else trees.export(model)
+    base = trees.expected_value(root)
+    groups = df.sparkSession.sparkContext.broadcast(trees.leaf_groups(trees.leaves(root)))
     names = [f"phi_{c}" for c in features]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     schema += "".join(f", `{n}` double" for n in names) + ", base double"
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            phi = trees.attributions(paths, batch[features].to_numpy(dtype=float))
+            phi = trees.attributions(groups.value, batch[features].to_numpy(dtype=float))
             yield batch.assign(**dict(zip(names, np.asarray(phi).T)), base=base)
 
     return df.mapInPandas(explain, schema)

@@ -238,7 +238,15 @@ class TfIdf(Estimator):
         return text.count_in_row(df.select(F.col(self.id_col).alias("id"), found.alias("t")), "t").select("id", "counts")
 
     def _fit(self, df: DataFrame) -> Model:
+        return self._learn(written(self.counted(df), "word-counts"))
+
+    def fit_transform(self, df: DataFrame) -> tuple[Model, DataFrame]:
+        """The fitted step and its result on the same rows, which are tokenised once."""
         counted = written(self.counted(df), "word-counts")
+        model = self._learn(counted)
+        return model, model.weights(counted)
+
+    def _learn(self, counted: DataFrame) -> Model:
         n = counted.count()
         terms = (
             counted.select(F.explode("counts").alias("c"))
@@ -258,7 +266,11 @@ class _TfIdfModel(Model):
         self.spec, self.vocabulary = spec, vocabulary
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        rows = self.spec.counted(df).select("id", F.explode_outer("counts").alias("c")).filter("c IS NOT NULL")
+        return self.weights(self.spec.counted(df))
+
+    def weights(self, counted: DataFrame) -> DataFrame:
+        """(id, term, weight) from counts (id, counts) of the rows."""
+        rows = counted.select("id", F.explode_outer("counts").alias("c")).filter("c IS NOT NULL")
         # the vocabulary has a fixed size limit, so it is always small
         raw = rows.select("id", "c.term", "c.tf").join(F.broadcast(self.vocabulary), "term").select(
             "id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
@@ -298,7 +310,19 @@ def drop_uninformative(df: DataFrame, columns: list[str]) -> DataFrame:
 def exact_split(df: DataFrame, key: str, ratio: float = 0.8, seed: int = 42, flag: str = "is_train") -> DataFrame:
     """Add ``flag``: true for exactly int(ratio * rows) random rows."""
     n = F.floor(F.col("__total") * F.lit(ratio))
-    return mark_first(df, n, F.xxhash64(F.col(key), F.lit(seed)), [key], flag)
+    return mark_first(df, n, scalar.draw_order(key, seed), [key], flag)
+
+
+# More distinct labels than this are an error, found before they are listed.
+MAX_CLASSES = 1000
+
+
+def class_labels(df: DataFrame, label: str) -> list:
+    """The distinct labels in order, NULL left out."""
+    n = df.agg(F.approx_count_distinct(label, 0.02)).first()[0]
+    if n > MAX_CLASSES:
+        raise ValueError(f"{label} has about {n} values; a label may have {MAX_CLASSES}")
+    return [r[0] for r in df.select(label).filter(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -306,11 +330,11 @@ def stratified_sample(df: DataFrame, label: str, key: str, n: int, seed: int = 4
 
     The first ``n % classes`` labels in order give one row more.
     """
-    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]  # one value per class
+    labels = class_labels(df, label)
     each, rest = divmod(n, len(labels))
     # quota of the label, as literals: one entry per class
     quota = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(each + (i < rest)))])
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    order = Window.partitionBy(label).orderBy(scalar.draw_order(key, seed), key)
     ranked = df.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= each + 1)
     return ranked.filter(F.col("__rn") <= F.element_at(quota, F.col(label))).drop("__rn")
 

@@ -6,7 +6,7 @@ cell inside a sheet is an empty string, and sheets (sheet_id, n_rows, n_cols).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslab.plans.skew import hot_keys, join_small_or_salted, salted_join
 
@@ -87,6 +87,41 @@ def matches(needle: str, case_sensitive: bool = True) -> Column:
     return F.col("value") == needle if case_sensitive else F.lower("value") == needle.lower()
 
 
+def first_gap(cells: DataFrame, sheets: DataFrame, rows: tuple[int | None, int | None], cols: tuple[int | None, int | None]) -> DataFrame:
+    """(sheet_id, row_idx, col_idx): the first empty cell of each sheet in row-major order, within inclusive ranges.
+
+    Only stored cells are read. Their counts per block of rows tell the first block with a gap, counts per
+    row of that block the first row, and the row's own cells the column. A sheet that is full there has no row.
+    """
+    scope = sheets.select(
+        "sheet_id", F.lit(rows[0] or 0).cast("long").alias("r1"), F.lit(cols[0] or 0).cast("long").alias("c1"),
+        *[(F.least(F.col(size) - 1, F.lit(last)) if last is not None else F.col(size) - 1).cast("long").alias(name)
+          for size, last, name in (("n_rows", rows[1], "r2"), ("n_cols", cols[1], "c2"))]).filter("r1 <= r2 AND c1 <= c2")
+    filled = join_small_or_salted(cells.filter("value <> ''").select(*KEY), scope, ["sheet_id"], ["row_idx", "col_idx"])
+    filled = filled.filter("row_idx BETWEEN r1 AND r2 AND col_idx BETWEEN c1 AND c2")
+    block = F.floor((F.col("row_idx") - F.col("r1")) / BLOCK_ROWS)
+    height = F.least(F.col("r2") - F.col("r1") + 1 - F.col("at") * BLOCK_ROWS, F.lit(BLOCK_ROWS))
+    blocks = filled.groupBy("sheet_id", "r1", "r2", "c1", "c2", block.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    full = blocks.filter(F.col("n") == height * (F.col("c2") - F.col("c1") + 1))
+    first = scope.join(_leading(full, "at", F.lit(0)), "sheet_id", "left")
+    first = first.withColumn("first", F.col("r1") + F.coalesce("leading", F.lit(0)) * BLOCK_ROWS).drop("leading").filter("first <= r2")
+    inside = filled.select(*KEY).join(first, "sheet_id").filter(
+        (F.col("row_idx") >= F.col("first")) & (F.col("row_idx") < F.col("first") + BLOCK_ROWS))
+    per_row = inside.groupBy("sheet_id", "first", "c1", "c2", "row_idx").agg(F.count(F.lit(1)).alias("n"))
+    first = first.join(_leading(per_row.filter(F.col("n") == F.col("c2") - F.col("c1") + 1), "row_idx", F.col("first")), "sheet_id", "left")
+    first = first.withColumn("row_idx", F.col("first") + F.coalesce("leading", F.lit(0))).drop("leading")
+    in_row = filled.select(*KEY).join(first, ["sheet_id", "row_idx"])
+    first = first.join(_leading(in_row, "col_idx", F.col("c1")), "sheet_id", "left")
+    return first.select("sheet_id", "row_idx", (F.col("c1") + F.coalesce("leading", F.lit(0))).alias("col_idx"))
+
+
+def _leading(rows: DataFrame, place: str, start: Column) -> DataFrame:
+    """(sheet_id, leading): how many of the distinct places start, start + 1, ... of a sheet come without a gap."""
+    w = Window.partitionBy("sheet_id").orderBy(place)
+    run = rows.withColumn("__number", F.row_number().over(w) - 1).filter(F.col(place) - start == F.col("__number"))
+    return run.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("leading"))
+
+
 def find_first(
     cells: DataFrame, needle: str, *, row: int | None = None, col: int | None = None, row1: int | None = None,
     row2: int | None = None, col1: int | None = None, col2: int | None = None, sheets: DataFrame | None = None,
@@ -99,13 +134,20 @@ def find_first(
     if sheets is not None:
         _require(sheets, "n_rows", row, row1, row2)
         _require(sheets, "n_cols", col, col1, col2)
+    if needle == "":
+        if sheets is None:
+            raise ValueError("searching for empty cells needs the table of sheets")
+        if row is None and col is None:
+            return first_gap(cells, sheets, (row1, row2), (col1, col2))
+        return first_gap(cells, sheets, (row1 if row is None else row, row2 if row is None else row),
+                         (col1 if col is None else col, col2 if col is None else col))
     scope = matches(needle)
     for name, low, high in (("row_idx", row, row), ("col_idx", col, col), ("row_idx", row1, row2), ("col_idx", col1, col2)):
         if low is not None:
             scope &= F.col(name) >= low
         if high is not None:
             scope &= F.col(name) <= high
-    hits = _searched(cells, sheets, needle).filter(scope)
+    hits = cells.filter(scope)
     return hits.groupBy("sheet_id").agg(F.min(F.struct("row_idx", "col_idx")).alias("at")).select("sheet_id", "at.*")
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from corpuslab.functions import text
+from corpuslab.plans.ranking import group_places
 from corpuslab.plans.skew import hot_keys, salted_join
 from corpuslab.plans.storage import written
 from corpuslab.sources.corpus import spread
@@ -156,6 +157,17 @@ def posting_blocks(postings: DataFrame, block: int = POSTING_BLOCK) -> DataFrame
     )
 
 
+def posting_lists(postings: DataFrame, rows: int = POSTING_BLOCK) -> DataFrame:
+    """Posting lists as arrays sorted by (doc_id, tf), cut after every ``rows`` postings of a term.
+
+    (term, block, postings). Suits indexes in which a document may occur very often under a
+    term, as a page under the texts of its links, where ranges of ids bound nothing.
+    """
+    placed = group_places(postings.select("term", "doc_id", "tf"), ["term"], [F.asc("doc_id"), F.asc("tf")])
+    return placed.groupBy("term", F.floor((F.col("place") - 1) / rows).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+
+
 def popularity(views: DataFrame) -> DataFrame:
     """(id, views) summed per id."""
     return views.groupBy("id").agg(F.sum("views").alias("views"))

@@ -14,10 +14,10 @@ from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslab.operators import binned, trees
-from corpuslab.operators.features import assemble
+from corpuslab.operators.features import assemble, class_labels
 from corpuslab.plans.storage import written
 
 # ---- Bernoulli naive Bayes ----------------------------------------------------------
@@ -77,14 +77,20 @@ class BernoulliNBModel(Model):
 def draw_rows(probabilities: DataFrame, per_class: int, seed: int = 42) -> DataFrame:
     """(label, draw, bits): random rows of binary features from per-class probabilities.
 
-    The random number of a cell is a hash of its place, so a retried task draws the same.
+    Draws are dealt out by their numbers. The random number of a cell is a hash of its place, so a
+    retried task draws the same.
     """
+    spark = probabilities.sparkSession
     arrays = probabilities.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "p"))).alias("ps"))
-    draws = arrays.select("label", "ps", F.explode(F.sequence(F.lit(0), F.lit(per_class - 1))).alias("draw"))
-    label, draw = F.col("label"), F.col("draw")
+    # one row per class
+    arrays = written(arrays.withColumn("class", F.row_number().over(Window.orderBy("label")) - 1), "classes")
+    numbers = spark.range(arrays.count() * per_class).select(
+        F.expr(f"CAST(id DIV {per_class} AS INT)").alias("class"), F.expr(f"CAST(id % {per_class} AS INT)").alias("draw"))
+    draws = numbers.join(F.broadcast(arrays), "class")
 
     def bit(cell: Column) -> Column:
-        unit = F.pmod(F.xxhash64(label, draw, cell["pos"], F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        place = F.concat_ws("-", F.col("label").cast("string"), F.col("draw").cast("string"), cell["pos"].cast("string"), F.lit(str(seed)))
+        unit = F.conv(F.substring(F.md5(place), 1, 7), 16, 10).cast("long") / F.lit(float(1 << 28))
         return (unit < cell["p"]).cast("int")
 
     return draws.select("label", "draw", F.transform("ps", bit).alias("bits"))
@@ -234,17 +240,6 @@ class Samme(Estimator):
         return SammeModel(self.features, labels, [(a, t.node(edges)) for a, t in members], errors)
 
 
-MAX_CLASSES = 1000
-
-
-def class_labels(df: DataFrame, label: str) -> list:
-    """The distinct labels in order. More than ``MAX_CLASSES`` are an error, found before they are listed."""
-    n = df.agg(F.approx_count_distinct(label, 0.02)).first()[0]
-    if n > MAX_CLASSES:
-        raise ValueError(f"{label} has about {n} values; a label may have {MAX_CLASSES}")
-    return [r[0] for r in df.select(label).filter(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
-
-
 class SammeModel(Model):
     """``members``: (weight, tree); ``errors``: weighted error of each tree when it was added."""
 
@@ -350,6 +345,63 @@ def kmeans(df: DataFrame, features: str, k: int, seed: int = 42):
     return KMeans(featuresCol=features, k=k, seed=seed).fit(df)
 
 
+def lloyd(df: DataFrame, key: str, features: str, centres: np.ndarray, rounds: int) -> tuple[DataFrame, np.ndarray, float]:
+    """k-means rounds from given centres over an array column: (key, cluster) rows, last centres, inertia.
+
+    Each round sums the rows of a cluster where they are; a cluster without rows keeps its
+    centre. Of equally near centres the first one is taken.
+    """
+    data = written(df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x")), "points")
+    width = centres.shape[1]
+
+    def nearest(batch, at):
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+        far = ((x[:, None] - at[None]) ** 2).sum(axis=2) if len(x) else np.zeros((0, len(at)))
+        return x, far.argmin(axis=1), far.min(axis=1, initial=np.inf)
+
+    def step(at):
+        def run(batches):
+            sums = np.zeros((len(at), width + 2))
+            for batch in batches:
+                x, cluster, far = nearest(batch, at)
+                np.add.at(sums, cluster, np.column_stack([x, np.ones(len(x)), far]))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(at)), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], names=["cluster", "s"])
+
+        rows = data.mapInArrow(run, "cluster int, s array<double>").groupBy("cluster").agg(Summarizer.sum(array_to_vector("s")).alias("s"))
+        out = np.zeros((len(at), width + 2))
+        for r in rows.collect():  # one row per cluster
+            out[r["cluster"]] = r["s"].toArray()
+        return out
+
+    at = np.array(centres, float)
+    for _ in range(rounds):
+        sums = step(at)
+        some = sums[:, width] > 0
+        at = np.where(some[:, None], sums[:, :width] / np.maximum(sums[:, width : width + 1], 1), at)
+    inertia = float(step(at)[:, width + 1].sum())
+
+    def assign(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(nearest(batch, at)[1], pa.int32())], names=["key", "cluster"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return data.mapInArrow(assign, f"key {kind}, cluster int"), at, inertia
+
+
+def choose_k(df: DataFrame, features: str, ks: list[int], seed: int = 42) -> DataFrame:
+    """(k, inertia, silhouette) of k-means over an array column for each number of clusters."""
+    from corpuslab.operators.quality import squared_silhouettes
+
+    data = written(df.select(F.col(features).cast("array<double>").alias("x")).withColumn("v", array_to_vector("x")), "points")
+    rows = []
+    for k in ks:
+        model = kmeans(data, "v", k, seed)
+        labelled = model.transform(data).select("x", F.col("prediction").alias("label"))
+        score = squared_silhouettes(labelled, "x", "label").agg(F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).first()[0]
+        rows.append((k, float(model.summary.trainingCost), float(score)))
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+
+
 def elbow(df: DataFrame, features: str, ks: list[int], seed: int = 42) -> DataFrame:
     """(k, inertia) for each number of clusters."""
     data = df.select(features).persist()

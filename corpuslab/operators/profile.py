@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
+from corpuslab.functions import scalar
 from corpuslab.operators.relational import distinct_counts, value_counts
 from corpuslab.plans.quantiles import exact_quantiles
 from corpuslab.plans.ranking import top_k
@@ -55,14 +56,14 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return half.unionByName(turned).unionByName(same)
 
 
-def equal_frequency_bin(df: DataFrame, x: str, bins: int, out: str = "bin") -> DataFrame:
+def equal_frequency_bin(df: DataFrame, x: str, bins: int, out: str = "bin", interval_rows: int | None = None) -> DataFrame:
     """Add the number of the equal-frequency bin of ``x``, from 0; NULL stays NULL.
 
     Bins are closed on the right, the lowest value is in bin 0, and repeated edges
     are dropped. Bucketizer finds the bin by binary search; it closes bins on the
     left, so it runs on the negated values.
     """
-    found = exact_quantiles(df, {x: [i / bins for i in range(bins + 1)]})[x]
+    found = exact_quantiles(df, {x: [i / bins for i in range(bins + 1)]}, interval_rows)[x]
     if found[0] is None:
         return df.withColumn(out, F.lit(None).cast("int"))
     edges = sorted(set(found))
@@ -78,9 +79,9 @@ def equal_frequency_bin(df: DataFrame, x: str, bins: int, out: str = "bin") -> D
     ).drop("__neg", "__bin")
 
 
-def binned_mean(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
+def binned_mean(df: DataFrame, x: str, y: str, bins: int, interval_rows: int | None = None) -> DataFrame:
     """(bin, mean, n) of ``y`` by equal-frequency bins of ``x``."""
-    rows = equal_frequency_bin(df.dropna(subset=[x]).select(x, y), x, bins)
+    rows = equal_frequency_bin(df.dropna(subset=[x]).select(x, y), x, bins, interval_rows=interval_rows)
     return rows.groupBy("bin").agg(F.avg(y).alias("mean"), F.count(y).alias("n"))
 
 
@@ -152,4 +153,4 @@ def shape(df: DataFrame, features: str, label: str) -> DataFrame:
 
 def random_subset(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement; the same rows for the same seed."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(scalar.draw_order(key, seed), key).limit(n)

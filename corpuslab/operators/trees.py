@@ -75,41 +75,89 @@ def expected_value(node: Node) -> float:
     return sum(leaf.value * float(np.prod(leaf.share)) for leaf in leaves(node))
 
 
-def attributions(paths: list[Leaf], x: np.ndarray) -> np.ndarray:
-    """Shapley values of a tree for all rows of ``x`` at once.
-
-    A leaf is reached by a coalition S with weight prod(o_j for j in S) *
-    prod(z_j for j not in S), where o_j says whether the row passes the splits on
-    feature j and z_j is the share of training rows that do. The sum over
-    coalitions of each size is a coefficient of prod(z_j + o_j t), so one
-    polynomial per leaf gives all features: divide out one factor, weight the
-    coefficients by the Shapley weights of their sizes.
+# Leaves with up to so many features have a table of all patterns of passed splits.
+PATTERN_FEATURES = 10
+# Row and leaf pairs handled at once.
+PAIRS = 1 << 20
+
+
+def _parts(value: np.ndarray, share: np.ndarray, passed: np.ndarray) -> np.ndarray:
+    """Shapley values by (..., feature) of leaves with ``share`` (..., d) where ``passed`` (..., d) tells the splits.
+
+    A leaf is reached by a coalition S with weight prod(o_j for j in S) * prod(z_j for j not in S),
+    where o_j says whether the row passes the splits on feature j and z_j is the share of training
+    rows that do. The sum over coalitions of each size is a coefficient of prod(z_j + o_j t), so one
+    polynomial per leaf gives all features: divide out one factor, weight the coefficients by
+    the Shapley weights of their sizes.
     """
-    phi = np.zeros_like(x, dtype=float)
-    n = len(x)
+    share, passed = np.broadcast_arrays(share, passed)
+    d = passed.shape[-1]
+    poly = np.zeros((*passed.shape[:-1], d + 1))
+    poly[..., 0] = 1.0
+    for j in range(d):
+        grown = poly * share[..., j, None]
+        grown[..., 1:] += poly[..., :-1] * passed[..., j, None]
+        poly = grown
+    weight = np.ones(d)
+    for size in range(1, d):
+        weight[size] = weight[size - 1] * size / (d - size)
+    weight /= d
+    out = np.empty(passed.shape)
+    for j in range(d):
+        z, o = share[..., j], passed[..., j]
+        rest, carry = np.zeros(poly.shape[:-1]), np.zeros(poly.shape[:-1])
+        for size in range(d - 1, -1, -1):
+            # o = 1: synthetic division by (z + t); o = 0: the factor is the constant z
+            carry = np.where(o, poly[..., size + 1] - z * carry, 0.0)
+            rest += weight[size] * np.where(o, carry, poly[..., size] / z)
+        out[..., j] = value * (o - z) * rest
+    return out
+
+
+@dataclass
+class LeafGroup:
+    """All leaves whose paths split on the same features, as arrays by (leaf, feature)."""
+
+    features: list[int]
+    value: np.ndarray
+    share: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    table: np.ndarray | None  # parts by (leaf, pattern, feature); bit j of a pattern is feature j
+
+
+def leaf_groups(paths: list[Leaf]) -> list[LeafGroup]:
+    by_features: dict[tuple[int, ...], list] = {}
     for leaf in paths:
-        d = len(leaf.features)
-        if d == 0:
-            continue
-        cols = x[:, leaf.features]
-        passed = (cols > np.array(leaf.low)) & (cols <= np.array(leaf.high))
-        poly = np.zeros((n, d + 1))
-        poly[:, 0] = 1.0
-        for j in range(d):
-            grown = poly * leaf.share[j]
-            grown[:, 1:] += poly[:, :-1] * passed[:, j : j + 1]
-            poly = grown
-        weight = np.ones(d)
-        for size in range(1, d):
-            weight[size] = weight[size - 1] * size / (d - size)
-        weight /= d
-        for j, feature in enumerate(leaf.features):
-            z, o = leaf.share[j], passed[:, j]
-            rest = np.zeros((n, d))
-            carry = np.zeros(n)
-            for size in range(d - 1, -1, -1):
-                # o = 1: synthetic division by (z + t); o = 0: the factor is the constant z
-                carry = np.where(o, poly[:, size + 1] - z * carry, 0.0)
-                rest[:, size] = np.where(o, carry, poly[:, size] / z)
-            phi[:, feature] += leaf.value * (o - z) * (rest @ weight)
+        order = np.argsort(leaf.features)
+        key = tuple(np.array(leaf.features, int)[order].tolist())
+        if key:
+            by_features.setdefault(key, []).append((leaf.value, *[np.array(c)[order] for c in (leaf.share, leaf.low, leaf.high)]))
+    out = []
+    for key, found in by_features.items():
+        value = np.array([f[0] for f in found])
+        share, low, high = (np.stack([f[k] for f in found]) for k in (1, 2, 3))
+        table, d = None, len(key)
+        if d <= PATTERN_FEATURES:
+            patterns = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1 == 1
+            table = _parts(value[:, None], share[:, None], patterns[None])
+        out.append(LeafGroup(list(key), value, share, low, high, table))
+    return out
+
+
+def attributions(groups: list[LeafGroup], x: np.ndarray) -> np.ndarray:
+    """Shapley values of a tree for all rows of ``x``, leaves of the same features at once."""
+    phi = np.zeros_like(x, dtype=float)
+    for g in groups:
+        cols, d = x[:, g.features], len(g.features)
+        step = max(1, PAIRS // (len(g.value) * d))
+        for at in range(0, len(x), step):
+            rows = cols[at : at + step, None]
+            passed = (rows > g.low) & (rows <= g.high)
+            if g.table is not None:
+                pattern = passed @ (1 << np.arange(d))
+                parts = g.table[np.arange(len(g.value)), pattern].sum(axis=1)
+            else:
+                parts = _parts(g.value, g.share, passed).sum(axis=1)
+            phi[at : at + step, g.features] += parts
     return phi

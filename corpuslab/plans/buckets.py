@@ -10,6 +10,8 @@ from corpuslab.plans.storage import new_path
 
 # Rounds after which the files of a bucket become one again.
 COMPACT = 16
+# Whether Spark reads buckets as such only where it sees a use for it.
+AUTO = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
 
 
 class Buckets:
@@ -39,8 +41,14 @@ class Buckets:
         self._writer(rows).mode("append").option("path", self.path).saveAsTable(self.name)
         self.adds += 1
         if self.adds % COMPACT == 0:
-            old, all_rows = self.name, self.read()
-            self._create(all_rows)
+            old = self.name
+            # read by bucket, so that each is written as one file
+            given = self.spark.conf.get(AUTO)
+            self.spark.conf.set(AUTO, "false")
+            try:
+                self._create(self.read())
+            finally:
+                self.spark.conf.set(AUTO, given)
             self.spark.sql(f"DROP TABLE {old}")
 
     def read(self) -> DataFrame:

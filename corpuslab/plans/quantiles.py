@@ -1,137 +1,139 @@
 """Exact quantiles with linear interpolation on columns of any size.
 
-Spark's exact ``percentile`` keeps a map of all distinct values in one buffer.
-Here approximate quantiles narrow each wanted rank to a short value interval,
-counts prove that the rank lies inside it, and only the distinct values of that
-interval are sorted.
+Spark's exact ``percentile`` keeps a map of all distinct values in one buffer. Here mergeable
+quantile sketches cut a column into cells, one count per cell tells which cells the wanted
+ranks lie in, and only the distinct values of those cells are sorted. A cell of too many
+rows is cut again by sketches of its own rows.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from bisect import bisect_right
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 INTERVAL_ROWS = 1_000_000
 ACCURACY = 10_000
-
-
-@dataclass
-class _Rank:
-    """One wanted order statistic and the interval known to hold it."""
-
-    column: str
-    k: int
-    low: float
-    high: float
-    below: int
-    inside: int
-    done: bool = False
+# Cuts of a column, or of a cell that is cut again.
+CUTS = 256
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: dict[str, list[float]], interval_rows: int = INTERVAL_ROWS
+    df: DataFrame, wanted: dict[str, list[float]], interval_rows: int | None = None
 ) -> dict[str, list[float | None]]:
-    """Quantiles per column, NULLs and NaNs ignored; None for a column without values."""
+    """Quantiles per column, NULLs and NaNs ignored; None for a column without values.
+
+    Cells of up to ``interval_rows`` rows are sorted, each by itself.
+    """
+    limit = INTERVAL_ROWS if interval_rows is None else interval_rows
     columns = list(wanted)
-    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
-    row = data.agg(
-        *[f(c).alias(f"{p}{i}") for i, c in enumerate(columns) for p, f in (("n", F.count), ("a", F.min), ("z", F.max))]
-    ).first()
-    bounds = {c: (row[f"n{i}"], row[f"a{i}"], row[f"z{i}"]) for i, c in enumerate(columns)}
-    ranks: dict[tuple[str, int], _Rank] = {}
-    for c, probs in wanted.items():
-        n, low, high = bounds[c]
-        for p in probs if n else []:
-            h = (n - 1) * p
-            for k in {math.floor(h), math.ceil(h)}:
-                ranks[c, k] = _Rank(c, k, low, high, 0, n)
-    _narrow(data, list(ranks.values()), interval_rows)
-    values = _pick(data, list(ranks.values())) if ranks else {}
+    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
+    row = data.agg(*[F.count(f"v{i}").alias(str(i)) for i in range(len(columns))]).first()
+    n = [row[str(i)] for i in range(len(columns))]
+    ranks = [sorted({k for p in wanted[c] if n[i] for k in (math.floor((n[i] - 1) * p), math.ceil((n[i] - 1) * p))}) for i, c in enumerate(columns)]
+    values = _at_ranks(data, n, ranks, limit)
     out: dict[str, list[float | None]] = {}
-    for c, probs in wanted.items():
-        n = bounds[c][0]
+    for i, c in enumerate(columns):
         out[c] = []
-        for p in probs:
-            if not n:
+        for p in wanted[c]:
+            if not n[i]:
                 out[c].append(None)
                 continue
-            h = (n - 1) * p
-            a, b = values[c, math.floor(h)], values[c, math.ceil(h)]
+            h = (n[i] - 1) * p
+            a, b = values[i, math.floor(h)], values[i, math.ceil(h)]
             out[c].append(a + (h - math.floor(h)) * (b - a))
     return out
 
 
-def _narrow(data: DataFrame, ranks: list[_Rank], interval_rows: int) -> None:
+def _cell(data: DataFrame, i: int, splits: list[float]) -> DataFrame:
+    """Add ``cell<i>``: the place of v<i> among the ascending ``splits``, found by binary search; -1 for NULL."""
+    if not splits:
+        return data.withColumn(f"cell{i}", F.when(F.col(f"v{i}").isNull(), -1).otherwise(0))
+    inner = [float("-inf"), *splits, float("inf")]
+    found = Bucketizer(splits=inner, inputCol=f"v{i}", outputCol="__cell", handleInvalid="keep").transform(data)
+    return found.withColumn(f"cell{i}", F.when(F.col(f"v{i}").isNull(), -1).otherwise(F.col("__cell").cast("int"))).drop("__cell")
+
+
+def _entries(data: DataFrame, splits: list[list[float]]) -> DataFrame:
+    """(c, cell, v): one row per value of every column."""
+    for i, own in enumerate(splits):
+        data = _cell(data, i, own)
+    parts = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"cell{i}").alias("cell"), F.col(f"v{i}").alias("v")) for i in range(len(splits))])
+    return data.select(F.explode(parts).alias("e")).select("e.*").filter("v IS NOT NULL")
+
+
+def _at_ranks(data: DataFrame, n: list[int], ranks: list[list[int]], limit: int) -> dict[tuple[int, int], float]:
+    """The values of the wanted ranks of each column."""
+    shares = [i / CUTS for i in range(1, CUTS)]
+    splits: list[list[float]] = [[] for _ in n]
+    sketch = {i: F.percentile_approx(f"v{i}", shares, ACCURACY) for i in range(len(n)) if n[i] > limit and ranks[i]}
     while True:
-        open_ranks = [r for r in ranks if r.inside > interval_rows and r.low < r.high and not r.done]
-        if not open_ranks:
-            return
-        asks: dict[tuple[str, float, float], list[_Rank]] = {}
-        for r in open_ranks:
-            asks.setdefault((r.column, r.low, r.high), []).append(r)
-        aggs = []
-        for i, ((c, low, high), group) in enumerate(asks.items()):
-            probs = []
-            for r in group:
-                at = (r.k - r.below) / r.inside
-                probs += [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
-            aggs.append(
-                F.percentile_approx(F.when(F.col(c).between(low, high), F.col(c)), probs, ACCURACY).alias(f"q{i}")
-            )
-        found = data.agg(*aggs).first()
-        tries = []
-        for i, ((_, low, high), group) in enumerate(asks.items()):
-            for j, r in enumerate(group):
-                tries.append((r, found[f"q{i}"][2 * j], found[f"q{i}"][2 * j + 1]))
-        counts = data.agg(
-            *[F.count(F.when(F.col(r.column) < a, 1)).alias(f"b{i}") for i, (r, a, _) in enumerate(tries)],
-            *[F.count(F.when(F.col(r.column).between(a, z), 1)).alias(f"i{i}") for i, (r, a, z) in enumerate(tries)],
-        ).first()
-        for i, (r, a, z) in enumerate(tries):
-            below, inside = counts[f"b{i}"], counts[f"i{i}"]
-            if below <= r.k < below + inside and inside < r.inside:
-                r.low, r.high, r.below, r.inside = a, z, below, inside
-            else:
-                r.done = True
-
-
-def _pick(data: DataFrame, ranks: list[_Rank]) -> dict[tuple[str, int], float]:
-    spans = sorted({(r.column, r.low, r.high) for r in ranks})
-    number = {s: i for i, s in enumerate(spans)}
-    parts = [
-        F.when(F.col(c).between(low, high), F.struct(F.lit(number[c, low, high]).alias("s"), F.col(c).alias("v")))
-        for c, low, high in spans
-    ]
-    counted = (
-        data.select(F.explode(F.array(*parts)).alias("e"))
-        .filter("e IS NOT NULL")
-        .groupBy(F.col("e.s").alias("s"), F.col("e.v").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    w = Window.partitionBy("s").orderBy("v")
-    upto = counted.withColumn("upto", F.sum("n").over(w))
-    # A row covers a wanted rank when more ranks lie below its last place than below
-    # its first; Bucketizer counts them by binary search. At most one row per rank.
-    wanted: dict[int, list[_Rank]] = {}
-    for r in ranks:
-        wanted.setdefault(number[r.column, r.low, r.high], []).append(r)
-    covers = F.lit(False)
-    for span, group in wanted.items():
-        places = sorted({r.k - r.below for r in group})
-        splits = [float("-inf"), *map(float, places), float("inf")]
+        if sketch:
+            row = data.agg(*[c.alias(f"q{j}") for j, c in enumerate(sketch.values())]).first()
+            for j, key in enumerate(sketch):
+                i = key if isinstance(key, int) else key[0]
+                # every cut value is a cell of its own, so that a value of many rows needs no search
+                cuts = {x for v in row[f"q{j}"] for x in (v, math.nextafter(v, math.inf))}
+                splits[i] = sorted({*splits[i], *(x for x in cuts if math.isfinite(x))})
+        entries = _entries(data, splits)
+        cells: list[dict[int, tuple[int, float, float]]] = [{} for _ in n]
+        if any(splits):
+            for r in entries.groupBy("c", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("z")).collect():
+                cells[r["c"]][r["cell"]] = r["n"], r["a"], r["z"]  # as many rows as cells
+        found: dict[tuple[int, int], float] = {}
+        below: list[dict[int, int]] = [{} for _ in n]
+        sketch = {}
+        for i, own in enumerate(splits):
+            if not own:
+                below[i] = {0: 0} if ranks[i] else {}
+                continue
+            order, before = sorted(cells[i]), [0]
+            for cell in order:
+                before.append(before[-1] + cells[i][cell][0])
+            for k in ranks[i]:
+                at = bisect_right(before, k) - 1
+                cell = order[at]
+                rows, a, z = cells[i][cell]
+                if a == z:
+                    found[i, k] = a
+                    continue
+                below[i][cell] = before[at]
+                if rows > limit:
+                    # the least value is a cut, so the cell gets smaller each time
+                    inside = F.when((F.col(f"v{i}") >= a) & (F.col(f"v{i}") <= z), F.col(f"v{i}"))
+                    sketch[i, cell] = F.percentile_approx(inside, [0.0, *shares], ACCURACY)
+        if not sketch:
+            break
+    return found | _pick(entries, below, ranks, found)
+
+
+def _pick(entries: DataFrame, below: list[dict[int, int]], ranks: list[list[int]], found: dict) -> dict[tuple[int, int], float]:
+    """Sort the cells ``below`` names, with the rows before them, and take the values at the ranks left."""
+    left = [[k for k in own if (i, k) not in found] for i, own in enumerate(ranks)]
+    needed = [(i, cell, rows) for i, own in enumerate(below) if left[i] for cell, rows in own.items()]
+    if not needed:
+        return {}
+    start = F.create_map(*[x for i, cell, rows in needed for x in (F.lit(f"{i}-{cell}"), F.lit(rows).cast("long"))])
+    inside = entries.withColumn("start", F.try_element_at(start, F.concat_ws("-", "c", "cell"))).filter("start IS NOT NULL")
+    counted = inside.groupBy("c", "cell", "start", "v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("c", "cell").orderBy("v")
+    upto = counted.withColumn("upto", F.col("start") + F.sum("n").over(w))
+    # A value covers a wanted rank when more ranks lie below its last place than below its first;
+    # Bucketizer counts them by binary search. At most one row per rank.
+    covers: Column = F.lit(False)
+    for i, own in enumerate(left):
+        if not own:
+            continue
+        places = [float("-inf"), *map(float, own), float("inf")]
         for name, place in (("last", F.col("upto") - 1), ("before", F.col("upto") - F.col("n") - 1)):
-            upto = upto.withColumn(f"{name}{span}", F.when(F.col("s") == span, place.cast("double")).otherwise(-1.0))
-        upto = Bucketizer(
-            splitsArray=[splits, splits], inputCols=[f"last{span}", f"before{span}"], outputCols=[f"l{span}", f"b{span}"]
-        ).transform(upto)
-        covers |= F.col(f"l{span}") > F.col(f"b{span}")
-    found = upto.filter(covers).select("s", "v", "n", "upto").collect()
+            upto = upto.withColumn(f"{name}{i}", F.when(F.col("c") == i, place.cast("double")).otherwise(-1.0))
+        upto = Bucketizer(splitsArray=[places, places], inputCols=[f"last{i}", f"before{i}"], outputCols=[f"l{i}", f"b{i}"]).transform(upto)
+        covers |= F.col(f"l{i}") > F.col(f"b{i}")
     out = {}
-    for row in found:
-        for r in wanted[row["s"]]:
-            if row["upto"] - row["n"] <= r.k - r.below < row["upto"]:
-                out[r.column, r.k] = row["v"]
+    for r in upto.filter(covers).select("c", "v", "n", "upto").collect():
+        for k in left[r["c"]]:
+            if r["upto"] - r["n"] <= k < r["upto"]:
+                out[r["c"], k] = r["v"]
     return out

@@ -28,12 +28,13 @@ def read_corpus(
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over the cores when the scan has fewer files than cores.
+    """Spread rows over the cores when the scan has fewer splits than cores.
 
-    A table of many files, the normal case on a cluster, is left as it is.
+    A table of many splits, the normal case on a cluster, is left as it is, also when it is one
+    large file.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def read_links(spark: SparkSession, glob: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.operators import binned, models
+from corpuslab.operators import binned, features, models
 from tests.conftest import rows
 
 
@@ -181,7 +181,7 @@ def test_boosting_equals_brute_force(spark, every, monkeypatch):
 
 
 def test_too_many_classes_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(models, "MAX_CLASSES", 3)
+    monkeypatch.setattr(features, "MAX_CLASSES", 3)
     df = spark.createDataFrame([([1.0], i) for i in range(20)], "x array<double>, label int")
     with pytest.raises(ValueError):
         models.Samme("x", "label").fit(df)
