@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from corpuslab.catalog import fixtures as fx
 from corpuslab.catalog.fixtures import SQL_LINKS, SQL_QUERY_TERMS, sql_postings
@@ -25,6 +25,13 @@ def read_corpus(spark, sf):
     return docs.select("id", F.char_length("text").alias("n"))
 
 
+@query("io_io1_excluded_file", "SELECT o_orderkey, o_custkey, CAST(NULL AS BIGINT) AS c_custkey FROM orders")
+def excluded_file(spark, sf):
+    """A scan of two tables that leaves out the files of one by their name."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("o_orderkey", "o_custkey", "c_custkey")])
+    return corpus.read_corpus(spark, [f"{sf}/orders.parquet", f"{sf}/customer.parquet"], schema, exclude=("customer",))
+
+
 @query("io_io2_read_links", f"WITH {SQL_LINKS} SELECT src AS id, dst, text FROM links")
 def read_links(spark, sf):
     path = new_path(spark, "articles")

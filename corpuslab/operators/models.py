@@ -298,12 +298,38 @@ def lasso(df: DataFrame, features: list[str], label: str, alpha: float = 0.01):
 
 
 def lasso_select(df: DataFrame, features: list[str], label: str, alpha: float = 0.01, top: int = 5) -> list[tuple[str, float]]:
-    """The ``top`` features with the largest non-zero Lasso coefficients on standardised columns."""
-    found = lasso(standardised(df, features, label), features, label, alpha).coefficients.toArray()
+    """The ``top`` features with the largest non-zero Lasso coefficients on standardised columns.
+
+    The objective depends on the rows through one covariance matrix, so the data are read once
+    and coordinate descent runs on that.
+    """
+    gram, target = standard_moments(df, features, label)
+    found = lasso_path(gram, target, alpha)
     kept = [(f, float(w)) for f, w in zip(features, found) if abs(w) > 1e-12]
     return sorted(kept, key=lambda p: (-abs(p[1]), p[0]))[:top]
 
 
+def lasso_path(gram: np.ndarray, target: np.ndarray, alpha: float, rounds: int = 100_000, tol: float = 1e-12) -> np.ndarray:
+    """The w that minimises w'Gw / 2 - t'w + alpha |w|, one coordinate after the other until none moves."""
+    w = np.zeros(len(target))
+    for _ in range(rounds):
+        before = w.copy()
+        for j in range(len(w)):
+            if gram[j, j] > 1e-12:
+                pull = target[j] - gram[j] @ w + gram[j, j] * w[j]
+                w[j] = np.sign(pull) * max(abs(pull) - alpha, 0.0) / gram[j, j]
+        if np.abs(w - before).max(initial=0.0) <= tol * max(1.0, np.abs(w).max(initial=0.0)):
+            break
+    return w
+
+
+def standard_moments(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray]:
+    """Covariances of standardised features with each other and with the label, in one pass."""
+    cov = moments(df, [*features, label])
+    scale = np.sqrt(np.maximum(cov.diagonal()[:-1], 1e-300))
+    return cov[:-1, :-1] / np.outer(scale, scale), cov[:-1, -1] / scale
+
+
 def standardised(df: DataFrame, features: list[str], *others: str) -> DataFrame:
     """Features centred and divided by their population deviation; ``others`` unchanged."""
     row = df.agg(*[f(c).alias(f"{p}{i}") for i, c in enumerate(features) for p, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -327,10 +353,7 @@ def rfe(df: DataFrame, features: list[str], label: str, k: int = 5) -> list[str]
     Every round is a least-squares fit; all of them come from one covariance
     matrix, so the data are read once.
     """
-    cov = moments(df, [*features, label])
-    scale = np.sqrt(np.maximum(cov.diagonal()[:-1], 1e-300))
-    gram = cov[:-1, :-1] / np.outer(scale, scale)
-    target = cov[:-1, -1] / scale
+    gram, target = standard_moments(df, features, label)
     left = list(range(len(features)))
     while len(left) > k:
         w = np.linalg.lstsq(gram[np.ix_(left, left)], target[left], rcond=None)[0]

@@ -118,11 +118,11 @@ def bm25_weight(index: Index, k1: float = 1.2, b: float = 0.75) -> Column:
 
 
 def search_bm25(
-    queries: DataFrame, index: Index, k1: float = 1.2, b: float = 0.75, k: int = BODY_POOL
+    queries: DataFrame, index: Index, k1: float = 1.2, b: float = 0.75, k: int = BODY_POOL, query: QueryTerms | None = None
 ) -> DataFrame:
-    """BM25 over distinct query terms: query_id, doc_id, score, rank."""
+    """BM25 over distinct query terms: query_id, doc_id, score, rank. ``query`` holds the terms where they are known."""
     scored = (
-        matches(query_terms(queries), index)
+        matches(query_terms(queries) if query is None else query, index)
         .groupBy("query_id", "doc_id")
         .agg(_score(F.sum(bm25_weight(index, k1, b))))
     )
@@ -186,7 +186,7 @@ def fused_scores(
     """
     query = query_terms(queries)
     signals = [
-        max_normalize(search_bm25(queries, body) if body_hits is None else body_hits, query.small, ranked=True),
+        max_normalize(search_bm25(queries, body, query=query) if body_hits is None else body_hits, query.small, ranked=True),
         max_normalize(coverage(query, title), query.small),
         max_normalize(coverage(query, anchor), query.small),
     ]

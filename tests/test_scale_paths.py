@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from corpuslab.operators import features as fe, graph, grid, index as ix, models, trees
-from corpuslab.plans import buckets, quantiles, skew
+from corpuslab.plans import buckets, quantiles, skew, storage
 from tests.conftest import rows
 
 
@@ -65,6 +65,29 @@ def test_shortest_paths_by_interval(spark, delta):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("paths_")]
 
 
+# ---- tables of a scope
+
+
+def test_scratch_tables_are_removed_and_results_stay(spark):
+    import os
+
+    def path(df):
+        return os.path.dirname(df.inputFiles()[0].removeprefix("file://").removeprefix("file:"))
+
+    with storage.scratch(spark) as scope:
+        used = storage.written(spark.range(9), "used")
+        with storage.scratch(spark) as inner:
+            again = storage.written(used.filter("id > 3"), "again")
+            kept_inside = inner.result(again, "inside")
+        assert os.path.isdir(path(used)) and not os.path.isdir(os.path.dirname(path(kept_inside)) + "/again")
+        out = scope.result(kept_inside.filter("id > 5"), "out")
+        gone = [path(used), path(kept_inside)]
+    assert rows(out) == [(6,), (7,), (8,)]
+    assert not any(os.path.isdir(p) for p in gone[:1])
+    after = storage.written(spark.range(2), "after")
+    assert rows(after) == [(0,), (1,)]
+
+
 # ---- quantiles
 
 
