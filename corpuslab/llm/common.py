@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from corpuslab.plans.skew import fits_broadcast
 from corpuslab.plans.storage import written
 
 # Text handled at once inside a task. A single longer text is handled alone.
@@ -39,6 +40,41 @@ def numbered(df: DataFrame, label: str = "numbered") -> tuple[DataFrame, str]:
     return written(df.withColumn(row, F.monotonically_increasing_id()), label), row
 
 
+# Rows of one file that a row key can tell apart.
+ROWS_PER_FILE = 1 << 36
+
+
+def row_keys(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number that is different in each row and the same in every run, and its name.
+
+    Rows of a scan are named by their file and place in it, so that nothing is copied; other
+    tables are written with numbers.
+    """
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import Window
+
+    row, path = free_name(df, "row_number_"), free_name(df, "file_path_")
+    try:
+        named = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return numbered(df)
+    # one row per file
+    files = named.select(path).distinct().withColumn("file_number_", F.row_number().over(Window.orderBy(path)))
+    files = written(files, "files")
+    columns = [F.col(quoted(c)) for c in df.columns]
+    keyed = named.join(F.broadcast(files), path)
+    return keyed.select(*columns, (F.col("file_number_") * F.lit(ROWS_PER_FILE) + F.col(quoted(row))).alias(row)), row
+
+
+# Pairs of a row number and a small number are broadcast up to so many.
+FEW_ROWS = 2_000_000
+
+
+def without(rows: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """``rows`` but for those in ``dropped``, which is broadcast where it is measured to be small, so that texts stay in place."""
+    return rows.join(F.broadcast(dropped) if fits_broadcast(dropped, FEW_ROWS) else dropped, row, "left_anti")
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of ``batch`` with about ``SLICE_BYTES`` of text each."""
     start = size = 0
@@ -51,18 +87,33 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory of a worker process to the system, so that idle workers stay small."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def map_text(
     df: DataFrame,
     text: str,
     fields: list[T.StructField],
     make: Callable[[], Callable[[list[str | None]], list[list]]],
     keep: list[str] | None = None,
+    tidy: bool = False,
 ) -> DataFrame:
     """Add columns computed from whole texts, a slice of rows at a time.
 
     ``make()`` runs once per task and returns the function from a list of texts to
     one list per new column. All columns are kept unless ``keep`` names fewer; an
-    input column with the name of a new one is replaced by it.
+    input column with the name of a new one is replaced by it. With ``tidy`` a task returns
+    freed memory at its end, for stages that follow others on the same executors.
     """
     new = {f.name.lower() for f in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
@@ -81,6 +132,8 @@ def map_text(
                 made = work(part.column(given).to_pylist())
                 arrays = [part.column(c) for c in keep] + [pa.array(v, t) for v, t in zip(made, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        if tidy:
+            give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 

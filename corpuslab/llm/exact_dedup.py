@@ -14,8 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslab.llm.common import SPACE, numbered, quoted
-from corpuslab.plans.storage import written
+from corpuslab.llm.common import SPACE, quoted, row_keys, without
+from corpuslab.plans.storage import scratch, written
 
 # A digest is frequent when it holds at least 1/HOT of all rows.
 HOT = 256
@@ -90,9 +90,11 @@ def groups(docs: DataFrame, row: str, text: str = "text", id_col: str = "doc_id"
 
 def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    rows, row = numbered(docs)
-    dropped = groups(rows, row, text, id_col).filter(~F.col("kept")).select(F.col("row").alias(row))
-    return rows.join(dropped, row, "left_anti").drop(row)
+    rows, row = row_keys(docs)
+    with scratch(docs.sparkSession) as scope:
+        dropped = groups(rows, row, text, id_col).filter(~F.col("kept")).select(F.col("row").alias(row))
+        dropped = scope.result(dropped, "dropped")
+    return without(rows, dropped, row).drop(row)
 
 
 def op10_exact_dedup(spark, sf_dir):

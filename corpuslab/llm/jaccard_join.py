@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpuslab.llm import signature_tree
-from corpuslab.llm.common import map_text, quoted, slices
+from corpuslab.llm.common import give_back, map_text, quoted, slices
 from corpuslab.llm.components import components
-from corpuslab.llm.simhash import mixed, shingle_set
+from corpuslab.llm.shingle_sets import mixed, shingle_set
 from corpuslab.plans.skew import fits_broadcast, hot_keys, salted_join
 from corpuslab.plans.storage import written
 
@@ -78,6 +78,7 @@ def frequent_shingles(docs: DataFrame, text: str, counters: int = COUNTERS) -> t
         yield pa.RecordBatch.from_pydict({
             "shingle": pa.array([None, *keys[keep].view(np.int64).tolist()], pa.int64()),
             "n": pa.array([total, *counts[keep].tolist()], pa.int64())})
+        give_back()
 
     sums = docs.select(text).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     sums = written(sums, "frequent_shingles")
@@ -204,6 +205,7 @@ def tree_candidates(grouped: DataFrame) -> DataFrame:
                         b.append(y)
                 labels.settle()
             yield pa.RecordBatch.from_arrays([pa.array(row[a], pa.int64()), pa.array(row[b], pa.int64())], names=["a", "b"])
+        give_back()
 
     return ordered.mapInArrow(run, "a long, b long")
 
@@ -244,6 +246,7 @@ def tree_links(tasks: DataFrame) -> DataFrame:
                         b.append(y)
                 labels.settle()
             yield pa.RecordBatch.from_arrays([pa.array(row[a], pa.int64()), pa.array(row[b], pa.int64())], names=["a", "b"])
+        give_back()
 
     return ordered.select("task", "row", "side", "part", "text", "size").mapInArrow(run, "a long, b long")
 
@@ -328,12 +331,12 @@ def links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame
 # ---- the join
 
 
-def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: (row, id, n_shingles, component_id, first_row).
 
     ``component_id`` is the smallest id that links reach, the row's own included; it is null only
     where all of those ids are null. ``first_row`` is the row with that id, the first of equal ones; ``row`` is
-    a number that is different in each row. A null text or one without words has no shingles and is
+    a number that is different in each row, the one in the column ``row`` if that is given. A null text or one without words has no shingles and is
     linked with nothing. Repeated rows come back repeated; an empty table gives no rows.
     """
     given = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).cast("string").alias("text"))
@@ -359,8 +362,9 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
             return out
         return work
 
-    numbered = given.withColumn("row", F.monotonically_increasing_id()).withColumn("text_key", F.xxhash64("text"))
-    rows = written(map_text(numbered, "text", fields, make, ["row", "id", "text_key"]), "sets")
+    number = F.monotonically_increasing_id() if row is None else F.col(quoted(row))
+    numbered = docs.select(number.alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).cast("string").alias("text"))
+    rows = written(map_text(numbered.withColumn("text_key", F.xxhash64("text")), "text", fields, make, ["row", "id", "text_key"], tidy=True), "sets")
     # equal sets are one node, the row with the smallest id
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")
     sames = written(rows.filter("size > 0").groupBy("same").agg(first, F.count(F.lit(1)).alias("n")).select(

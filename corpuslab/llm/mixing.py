@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpuslab.llm.common import WORD, bucket_rank, numbered, quoted
-from corpuslab.plans.storage import written
+from corpuslab.llm.common import FEW_ROWS, WORD, bucket_rank, free_name, quoted, row_keys
+from corpuslab.plans.skew import fits_broadcast
+from corpuslab.plans.storage import scratch, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -143,11 +144,14 @@ def mix(
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` as the mix takes them: a document comes once for each pass that takes words of it."""
-    rows, row = numbered(docs)
-    chosen, _ = mix(rows, text, source, id_col=row)
-    copies = chosen.filter("taken > 0").select(F.col("id").alias(row), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies_"))
-    joined = rows.join(copies, row)
-    return joined.select(*[F.col(quoted(c)) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies_"))).alias(row)).drop(row)
+    rows, row = row_keys(docs)
+    times = free_name(rows, "copies_")
+    with scratch(docs.sparkSession) as scope:
+        chosen, _ = mix(rows, text, source, id_col=row)
+        copies = chosen.filter("taken > 0").select(F.col("id").alias(row), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times))
+        copies = scope.result(copies, "copies")
+    joined = rows.join(F.broadcast(copies) if fits_broadcast(copies, FEW_ROWS) else copies, row)
+    return joined.select(*[F.col(quoted(c)) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(row)).drop(row)
 
 
 def op3_mixing(spark, sf_dir):

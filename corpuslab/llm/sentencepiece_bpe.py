@@ -74,9 +74,10 @@ class Automaton:
 class Encoder:
     """Encodes and decodes with the vocabulary of a SentencePiece BPE model."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, remembered: int = REMEMBERED):
         import sentencepiece
 
+        self.remembered = remembered
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         m = self.model
         self.bytes = {m.id_to_piece(i): i for i in range(len(m)) if m.is_byte(i)}
@@ -160,7 +161,7 @@ class Encoder:
                     key = before * vocabulary + token
                     fits = pairs.get(key)
                     if fits is None:
-                        if len(pairs) >= REMEMBERED:
+                        if len(pairs) >= self.remembered:
                             pairs.clear()
                         fits = pairs[key] = self.compatible(before, token)
                     if not fits:
@@ -186,7 +187,7 @@ class Encoder:
         ids = self.older.get(word)
         if ids is None:
             ids = self.encode_word(word)
-        if len(self.words) >= REMEMBERED // 5:
+        if len(self.words) >= self.remembered // 5:
             self.older, self.words = self.words, {}
         if len(word) <= 64:
             self.words[word] = ids
@@ -210,10 +211,10 @@ class Encoder:
         return self.model.decode(ids) if ids else ""
 
 
-def encoder_of(shared: dict) -> Encoder:
+def encoder_of(shared: dict, remembered: int = REMEMBERED) -> Encoder:
     """The encoder of a broadcast {"model": bytes}. All tasks of a worker process share it and what it remembers."""
     if "encoder" not in shared:
-        shared["encoder"] = Encoder(shared["model"])
+        shared["encoder"] = Encoder(shared["model"], remembered)
     return shared["encoder"]
 
 
@@ -229,12 +230,18 @@ def read_model(path: str | None = None) -> dict:
         return {"model": f.read()}
 
 
-def tokenized(docs: DataFrame, text: str = "text", model: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Add ``ids`` (array of int) and ``decoded`` (string); null and empty texts have no ids."""
+def tokenized(
+    docs: DataFrame, text: str = "text", model: str | None = None, keep: list[str] | None = None, remembered: int = REMEMBERED
+) -> DataFrame:
+    """Add ``ids`` (array of int) and ``decoded`` (string); null and empty texts have no ids.
+
+    A task remembers the tests of up to ``remembered`` pairs of entries and the ids of a fifth as many words
+    twice; with fewer it takes less memory and more time.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
 
     def make():
-        encoder = encoder_of(shared.value)
+        encoder = encoder_of(shared.value, remembered)
 
         def work(texts):
             ids = [encoder.encode(t) for t in texts]
@@ -243,7 +250,7 @@ def tokenized(docs: DataFrame, text: str = "text", model: str | None = None, kee
         return work
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-    return map_text(docs, text, fields, make, keep)
+    return map_text(docs, text, fields, make, keep, tidy=True)
 
 
 def digests(docs: DataFrame, text: str = "text", model: str | None = None, keep: list[str] | None = None) -> DataFrame:

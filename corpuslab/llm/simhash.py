@@ -10,20 +10,17 @@ are linked exactly when they share such a value, which takes linear work.
 
 from __future__ import annotations
 
-from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from corpuslab.llm.common import map_text, numbered, quoted, slices
+from corpuslab.llm import jaccard_join
+from corpuslab.llm.common import map_text, quoted, row_keys, without
 from corpuslab.llm.components import components
-from corpuslab.plans.skew import hot_keys, join_small_or_salted, salted_join
-from corpuslab.plans.storage import written
+from corpuslab.llm.shingle_sets import SEED, hashes, shingle_set, shingles, words  # noqa: F401
+from corpuslab.plans.storage import scratch, written
 
-SEED = 42
 BLOCKS = 4
 BLOCK_BITS = 16
 DISTANCE = 2
@@ -31,36 +28,6 @@ DISTANCE = 2
 PAIRED = 32
 # A fingerprint is frequent when it holds at least 1/HOT of all rows.
 HOT = 256
-# The stage: keys shared by up to this many texts pair all of them.
-STAGE_PAIRED = PAIRED
-# Others are paired with so many of their texts at a time.
-STAGE_CENTRES = 4
-STAGE_SHINGLE = 5
-# Shingles are counted in twice so many buckets to put the frequent ones last.
-RANK_BUCKETS = 1 << 17
-# The share of distinct shingles, as a fraction.
-STAGE_SHARE = 4, 5
-STAGE_WIDTH = 8
-STAGE_BITS = 92
-
-
-def words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case, as UTF-8."""
-    return (text or "").encode().lower().split()
-
-
-def shingles(tokens: list[bytes], size: int) -> list[bytes]:
-    """Runs of ``size`` words, repeats included; a shorter text is one run."""
-    if len(tokens) <= size:
-        return [b" ".join(tokens)] if tokens else []
-    joined = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = [0, *(ends[: -size] + 1).tolist()]
-    return [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist())]
-
-
-def hashes(features: list[bytes], seed: int = SEED) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(f, seed) for f in features), np.uint64, len(features))
 
 
 def over_half(hashed: np.ndarray) -> int:
@@ -75,14 +42,6 @@ def majority(features: list[bytes], seed: int = SEED) -> int:
     return over_half(hashes(features, seed)) if features else 0
 
 
-def mixed(hashed: np.ndarray, n: int) -> np.ndarray:
-    """The ``n``-th new hash of each hash: an offset and the finishing steps of SplitMix64."""
-    x = hashed + np.uint64((n + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Add ``fp``: the fingerprint of the ``size``-word shingles; null and empty texts get zero."""
 
@@ -151,197 +110,24 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: i
     return marked.filter("frequent").select(*out).union(rest.select(*out))
 
 
-def look_up(pairs: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Written ``pairs`` (a, b) with the columns of ``table`` for both ends, as a_... and b_....
-
-    ``table`` holds one row for each value of ``keys`` and ``end``. Ends with at least 1/HOT of
-    the pairs, at most HOT of them, are spread over tasks. They are counted before any join.
-    """
-    least = max(2, pairs.count() // HOT)
-    found = pairs
-    for side, other in (("a", "b"), ("b", "a")):
-        counts = pairs.groupBy(*keys, side).agg(F.count(F.lit(1)).alias("n"))
-        ends = table.select(*keys, F.col("end").alias(side), *[
-            F.col(c).alias(f"{side}_{c}") for c in table.columns if c not in (*keys, "end")])
-        found = salted_join(found, ends, [*keys, side], hot_keys(counts, [*keys, side], "n", least), [other])
-    return found
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's runs of ``STAGE_SHINGLE`` words; a shorter text is one run."""
-    tokens = words(text)
-    if not tokens:
-        return np.empty(0, np.uint64)
-    each = hashes(tokens)
-    size = min(STAGE_SHINGLE, len(each))
-    total = np.full(len(each) - size + 1, size, np.uint64)
-    for i in range(size):
-        total = mixed(total, i) + each[i : len(each) - size + 1 + i]
-    return np.unique(mixed(total, size))
-
-
-def verified(edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the written ``edges`` (a, b) whose texts share ``STAGE_SHARE`` of their distinct shingles.
-
-    ``rows`` holds ``row``, which is unique, and ``text``. The sets themselves are compared.
-    """
-    ends = edges.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-
-    def make():
-        return lambda texts: [[shingle_set(t).view(np.int64) for t in texts]]
-
-    field = T.StructField("set", T.ArrayType(T.LongType()))
-    sets = written(map_text(rows.join(ends, "row", "left_semi"), "text", [field], make, ["row"]), "sets")
-    both = look_up(edges, sets.withColumnRenamed("row", "end"), [])
-    same, sizes = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
-    over, under = STAGE_SHARE
-    return both.filter(same * (over + under) >= sizes * over).select("a", "b")
-
-
-def places(found: np.ndarray) -> np.ndarray:
-    """Two buckets for each hash, one in each half of ``2 * RANK_BUCKETS``."""
-    n = np.uint64(RANK_BUCKETS)
-    return np.stack([found % n, mixed(found, 0) % n + n]).astype(np.int64)
-
-
-def bucket_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """How many shingles of texts each bucket holds; the lesser count of a shingle's two tells the frequent ones."""
-
-    def run(batches):
-        counts = np.zeros(2 * RANK_BUCKETS, np.int64)
-        for batch in batches:
-            for part in slices(batch, text):
-                sets = [shingle_set(t) for t in part.column(text).to_pylist()]
-                counts += np.bincount(places(np.concatenate(sets)).ravel(), minlength=2 * RANK_BUCKETS)
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["bucket", "n"])
-
-    found = docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * RANK_BUCKETS, np.int64)
-    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return counts
-
-
-def reach() -> Column:
-    """Whether (a_size, a_left) and (b_size, b_left) can still reach the share, where a key is the first in common."""
-    over, under = STAGE_SHARE
-    return F.least("a_left", "b_left") * (over + under) >= (F.col("a_size") + F.col("b_size")) * over
-
-
-def ends(met: DataFrame, end: str, more: list[str] = []) -> DataFrame:
-    left = F.col("size") - F.col("at")
-    return met.select("key", F.col("row").alias(end), F.col("size").alias(f"{end}_size"), left.alias(f"{end}_left"),
-                      *[F.col(c).alias(f"{end}_{c}") for c in more])
-
-
-def few_pairs(met: DataFrame) -> DataFrame:
-    """(a, b): the pairs to compare of those keys of the written ``met`` (key, row, at, size, n) that few rows share.
-
-    ``at`` is a key's place in the row's prefix.
-    """
-    few = met.filter(F.col("n") <= STAGE_PAIRED)
-    return ends(few, "a").join(ends(few, "b"), "key").filter((F.col("a") < F.col("b")) & reach()).select("a", "b").distinct()
-
-
-def unconnected(many: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
-    """The rows of ``many`` in keys that ``edges`` leave in several components, with ``root``.
-
-    Also these keys with their counts of rows, ``n``, the number of rows and that of pairs
-    of a key in different components.
-    """
-    group = components(edges).select(F.col("node").alias("row"), "root").distinct()
-    rooted = written(many.drop("n").join(group, "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
-    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"))
-    keys = parts.groupBy("key").agg(F.sum("part").alias("n"), F.sum(F.col("part") * F.col("part")).alias("inside"), F.count(F.lit(1)).alias("parts"))
-    keys = written(keys.filter("parts > 1").select("key", "n", "inside"), "open")
-    n, pairs = keys.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()
-    return rooted.join(keys.select("key"), "key", "left_semi"), keys.select("key", "n"), n or 0, int(pairs or 0)
-
-
-def centred_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the ``rows`` of a key with ``STAGE_CENTRES`` of them, others at each ``turn``, in other components."""
-    centres = rows.groupBy("key").agg(F.array(*[
-        F.min_by(F.struct("row", "size", "at", "root"), F.xxhash64("row", F.lit(turn * STAGE_CENTRES + i))) for i in range(STAGE_CENTRES)
-    ]).alias("c")).select("key", F.explode(F.array_distinct("c")).alias("c")).select("key", "c.*")
-    pairs = join_small_or_salted(ends(rows, "a", ["root"]), ends(written(centres, "centres"), "b", ["root"]), ["key"], ["a"])
-    pairs = pairs.filter((F.col("a_root") != F.col("b_root")) & reach())
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def all_pairs(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a key in different components, spread over tasks."""
-    pairs = salted_join(ends(rows, "a", ["root"]), ends(rows, "b", ["root"]), ["key"], hot_keys(keys, ["key"], "n", STAGE_PAIRED), ["a"])
-    return pairs.filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & reach()).select("a", "b").distinct()
-
-
-def near_edges(met: DataFrame, given: DataFrame) -> DataFrame:
-    """(a, b): pairs of rows at the share that connect all such pairs of ``met``.
-
-    Keys shared by many first pair their rows with a few, which connects most of a large
-    group of copies, as long as that halves what is unconnected. Then all pairs that are
-    still unconnected are compared.
-    """
-    edges = written(verified(written(few_pairs(met), "candidates"), given), "verified")
-    many = met.filter(F.col("n") > STAGE_PAIRED)
-    before, turn = None, 0
-    while True:
-        rows, keys, n, left = unconnected(many, edges)
-        if not left:
-            return edges
-        last = left <= STAGE_CENTRES * n or before is not None and 2 * left > before
-        pairs = all_pairs(rows, keys) if last else centred_pairs(rows, turn)
-        more = written(verified(written(pairs, "candidates"), given), "verified")
-        edges = edges.union(more)
-        if last:
-            return written(edges.distinct(), "verified")
-        before, turn = left, turn + 1
-
-
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay when one of each group of near copies does.
 
-    Near copies share at least 0.8 of their distinct five-word shingles. In any one order of
-    all shingles, two such sets have one in common among the first fifth of each, rounded
-    down, and one more; those are the keys by which candidates meet. The order goes by counts
-    of buckets, so that what many texts share is seldom a key. Of a group, the
-    smallest id stays (null ids last, equal ids by row).
+    Near copies share at least 0.8 of their distinct five-word shingles; those are found by
+    prefixes and signature trees, which keep the sets themselves out of all but one shuffle. Of a
+    group, the smallest id stays (null ids last, equal ids by row). All null texts and texts without
+    words are one group. An empty table gives no rows.
     """
-    rows, row = numbered(docs)
-    given = rows.select(F.col(row).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text)).cast("string").alias("text"))
-    counts = bucket_counts(given, "text")
-    fields = [T.StructField("same", T.BinaryType()), T.StructField("size", T.IntegerType()),
-              T.StructField("keys", T.ArrayType(T.LongType()))]
-    over, under = STAGE_SHARE
-
-    def make():
-        def work(texts):
-            same, sizes, keys = [], [], []
-            for t in texts:
-                found = shingle_set(t)
-                same.append(blake2b(found.astype("<u8").tobytes(), digest_size=16).digest())
-                sizes.append(len(found))
-                order = np.lexsort((found, counts[places(found)].min(axis=0)))
-                # as many of them can be missing in the other text, and one more
-                keys.append(found[order[: len(found) * (under - over) // under + 1]].view(np.int64))
-            return [same, sizes, keys]
-        return work
-
-    each = written(map_text(given, "text", fields, make, ["row", "id"]), "prefixes")
-    # rows with equal sets of shingles are one node
-    node = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("node")
-    nodes = written(each.groupBy("same").agg(node, F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
-    prefix = nodes.select(F.col("node.row").alias("row"), "size", F.posexplode("keys").alias("at", "key"))
-    shared = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = written(prefix.join(shared, "key"), "met")
-    edges = near_edges(met, given)
-    edges = look_up(edges, nodes.select(F.col("node.row").alias("end"), "node"), [])
-    edges = edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    hung = components(edges).filter("node <> root").select(F.col("node.row").alias("at"))
-    # of rows with equal sets all but the first go; of nodes in one component all but the root
-    repeats = each.select("same", "row").join(nodes.select("same", F.col("node.row").alias("first")), "same")
-    repeats = repeats.filter("row <> first").select(F.col("row").alias("at"))
-    dropped = repeats.union(hung).distinct().select(F.col("at").alias(row))
-    return rows.join(dropped, row, "left_anti").drop(row)
+    rows, row = row_keys(docs)
+    with scratch(docs.sparkSession) as scope:
+        found = jaccard_join.join(rows, text, id_col, row)
+        # one row of all that have no words
+        empty = found.filter("n_shingles = 0")
+        least = empty.agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("least")).select(F.col("least.row").alias("row"))
+        dropped = found.filter("n_shingles > 0 AND row <> first_row").select("row").unionByName(
+            empty.select("row").join(F.broadcast(least), "row", "left_anti"))
+        dropped = scope.result(dropped.withColumnRenamed("row", row), "dropped")
+    return without(rows, dropped, row).drop(row)
 
 
 def op6_simhash(spark, sf_dir):

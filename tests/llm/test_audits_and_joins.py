@@ -253,3 +253,19 @@ def test_frequent_shingles_are_listed(spark):
     found = jaccard_join.shingle_set(docs[0])
     other, last = jaccard_join.prefix(found, keys, place)
     assert len(other) == len(found) // 5 + 1 and not len(last) and not set(other.tolist()) & set(keys.tolist())
+
+
+def test_row_keys_of_a_scan(spark, odd, tmp_path):  # noqa: F811
+    """Rows of a scan are named by file and place, also where columns have the helper's names."""
+    from corpuslab.llm import common, simhash
+
+    given = odd.withColumn("row_number_", F.lit(7)).withColumn("file_path_", F.lit("x"))
+    given.repartition(3).write.parquet(str(tmp_path / "docs"))
+    scan = spark.read.parquet(str(tmp_path / "docs"))
+    for df in (scan, given):
+        keyed, row = common.row_keys(df)
+        assert keyed.columns == [*df.columns, row] and row not in df.columns
+        assert keyed.select(row).distinct().count() == len(ODD) and sorted(map(str, keyed.drop(row).collect())) == sorted(map(str, df.collect()))
+    kept = [simhash.near_dedup(df) for df in (scan, given)]
+    assert kept[0].columns == given.columns
+    assert sorted(str(r["doc_id"]) for r in kept[0].collect()) == sorted(str(r["doc_id"]) for r in kept[1].collect())

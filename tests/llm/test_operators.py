@@ -15,7 +15,7 @@ from pyspark.sql import functions as F, types as T
 
 import corpus_pipeline
 from corpuslab.llm import (
-    components, exact_dedup, flac, language_id, license_scan, mixing, queries, secret_scan, sentencepiece_bpe, sharding, simhash, toxicity)
+    components, exact_dedup, flac, jaccard_join, language_id, license_scan, mixing, queries, secret_scan, sentencepiece_bpe, sharding, simhash, toxicity)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string"
 LONG = "word " * 30_000
@@ -134,12 +134,12 @@ def test_near_dedup_takes_one_of_each_group(spark, docs, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("paired", [32, 1])
-def test_near_dedup_at_the_threshold(spark, paired, monkeypatch):
-    """Copies with 0.82 or more of their shingles in common go, all others stay, whichever way keys are paired."""
+@pytest.mark.parametrize("block", [2048, 2])
+def test_near_dedup_at_the_threshold(spark, block, monkeypatch):
+    """Copies with 0.82 or more of their shingles in common go, all others stay, whichever way groups are cut."""
     import random
 
-    monkeypatch.setattr(simhash, "STAGE_PAIRED", paired)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     draw = random.Random(5)
     rows, first = [], set()
     for group in range(40):
