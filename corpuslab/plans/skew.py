@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 # of them. Of the others, the heaviest are.
 ROWS_PER_SALT = 1_000_000
 HOT_KEYS = 1024
-# A hot key is spread over up to this many tasks, or over more when it has more rows than they should hold.
+# A hot key is spread over this many tasks, or over more when it has more rows than they should hold.
 SALTS = 64
 # A key with fewer rows than this is no burden to one task and is not salted.
 HOT_MIN_ROWS = 100_000
@@ -40,16 +40,15 @@ def hot_keys(
     """The keys to spread, and the number of salts of each, ``__salts``.
 
     All keys with at least ``rows_per_salt`` rows, and the ``HOT_KEYS`` heaviest of those with at least
-    ``min_rows``. A key gets a salt for every ``min_rows`` rows, up to ``SALTS``, or as many as keep
-    ``rows_per_salt`` rows in a task.
+    ``min_rows``. A key gets ``SALTS`` salts, or as many as keep ``rows_per_salt`` rows in a task.
     """
     least = HOT_MIN_ROWS if min_rows is None else min_rows
-    most = max(ROWS_PER_SALT if rows_per_salt is None else rows_per_salt, least)
+    per_salt = ROWS_PER_SALT if rows_per_salt is None else rows_per_salt
     n = F.col(count_col)
-    salts = F.least(F.ceil(n / F.lit(least)), F.greatest(F.lit(SALTS), F.ceil(n / F.lit(most))))
-    chosen = counts.filter(n >= least).select(*keys, n.alias("__n"), F.greatest(F.lit(2), salts).cast("int").alias("__salts"))
-    lighter = chosen.filter(F.col("__n") < most).orderBy(F.desc("__n"), *keys).limit(HOT_KEYS)
-    return chosen.filter(F.col("__n") >= most).unionByName(lighter).select(*keys, "__salts")
+    salts = F.greatest(F.lit(SALTS), F.ceil(n / F.lit(per_salt))).cast("int")
+    chosen = counts.filter(n >= least).select(*keys, n.alias("__n"), salts.alias("__salts"))
+    lighter = chosen.filter(F.col("__n") < per_salt).orderBy(F.desc("__n"), *keys).limit(HOT_KEYS)
+    return chosen.filter(F.col("__n") >= per_salt).unionByName(lighter).select(*keys, "__salts")
 
 
 def heaviest(counts: DataFrame, keys: list[str], count_col: str, min_rows: int | None = None) -> DataFrame:
