@@ -537,7 +537,8 @@ def test_query(spark, sf, name):
         assert len(rows) == 200 and "doc_id" in got.columns
     if name in queries.ORACLES:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+        for t in ("documents", "labels"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
         cur = con.execute(queries.ORACLES[name])
         names = [d[0] for d in cur.description]
         assert sorted(names) == sorted(got.columns)
