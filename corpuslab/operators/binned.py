@@ -5,13 +5,15 @@ feature. A level of a tree needs, for each node, feature and bin, sums over its
 for classification, count, sum and sum of squares for regression. Tasks add up dense histograms
 of their rows, Spark adds up those of tasks, and the best split of each node follows.
 
-Regression trees of any number of settings and folds grow together. Nodes of many rows are split
-level by level over the whole table. A node of at most ``LOCAL_ROWS`` rows is finished by one task,
-which gets its rows packed, and so are the rows held out of its fold, to measure the error.
+Regression trees of any number of settings and folds grow together, from the sums of the rows that share all bins and
+the fold: cells. Nodes of many cells are split level by level over the whole table. A node of at most
+``LOCAL_ROWS`` cells is finished by one task, which gets its cells packed, and so are the cells held out of its
+fold, to measure the error.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,8 +28,10 @@ from corpuslab.plans.storage import written
 
 MOST_BINS = 256
 ACCURACY = 10_000
-# Rows of a node that one task may finish by itself.
+# Cells of a node that one task may finish by itself.
 LOCAL_ROWS = 1_000_000
+# Cells that all trees of a search send to tasks at once; further trees grow after them.
+TOGETHER_ROWS = 100_000_000
 
 
 # ---- bins ---------------------------------------------------------------------------
@@ -249,12 +253,12 @@ def best_splits(h: np.ndarray, setting: Setting, path: np.ndarray) -> tuple[np.n
     return feature, cut, below[np.arange(len(h)), np.maximum(feature, 0), cut]
 
 
-def sums_of(node: np.ndarray, n_nodes: int, bins: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Count, sum and sum of squares by (node, feature, bin)."""
-    h = np.empty((n_nodes, bins.shape[1], most, 3))
+def sums_of(node: np.ndarray, n_nodes: int, bins: np.ndarray, weights: list[np.ndarray | None], most: int) -> np.ndarray:
+    """The sum of each weight, None for one, by (node, feature, bin)."""
+    h = np.empty((n_nodes, bins.shape[1], most, len(weights)))
     for f in range(bins.shape[1]):
         key = node * most + bins[:, f]
-        for k, weight in enumerate((None, y, y * y)):
+        for k, weight in enumerate(weights):
             h[:, f, :, k] = np.bincount(key, weight, n_nodes * most).reshape(n_nodes, most)
     return h
 
@@ -267,17 +271,20 @@ class Part:
     sums: list[tuple[float, float, float]]
 
 
-def grow_local(bins: np.ndarray, y: np.ndarray, setting: Setting, path: int, n_bins: list[int]) -> Part:
-    """Grow the subtree at ``path`` (1 for the root, 2 p and 2 p + 1 below p) from its rows, level by level."""
+def grow_local(bins: np.ndarray, moments: np.ndarray, setting: Setting, path: int, n_bins: list[int]) -> Part:
+    """Grow the subtree at ``path`` (1 for the root, 2 p and 2 p + 1 below p) from its cells, level by level.
+
+    ``moments``: count, sum and sum of squares of each cell's rows.
+    """
     most = max(n_bins, default=1)
-    start = (float(len(y)), float(y.sum()), float((y * y).sum()))
+    start = tuple(float(x) for x in moments.sum(axis=0))
     part = Part(Grown(), [start])
-    part.tree.add(start[1] / start[0] if len(y) else 0.0, start[0])
+    part.tree.add(start[1] / start[0] if len(bins) else 0.0, start[0])
     paths, level, depth = np.array([path]), [0], int(path).bit_length() - 1
-    at = np.zeros(len(y), np.int64)  # the row's place in level, -1 once in a leaf
-    while level and depth < setting.max_depth and len(y):
+    at = np.zeros(len(bins), np.int64)  # the cell's place in level, -1 once in a leaf
+    while level and depth < setting.max_depth and len(bins):
         use = at >= 0
-        bins, y, at = bins[use], y[use], at[use]
+        bins, moments, at = bins[use], moments[use], at[use]
         # nodes are taken in slices, so that their histograms stay small
         step = max(1, (32 << 20) // (24 * most * max(1, len(n_bins))))
         order = np.argsort(at, kind="stable")
@@ -287,7 +294,7 @@ def grow_local(bins: np.ndarray, y: np.ndarray, setting: Setting, path: int, n_b
         for first in range(0, len(level), step):
             last = min(first + step, len(level))
             rows = order[bounds[first] : bounds[last]]
-            h = sums_of(at[rows] - first, last - first, bins[rows], y[rows], most)
+            h = sums_of(at[rows] - first, last - first, bins[rows], list(moments[rows].T), most)
             feature[first:last], cut[first:last], lefts[first:last] = best_splits(h, setting, paths[first:last])
         following, next_paths, number = [], [], np.full((len(level), 2), -1)
         for i in np.flatnonzero(feature >= 0):
@@ -328,34 +335,55 @@ def _squares(sums: np.ndarray) -> np.ndarray:
     return sums[..., 2] - sums[..., 1] ** 2 / np.maximum(sums[..., 0], 1)
 
 
+def cells_of(table: DataFrame) -> DataFrame:
+    """Write (bins, fold, n, s, q, m2): rows in the same bins and fold count together.
+
+    Splits depend on a row's bins only, so counts, sums of ``y`` and of its squares grow the same tree; ``m2``,
+    the squared distance to the cell's mean, measures errors without cancellation.
+    """
+    y = F.col("y")
+    return written(table.groupBy("bins", "fold").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"),
+        (F.var_pop(y) * F.count(F.lit(1))).alias("m2")), "cells")
+
+
+def _moments(batch) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy() for c in ("n", "s", "q")])
+
+
 @dataclass
 class Forest:
     """Trees of several settings and held-out folds, and what is known of their upper nodes."""
 
     trees: list[Grown]
     paths: list[dict[int, int]]  # leaf -> place in the whole tree
-    sums: list[list[tuple[float, float, float]]]
+    sums: list[list[tuple[float, float, float, float]]]  # the last one counts cells
+
+    def closed(self, jobs: list[tuple[Setting, int]], t: int, leaf: int) -> bool:
+        """Whether a leaf stays one: no split was found, or it is as deep as the tree may be."""
+        path = self.paths[t][leaf]
+        return path <= 0 or path.bit_length() - 1 >= jobs[t][0].max_depth
 
 
 def _upper(table: DataFrame, jobs: list[tuple[Setting, int]], n_bins: list[int]) -> Forest:
-    """Split nodes of more than ``LOCAL_ROWS`` rows level by level; what is left fits a task each.
+    """Split nodes of more than ``LOCAL_ROWS`` cells level by level; what is left fits a task each.
 
-    Splits come to the driver, at most rows / LOCAL_ROWS of them per tree and level.
+    Splits come to the driver, at most cells / LOCAL_ROWS of them per tree and level.
     """
     width, most = len(n_bins), max(n_bins, default=1)
-    counts = {r["fold"]: (float(r["n"]), float(r["s"] or 0), float(r["q"] or 0)) for r in table.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).collect()}  # one row per fold
+    counts = {r["fold"]: (float(r["n"] or 0), float(r["s"] or 0), float(r["q"] or 0), float(r["c"])) for r in table.groupBy("fold").agg(
+        *[F.sum(c).alias(c) for c in ("n", "s", "q")], F.count(F.lit(1)).alias("c")).collect()}  # one row per fold
     forest = Forest([], [], [])
     for setting, fold in jobs:
-        sums = tuple(np.sum([v for f, v in counts.items() if f != fold] or [(0.0, 0.0, 0.0)], axis=0))
+        sums = tuple(np.sum([v for f, v in counts.items() if f != fold] or [(0.0, 0.0, 0.0, 0.0)], axis=0))
         tree = Grown()
         tree.add(float(sums[1] / sums[0]) if sums[0] else 0.0, float(sums[0]))
         forest.trees.append(tree)
         forest.paths.append({0: 1})
         forest.sums.append([sums])
     while True:
-        open_ = [(t, leaf) for t, (setting, _) in enumerate(jobs) for leaf, path in forest.paths[t].items()
-                 if forest.sums[t][leaf][0] > LOCAL_ROWS and path.bit_length() - 1 < setting.max_depth and path > 0]
+        open_ = [(t, leaf) for t in range(len(jobs)) for leaf in forest.paths[t]
+                 if forest.sums[t][leaf][3] > LOCAL_ROWS and not forest.closed(jobs, t, leaf)]
         if not open_:
             return forest
         known = [(t, forest.trees[t], [leaf for u, leaf in open_ if u == t]) for t in sorted({t for t, _ in open_})]
@@ -366,24 +394,25 @@ def _upper(table: DataFrame, jobs: list[tuple[Setting, int]], n_bins: list[int])
             totals = {}
             for batch in batches:
                 bins = matrix(batch.column("bins"), width)
-                y, fold = batch.column("y").to_numpy(), batch.column("fold").to_numpy()
+                moments, fold = _moments(batch), batch.column("fold").to_numpy()
                 for t, tree, leaves in known:
                     place = np.full(len(tree.feature), -1)
                     place[leaves] = np.arange(len(leaves))
                     node = np.where(fold != folds[t], place[tree.place(bins)], -1)
                     use = node >= 0
-                    h = sums_of(node[use], len(leaves), bins[use], y[use], most)
+                    h = sums_of(node[use], len(leaves), bins[use], [*moments[use].T, None], most)
                     totals[t] = totals.get(t, 0) + h
-            keys = [(t, leaf, totals[t][i]) for t, _, leaves in known if t in totals for i, leaf in enumerate(leaves)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
-                pa.array([k[2].ravel() for k in keys], pa.list_(pa.float64()))], names=["tree", "leaf", "h"])
+            for t, _, leaves in known:
+                for i, leaf in enumerate(leaves if t in totals else []):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([t], pa.int32()), pa.array([leaf], pa.int32()),
+                        pa.array([totals[t][i].ravel()], pa.list_(pa.float64()))], names=["tree", "leaf", "h"])
 
         def choose(batches, settings=settings, paths=paths):
             for batch in batches:
                 rows = []
                 for t, leaf, h in zip(batch.column("tree").to_pylist(), batch.column("leaf").to_pylist(), batch.column("h")):
-                    h = h.values.to_numpy().reshape(1, width, most, 3)
+                    h = h.values.to_numpy().reshape(1, width, most, 4)
                     f, cut, left = best_splits(h, settings[t], np.array([paths[t][leaf]]))
                     rows.append({"tree": t, "leaf": leaf, "feature": int(f[0]), "cut": int(cut[0]), "left": left[0].tolist()})
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([
@@ -391,7 +420,7 @@ def _upper(table: DataFrame, jobs: list[tuple[Setting, int]], n_bins: list[int])
 
         from pyspark.ml.functions import vector_to_array
 
-        sums = table.select("bins", "y", "fold").mapInArrow(run, "tree int, leaf int, h array<double>")
+        sums = table.select("bins", "n", "s", "q", "fold").mapInArrow(run, "tree int, leaf int, h array<double>")
         sums = sums.groupBy("tree", "leaf").agg(Summarizer.sum(array_to_vector("h")).alias("h")).select("tree", "leaf", vector_to_array("h").alias("h"))
         for r in sorted(sums.mapInArrow(choose, "tree int, leaf int, feature int, cut int, left array<double>").collect()):
             t, leaf = r["tree"], r["leaf"]
@@ -409,47 +438,69 @@ def _upper(table: DataFrame, jobs: list[tuple[Setting, int]], n_bins: list[int])
 
 
 def _finish(table: DataFrame, jobs: list[tuple[Setting, int]], forest: Forest, n_bins: list[int], want_trees: bool) -> list[dict]:
-    """Finish each node that is left in one task; its cost, the error of its held-out rows and their sums."""
+    """Finish each node that is left in one task; its cost, the error of its held-out rows and their sums.
+
+    The cells of a node travel packed; of a leaf that stays one, only their sums in each task.
+    """
     import pickle
 
     width = len(n_bins)
     folds = [fold for _, fold in jobs]
     upper, paths, wanted = forest.trees, forest.paths, [s for s, _ in jobs]
+    closed = [{leaf for leaf in paths[t] if forest.closed(jobs, t, leaf)} for t in range(len(jobs))]
     totals = [sums[0][0] for sums in forest.sums]
+    kind = [("bins", np.uint8, (width,)), ("y", np.float64, (3,)), ("m2", np.float64), ("fold", np.int32)]
 
     def pack(batches):
+        sums: dict[tuple[int, int, bool], np.ndarray] = {}
         for batch in batches:
             bins = matrix(batch.column("bins"), width)
-            rows = np.empty(len(bins), [("bins", np.uint8, (width,)), ("y", np.float64), ("fold", np.int32)])
-            rows["bins"], rows["y"], rows["fold"] = bins, batch.column("y").to_numpy(), batch.column("fold").to_numpy()
-            whole = rows.tobytes()
+            rows = np.empty(len(bins), kind)
+            rows["bins"], rows["y"], rows["fold"] = bins, _moments(batch), batch.column("fold").to_numpy()
+            rows["m2"] = batch.column("m2").to_numpy()
+            whole = None
             for t, tree in enumerate(upper):
-                if len(tree.feature) == 1:
+                if len(tree.feature) == 1 and not closed[t]:
+                    whole = rows.tobytes() if whole is None else whole
                     yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int32()), "leaf": pa.array([0], pa.int32()), "rows": pa.array([whole], pa.binary())})
                     continue
                 at = tree.place(bins)
                 leaves = np.unique(at)
+                for leaf in closed[t].intersection(leaves.tolist()):
+                    for test in (False, True):
+                        mine = rows[(at == leaf) & ((rows["fold"] == folds[t]) == test)]
+                        if len(mine):
+                            n, s, _ = mine["y"].T
+                            error = mine["m2"] + n * (s / n - tree.value[leaf]) ** 2
+                            sums[t, leaf, test] = sums.get((t, leaf, test), 0) + np.array([*mine["y"].sum(axis=0), error.sum()])
+                leaves = [leaf for leaf in leaves.tolist() if leaf not in closed[t]]
                 yield pa.RecordBatch.from_pydict({
                     "tree": pa.array([t] * len(leaves), pa.int32()), "leaf": pa.array(leaves, pa.int32()),
                     "rows": pa.array([rows[at == leaf].tobytes() for leaf in leaves], pa.binary())})
+        for (t, leaf, test), (n, s, q, error) in sums.items():
+            one = np.zeros(1, kind)
+            one["y"], one["m2"], one["fold"] = (n, s, q), error - n * (s / n - upper[t].value[leaf]) ** 2, folds[t] if test else folds[t] + 1
+            yield pa.RecordBatch.from_pydict({
+                "tree": pa.array([t], pa.int32()), "leaf": pa.array([leaf], pa.int32()), "rows": pa.array([one.tobytes()], pa.binary())})
 
     def finish(batches):
         key, held = None, []
 
         def out():
             t, leaf = key
-            rows = np.frombuffer(b"".join(held), [("bins", np.uint8, (width,)), ("y", np.float64), ("fold", np.int32)])
+            rows = np.frombuffer(b"".join(held), kind)
             test = rows["fold"] == folds[t]
             path, setting = paths[t][leaf], wanted[t]
-            bins, y = rows["bins"][~test], rows["y"][~test]
-            part = grow_local(bins, y, setting, path, n_bins) if path > 0 else grow_local(bins, y, Setting(max_depth=0), 1, n_bins)
-            cost = prune(part.tree, _squares(np.array(part.sums)) / max(totals[t], 1), setting.alpha)
-            y_test = rows["y"][test]
+            if leaf in closed[t]:
+                path, setting = 1, Setting(max_depth=0)
+            part = grow_local(rows["bins"][~test], rows["y"][~test], setting, path, n_bins)
+            cost = prune(part.tree, _squares(np.array(part.sums)) / max(totals[t], 1), wanted[t].alpha)
+            n, s, q = rows["y"][test].T
             told = np.array(part.tree.value)[part.tree.place(rows["bins"][test])]
             yield pa.RecordBatch.from_pydict({
                 "tree": pa.array([t], pa.int32()), "leaf": pa.array([leaf], pa.int32()), "cost": pa.array([float(cost[0])]),
-                "error": pa.array([float(((y_test - told) ** 2).sum())]), "n": pa.array([float(len(y_test))]),
-                "s": pa.array([float(y_test.sum())]), "q": pa.array([float((y_test * y_test).sum())]),
+                "error": pa.array([float((rows["m2"][test] + n * (s / n - told) ** 2).sum())]), "n": pa.array([float(n.sum())]),
+                "s": pa.array([float(s.sum())]), "q": pa.array([float(q.sum())]),
                 "grown": pa.array([pickle.dumps(part.tree) if want_trees else None], pa.binary())})
 
         for batch in batches:
@@ -463,7 +514,7 @@ def _finish(table: DataFrame, jobs: list[tuple[Setting, int]], forest: Forest, n
             yield from out()
 
     groups = sum(len(p) for p in paths)
-    packed = table.select("bins", "y", "fold").mapInArrow(pack, "tree int, leaf int, rows binary")
+    packed = table.mapInArrow(pack, "tree int, leaf int, rows binary")
     dealt = packed.repartition(max(1, min(groups, 10_000)), "tree", "leaf").sortWithinPartitions("tree", "leaf")
     schema = "tree int, leaf int, cost double, error double, n double, s double, q double, grown binary"
     return [r.asDict() for r in dealt.mapInArrow(finish, schema).collect()]  # one row per finished node
@@ -495,9 +546,18 @@ def cross_validate(table: DataFrame, settings: list[Setting], folds: int, n_bins
     ``table``: (bins, y, fold) from :func:`binned`, folds 0 to ``folds`` - 1.
     """
     jobs = [(s, f) for s in settings for f in range(folds)]
-    forest = _upper(table, jobs, n_bins)
-    errors = [test[0, 3] / test[0, 0] if test[0, 0] else float("nan")
-              for _, _, test in _whole(jobs, forest, _finish(table, jobs, forest, n_bins, False))]
+    cells = cells_of(table)
+    # trees that grow together send their cells to tasks at the same time
+    together = max(1, TOGETHER_ROWS // max(1, cells.count()))
+    errors = []
+    for first in range(0, len(jobs), together):
+        some = jobs[first : first + together]
+        forest = _upper(cells, some, n_bins)
+        errors += [test[0, 3] / test[0, 0] if test[0, 0] else float("nan")
+                   for _, _, test in _whole(some, forest, _finish(cells, some, forest, n_bins, False))]
+        if first + together < len(jobs):
+            gc.collect()
+            table.sparkSession._jvm.System.gc()  # shuffle files of these trees
     return [float(np.nanmean(errors[i * folds : (i + 1) * folds])) for i in range(len(settings))]
 
 
@@ -505,7 +565,7 @@ def fit_tree(table: DataFrame, setting: Setting, n_bins: list[int]) -> Grown:
     """One tree from all rows of ``table`` (bins, y, fold); no fold is -1. It has at most 2 ** (max_depth + 1) nodes."""
     import pickle
 
-    jobs = [(setting, -1)]
+    jobs, table = [(setting, -1)], cells_of(table)
     forest = _upper(table, jobs, n_bins)
     tree, rows, _ = next(_whole(jobs, forest, _finish(table, jobs, forest, n_bins, True)))
     for leaf, r in sorted(rows.items()):

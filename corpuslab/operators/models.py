@@ -128,11 +128,12 @@ class GrownTree(Model):
 
         @F.pandas_udf("double")
         def told(batch: pd.Series) -> pd.Series:
-            x = np.array([[np.nan if v is None else v for v in row] for row in batch], float).reshape(len(batch), len(edges))
+            x = np.concatenate(batch.to_list()).reshape(len(batch), len(edges)) if len(edges) and len(batch) else np.empty((len(batch), 0))
             bins = np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)], axis=1)
             return pd.Series(np.array(tree.value)[tree.place(bins)])
 
-        return df.withColumn("prediction", told(F.col(self.features)))
+        given = F.transform(F.col(self.features), lambda v: F.coalesce(v.cast("double"), F.lit(float("nan"))))
+        return df.withColumn("prediction", told(given))
 
 
 def _binned_labels(df: DataFrame, features: str, label: str, fold: Column, bins: int) -> tuple[DataFrame, list[np.ndarray]]:

@@ -185,3 +185,43 @@ def test_too_many_classes_are_refused(spark, monkeypatch):
     df = spark.createDataFrame([([1.0], i) for i in range(20)], "x array<double>, label int")
     with pytest.raises(ValueError):
         models.Samme("x", "label").fit(df)
+
+
+def _packed_cells(monkeypatch):
+    """The numbers of cells that each tree's histograms took, as a search runs."""
+    counts = []
+    cells_of = binned.cells_of
+
+    def seen(table):
+        cells = cells_of(table)
+        counts.append(cells.count())
+        return cells
+
+    monkeypatch.setattr(binned, "cells_of", seen)
+    return counts
+
+
+def test_search_sends_cells_and_not_rows(spark, monkeypatch):
+    """Rows of the same bins and fold travel as one, however many there are."""
+    counts = _packed_cells(monkeypatch)
+    monkeypatch.setattr(binned, "TOGETHER_ROWS", 40)
+    df = spark.range(3000).select(
+        F.array((F.col("id") % 4).cast("double"), (F.col("id") % 3).cast("double")).alias("x"), (F.col("id") % 7).cast("double").alias("y"),
+        (F.col("id") % 5).cast("int").alias("fold"))
+    _, tried = models.random_search(df, "x", "y", F.col("fold"), {"max_depth": [0, 1, 3]}, n=4, folds=5)
+    assert counts and max(counts) <= 4 * 3 * 5
+    assert all(0 < mse < 5 for _, mse in tried)
+
+
+def test_leaf_that_stays_one_travels_as_sums(spark, monkeypatch):
+    """Neither at the depth limit nor without a split does a task get the cells of a large leaf."""
+    monkeypatch.setattr(binned, "LOCAL_ROWS", 10)
+    rows = [(i, [float(i), float(i * 7 % 50)], float(i * i % 31), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, y double, fold int")
+    edges = binned.bin_edges(df, "x", 256)
+    cells = binned.cells_of(binned.binned(df, "x", edges, {"y": F.col("y"), "fold": F.col("fold")}))
+    jobs, n_bins = [(binned.Setting(max_depth=1), 0)], [len(e) + 1 for e in edges]
+    forest = binned._upper(cells, jobs, n_bins)
+    assert all(forest.closed(jobs, 0, leaf) for leaf in forest.paths[0])
+    found = binned._finish(cells, jobs, forest, n_bins, False)
+    assert sum(r["n"] for r in found) == 100  # the rows held out
