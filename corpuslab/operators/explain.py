@@ -9,6 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpuslab.operators import trees
+from corpuslab.plans.skew import join_small_or_salted
+from corpuslab.plans.storage import written
+
+# Pairs of a cell and a leaf that one task may explain.
+CELL_PAIRS = 50_000_000
 
 
 def linear_shap(df: DataFrame, features: list[str], weights: list[float], intercept: float, background: DataFrame) -> DataFrame:
@@ -26,22 +31,35 @@ def linear_shap(df: DataFrame, features: list[str], weights: list[float], interc
 def tree_shap(df: DataFrame, features: list[str], model) -> DataFrame:
     """Add ``phi_<feature>`` and ``base`` for a fitted regression tree, or its root as a :class:`trees.Node`.
 
-    The tree travels to the tasks by broadcast, as arrays of leaf paths by the features they
-    split on; a task explains a whole Arrow batch of rows at once.
+    Rows between the same thresholds of the tree have the same parts. Each such cell is explained once, in tasks of at
+    most ``CELL_PAIRS`` pairs of a cell and a leaf, and joined back onto its rows. The tree travels
+    to the tasks by broadcast, as arrays of leaf paths by the features they split on.
     """
     root = model if isinstance(model, trees.Node) else trees.export(model)
     base = trees.expected_value(root)
-    groups = df.sparkSession.sparkContext.broadcast(trees.leaf_groups(trees.leaves(root)))
+    paths = trees.leaves(root)
+    groups = df.sparkSession.sparkContext.broadcast(trees.leaf_groups(paths))
+    edges = trees.thresholds(root, len(features))
     names = [f"phi_{c}" for c in features]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += "".join(f", `{n}` double" for n in names) + ", base double"
+
+    @F.pandas_udf("binary")
+    def cell_of(*columns: pd.Series) -> pd.Series:
+        place = [np.where(np.isnan(x), -1, np.searchsorted(e, x, side="left")) for x, e in zip((c.to_numpy(dtype=float) for c in columns), edges)]
+        return pd.Series([row.tobytes() for row in np.stack(place, axis=1).astype(np.int32)], dtype=object)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            phi = trees.attributions(groups.value, batch[features].to_numpy(dtype=float))
-            yield batch.assign(**dict(zip(names, np.asarray(phi).T)), base=base)
-
-    return df.mapInPandas(explain, schema)
+            place = np.frombuffer(b"".join(batch["__cell"]), np.int32).reshape(len(batch), len(features))
+            x = np.stack([np.append(e, [np.inf, np.nan])[place[:, i]] for i, e in enumerate(edges)], axis=1)
+            yield batch.assign(**dict(zip(names, np.asarray(trees.attributions(groups.value, x)).T)))
+
+    placed = df.withColumn("__cell", cell_of(*[F.col(c).cast("double") for c in features]))
+    cells = written(placed.select("__cell").distinct(), "cells")
+    tasks = max(1, -(-cells.count() * len(paths) // CELL_PAIRS))
+    schema = "__cell binary" + "".join(f", `{n}` double" for n in names)
+    parts = written(cells.repartition(tasks).mapInPandas(explain, schema), "parts")
+    joined = join_small_or_salted(placed, parts, ["__cell"], df.columns)
+    return joined.select(*df.columns, *names, F.lit(base).alias("base"))
 
 
 def global_importance(explained: DataFrame, features: list[str], top: int | None = 5) -> DataFrame:

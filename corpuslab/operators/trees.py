@@ -70,6 +70,18 @@ def leaves(node: Node) -> list[Leaf]:
     return out
 
 
+def thresholds(node: Node, width: int) -> list[np.ndarray]:
+    """The distinct thresholds of each feature, ascending."""
+    found: list[set[float]] = [set() for _ in range(width)]
+    rest = [node]
+    while rest:
+        n = rest.pop()
+        if n.feature >= 0:
+            found[n.feature].add(n.threshold)
+            rest += [n.left, n.right]
+    return [np.array(sorted(f), float) for f in found]
+
+
 def expected_value(node: Node) -> float:
     """Mean prediction over the training rows."""
     return sum(leaf.value * float(np.prod(leaf.share)) for leaf in leaves(node))

@@ -185,6 +185,30 @@ def test_tree_attributions(spark, lines):
         assert parts == pytest.approx(shapley_by_hand(root, [r[c] for c in NAMES]), rel=1e-6, abs=1e-6)
 
 
+def test_rows_between_the_same_thresholds_are_explained_once(spark, monkeypatch):
+    """The explained cells depend on the tree, not on the number of rows; NaN keeps cells of its own."""
+    explained = []
+    written = explain.written
+
+    def seen(df, label):
+        out = written(df, label)
+        explained.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(explain, "written", seen)
+    node = trees.Node
+    root = node(2.0, 4.0, 0, 5.0, node(1.0, 2.0), node(3.0, 2.0, 1, 7.5, node(2.0, 1.0), node(4.0, 1.0)))
+    values = [(float(i % 11), float(i % 13) if i % 17 else None) for i in range(2000)]
+    df = spark.createDataFrame(values, "a double, b double")
+    found = explain.tree_shap(df, ["a", "b"], root).collect()
+    groups = trees.leaf_groups(trees.leaves(root))
+    want = trees.attributions(groups, np.array([[a, np.nan if b is None else b] for a, b in values]))
+    key = lambda r: tuple(-1.0 if v is None else v for v in r)
+    got = sorted(((r["a"], r["b"], r["phi_a"], r["phi_b"]) for r in found), key=key)
+    assert np.allclose([g[2:] for g in got], [w[2:] for w in sorted(((*v, *p) for v, p in zip(values, want)), key=key)])
+    assert ("cells", 6) in explained
+
+
 def test_linear_attributions_add_up(lines):
     model = models.linear_regression(lines, NAMES, "l_extendedprice")
     weights = [float(w) for w in model.coefficients]
