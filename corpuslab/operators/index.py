@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpuslab.functions import text
 from corpuslab.plans.ranking import group_places
-from corpuslab.plans.skew import hot_keys, salted_join
+from corpuslab.plans.skew import fits_broadcast, hot_keys, salted_join
 from corpuslab.plans.storage import written
 from corpuslab.sources.corpus import spread
 
@@ -36,9 +36,14 @@ class Index:
     min_postings: int = 0
 
     def kept_postings(self) -> DataFrame:
-        """Postings of terms that passed the frequency threshold, with their df."""
-        hot = hot_keys(self.terms, ["term"], "df")
+        """Postings of terms that passed the frequency threshold, with their df.
+
+        Terms that are measured to be few travel to the postings, which stay where they are.
+        """
         table = self.terms.select("term", "df")
+        if fits_broadcast(table):
+            return self.postings.join(F.broadcast(table), "term")
+        hot = hot_keys(self.terms, ["term"], "df")
         if hot.isEmpty():
             return self.postings.join(table, "term")
         return salted_join(self.postings, table, ["term"], hot, ["doc_id"])

@@ -8,7 +8,7 @@ from corpuslab.functions.text import bucket_of
 from corpuslab.operators.index import Index
 
 BUCKETS = 124
-DOC_RANGE = 1 << 20
+ROWS_PER_FILE = 4_000_000
 
 STATS = "n_docs bigint, avgdl double, buckets int, min_postings int"
 POSTINGS = "term string, doc_id bigint, tf int, dl int, bucket int"
@@ -17,13 +17,17 @@ POSTINGS = "term string, doc_id bigint, tf int, dl int, bucket int"
 def write_index(index: Index, path: str, buckets: int = BUCKETS) -> None:
     """Write all parts of an index.
 
-    Postings are shuffled by (bucket, range of doc ids) and sorted by term: a
-    lookup skips buckets and row groups, and a term with very many postings is
-    split over several tasks and files.
+    Postings are shuffled by (bucket, piece) and sorted by term: a lookup skips buckets
+    and row groups, and a bucket has a piece for every ``ROWS_PER_FILE`` of its postings, so
+    that a term with very many is split over several tasks and files.
     """
-    kept = index.kept_postings().select("term", "doc_id", "tf", "dl", bucket_of(F.col("term"), buckets).alias("bucket"))
+    bucket = bucket_of(F.col("term"), buckets).alias("bucket")
+    kept = index.kept_postings().select("term", "doc_id", "tf", "dl", bucket)
+    sizes = index.terms.groupBy(bucket).agg(F.ceil(F.sum("df") / F.lit(ROWS_PER_FILE)).alias("pieces")).collect()  # one row per folder
+    pieces = F.element_at(F.array(*[F.lit(n) for n in _pieces(sizes, buckets)]), F.col("bucket") + 1)
+    tasks = max(sum(r["pieces"] for r in sizes), int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     (
-        kept.repartition("bucket", F.floor(F.col("doc_id") / DOC_RANGE))
+        kept.repartition(tasks, "bucket", F.pmod(F.xxhash64("doc_id"), pieces))
         .sortWithinPartitions("bucket", "term", "doc_id")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     )
@@ -32,6 +36,12 @@ def write_index(index: Index, path: str, buckets: int = BUCKETS) -> None:
     write_stats(index, f"{path}/stats", buckets)
 
 
+def _pieces(sizes: list[T.Row], buckets: int) -> list[int]:
+    """The pieces of each bucket, 1 for an empty one."""
+    found = {r["bucket"]: int(r["pieces"]) for r in sizes}
+    return [found.get(b, 1) for b in range(buckets)]
+
+
 def write_stats(index: Index, path: str, buckets: int = BUCKETS) -> None:
     spark = index.terms.sparkSession
     row = index.n_docs, index.avgdl, buckets, index.min_postings

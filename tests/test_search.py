@@ -166,3 +166,15 @@ def test_average_precision_divides_by_hits(spark):
     results = spark.createDataFrame([(1, d, r) for r, d in enumerate([5, 6, 7, 8], 1)], "query_id long, doc_id long, rank int")
     qrels = spark.createDataFrame([(1, 5), (1, 8), (1, 99)], "query_id long, doc_id long")
     assert rows(ireval.average_precision(results, qrels, queries)) == [(1, 0.75), (2, 0.0)]
+
+
+def test_few_terms_travel_to_the_postings(corpus, monkeypatch):
+    """With hot terms too, postings are not shuffled where the table of terms is small."""
+    index = corpus[1]
+    plain = sorted(tuple(r) for r in index.kept_postings().collect())
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 1)
+    kept = index.kept_postings()
+    assert "__salt" not in kept._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in kept.collect()) == plain
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    assert sorted(tuple(r) for r in index.kept_postings().collect()) == plain

@@ -128,3 +128,18 @@ def test_dense_opens_sheets_in_blocks(spark, monkeypatch):
     sheets = spark.createDataFrame([(1, 7, 2), (2, 3, 1), (3, 0, 4)], "sheet_id long, n_rows long, n_cols long")
     want = [(1, r, c, "x" if (r, c) == (6, 1) else "") for r in range(7) for c in range(2)] + [(2, r, 0, "") for r in range(3)]
     assert rows(grid.dense(cells, sheets)) == want
+
+
+def test_index_files_hold_a_bounded_number_of_postings(spark, tmp_path, monkeypatch):
+    """A term of neighbouring ids is cut into several files too."""
+    from pathlib import Path
+
+    monkeypatch.setattr(index_store, "ROWS_PER_FILE", 50)
+    docs = spark.range(600).selectExpr("id", "concat('often term', id % 7) AS text")
+    index = ix.build_index(docs, "id", "text", 0)
+    path = str(tmp_path / "index")
+    index_store.write_index(index, path, buckets=2)
+    assert len(list(Path(path, "postings").rglob("*.parquet"))) > 4
+    read = index_store.read_index(spark, path)
+    columns = ["term", "doc_id", "tf", "dl"]
+    assert sorted(map(tuple, read.postings.select(columns).collect())) == sorted(map(tuple, index.kept_postings().select(columns).collect()))
