@@ -34,6 +34,8 @@ class Index:
     # folders of the index files the postings come from, and the threshold the terms passed
     buckets: int | None = None
     min_postings: int = 0
+    # (id, dl, counts) of the rows the postings come from, where they are at hand
+    counted: DataFrame | None = None
 
     def kept_postings(self) -> DataFrame:
         """Postings of terms that passed the frequency threshold, with their df.
@@ -97,7 +99,7 @@ def _index_of(counted: DataFrame, min_postings: int) -> Index:
     n_docs, avgdl = lengths.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
     postings = postings_of(counted)
     terms = written(term_stats(postings, min_postings), "terms")
-    return Index(postings, terms, lengths, n_docs, avgdl, min_postings=min_postings)
+    return Index(postings, terms, lengths, n_docs, avgdl, min_postings=min_postings, counted=counted)
 
 
 def anchor_rows(df: DataFrame, anchors_col: str) -> DataFrame:

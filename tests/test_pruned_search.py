@@ -2,12 +2,14 @@
 
 import itertools
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslab.catalog import fixtures
 from corpuslab.operators import assignment, blockmax, index as ix, retrieve as rt
-from corpuslab.plans import ranking
+from corpuslab.plans import buckets, ranking, skew
 from tests.conftest import rows
 
 
@@ -51,6 +53,39 @@ def test_blocks_hold_each_posting_once(searched):
     assert flat.groupBy("block").agg(F.countDistinct("p.doc_id").alias("n")).filter("n > 8").count() == 0
 
 
+def test_lists_lie_by_block(spark, searched):
+    """What is asked of lists by block and term needs no shuffle of them, whatever they are joined with."""
+    index, blocks, queries = searched
+    given = {name: spark.conf.get(name) for name in (buckets.AUTO, buckets.ALL_KEYS)}
+    with buckets.together(spark):
+        sums = blocks.lists.groupBy("block", "term").count()
+        pairs = blocks.lists.join(sums.hint("shuffle_hash"), ["block", "term"])
+        for df in (sums, pairs):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert given == {name: spark.conf.get(name) for name in given}
+
+
+def test_blocks_of_many_terms_and_of_postings_alone(spark, searched, monkeypatch):
+    """Terms that cannot all be broadcast, documents that lie elsewhere, and an index without the counts of its rows."""
+    index, blocks, queries = searched
+    columns = ["term", "block", "n", "most", "postings"]
+    want = rows(blocks.lists, *columns)
+    assert rows(blockmax.build_blocks(replace(index, counted=None), block_docs=8).lists, *columns) == want
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 5)
+    frequent, rare = blockmax._by_frequency(index.terms.select("term", "df"))
+    assert frequent.count() <= 5 and rare.count() > 0
+    assert rows(blockmax.build_blocks(index, block_docs=8).lists, *columns) == want
+
+
+def test_relevant_documents_of_few_queries(spark, tmp_path, monkeypatch):
+    """Few queries travel to the postings, which are neither salted nor shuffled."""
+    docs = [(0, "alpha beta"), (1, "beta gammas"), (2, "gammas"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "beta gammas"), (2, "beta"), (3, ""), (4, "unseen")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(fixtures, "salted_join", None)
+    assert rows(fixtures.relevant(spark, str(tmp_path))) == [(1, 1), (1, 2), (2, 0), (2, 1)]
+
+
 def test_places_of_large_groups(spark):
     rng = random.Random(2)
     data = [(rng.choice("aab"), rng.randrange(20), i) for i in range(200)]
