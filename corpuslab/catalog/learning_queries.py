@@ -127,8 +127,8 @@ def topics(spark, sf):
     docs = fx.spread(table(spark, sf, "documents").select("doc_id", "text"))
     weights, rows = fe.TfIdf("doc_id", "text").fit_transform(docs)
     rows = written(rows, "tfidf")
-    model = Nmf(weights.vocabulary, k=10).fit(rows)
-    return model.transform(rows).select("id", F.posexplode("topics").alias("topic", "weight"))
+    _, found = Nmf(weights.vocabulary, k=10).fit_transform(rows)
+    return found.select("id", F.posexplode("topics").alias("topic", "weight"))
 
 
 @query("features_fe10_assembly", """

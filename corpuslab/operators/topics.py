@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,31 +16,29 @@ SWEEPS = 50
 
 
 def _row_factors(x_topics: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """Rows w >= 0 with least |x - w H|: coordinate descent, all rows of a batch at once."""
-    w = np.maximum(x_topics, 0.0) / np.maximum(gram.diagonal(), 1e-12)
+    """Columns w >= 0 with least |x - H'w|, one per document: coordinate descent, all documents of a batch at once."""
+    w = np.maximum(x_topics, 0.0) / np.maximum(gram.diagonal(), 1e-12)[:, None]
     for _ in range(SWEEPS):
         before = w.copy()
         for t in range(gram.shape[0]):
             if gram[t, t] > 0:
-                w[:, t] = np.maximum(0.0, w[:, t] + (x_topics[:, t] - w @ gram[:, t]) / gram[t, t])
+                w[t] = np.maximum(0.0, w[t] + (x_topics[t] - gram[t] @ w) / gram[t, t])
         if np.abs(w - before).max(initial=0.0) < 1e-9:
             break
     return w
 
 
-def _solve_batch(batch: pd.DataFrame, factor: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """Row factors of documents given as arrays of term positions and weights."""
-    doc, at, weight = _entries(batch)
-    x_topics = np.column_stack([np.bincount(doc, row[at] * weight, len(batch)) for row in factor])
-    return _row_factors(x_topics, gram)
+def _solve_batch(entries: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, factor: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Factors (topic, document) of the ``n`` documents of a batch."""
+    doc, at, weight = entries
+    return _row_factors(np.stack([np.bincount(doc, row[at] * weight, n) for row in factor]), gram)
 
 
-def _entries(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document number, term position and weight of all entries of a batch."""
-    doc = np.repeat(np.arange(len(batch)), batch["at"].map(len).to_numpy(dtype=np.int64))
-    if not len(doc):
-        return doc, np.zeros(0, np.int64), np.zeros(0)
-    return doc, np.concatenate(batch["at"].to_numpy()), np.concatenate(batch["weight"].to_numpy())
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, term position and weight of all entries of a batch, as Arrow holds them."""
+    at, weight = batch.column("at"), batch.column("weight")
+    sizes = pc.list_value_length(at).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(batch.num_rows), sizes), at.flatten().to_numpy(), weight.flatten().to_numpy()
 
 
 class Nmf(Estimator):
@@ -56,6 +55,14 @@ class Nmf(Estimator):
         self.vocabulary, self.k, self.max_iter, self.tol, self.seed = vocabulary, k, max_iter, tol, seed
 
     def _fit(self, df: DataFrame) -> Model:
+        return self._learn(df)[0]
+
+    def fit_transform(self, df: DataFrame) -> tuple[Model, DataFrame]:
+        """The fitted step and its result on the same documents, which are put together once."""
+        model, docs = self._learn(df)
+        return model, model.solved(docs)
+
+    def _learn(self, df: DataFrame) -> tuple[NmfModel, DataFrame]:
         terms = [r["term"] for r in self.vocabulary.select("term").orderBy("term").collect()]
         model = NmfModel(terms, np.zeros((self.k, len(terms))), [])
         docs = written(model.rows(df), "topic-rows")
@@ -68,27 +75,27 @@ class Nmf(Estimator):
             model.losses.append(loss)
             if len(model.losses) > 1 and model.losses[-2] - loss <= self.tol * max(model.losses[0], 1e-12):
                 break
-        return model
+        return model, docs
 
     def _round(self, docs: DataFrame, model: NmfModel, total: float) -> float:
         k, factor = self.k, model.factor
         gram = factor @ factor.T
         width = factor.shape[1]
 
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wx, ww = np.zeros((k, width)), np.zeros((k, k))
             for batch in batches:
-                w = _solve_batch(batch, factor, gram)
-                ww += w.T @ w
-                doc, at, weight = _entries(batch)
+                entries = doc, at, weight = _entries(batch)
+                w = _solve_batch(entries, batch.num_rows, factor, gram)
+                ww += w @ w.T
                 for t in range(k):
-                    wx[t] += np.bincount(at, w[doc, t] * weight, width)
+                    wx[t] += np.bincount(at, w[t][doc] * weight, width)
             both = np.hstack([wx, ww])
             topic, pos = np.nonzero(both)
-            yield pd.DataFrame({"topic": topic.astype("int32"), "pos": pos.astype("int32"), "x": both[topic, pos]})
+            yield pa.RecordBatch.from_pydict({"topic": topic.astype("int32"), "pos": pos.astype("int32"), "x": both[topic, pos]})
 
         # k * (vocabulary + k) sums, whatever the number of documents
-        rows = docs.select("at", "weight").mapInPandas(sums, "topic int, pos int, x double").groupBy("topic", "pos").agg(
+        rows = docs.select("at", "weight").mapInArrow(sums, "topic int, pos int, x double").groupBy("topic", "pos").agg(
             F.sum("x").alias("x")).toPandas()
         both = np.zeros((k, width + k))
         both[rows["topic"], rows["pos"]] = rows["x"]
@@ -128,15 +135,21 @@ class NmfModel(Model):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         """(id, topics): topic weights per document with at least one known term."""
+        return self.solved(self.rows(df))
+
+    def solved(self, docs: DataFrame) -> DataFrame:
+        """(id, topics) of documents in the form of :meth:`rows`."""
         factor = self.factor
         gram = factor @ factor.T
 
-        def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                w = _solve_batch(batch, factor, gram)
-                yield pd.DataFrame({"id": batch["id"], "topics": list(w)})
+                w = _solve_batch(_entries(batch), batch.num_rows, factor, gram)
+                ends = np.arange(0, w.size + 1, len(w), dtype=np.int32)
+                topics = pa.ListArray.from_arrays(ends, np.ascontiguousarray(w.T).ravel())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), topics], ["id", "topics"])
 
-        return self.rows(df).select("id", "at", "weight").mapInPandas(solve, "id bigint, topics array<double>")
+        return docs.select("id", "at", "weight").mapInArrow(solve, "id bigint, topics array<double>")
 
     def topic_terms(self, spark, top: int = 10) -> DataFrame:
         """(topic, term, weight): heaviest terms of each topic."""

@@ -7,7 +7,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from corpuslab.operators import explain, features as fe, models, profile, quality, trees
+from corpuslab.operators import explain, features as fe, models, profile, quality, topics, trees
 from corpuslab.operators.topics import Nmf
 from tests.conftest import rows
 
@@ -77,6 +77,26 @@ def test_histogram_equals_numpy(spark):
     assert [got.get(i, 0) for i in range(12)] == list(np.histogram(values, 12)[0])
 
 
+def test_topics_put_documents_together_once(spark, monkeypatch):
+    """The result on the documents learned from is that of a second pass, without the pass; odd documents included."""
+    entries = [(1, "a", 1.0), (1, "b", 0.5), (2, "b", 1.0), (3, "c", 2.0), (3, "a", 0.25), (4, "unknown", 1.0), (None, "c", 1.0)]
+    long = spark.createDataFrame(entries, "id long, term string, weight double").repartition(3)
+    words = spark.createDataFrame([("a",), ("b",), ("c",)], "term string")
+    passes, plain = [], topics.NmfModel.rows
+    monkeypatch.setattr(topics.NmfModel, "rows", lambda self, df: passes.append(1) or plain(self, df))
+    model, found = Nmf(words, k=2, max_iter=4).fit_transform(long)
+    got = {r["id"]: r["topics"] for r in found.collect()}
+    assert len(passes) == 1 and set(got) == {1, 2, 3, None}
+    assert got == {r["id"]: r["topics"] for r in model.transform(long).collect()}
+    # each document's factors are the best ones: no small step lowers its error
+    weights = {i: np.array([sum(w for j, t, w in entries if (j, t) == (i, term)) for term in "abc"]) for i in got}
+    for i, w in got.items():
+        error = np.sum((weights[i] - np.array(w) @ model.factor) ** 2)
+        for step in np.vstack([np.eye(2), -np.eye(2)]) * 1e-3:
+            other = np.maximum(0, np.array(w) + step)
+            assert error <= np.sum((weights[i] - other @ model.factor) ** 2) + 1e-9
+
+
 def test_topics_are_non_negative_and_improve(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
     weights = fe.TfIdf("doc_id", "text", max_features=200).fit(docs)
