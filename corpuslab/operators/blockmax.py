@@ -46,8 +46,13 @@ class BlockIndex:
 
     lists: DataFrame
     index: Index
+    path: str
     tasks: int
 
+    def described(self) -> Buckets:
+        """The lists as buckets, until these are closed."""
+        return Buckets.over(self.lists, self.path, "block", "blocks", self.tasks)
+
 
 @dataclass
 class Pruned:
@@ -110,7 +115,7 @@ def build_blocks(index: Index, k1: float = 1.2, b: float = 0.75, block_docs: int
             # terms of few postings each, so no key is hot
             others = others.join(rare, "term").join(placed, "doc_id").repartition(tasks, "block")
             blocks.add(lists_of(others))
-    return BlockIndex(blocks.read(), index, tasks)
+    return BlockIndex(blocks.close(), index, blocks.path, tasks)
 
 
 def _by_frequency(terms: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -127,11 +132,11 @@ def _by_frequency(terms: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return terms.filter(power >= least), terms.filter(power < least)
 
 
-def _parts(blocks: BlockIndex, wanted: DataFrame, small: bool) -> DataFrame:
+def _parts(blocks: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     """(query_id, block, doc_id, part) of the postings in ``wanted`` (query_id, term, block)."""
     wanted = wanted.select("query_id", "term", "block")
     # a task holds what it wants of its own blocks, and reads past their lists
-    return blocks.lists.select("block", "term", "postings").join(wanted.hint("shuffle_hash") if small else wanted, ["block", "term"]).select(
+    return blocks.select("block", "term", "postings").join(wanted.hint("shuffle_hash") if small else wanted, ["block", "term"]).select(
         "query_id", "block", F.inline("postings"))
 
 
@@ -154,20 +159,32 @@ def search_bm25(queries: DataFrame, blocks: BlockIndex, k: int = rt.BODY_POOL) -
     A query whose rarest terms give fewer than k documents gets all postings read. Lists stay where their block lies, and so
     do all tables of the search; blocks that are chosen, k best documents and terms of queries travel.
     """
-    with together(queries.sparkSession):
-        return _search(queries, blocks, k)
+    tables = {"blocks": blocks.described()}
+    try:
+        with together(queries.sparkSession):
+            return _search(queries, blocks, k, tables)
+    finally:
+        for table in tables.values():
+            table.close()
 
 
-def _search(queries: DataFrame, blocks: BlockIndex, k: int) -> Pruned:
+def _search(queries: DataFrame, blocks: BlockIndex, k: int, tables: dict[str, Buckets]) -> Pruned:
+    """``tables`` holds the block table and gets those of the search; the result reads them as plain scans."""
     query = rt.query_terms(queries)
     small, block_key = query.small, ["query_id", "block"]
 
     def kept(rows: DataFrame, label: str, dealt: bool = small) -> DataFrame:
         """``rows`` written by block; ``dealt`` says that they lie by block already, as where all that was joined otherwise was broadcast."""
-        return Buckets(rows if dealt else rows.repartition(blocks.tasks, "block"), "block", label, blocks.tasks).read()
+        tables[label] = Buckets(rows if dealt else rows.repartition(blocks.tasks, "block"), "block", label, blocks.tasks)
+        return tables[label].read()
+
+    def plain(label: str) -> DataFrame:
+        at = tables[label]
+        return at.spark.read.schema(at.read().schema).parquet(at.path)
 
     known = rt.written(rt.known_terms(query, blocks.index).select("query_id", "term"), "known-terms")
-    lists = blocks.lists.select("term", "block", "n", "most")
+    stored = tables["blocks"].read()
+    lists = stored.select("term", "block", "n", "most")
     if small:
         # as many rows as the query terms, which are measured to be few
         lists = lists.join(F.broadcast(known), "term")
@@ -186,11 +203,11 @@ def _search(queries: DataFrame, blocks: BlockIndex, k: int) -> Pruned:
     flags = terms.select("query_id", "term", "early")
     marked = rt._join_queries(lists, flags, small, ["block"], ["query_id", "term"])
     marked = marked if small else kept(marked, "lists")
-    early = kept(_sums(_parts(blocks, marked.filter("early"), small)), "early-parts")
+    early = kept(_sums(_parts(stored, marked.filter("early"), small)), "early-parts")
     best = top_k(early, ["query_id"], [F.desc("part"), F.asc("doc_id")], FIRST_DOCS * k, "place").drop("place")
     first = kept(best.select(*block_key).repartition(blocks.tasks, "block").distinct(), "first-blocks", True)
     first_lists = kept(marked.filter("NOT early").join(first, block_key), "first-lists")
-    seen = kept(_added(early.join(first, block_key, "left_semi"), _parts(blocks, first_lists, small)), "first-scores")
+    seen = kept(_added(early.join(first, block_key, "left_semi"), _parts(stored, first_lists, small)), "first-scores")
     # one row per query; no score until there are k
     least = rt.written(_kth(seen, k), "least")
 
@@ -205,7 +222,7 @@ def _search(queries: DataFrame, blocks: BlockIndex, k: int) -> Pruned:
     late = late.join(F.broadcast(left_out) if small else left_out, ["query_id", "term"], "left")
     late = kept(late.withColumn("left_out", F.coalesce("left_out", F.lit(False))), "lists-left")
     needed = late.filter("NOT left_out")
-    partial = kept(_added(early.join(live, block_key, "left_semi"), _parts(blocks, needed, small)), "parts")
+    partial = kept(_added(early.join(live, block_key, "left_semi"), _parts(stored, needed, small)), "parts")
 
     # what is known of a document is a lower bound of its score
     better = rt.written(_kth(seen.unionByName(partial), k), "least")
@@ -215,10 +232,11 @@ def _search(queries: DataFrame, blocks: BlockIndex, k: int) -> Pruned:
     alive = kept(alive.filter(F.col("least").isNull() | (F.col("part") + F.coalesce("room", F.lit(0.0)) + MARGIN >= F.col("least"))).select(
         *DOC_KEY, "part"), "documents-left")
     last_lists = kept(others.join(alive.select(*block_key).distinct(), block_key), "last-lists")
-    rest = rt.written(_added(alive, _parts(blocks, last_lists, small), "left"), "last-scores")
-    hits = seen.unionByName(rest)
+    rest = rt.written(_added(alive, _parts(stored, last_lists, small), "left"), "last-scores")
+    hits = plain("first-scores").unionByName(rest)
 
-    read = [marked.filter("early"), first_lists, needed, last_lists]
+    marked = rt._join_queries(plain("maxima"), flags, small, ["block"], ["query_id", "term"]) if small else plain("lists")
+    read = [marked.filter("early"), plain("first-lists"), plain("lists-left").filter("NOT left_out"), plain("last-lists")]
     read = reduce(DataFrame.unionByName, [x.select("query_id", "n") for x in read]).groupBy("query_id").agg(F.sum("n").alias("postings_read"))
     everything = terms.groupBy("query_id").agg(F.sum("n").alias("postings"), F.sum("maxima").alias("maxima"))
     return Pruned(rt._best(hits.select("query_id", "doc_id", rt._score(F.col("part"))), k), everything.join(read, "query_id"))

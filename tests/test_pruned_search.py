@@ -57,11 +57,16 @@ def test_lists_lie_by_block(spark, searched):
     """What is asked of lists by block and term needs no shuffle of them, whatever they are joined with."""
     index, blocks, queries = searched
     given = {name: spark.conf.get(name) for name in (buckets.AUTO, buckets.ALL_KEYS)}
+    stored = blocks.described()
     with buckets.together(spark):
-        sums = blocks.lists.groupBy("block", "term").count()
-        pairs = blocks.lists.join(sums.hint("shuffle_hash"), ["block", "term"])
+        sums = stored.read().groupBy("block", "term").count()
+        pairs = stored.read().join(sums.hint("shuffle_hash"), ["block", "term"])
+        assert pairs.count() == blocks.lists.count()
         for df in (sums, pairs):
             assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    stored.close()
+    blockmax.search_bm25(queries, blocks, 3).hits.count()
+    assert spark.sql("SHOW TABLES").count() == 0
     assert given == {name: spark.conf.get(name) for name in given}
 
 
