@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from corpuslab.plans.skew import fits_broadcast
 from corpuslab.plans.storage import written
 
+# A block has at least this many rows, and of a large table as many as hold this many numbers.
 BLOCK_ROWS = 2000
+BLOCK_VALUES = 1 << 20
+# Distances that a task holds at once.
+PAIRS = 1 << 20
+# Shares of the summed squares of two rows below which their squared distance is taken from the differences.
+CLOSE = 1e-4
+MOST_TASKS = 4096
 
 
 def regression(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -33,41 +41,90 @@ def confusion(df: DataFrame, y: str, p: str, wide: bool = False) -> DataFrame:
     return counts.groupBy("actual").pivot("predicted").agg(F.first("n")).fillna(0) if wide else counts
 
 
-def silhouette(df: DataFrame, key: str, features: str, cluster: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _distances(a: np.ndarray, z: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, Euclidean distances of some rows of ``a`` to those of ``z``); both lie around the origin.
+
+    A matrix product gives the squares. Those it leaves without enough digits, as of rows that
+    hardly differ, and those that are no number, are taken from the differences instead.
+    """
+    na, nz = (a * a).sum(axis=1), (z * z).sum(axis=1)
+    left, right = np.column_stack([a, na, np.ones(len(a))]), np.column_stack([-2 * z, np.ones(len(z)), nz]).T
+    step = max(1, PAIRS // len(z))
+    for i in range(0, len(a), step):
+        found, at = left[i : i + step] @ right, na[i : i + step]
+        doubtful = np.flatnonzero(~(found.min(axis=1) > CLOSE * (at + nz.max())))
+        if len(doubtful):
+            rows, columns = np.nonzero(~(found[doubtful] > CLOSE * (at[doubtful, None] + nz)))
+            rows = doubtful[rows]
+            some = max(1, PAIRS // max(1, a.shape[1]))
+            for k in range(0, len(rows), some):
+                r, c = rows[k : k + some], columns[k : k + some]
+                found[r, c] = ((a[i + r] - z[c]) ** 2).sum(axis=1)
+        yield i, np.sqrt(found, out=found)
+
+
+def _cluster_sums(a: pd.DataFrame, z: pd.DataFrame, same: bool) -> pd.DataFrame:
+    """(id, c, other_c, total): summed distances of the rows of two blocks to the other one's clusters.
+
+    ``same`` says that they are one block, whose rows must be told once.
+    """
+    a, z = a.sort_values("c", na_position="last"), z.sort_values("c", na_position="last")
+    xa, xz = np.vstack(a["x"].to_numpy()).astype(float), np.vstack(z["x"].to_numpy()).astype(float)
+    with np.errstate(invalid="ignore", over="ignore"):
+        plain = xa[np.isfinite(xa).all(axis=1)]
+        middle = plain.mean(axis=0) if len(plain) else np.zeros(xa.shape[1])
+        xa, xz = xa - middle, xz - middle
+        # rows without a cluster are last: they belong to no cluster's sum
+        (ca, ia), (cz, iz) = (np.unique(side["c"].dropna().to_numpy(), return_index=True) for side in (a, z))
+        known = z["c"].notna().sum()
+        to_z, to_a = np.zeros((len(xa), len(cz))), np.zeros((len(ca), len(xz)))
+        bounds = [*ia, a["c"].notna().sum()]
+        for i, found in _distances(xa, xz):
+            if known:
+                to_z[i : i + len(found)] = np.add.reduceat(found[:, :known], iz, axis=1)
+            for k in range(0 if same else len(ca)):
+                low, high = max(bounds[k] - i, 0), min(bounds[k + 1] - i, len(found))
+                if low < high:
+                    to_a[k] += found[low:high].sum(axis=0)
+    told = [(a, cz, to_z)] if same else [(a, cz, to_z), (z, ca, to_a.T)]
+    return pd.concat([
+        pd.DataFrame({
+            "id": np.repeat(side["id"].to_numpy(), len(others)), "c": np.repeat(side["c"].to_numpy(), len(others)),
+            "other_c": np.tile(others, len(side)), "total": totals.ravel()})
+        for side, others, totals in told])
+
+
+def silhouette(df: DataFrame, key: str, features: str, cluster: str, block_rows: int | None = None) -> DataFrame:
     """(cluster, n, silhouette): mean Euclidean silhouette per cluster.
 
-    The measure compares every row with every other by definition. Rows are hashed
-    into blocks of about ``block_rows``; each pair of blocks is one small matrix
-    of distances in one task, of which only the sums per row and cluster leave the
-    task. For large tables use :func:`squared_silhouette`, which is linear.
+    The measure compares every row with every other by definition, so its time grows with the square of the
+    rows. Rows are hashed into blocks; each unordered pair of blocks is worked out by one task as matrix products
+    of some ``PAIRS`` numbers, of which only the sums per row and cluster, of both blocks, leave the task. Blocks have
+    about ``block_rows`` rows, or as many as keep all cores busy and ``BLOCK_VALUES`` numbers in a block. Beyond
+    that use :func:`squared_silhouettes`, which is linear.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("x"), F.col(cluster).alias("c"))
+    rows = df.select(F.col(key).alias("id"), F.col(features).alias("x"), F.col(cluster).alias("c"))
     sizes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    blocks = max(1, -(-rows.count() // block_rows))
-    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    if block_rows is None:
+        busy = math.ceil(math.sqrt(6 * df.sparkSession.sparkContext.defaultParallelism))
+        block_rows = min(max(BLOCK_ROWS, -(-n // busy)), max(BLOCK_ROWS, BLOCK_VALUES // max(1, width or 0)))
+    blocks = max(1, -(-n // block_rows))
     placed = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = placed.withColumn("other", F.explode(numbers))
-    right = placed.withColumnRenamed("b", "other").withColumn("b", F.explode(numbers))
+    # a task for each pair, so that no one of them waits behind others
+    tasks = min(blocks * (blocks + 1) // 2, MOST_TASKS)
+    left = placed.withColumn("other", F.explode(F.sequence("b", F.lit(blocks - 1)))).repartition(tasks, "b", "other")
+    right = placed.withColumnRenamed("b", "other").withColumn("b", F.explode(F.sequence(F.lit(0), "other"))).repartition(tasks, "b", "other")
 
-    def distances(a: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
+    def sums_of(pair: tuple, a: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
         if a.empty or z.empty:
             return pd.DataFrame({"id": [], "c": [], "other_c": [], "total": []}).astype(
                 {"id": "int64", "c": "int32", "other_c": "int32", "total": "float64"})
-        xa, xz = np.vstack(a["x"].to_numpy()), np.vstack(z["x"].to_numpy())
-        found = {}
-        for c, at in z.groupby("c").indices.items():
-            # as many rows at once as keep the differences in about 16 MB
-            step = max(1, 2_000_000 // (len(at) * xa.shape[1] or 1))
-            found[c] = np.concatenate([
-                np.sqrt(((xa[i : i + step, None, :] - xz[None, at, :]) ** 2).sum(axis=2)).sum(axis=1)
-                for i in range(0, len(xa), step)])
-        wide = pd.DataFrame(found)
-        wide["id"], wide["c"] = a["id"].to_numpy(), a["c"].to_numpy()
-        return wide.melt(["id", "c"], var_name="other_c", value_name="total")[["id", "c", "other_c", "total"]]
+        return _cluster_sums(a, z, bool(pair[0] == pair[1]))
 
     sums = (
         left.groupBy("b", "other").cogroup(right.groupBy("b", "other"))
-        .applyInPandas(distances, "id bigint, c int, other_c int, total double")
+        .applyInPandas(sums_of, "id bigint, c int, other_c int, total double")
         .groupBy("id", "c", "other_c").agg(F.sum("total").alias("total"))
     )
     own = F.col("c") == F.col("other_c")

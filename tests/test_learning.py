@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector
@@ -253,6 +254,24 @@ def test_silhouette_equals_numpy(spark, vectors, block_rows):
     assert sum(r["n"] * r["silhouette"] for r in got) / len(x) == pytest.approx(np.mean(s))
 
 
+@pytest.mark.parametrize("shift", [0.0, 1000.0])
+@pytest.mark.parametrize("pairs", [13, 1 << 20])
+def test_two_blocks_are_compared_once_for_both(monkeypatch, pairs, shift):
+    """Also copies, rows that hardly differ, one far away and some without a cluster."""
+    monkeypatch.setattr(quality, "PAIRS", pairs)
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(90, 7)) + shift
+    x[50:70], x[70:80], x[89] = x[:20], x[:10] + 1e-7, 1e6
+    both = pd.DataFrame({"id": np.arange(90), "x": list(x), "c": np.where(np.arange(90) % 17 == 0, np.nan, draw.integers(0, 4, 90))})
+    for a, z in ((both[:60], both[60:]), (both, both)):
+        got = quality._cluster_sums(a, z, a is z).set_index(["id", "other_c"])["total"]
+        want = {
+            (i, c): np.linalg.norm(np.vstack(others["x"][others["c"] == c]) - row, axis=1).sum()
+            for one, others in ([(a, z)] if a is z else [(a, z), (z, a)])
+            for i, row in zip(one["id"], one["x"]) for c in others["c"].dropna().unique()}
+        assert got.to_dict() == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0), (5.0, 4.0)], "y double, p double")
     assert tuple(quality.regression(df, "y", "p").first()) == pytest.approx((2 / 3, 2 / 3, 0.75))
