@@ -75,9 +75,11 @@ SQL_ROADS = """roads AS (SELECT src, dst, min(w) AS weight FROM (
 def _roads(spark, sf):
     rows = table(spark, sf, "lineitem").select(
         (F.col("l_partkey") * 2).alias("p"), (F.col("l_suppkey") * 2 + 1).alias("s"), F.col("l_quantity").cast("bigint").alias("w"))
-    there = rows.select(F.col("p").alias("src"), F.col("s").alias("dst"), "w")
-    back = rows.select(F.col("s").alias("src"), F.col("p").alias("dst"), "w")
-    return there.unionByName(back).groupBy("src", "dst").agg(F.min("w").alias("weight"))
+    # parts are even and suppliers odd, so that both directions of a pair have the same rows
+    pairs = rows.groupBy("p", "s").agg(F.min("w").alias("weight"))
+    ends = F.explode(F.array(
+        F.struct(F.col("p").alias("src"), F.col("s").alias("dst")), F.struct(F.col("s").alias("src"), F.col("p").alias("dst"))))
+    return pairs.select(ends.alias("e"), "weight").select("e.src", "e.dst", "weight")
 
 
 def _start(spark):

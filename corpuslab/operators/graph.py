@@ -40,18 +40,35 @@ def _by_source(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     there is no heavy source).
     """
     degree = written(edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "degrees")
-    heavy = written(hot_keys(degree, ["src"], "degree"), "heavy-sources")
-    if heavy.isEmpty():
-        heavy, salted = None, edges.withColumn("salt", F.lit(0))
-    else:
-        salt = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("__salts")).cast("int"), F.lit(0))
-        salted = edges.join(F.broadcast(heavy), "src", "left").withColumn("salt", salt).drop("__salts")
+    salted, heavy = _salted(edges, degree)
     # sorted once here, so that no round sorts the edges again
     spread = salted.repartition("src", "salt").sortWithinPartitions("src", "salt")
     placed = spread.join(_to_sources(degree, heavy), ["src", "salt"])
     return placed.persist(StorageLevel.MEMORY_AND_DISK), heavy
 
 
+def _salted(edges: DataFrame, degree: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges with the salt of their source, and the salts of the heavy sources or None."""
+    heavy = written(hot_keys(degree, ["src"], "degree"), "heavy-sources")
+    if heavy.isEmpty():
+        return edges.withColumn("salt", F.lit(0)), None
+    salt = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("__salts")).cast("int"), F.lit(0))
+    return edges.join(F.broadcast(heavy), "src", "left").withColumn("salt", salt).drop("__salts"), heavy
+
+
+def _ways(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(src, ways) with the edges (dst, weight) of a source in one row, or (src, salt, ways) if any is heavy, and the salts as above.
+
+    A round joins sources, of which there are far fewer than edges, and reads the edges of those that it takes.
+    """
+    salted, heavy = _salted(edges, edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")))
+    # as many partitions as the joins of the rounds have, which shuffles the edges only here
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ["src"] if heavy is None else ["src", "salt"]  # a salt that is always 0 would hide from joins how rows lie
+    ways = salted.repartition(n, *by).sortWithinPartitions(*by).groupBy(*by).agg(F.collect_list(F.struct("dst", "weight")).alias("ways"))
+    return ways.persist(StorageLevel.MEMORY_AND_DISK), heavy
+
+
 def _to_sources(values: DataFrame, heavy: DataFrame | None) -> DataFrame:
     """Rows (src, ...) with salt 0, and once more per further salt of a heavy source."""
     first = values.withColumn("salt", F.lit(0))
@@ -120,7 +137,7 @@ def shortest_paths(
     source. Weights must be positive. More rounds than a given ``max_iter`` are an error, not a
     partial result.
     """
-    placed, salts = _by_source(written(edges.select("src", "dst", "weight"), "edges"))
+    placed, salts = _ways(written(edges.select("src", "dst", "weight"), "edges"))
     kind = edges.schema["src"].dataType
     pred = "bigint" if isinstance(kind, T.IntegralType) else kind
     start = sources.select("id", F.lit(0).cast(edges.schema["weight"].dataType).alias("dist"), F.lit(None).cast(pred).alias("pred")).distinct()
@@ -135,8 +152,10 @@ def shortest_paths(
                 break
             within = F.floor(F.col("dist") / F.lit(delta)) <= math.floor(nearest / delta)
             front, later = waiting.filter(within), waiting.filter(~within)
-        steps = _to_sources(front.select(F.col("id").alias("src"), "dist"), salts).join(placed, ["src", "salt"]).select(
-            F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").cast(pred).alias("pred"))
+        begun = front.select(F.col("id").alias("src"), "dist")
+        ways = begun.join(placed, "src") if salts is None else _to_sources(begun, salts).join(placed, ["src", "salt"])
+        steps = ways.select("src", "dist", F.explode("ways").alias("way")).select(
+            F.col("way.dst").alias("id"), (F.col("dist") + F.col("way.weight")).alias("dist"), F.col("src").cast(pred).alias("pred"))
         tried = steps.groupBy("id").agg(best.alias("new")).join(known.read().groupBy("id").agg(best.alias("old")), "id", "left")
         found = written(
             tried.filter("old IS NULL OR new.dist < old.dist OR new.dist = old.dist AND new.pred < old.pred")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslab.operators import graph
 from tests.conftest import rows
@@ -56,6 +57,31 @@ def test_paths_with_heavy_sources(spark, large):
     assert rows(graph.bfs(edges, start)) == [(1, 0), (2, 1), (3, 1), (4, 2), (5, 2), (6, 1)]
 
 
+def test_edges_of_a_source_lie_in_one_row_and_rounds_leave_them_there(spark):
+    edges = spark.createDataFrame([*WEIGHTED, (1, 2, None), (None, 4, 1)], "src long, dst long, weight long")
+    ways, heavy = graph._ways(edges)
+    try:
+        assert heavy is None
+        key = lambda way: (way[0], way[1] or 0)
+        got = {r["src"]: sorted(((w["dst"], w["weight"]) for w in r["ways"]), key=key) for r in ways.collect()}
+        want = {s: sorted(((d, w) for o, d, w in [*WEIGHTED, (1, 2, None), (None, 4, 1)] if o == s), key=key) for s in (1, 2, 3, 4, 6, None)}
+        assert got == want
+        front = spark.range(9).select(F.col("id").alias("src")).hint("merge")
+        plan = front.join(ways, "src")._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("InMemoryTableScan")[0].count("Exchange hashpartitioning") == 1  # that of the front
+    finally:
+        ways.unpersist()
+
+
+def test_edges_of_a_heavy_source_lie_in_rows_by_salt(spark, large):
+    edges = spark.createDataFrame([(0, d, 1) for d in range(300)], "src long, dst long, weight long")
+    ways, heavy = graph._ways(edges)
+    found = ways.collect()
+    ways.unpersist()
+    assert heavy.count() == 1 and 1 < len(found) <= 64
+    assert sorted(w["dst"] for r in found for w in r["ways"]) == list(range(300))
+
+
 def test_grid_edges(spark):
     cells = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (5, 5)], "row long, col long")
     assert graph.grid_edges(cells).count() == 6
