@@ -1,20 +1,28 @@
 """Text expressions: tokens, stop words, in-row term counts, last word.
 
-Everything here is a Column built from Spark's own functions, so it runs inside
-the JVM and needs no shuffle.
+Columns here are built from Spark's own functions and run inside the JVM; terms are counted
+on Arrow batches. Nothing needs a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The token rule of the search engine. 3 to 25 word characters,
 # inner apostrophes or hyphens allowed, an optional leading # or @.
 TOKEN_PATTERN = r"[#@\p{L}\p{N}_](?:['\-]?[\p{L}\p{N}_]){2,24}"
 
+# The same tokens: a repetition never has to give a character back, as none of its parts can match a ' or -
+# in two ways. Java then repeats in a loop, without keeping places to return to.
+_TOKEN_PATTERN_JAVA = TOKEN_PATTERN + "+"
+
 # A word is a run of letters and digits, without underscores.
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 
@@ -42,7 +50,7 @@ def all_stop_words() -> tuple[str, ...]:
 
 def raw_tokens(text: Column) -> Column:
     """Lower-cased tokens in text order, stop words included. NULL text gives an empty array."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN_PATTERN_JAVA), F.lit(0))
 
 
 def tokenize(text: Column, stop_words: tuple[str, ...] | None = None) -> Column:
@@ -85,30 +93,37 @@ def bucket_of(term: Column, buckets: int = 124) -> Column:
 
 
 def count_in_row(df: DataFrame, tokens: str, out: str = "counts") -> DataFrame:
-    """Add ``out``: array<struct<term, tf>> counted inside each row, terms in order.
+    """Replace ``tokens`` by ``out``: array<struct<term, tf>> counted inside each row, terms in order of their bytes.
 
-    A row holds all tokens of its document, so counting needs no shuffle: sort
-    the tokens, keep the position where each run starts, and the distance to the
-    next start is the count. The helper columns stay separate projections because
-    Spark would re-evaluate an inlined array once per element of the lambda.
+    A row holds all tokens of its document, so counting needs no shuffle. The tokens of a batch of
+    rows are counted together. A missing array stays missing.
     """
-    runs = df.withColumn("__sorted", F.sort_array(F.col(tokens)))
-    runs = runs.withColumn(
-        "__starts",
-        F.filter(
-            F.sequence(F.lit(0), F.size("__sorted")),
-            lambda i: (i < F.size("__sorted"))
-            & ((i == 0) | (F.get(F.col("__sorted"), i) != F.get(F.col("__sorted"), i - 1))),
-        ),
-    )
-    counted = F.transform(
-        F.col("__starts"),
-        lambda p, j: F.struct(
-            F.get(F.col("__sorted"), p).alias("term"),
-            (F.coalesce(F.get(F.col("__starts"), j + 1), F.size("__sorted")) - p).cast("int").alias("tf"),
-        ),
-    )
-    return runs.withColumn(out, counted).drop("__sorted", "__starts")
+    others = [c for c in df.columns if c != tokens]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(tokens)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            coded = lists.flatten().dictionary_encode()
+            order = pc.sort_indices(coded.dictionary)
+            width = max(1, len(order))
+            place = np.empty(len(order), dtype=np.int64)
+            place[order.to_numpy()] = np.arange(len(order))
+            # one number per token, ordered by row and term
+            keys = np.repeat(np.arange(len(lists), dtype=np.int64) * width, sizes) + place[coded.indices.to_numpy()]
+            keys.sort()
+            starts = np.flatnonzero(np.diff(keys, prepend=-1))
+            tf = np.diff(starts, append=len(keys)).astype(np.int32)
+            keys = keys[starts]
+            terms = coded.dictionary.take(order).take(pa.array(keys % width))
+            ends = np.searchsorted(keys, np.arange(len(lists) + 1, dtype=np.int64) * width).astype(np.int32)
+            entries = pa.StructArray.from_arrays([terms, pa.array(tf)], ["term", "tf"])
+            counts = pa.ListArray.from_arrays(pa.array(ends), entries, mask=lists.is_null() if lists.null_count else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), counts], [*others, out])
+
+    entry = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
+    schema = T.StructType([*(df.schema[c] for c in others), T.StructField(out, T.ArrayType(entry))])
+    return df.select(*others, tokens).mapInArrow(count, schema)
 
 
 def unnest(array: Column) -> Column:

@@ -58,9 +58,7 @@ def doc_terms(
     tokens = df.select(
         F.col(id_col).cast("long").alias("id"), *extra, text.tokenize(F.col(text_col), stop_words).alias("tokens")
     )
-    return text.count_in_row(tokens, "tokens").select(
-        "id", *extra, F.size("tokens").alias("dl"), "counts"
-    )
+    return text.count_in_row(tokens.withColumn("dl", F.size("tokens")), "tokens").select("id", *extra, "dl", "counts")
 
 
 def postings_of(counted: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslab.functions import text
@@ -23,6 +27,9 @@ RESULTS = 100
 WEIGHTS = (0.40, 0.40, 0.20)
 BOOSTS = (0.05, 0.05)
 
+# Numbers that a task holds of the documents it scores together: sums of all queries, and matches.
+CELLS = 4_000_000
+
 
 @dataclass
 class QueryTerms:
@@ -108,10 +115,13 @@ def _join_queries(
     return salted_join(rows, per_query, keys, hot_keys(counts, keys, "n"), salt_by)
 
 
+def _bm25_idf(index: Index) -> Column:
+    return F.log(1 + (F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
 def bm25_weight(index: Index, k1: float = 1.2, b: float = 0.75) -> Column:
     """BM25 part of one posting. A missing or zero length counts as the whole part of the mean."""
-    n = F.lit(float(index.n_docs))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = _bm25_idf(index)
     length = F.coalesce(F.nullif(F.col("dl"), F.lit(0)), F.lit(int(index.avgdl)))
     tf = F.col("tf").cast("double")
     return idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (length / F.lit(float(index.avgdl)))))
@@ -120,15 +130,105 @@ def bm25_weight(index: Index, k1: float = 1.2, b: float = 0.75) -> Column:
 def search_bm25(
     queries: DataFrame, index: Index, k1: float = 1.2, b: float = 0.75, k: int = BODY_POOL, query: QueryTerms | None = None
 ) -> DataFrame:
-    """BM25 over distinct query terms: query_id, doc_id, score, rank. ``query`` holds the terms where they are known."""
-    scored = (
-        matches(query_terms(queries) if query is None else query, index)
-        .groupBy("query_id", "doc_id")
-        .agg(_score(F.sum(bm25_weight(index, k1, b))))
-    )
+    """BM25 over distinct query terms: query_id, doc_id, score, rank. ``query`` holds the terms where they are known.
+
+    Where the rows of the documents are at hand and the query terms few, the terms travel to the rows and
+    each is scored where it lies, so that only rows that may be among the best are shuffled.
+    """
+    query = query_terms(queries) if query is None else query
+    if query.small and index.counted is not None:
+        return _best(_scored_in_rows(query, index, k1, b, k), k)
+    scored = matches(query, index).groupBy("query_id", "doc_id").agg(_score(F.sum(bm25_weight(index, k1, b))))
     return _best(scored, k)
 
 
+def _scored_in_rows(query: QueryTerms, index: Index, k1: float, b: float, k: int) -> DataFrame:
+    """(query_id, doc_id, score) of all documents that may be among the ``k`` best of a query.
+
+    A document whose id only one row has gets its whole score there. Ids of several rows get
+    the sum over them; nothing of theirs is left out before.
+    """
+    scores = _RowScores(known_terms(query, index).select("query_id", "term", _bm25_idf(index).alias("idf")), index, k1, b)
+    docs = index.counted.select("id", "dl", "counts")
+    repeated = docs.groupBy(F.col("id").alias("again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("again")
+    parts = ["query_id", "doc_id"]
+    if repeated.isEmpty():
+        return scores.of(docs, k).select(*parts, _score(F.col("part")))
+    if not fits_broadcast(repeated):
+        return scores.of(docs).groupBy(*parts).agg(_score(F.sum("part")))
+    few, same = F.broadcast(repeated), F.col("id").eqNullSafe(F.col("again"))
+    alone = scores.of(docs.join(few, same, "left_anti"), k).select(*parts, _score(F.col("part")))
+    return alone.unionByName(scores.of(docs.join(few, same, "left_semi")).groupBy(*parts).agg(_score(F.sum("part"))))
+
+
+class _RowScores:
+    """BM25 of whole rows (id, dl, counts) for query terms (query_id, term, idf) that were measured to be few."""
+
+    def __init__(self, known: DataFrame, index: Index, k1: float, b: float):
+        self.k1, self.b, self.avgdl = k1, b, float(index.avgdl)
+        table = known.orderBy("term").toArrow()
+        terms = table["term"].combine_chunks().dictionary_encode()
+        asked = table["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        of_term = terms.indices.to_numpy()
+        # rows of one term lie together: where they start, and how many they are
+        first, count = np.unique(of_term, return_index=True, return_counts=True)[1:]
+        # (terms, their first row, rows and idf, place of the query of each row, query ids)
+        self.table = known.sparkSession.sparkContext.broadcast((
+            terms.dictionary, first, count, table["idf"].to_numpy()[first], asked.indices.to_numpy().astype(np.int64), asked.dictionary))
+
+    def of(self, docs: DataFrame, k: int | None = None) -> DataFrame:
+        """(query_id, doc_id, part): a row per document and query that share a term. With ``k``, those that ``k`` others
+        of the task surpass are left out."""
+        table, k1, b, avgdl = self.table, self.k1, self.b, self.avgdl
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, first, count, idf, query_of, query_ids = table.value
+            n_queries = len(query_ids)
+            least = np.zeros(n_queries)
+            for batch in batches:
+                if not n_queries:
+                    continue
+                lists = batch.column("counts")
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                entries = lists.flatten()
+                at = pc.index_in(entries.field("term"), value_set=vocabulary)
+                known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                term = at.take(pa.array(known)).to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(batch.num_rows), sizes)[known]
+                tf = entries.field("tf").to_numpy()[known].astype(np.float64)
+                length = pc.fill_null(batch.column("dl"), 0).to_numpy(zero_copy_only=False).astype(np.float64)
+                length[length == 0] = int(avgdl)
+                part = idf[term] * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * (length[row] / avgdl)))
+                # rows are taken together as long as their sums and matches are few enough
+                cost = np.cumsum(n_queries + np.bincount(row, count[term], batch.num_rows))
+                start = 0
+                while start < batch.num_rows:
+                    before = cost[start - 1] if start else 0
+                    end = max(start + 1, int(np.searchsorted(cost, before + CELLS, "right")))
+                    lo, hi = np.searchsorted(row, [start, end])
+                    t = term[lo:hi]
+                    match = np.repeat(np.arange(lo, hi), count[t])
+                    # the n-th match of a posting is the n-th row of its term
+                    nth = np.arange(len(match)) - np.repeat(np.cumsum(count[t]) - count[t], count[t])
+                    cell = (row[match] - start) * n_queries + query_of[first[term[match]] + nth]
+                    sums = np.bincount(cell, part[match], (end - start) * n_queries)
+                    found = np.zeros(len(sums), dtype=bool)
+                    found[cell] = True
+                    if k is not None:
+                        grid = sums.reshape(end - start, n_queries)
+                        if end - start > k:
+                            least = np.maximum(least, np.partition(grid, end - start - k, axis=0)[end - start - k])
+                        # what is less by this much stays less when it is rounded
+                        found &= (grid >= least - 10.0 ** -SCORE_DIGITS * 2).ravel()
+                    hit = np.flatnonzero(found)
+                    doc_ids = batch.column("id").take(pa.array(start + hit // n_queries))
+                    yield pa.RecordBatch.from_arrays(
+                        [query_ids.take(pa.array(hit % n_queries)), doc_ids, pa.array(sums[hit])], ["query_id", "doc_id", "part"])
+                    start = end
+
+        return docs.mapInArrow(score, "query_id bigint, doc_id bigint, part double")
+
+
 def coverage(query: QueryTerms, index: Index, mode: str = "occurrence") -> DataFrame:
     """(query_id, doc_id, score): matching postings, or distinct matching terms."""
     hits = matches(query, index)

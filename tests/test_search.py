@@ -1,4 +1,6 @@
 import math
+import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +118,47 @@ def test_row_order_does_not_matter(spark, corpus, queries):
     assert rows(rt.search_bm25(queries, again)) == rows(rt.search_bm25(queries, corpus[1]))
 
 
+MANY = [(i if i % 7 else 5, " ".join(f"word{j}" * (1 + (i * j) % 3 > 1) or "other" for j in range(i % 9 + 1)), i) for i in range(60)]
+
+
+def _many(spark):
+    """Rows of which some have the same id, no id or no text, and an index of them."""
+    docs = [(doc, body) for doc, body, _ in MANY] + [(None, "word1 word2 word3"), (None, "word3 word4"), (99, None), (98, "")]
+    index = ix.build_index(spark.createDataFrame(docs, "id long, text string"), "id", "text", 0)
+    asked = [(1, "word1 word2 word2 word5"), (2, "other word3"), (2, "word3 word4"), (None, "word8"), (3, "nowhere"), (4, "")]
+    return index, spark.createDataFrame(asked, "query_id long, text string")
+
+
+@pytest.mark.parametrize("cells, few", [(rt.CELLS, skew.BROADCAST_ROWS), (40, skew.BROADCAST_ROWS), (40, 1)])
+def test_scoring_in_rows_gives_the_rows_of_postings(spark, monkeypatch, cells, few):
+    index, asked = _many(spark)
+    plain = replace(index, counted=None)
+    query = rt.query_terms(asked)
+    monkeypatch.setattr(rt, "CELLS", cells)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", few)  # two ids have several rows
+    for k in (3, 1000):
+        found, want = (
+            sorted(map(tuple, rt.search_bm25(asked, i, k=k, query=query).select("query_id", "doc_id", "score", "rank").collect()), key=str)
+            for i in (index, plain))
+        assert found == want and found
+
+
+def test_ids_of_one_row_each_keep_the_best_with_ties(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "shared words here" if i % 3 else f"shared other{i}") for i in range(200)], "id long, text string").coalesce(1)
+    index = ix.build_index(docs, "id", "text", 0)
+    asked = spark.createDataFrame([(1, "shared words"), (2, "words"), (3, "shared")], "query_id long, text string")
+    monkeypatch.setattr(rt, "CELLS", 60)
+    for k in (5, 150):
+        found, want = (rows(rt.search_bm25(asked, i, k=k), "query_id", "doc_id", "score", "rank") for i in (index, replace(index, counted=None)))
+        assert found == want and len(found) == min(k, 200) * 2 + min(k, 133)
+
+
+def test_only_rows_that_may_be_best_are_shuffled(corpus, queries):
+    plan = rt.search_bm25(queries, corpus[1])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning(query_id" in plan
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan), "no shuffle of a row per query and document"
+
+
 def test_posting_blocks_stay_bounded(corpus):
     blocks = ix.posting_blocks(corpus[1].postings, block=2).collect()
     assert all(len(r["postings"]) <= 2 for r in blocks)

@@ -39,6 +39,18 @@ def test_counts_match_a_counter(spark, sf):
         assert got.get(r["doc_id"], {}) == dict(want)
 
 
+def test_rows_are_counted_in_batches(spark):
+    lists = [["b", "a", "b", "é", "Z"], [], None, ["a"] * 300, ["𝄞", "\uffee", "a"], [""]]
+    df = spark.createDataFrame([(i, t, str(i)) for i, t in enumerate(lists)], "id int, t array<string>, other string").coalesce(1)
+    counted = text.count_in_row(df, "t")
+    assert "MapInArrow" in counted._jdf.queryExecution().executedPlan().toString()
+    for r in counted.collect():
+        want = lists[r["id"]]
+        order = sorted(Counter(want or []).items(), key=lambda c: c[0].encode())
+        assert r["other"] == str(r["id"])
+        assert (r["counts"] if want is None else [tuple(c) for c in r["counts"]]) == (None if want is None else order)
+
+
 def test_last_token(spark):
     df = spark.createDataFrame([("Live in Tel_Aviv!",), ("...",), (None,), ("Één TWEE",)], "t string")
     assert [r[0] for r in df.select(text.last_token(F.col("t"))).collect()] == ["aviv", "", "", "twee"]
