@@ -3,8 +3,12 @@
 1. Candidates. In any one order of all shingles, two such sets of n and m have a shingle in
    common among the first n // 5 + 1 and m // 5 + 1. The order puts the shingles of a Misra-Gries
    list last and goes by hash otherwise. A shingle listed is shared by very many: the texts
-   with it in their prefix are one cluster. Those with another one are a group; a signature tree of
-   each group is walked against itself, and pairs that its bounds leave are one cluster.
+   with it in their prefix are one cluster. Those with another one are a group, groups with rows in
+   common are one up to ``BLOCK`` rows; a signature tree of each group is walked against itself, and pairs that its
+   bounds leave are one cluster.
+   Long texts share single shingles by chance, the more of them the more texts there are. Where few of a
+   long text's shingles are listed, the others are dealt by hash to parts, of which two such sets
+   differ in (n + m) / 9 at most, and its keys are its fullest parts, some two to four shingles each.
 2. Links. Each text of a cluster of several goes to the cluster's task once, where its set is made anew.
    Signature trees are walked again and the sets of pairs left are compared, unless what is linked
    already connects them. Clusters above ``BLOCK`` texts are cut into blocks: first each block by
@@ -28,7 +32,7 @@ from corpuslab.llm.common import give_back, map_text, quoted, slices
 from corpuslab.llm.components import components
 from corpuslab.llm.shingle_sets import mixed, shingle_set
 from corpuslab.plans.skew import fits_broadcast, hot_keys, salted_join
-from corpuslab.plans.storage import written
+from corpuslab.plans.storage import scratch, written
 
 # The share of distinct shingles, as a fraction.
 SHARE = 4, 5
@@ -36,6 +40,10 @@ SHARE = 4, 5
 COUNTERS = 1 << 18
 # Shingles that a task has seen less often are not sent by it.
 LEAST = 4
+# Sets of so many shingles have parts for keys, and those of fewer than 5 / 4 of it a prefix.
+LONG = 64
+# Parts of a set of ``LONG`` shingles; they double when the shingles do.
+PARTS = 48
 # Sets that a task compares with each other.
 BLOCK = 2048
 # Rows and bytes of whole groups handled at once.
@@ -92,14 +100,19 @@ def frequent_shingles(docs: DataFrame, text: str, counters: int = COUNTERS) -> t
     return keys[by_key], place[by_key]
 
 
+def are_listed(found: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each shingle is listed, and where in the list."""
+    if not len(frequent):
+        return np.zeros(len(found), bool), np.zeros(len(found), np.int64)
+    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+    return frequent[at] == found, at
+
+
 def prefix(found: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles of a set that can be without a partner in a linked set, and one more: other, frequent."""
     over, under = SHARE
     n = len(found) * (under - over) // under + 1
-    if not len(frequent):
-        return found[:n], found[:0]
-    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-    known = frequent[at] == found
+    known, at = are_listed(found, frequent)
     other = found[~known][:n]
     if len(other) == n:
         return other, found[:0]
@@ -107,6 +120,51 @@ def prefix(found: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> tuple[
     return other, last[np.argsort(place[at[known]])][: n - len(other)]
 
 
+def fullest_parts(other: np.ndarray, family: int, n: int) -> np.ndarray:
+    """Keys of the ``n`` parts with the most shingles of ``other``, which is sorted, of the parts of ``family``.
+
+    A key stands for the part and all that ``other`` has in it. Keys are ordered by themselves, those of fuller
+    parts first, so that two sets order the parts that are equal in both alike. Linked sets differ in fewer than
+    ``n`` parts; of the rest, the last one in this order is among the first ``n`` of each.
+    """
+    parts = PARTS << family
+    part = ((other >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    count = np.bincount(part, minlength=parts)
+    full = np.flatnonzero(count)
+    content = np.zeros(parts, np.uint64)
+    if len(full):
+        content[full] = np.add.reduceat(mixed(other, 0), np.cumsum(count[full]) - count[full])
+    key = mixed(content + mixed(np.arange(parts, dtype=np.uint64), family), 0)
+    key = (key >> np.uint64(8)) | ((255 - np.minimum(count, 255)).astype(np.uint64) << np.uint64(56))
+    return np.partition(key, n - 1)[:n]
+
+
+def keys_of(found: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set, of which linked sets have one in common: other, frequent.
+
+    Linked sets X and Y of n <= m shingles have m <= 5 n / 4 and differ in (n + m) / 9 shingles at most, that is n / 4 and
+    2 m / 9. Sets have parts if they have ``LONG`` shingles and at most 2 / 5 of them are listed, and a
+    prefix if they have fewer than 5 / 4 ``LONG`` or more than a quarter is listed. So if one of the two has no parts, both
+    have a prefix: if over 2 n / 5 of X are listed and X lacks b shingles of Y, which lacks a of X, then
+    a <= n / 5 - 4 b / 5, and of Y over 2 n / 5 - a are listed, which is at least (n - a + b) / 4 = m / 4; likewise with X and Y exchanged.
+    The parts of a family are those of sets from ``LONG << family`` to twice that and of up to 5 / 4 as many, their larger partners.
+    """
+    n = len(found)
+    known, _ = are_listed(found, frequent)
+    listed = int(np.count_nonzero(known))
+    keys, last = [], found[:0]
+    if 4 * n < 5 * LONG or 4 * listed > n:
+        first, last = prefix(found, frequent, place)
+        keys.append(first)
+    if n >= LONG and 5 * listed <= 2 * n:
+        other = found[~known]
+        family = (n // LONG).bit_length() - 1
+        keys.append(fullest_parts(other, family, n // 4 + 1))
+        if family and 4 * n < 5 * (LONG << family):
+            keys.append(fullest_parts(other, family - 1, 2 * n // 9 + 1))
+    return np.concatenate(keys), last
+
+
 # ---- groups
 
 
@@ -134,8 +192,8 @@ def whole_groups(batches, key: str, size: str | None = None) -> Iterator[pa.Tabl
 def shared_keys(prefixes: DataFrame) -> DataFrame:
     """(group, row, first) of the rows of ``prefixes`` (key, row) with a key of several.
 
-    Keys with the same rows give the same group and its rows again. A key of more than ``BLOCK`` rows
-    has no group; each of its rows comes with its ``first``.
+    Keys with the same rows give the same group and its rows again, with the ``first`` of them. A key of more than
+    ``BLOCK`` rows has no group; its rows come with their ``first`` too.
     """
     ordered = prefixes.repartition("key").sortWithinPartitions("key", "row")
 
@@ -147,8 +205,7 @@ def shared_keys(prefixes: DataFrame) -> DataFrame:
         n = np.diff(np.append(start, len(keys)))
         name = mixed(np.add.reduceat(mixed(rows.view(np.uint64), 0), start) + n.astype(np.uint64), 1).view(np.int64)
         several = np.repeat(n > 1, n)
-        row = rows[several]
-        yield batch_of(pa.array(np.repeat(name, n)[several], pa.int64()), row, pa.nulls(len(row), pa.int64()))
+        yield batch_of(*(pa.array(x[several], pa.int64()) for x in (np.repeat(name, n), rows, np.repeat(rows[start], n))))
 
     def run(batches):
         keys = rows = np.empty(0, np.int64)
@@ -187,6 +244,24 @@ def shared_keys(prefixes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "group long, row long, first long")
 
 
+def whole_parts(met: DataFrame) -> DataFrame:
+    """(group, row): the groups of ``met`` (group, row, first), where all that are linked by common rows are one.
+
+    Near copies share most keys, and each key brings those of them that have it; so a row goes to one group
+    instead of one for each key. Groups that come to more than ``BLOCK`` rows stay as they are.
+    """
+    given = met.filter("group IS NOT NULL")
+    parts = written(components(given.select(F.col("first").alias("a"), F.col("row").alias("b"))), "parts")
+    large = written(parts.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("root"), "large_parts")
+    several = not large.isEmpty()
+    large = F.broadcast(large) if fits_broadcast(large) else large
+    whole = parts.join(large, "root", "left_anti").select(F.col("root").alias("group"), F.col("node").alias("row"))
+    if not several:
+        return whole
+    inside = parts.join(large, "root", "left_semi").select(F.col("node").alias("row"))
+    return whole.union(given.select("group", "row").distinct().join(inside, "row", "left_semi").select("group", "row"))
+
+
 def tree_candidates(grouped: DataFrame) -> DataFrame:
     """(a, b): of each group of ``grouped`` (group, row, size, low, bits), pairs left by its trees, as few as connect them."""
     over, under = SHARE
@@ -353,7 +428,7 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", row: str |
             out = [[] for _ in fields]
             for t in texts:
                 found = shingle_set(t)
-                keys, last = prefix(found, frequent, place)
+                keys, last = keys_of(found, frequent, place)
                 made = (blake2b(found.astype("<u8").tobytes(), digest_size=16).digest(), len(found),
                         int(found[:1].view(np.int64)[0]) if len(found) else None, keys.view(np.int64), last.view(np.int64),
                         signature_tree.bitmap(found))
@@ -374,21 +449,23 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", row: str |
     repeats = placed.filter("row <> node").select("row")
     nodes = rows.filter("size > 0").join(F.broadcast(repeats) if fits_broadcast(repeats) else repeats, "row", "left_anti")
 
-    met = written(shared_keys(nodes.select(F.explode("keys").alias("key"), "row")), "shared_keys")
-    groups = met.filter("group IS NOT NULL").select("group", "row").distinct()
-    pairs = tree_candidates(groups.join(nodes.select("row", "size", "low", "bits"), "row"))
-    stars = met.filter("group IS NULL AND row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    # at most COUNTERS keys
-    last = nodes.select(F.explode("frequent").alias("key"), "row")
-    least = F.broadcast(last.groupBy("key").agg(F.min("row").alias("a")))
-    stars = stars.union(last.join(least, "key").filter("row <> a").select("a", F.col("row").alias("b")))
-    candidates = written(pairs.union(stars).distinct(), "candidates")
-    edges = links(given, nodes, candidates)
-
-    member = components(edges).select(F.col("node").alias("node"), "root").distinct()
-    known = sames.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = known.groupBy("root").agg(F.min(F.struct("no_id", "id", "node")).alias("least"))
-    known = written(known.join(least, "root").select("same", F.col("least.id").alias("component_id"), F.col("least.node").alias("first_row")), "members")
+    with scratch(spark) as scope:
+        with scratch(spark) as keyed:  # the keys are the largest shuffle and are not needed any more
+            met = keyed.result(shared_keys(nodes.select(F.explode("keys").alias("key"), "row")), "shared_keys")
+        pairs = tree_candidates(whole_parts(met).join(nodes.select("row", "size", "low", "bits"), "row"))
+        stars = met.filter("group IS NULL AND row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+        # at most COUNTERS keys
+        last = nodes.select(F.explode("frequent").alias("key"), "row")
+        least = F.broadcast(last.groupBy("key").agg(F.min("row").alias("a")))
+        stars = stars.union(last.join(least, "key").filter("row <> a").select("a", F.col("row").alias("b")))
+        candidates = written(pairs.union(stars).distinct(), "candidates")
+        edges = links(given, nodes, candidates)
+
+        member = components(edges).select(F.col("node").alias("node"), "root").distinct()
+        known = sames.join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = known.groupBy("root").agg(F.min(F.struct("no_id", "id", "node")).alias("least"))
+        known = known.join(least, "root").select("same", F.col("least.id").alias("component_id"), F.col("least.node").alias("first_row"))
+        known = scope.result(known, "members")
     joined = salted_join(rows.filter("size > 0").select("row", "id", "size", "same"), known, ["same"], hot, ["row"])
     alone = rows.filter("size = 0").select("row", "id", "size", F.col("id").alias("component_id"), F.col("row").alias("first_row"))
     out = ["row", "id", F.col("size").cast("long").alias("n_shingles"), "component_id", "first_row"]

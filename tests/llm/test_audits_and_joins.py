@@ -244,6 +244,48 @@ def test_trees_lose_no_link():
     assert linked > 100 and len(found) < 20 * linked
 
 
+def test_linked_sets_have_a_key_in_common():
+    """At the threshold, around the sizes where families of parts begin and with any share of listed shingles."""
+    rng = np.random.default_rng(13)
+    least, tried = jaccard_join.LONG, 0
+    for n in [1, 4, 5, 30] + [x + d for f in range(4) for x in (least << f, (5 * least << f) // 4) for d in (-1, 0, 1)]:
+        for _ in range(60):
+            more = int(rng.integers(0, n // 4 + 1))
+            fewer = (n - 4 * more) // 5
+            pool = rng.permutation(np.unique(rng.integers(0, 1 << 64, n + more, dtype=np.uint64)))
+            x, y = np.sort(pool[:n]), np.sort(pool[fewer:])
+            assert 5 * len(np.intersect1d(x, y)) >= 4 * len(pool)
+            listed = np.sort(pool[rng.random(len(pool)) < rng.choice([0, 0.2, 0.3, 0.4, 0.5, 1])])
+            place = rng.permutation(len(listed))
+            (a, c), (b, d) = (jaccard_join.keys_of(s, listed, place) for s in (x, y))
+            assert len(np.intersect1d(a, b)) or len(np.intersect1d(c, d))
+            tried += 1
+    assert tried > 1500
+
+
+def test_texts_that_share_phrases_are_no_group(spark, monkeypatch):
+    """Single shingles that long texts share by chance send no bitmaps to groups; near copies still meet."""
+    rng = random.Random(6)
+    phrases = [" ".join(f"p{k}_{i}" for i in range(5)) for k in range(300)]
+    docs = []
+    for k in range(80):
+        parts = [" ".join(f"u{k}_{j}_{i}" for i in range(3)) for j in range(30)]
+        docs.append(" ".join(x for pair in zip(rng.sample(phrases, 30), parts) for x in pair))
+    docs += [docs[k].replace(f"u{k}_7_1", "new") for k in range(5)]
+    docs = list(enumerate(docs))
+    sent, given = [], jaccard_join.tree_candidates
+
+    def counted(grouped):
+        sent.append(grouped.count())
+        return given(grouped)
+
+    monkeypatch.setattr(jaccard_join, "tree_candidates", counted)
+    got = jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_join(docs)
+    assert len({r["component_id"] for r in got}) == 80
+    assert 10 <= sent[0] <= 40
+
+
 def test_frequent_shingles_are_listed(spark):
     passage = " ".join(f"p{i}" for i in range(12))
     docs = [f"{passage} {' '.join(f'u{k}_{i}' for i in range(30))}" for k in range(200)]
